@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from freshet.llm.common import table
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from freshet.llm.minhash_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, threshold=0.85)
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_candidates, n_secrets, first secret's place and the kinds found, for every document."""
     from pyspark.sql import functions as F
@@ -58,7 +64,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_secret_scan, op5_toxicity, op6_quality_classifier, op7_license_scan, op8_quality_rules, op9_best_fit_packing, op10_suffix_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_dedup, op3_secret_scan, op5_toxicity, op6_quality_classifier, op7_license_scan, op8_quality_rules, op9_best_fit_packing, op10_suffix_dedup)}
 
 _OP8 = r"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
