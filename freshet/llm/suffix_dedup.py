@@ -1,6 +1,6 @@
 """Removal of repeated passages, by run-length indices of a distributed corpus.
 
-Every byte covered by a string of `length` bytes (200) that also starts anywhere else goes. Exact: no match is estimated.
+Every byte covered by a string of `length` bytes (200) that also starts anywhere else goes. No match is sampled or estimated.
 
 1. Routing. Each window of `length` bytes is named by the least hash of its 32-byte grams (winnowing), so equal windows have equal
    names wherever they stand. Neighbouring windows of one name form a context; a corpus has about one context per 85 bytes. Names
@@ -10,8 +10,10 @@ Every byte covered by a string of `length` bytes (200) that also starts anywhere
    transform; only its run heads are kept with their text positions and the length of their match with the suffix before (found by
    rank comparisons). Inside a run the match of the next text position is one shorter than the last, so matching statistics of all
    positions stream from the run heads alone. Windows whose statistic reaches `length` are marked.
-4. A name that more than `hot` different contexts share (a common line) is split by window: each window is named by a 128-bit
-   fingerprint of its whole content and counted, so that no task receives such a group.
+4. A name that more than `hot` different contexts share (a common line) is salted into shares, which exchange lists of the
+   fingerprints of their windows, so that no task receives such a group.
+
+Equality of contexts and, in step 4, of windows is that of 64-bit hashes within one 44-bit name.
 
 Nothing is collected; a row's size is bounded by its document. Defined results: a null text counts as empty; texts under `length`
 bytes stay; long texts are read whole; equal rows are copies of each other and go; an empty table gives an empty one; other columns
@@ -287,38 +289,73 @@ def _index_of(length: int, batch_bytes: int = 1 << 20):
     return run
 
 
-_WANTED = "name long, doc_id long, a int, bytes binary, settled boolean, f1 long, f2 long"
+_WANTED = "name long, doc_id long, a int, bytes binary, settled boolean, kinds long"
+_WANTED_ARROW = pa.schema([("name", pa.int64()), ("doc_id", pa.int64()), ("a", pa.int32()), ("bytes", pa.binary()), ("settled", pa.bool_()), ("kinds", pa.int64())])
 
 
 def _wanted_of(length: int):
-    """Rows (doc_id, text, asked) -> bytes of the contexts asked for, or for hot ones the fingerprints of their windows."""
-    arrow = pa.schema([("name", pa.int64()), ("doc_id", pa.int64()), ("a", pa.int32()), ("bytes", pa.binary()), ("settled", pa.bool_()), ("f1", pa.int64()), ("f2", pa.int64())])
+    """Rows (doc_id, text, asked) -> the bytes of the contexts asked for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept: list[tuple] = []
+            rows: list[tuple] = []
             for doc, text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
-                hot = []
-                for x in asked:
-                    if x["hot"]:
-                        hot.append((x["a"], x["b"]))
-                    else:
-                        kept.append((x["name"], doc, x["a"], raw[x["a"] : x["b"] + length - 1], x["settled"]))
-                for a, b in hot:
-                    buf = np.frombuffer(raw[a : b + length - 1], np.uint8)
-                    n = b - a
-                    f1, f2 = rolling(buf, length).view(np.int64), rolling(buf, length, _BASE2).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.array(np.full(n, doc, np.int64)), pa.array(np.arange(a, b, dtype=np.int32)), pa.nulls(n, pa.binary()), pa.nulls(n, pa.bool_()), pa.array(f1), pa.array(f2)], schema=arrow)
-                if len(kept) > 2000:
-                    yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*kept, strict=True), arrow.types[:5], strict=True)), pa.nulls(len(kept), pa.int64()), pa.nulls(len(kept), pa.int64())], schema=arrow)
-                    kept = []
-            if kept:
-                yield pa.RecordBatch.from_arrays([*(pa.array(c, t) for c, t in zip(zip(*kept, strict=True), arrow.types[:5], strict=True)), pa.nulls(len(kept), pa.int64()), pa.nulls(len(kept), pa.int64())], schema=arrow)
+                rows += [(x["name"], doc, x["a"], raw[x["a"] : x["b"] + length - 1], x["settled"], x["kinds"]) for x in asked]
+            for at in range(0, len(rows), 5000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 5000], strict=True), _WANTED_ARROW.types, strict=True)], schema=_WANTED_ARROW)
 
     return run
 
 
+def _prints(raw: bytes, length: int) -> np.ndarray:
+    """Fingerprints of all windows of a context; compared within one name only."""
+    buf = np.frombuffer(raw, np.uint8)
+    return (rolling(buf, length) ^ (rolling(buf, length, _BASE2) >> np.uint64(7))).view(np.int64)
+
+
+def _split_names(wanted: DataFrame, length: int, share: int = 128, buckets: int = 64) -> DataFrame:
+    """Ranges of the contexts of hot names, without gathering such a name in one task.
+
+    A name's contexts are salted into shares. Each share lists its windows' fingerprints, those seen once and those seen again, by
+    bucket; a bucket's lists from all shares tell which fingerprints repeat; those go back to every share, which marks its
+    contexts. Lists travel as arrays, so there are a few rows per share, and work and traffic grow in proportion to the windows.
+    """
+    salts = F.ceil(F.col("kinds") / share).cast("int")
+    rows = wanted.where("kinds > 0").withColumn("salts", salts).withColumn("salt", F.pmod(F.xxhash64("doc_id", "a"), F.col("salts")).cast("int"))
+    listed = pa.schema([("name", pa.int64()), ("bucket", pa.int32()), ("salts", pa.int32()), ("once", pa.list_(pa.int64())), ("again", pa.list_(pa.int64()))])
+
+    def lists(group: pa.Table) -> pa.Table:
+        values, counts = np.unique(np.concatenate([_prints(x.as_py(), length) for x in group.column("bytes")]), return_counts=True)
+        bucket, out = values % buckets, []
+        for k in np.unique(bucket):
+            mine = bucket == k
+            out.append({"name": group.column("name")[0].as_py(), "bucket": int(k), "salts": group.column("salts")[0].as_py(), "once": values[mine & (counts == 1)], "again": values[mine & (counts > 1)]})
+        return pa.Table.from_pylist(out, schema=listed)
+
+    def merge(group: pa.Table) -> pa.Table:
+        flat = lambda c: np.concatenate([np.zeros(0, np.int64), *(np.array(x.as_py(), np.int64) for x in group.column(c))])
+        again = np.unique(flat("again"))
+        values, counts = np.unique(np.concatenate([flat("once"), again]), return_counts=True)
+        return pa.table({"name": group.column("name")[:1], "salts": group.column("salts")[:1], "prints": pa.array([np.union1d(values[counts > 1], again)], pa.list_(pa.int64()))})
+
+    def mark(left: pa.Table, right: pa.Table) -> pa.Table:
+        prints = np.sort(np.concatenate([np.zeros(0, np.int64), *(np.array(x.as_py(), np.int64) for x in right.column("prints"))]))
+        out: list[tuple[int, int, int]] = []
+        if len(prints):
+            for doc, a, raw, settled in zip(*(left.column(c).to_pylist() for c in ("doc_id", "a", "bytes", "settled")), strict=True):
+                if not settled:
+                    own = _prints(raw, length)
+                    hit = prints[np.minimum(np.searchsorted(prints, own), len(prints) - 1)] == own
+                    out += [(doc, a + x, a + y) for x, y in merged(np.flatnonzero(hit), length)]
+        return pa.Table.from_batches([_range_batch(out)])
+
+    found = rows.select("name", "salt", "salts", "bytes").groupBy("name", "salt").applyInArrow(lists, "name long, bucket int, salts int, once array<long>, again array<long>")
+    repeats = found.groupBy("name", "bucket").applyInArrow(merge, "name long, salts int, prints array<long>").where(F.size("prints") > 0)
+    sent = repeats.select("name", "prints", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    return rows.select("name", "salt", "doc_id", "a", "bytes", "settled").groupBy("name", "salt").cogroup(sent.groupBy("name", "salt")).applyInArrow(mark, _RANGES)
+
+
 def repeated_ranges(docs: DataFrame, length: int = 200, hot: int = 256) -> DataFrame:
     """doc_id, a, b: byte ranges that repeated windows cover; ranges of one document may overlap."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -329,17 +366,14 @@ def repeated_ranges(docs: DataFrame, length: int = 200, hot: int = 256) -> DataF
     kinds = alike.groupBy("name").agg(F.count("*").alias("kinds"))
     rows = shared.join(alike, ["name", "content"]).join(kinds, "name")
     one = F.col("one") == F.struct("doc_id", "a")
-    rows = written(rows.select("doc_id", "a", "b", "name", (F.col("same") > 1).alias("settled"), ((F.col("kinds") > 1) | F.col("own") & (F.col("same") == 1)).alias("mixed"), one.alias("one"), (F.col("kinds") > hot).alias("hot")), "rows")
+    rows = written(rows.select("doc_id", "a", "b", "name", (F.col("same") > 1).alias("settled"), ((F.col("kinds") > 1) | F.col("own") & (F.col("same") == 1)).alias("mixed"), one.alias("one"), F.when(F.col("kinds") > hot, F.col("kinds")).otherwise(F.lit(0)).alias("kinds")), "rows")
     settled = rows.where("settled").select("doc_id", "a", (F.col("b") + length - 1).alias("b"))
-    asked = rows.where("mixed AND (NOT settled OR one)").groupBy("doc_id").agg(F.collect_list(F.struct("name", "a", "b", "settled", "hot")).alias("asked"))
+    asked = rows.where("mixed AND (NOT settled OR one)").groupBy("doc_id").agg(F.collect_list(F.struct("name", "a", "b", "settled", "kinds")).alias("asked"))
     wanted = written(texts.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_wanted_of(length), _WANTED), "wanted")
-    by_name = wanted.where("bytes IS NOT NULL").select("name", "doc_id", "a", "bytes", "settled")
+    by_name = wanted.where("kinds = 0").select("name", "doc_id", "a", "bytes", "settled")
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     indexed = by_name.repartition(parts, "name").sortWithinPartitions("name", "doc_id", "a").mapInArrow(_index_of(length), _RANGES)
-    windows = wanted.where("f1 IS NOT NULL").select("doc_id", "a", "f1", "f2")
-    twice = windows.groupBy("f1", "f2").agg(F.count("*").alias("n")).where("n > 1").select("f1", "f2")
-    split = windows.join(twice, ["f1", "f2"]).select("doc_id", "a", (F.col("a") + length).alias("b"))
-    return settled.unionByName(indexed).unionByName(split)
+    return settled.unionByName(indexed).unionByName(_split_names(wanted, length))
 
 
 def _union(ranges: list) -> list[tuple[int, int]]:
