@@ -16,56 +16,74 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
-from operator import eq
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.common import crc_fold, learning_sample
+from freshet.llm.common import crc_fold, learning_sample, logistic_curve
 
 _LETTERS = (re.compile(r"[^\W\d_]+"), re.compile(r"\d+"), re.compile(r"(.)\1+"))
 
 
-class _Shapes(dict):
-    """Word -> shape, kept for a bounded number of words."""
+_ODD, _CAPS, _BARE = 1, 2, 4
+_PAIR = np.uint64(0x9E3779B97F4A7C15)
+_SHAPE_PAIR = np.uint64(0xD6E8FEB86659FD93)
 
-    def __missing__(self, word: str) -> str:
-        fold = _LETTERS[0].sub(lambda m: "a" if m[0].islower() else "A" if m[0].isupper() and len(m[0]) > 1 else "Aa", word[:60])
-        shape = _LETTERS[2].sub(r"\1+", _LETTERS[1].sub("0", fold))
+
+def _hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass"))
+
+
+class _Kept(dict):
+    """A function of words, kept for a bounded number of them."""
+
+    def __init__(self, f: Callable[[str], int]):
+        self.f = f
+
+    def __missing__(self, word: str) -> int:
+        value = self.f(word)
         if len(self) < 200_000:
-            self[word] = shape
-        return shape
+            self[word] = value
+        return value
+
+
+def shape(word: str) -> str:
+    fold = _LETTERS[0].sub(lambda m: "a" if m[0].islower() else "A" if m[0].isupper() and len(m[0]) > 1 else "Aa", word[:60])
+    return _LETTERS[2].sub(r"\1+", _LETTERS[1].sub("0", fold))
 
 
-_SHAPES = _Shapes()
+def _shape_hash(word: str) -> int:
+    """Hash of the shape; its last three bits say odd, all capitals, without letters."""
+    s = shape(word)
+    flags = _ODD * (s not in _PLAIN) | _CAPS * ("A" in s and "Aa" not in s) | _BARE * ("a" not in s and "A" not in s)
+    return _hash(s) & ~7 | flags
+
+
+_WORDS, _SHAPES = _Kept(_hash), _Kept(_shape_hash)
 _PLAIN = {"a", "Aa", "A", "a.", "a,", "Aa.", "Aa,"}
 
 
-def _density(name: str, part: int, whole: int) -> str:
-    """A bucket of the share on a log scale: 0, under 1/64, ... 1/2 and over."""
-    return f"\t{name}{0 if not part else max(1, 8 + math.floor(math.log2(part / whole)))}"
+def _density(name: int, part: int, whole: int) -> int:
+    """Code of a bucket of the share on a log scale: 0, under 1/64, ... 1/2 and over."""
+    return 1_000_003 * name + (0 if not part else max(1, 8 + math.floor(math.log2(part / whole))))
 
 
-def ngrams(text: str) -> set:
-    """Indicators of a whole text: words, word pairs, shape pairs, density buckets."""
+def ngrams(text: str) -> np.ndarray:
+    """Sorted hashes of a whole text's indicators: words, word pairs, shape pairs, density buckets."""
     words = text.split()
-    if not words:
-        return set()
-    shapes = [_SHAPES[w] for w in words]
-    count = Counter(shapes)
-    found: set = set(words)
-    found.update(zip(words, words[1:], strict=False))
-    found.update(("\t", a, b) for a, b in set(zip(shapes, shapes[1:], strict=False)))
     n = len(words)
-    found.add(_density("odd", n - sum(count[s] for s in _PLAIN), n))
-    found.add(_density("caps", sum(c for s, c in count.items() if "A" in s and "Aa" not in s), n))
-    found.add(_density("again", sum(map(eq, words, words[1:])), n))
-    found.add(_density("bare", sum(c for s, c in count.items() if "a" not in s and "A" not in s), n))
-    return found
+    if not n:
+        return np.zeros(0, np.uint64)
+    w = np.fromiter(map(_WORDS.__getitem__, words), np.uint64, n)
+    s = np.fromiter(map(_SHAPES.__getitem__, words), np.uint64, n)
+    share = [_density(k, int(np.count_nonzero(s & np.uint64(bit))), n) for k, bit in enumerate((_ODD, _CAPS, _BARE))]
+    share.append(_density(3, int(np.count_nonzero(w[1:] == w[:-1])), n))
+    with np.errstate(over="ignore"):
+        return np.unique(np.concatenate([w, w[:-1] * _PAIR + w[1:], s[:-1] * _SHAPE_PAIR + s[1:], np.array(share, np.uint64)]))
 
 
 def dual_coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, size: int, cost: float = 1.0, epochs: int = 12, seed: int = 7) -> np.ndarray:
@@ -90,33 +108,18 @@ def dual_coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.nda
     return w
 
 
-def logistic_curve(margin: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
-    """Slope and intercept of P(label = 1 | margin), by Newton steps with a small ridge."""
-    x = np.column_stack([margin, np.ones(len(margin))])
-    b = np.array([1.0, 0.0])
-    for _ in range(40):
-        p = 1 / (1 + np.exp(-np.clip(x @ b, -30, 30)))
-        slope = x.T @ (weight * (p - label)) + 1e-3 * b
-        curve = (x * (weight * np.maximum(p * (1 - p), 1e-6))[:, None]).T @ x + 1e-3 * np.eye(2)
-        step = np.linalg.solve(curve, slope)
-        b -= np.clip(step, -2, 2)
-        if np.abs(step).max() < 1e-8:
-            break
-    return float(max(b[0], 1e-6)), float(b[1])
-
-
-def fit(texts: list[tuple[int, str, int]], min_docs: int = 3) -> dict:
-    """Weights by n-gram, bias and the curve, from (doc_id, text, label)."""
-    texts = sorted(texts)
-    grams = [ngrams(t) for _, t, _ in texts]
-    y = np.array([label for _, _, label in texts])
+def fit(ids: list[int], grams: list[np.ndarray], labels: list[int], min_docs: int = 3) -> dict:
+    """Sorted n-grams with their weights, bias and the curve; the result does not depend on the order of the rows."""
+    order = sorted(range(len(ids)), key=lambda i: ids[i])
+    grams, y = [grams[i] for i in order], np.array([labels[i] for i in order], int)
+    none = np.zeros(0)
     if len(set(y.tolist())) < 2:
-        return {"weights": {}, "bias": 0.0, "slope": 1e-6, "at": 0.0}
-    seen: Counter = Counter()
-    for g in grams:
-        seen.update(g)
-    index = {g: i for i, g in enumerate(sorted((g for g, n in seen.items() if n >= min_docs), key=str))}
-    sparse = [np.array(sorted(index[g] for g in gram if g in index), np.int64) for gram in grams]
+        return {"grams": none.astype(np.uint64), "pull": none, "norm": none, "bias": 0.0, "slope": 1e-6, "at": 0.0}
+    keys, counts = np.unique(np.concatenate(grams), return_counts=True)
+    index = keys[counts >= min_docs]
+    if not len(index):
+        index = keys
+    sparse = [_found(g, index) for g in grams]
     counts = np.ones((2, len(index)))
     for label, row in zip(y, sparse, strict=True):
         counts[label, row] += 1
@@ -141,26 +144,37 @@ def fit(texts: list[tuple[int, str, int]], min_docs: int = 3) -> dict:
     inner, outer = np.flatnonzero(part != 0), np.flatnonzero(part == 0)
     slope, at = logistic_curve(margins(learn(inner), outer), y[outer], np.ones(len(outer)))
     w = learn(np.arange(len(y)))
-    return {"weights": {g: (float(w[i] * ratio[i]), float(ratio[i] ** 2)) for g, i in index.items()}, "bias": float(w[-1]), "slope": slope, "at": at}
+    useful = np.abs(ratio) > 1e-4
+    return {"grams": index[useful], "pull": (w[:-1] * ratio)[useful], "norm": (ratio**2)[useful], "bias": float(w[-1]), "slope": slope, "at": at}
+
+
+def _found(grams: np.ndarray, index: np.ndarray) -> np.ndarray:
+    """Places in the sorted index of those grams that it holds."""
+    if not len(index):
+        return np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(index, grams), len(index) - 1)
+    return at[index[at] == grams]
 
 
 def score(text: str, model: dict) -> float:
     """P(label = 1) of a text."""
-    weights = model["weights"]
-    hits = [weights[g] for g in ngrams(text) if g in weights]
-    margin = (sum(h[0] for h in hits) + model["bias"]) / math.sqrt(sum(h[1] for h in hits) + 1)
+    hits = _found(ngrams(text), model["grams"])
+    margin = (float(model["pull"][hits].sum()) + model["bias"]) / math.sqrt(float(model["norm"][hits].sum()) + 1)
     return 1 / (1 + math.exp(-max(-40.0, min(40.0, model["slope"] * margin + model["at"]))))
 
 
-def _shrunk(model: dict, least: float = 1e-4) -> dict:
-    """Without the n-grams that move nothing."""
-    return model | {"weights": {g: v for g, v in model["weights"].items() if abs(v[0]) > least or v[1] > least}}
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        grams = pa.array([ngrams(t.as_py() or "").tobytes() for t in batch.column(1)], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.int32()), grams], ["doc_id", "label", "grams"])
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, target: str = "quality", fold: Callable[[Column, int], Column] = crc_fold, folds: int = 4, held: int = 2, threshold: float = 0.7, per_class: int = 3000) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of docs; learns outside the held-out fold only."""
     sample = learning_sample(docs, labels, target, fold, folds, held, per_class)
-    model = _shrunk(fit([(r["doc_id"], r["text"], r["label"]) for r in sample.toLocalIterator()]))
+    rows = sample.mapInArrow(_sampled, "doc_id long, label int, grams binary").toArrow()  # bounded by per_class
+    model = fit(rows.column("doc_id").to_pylist(), [np.frombuffer(x.as_py(), np.uint64) for x in rows.column("grams")], rows.column("label").to_pylist())
+    del rows
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 from collections import Counter
 from collections.abc import Callable, Iterator
 from zlib import crc32
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.common import crc_fold, learning_sample
+from freshet.llm.common import crc_fold, learning_sample, logistic_curve
 
 # Lexicons of insulting words, by kind.
 LEXICONS = {
@@ -148,7 +149,7 @@ def fit_linear(rows: list[list[int]], soft: np.ndarray, size: int, epochs: int =
 def fit(texts: list[tuple[int, str, int]], share: float | None = None) -> dict:
     """Weights by indicator and the bias, from (doc_id, text, label); share: that of label 1 among all labelled rows."""
     texts = sorted(texts)
-    words = [indicators(t) for _, t, _ in texts]
+    words = [set(map(sys.intern, indicators(t))) for _, t, _ in texts]
     half = len(texts) // 2
     voters = Voters(learned_lexicons([(w, y) for w, (_, _, y) in zip(words[:half], texts, strict=False)]))
     fired = [voters.votes(t, w) for w, (_, t, _) in zip(words, texts, strict=True)]
@@ -161,8 +162,12 @@ def fit(texts: list[tuple[int, str, int]], share: float | None = None) -> dict:
     index = {w: i for i, w in enumerate(sorted(always | set(telling(list(zip(words, soft.tolist(), strict=True))))))}
     if texts:
         w, b = fit_linear([[index[x] for x in row if x in index] for row in words], soft, len(index))
-        if share and 0 < (seen := float(soft.mean())) < 1:  # the sample holds the classes in other shares than the corpus
-            b += math.log(share / (1 - share)) - math.log(seen / (1 - seen))
+        y = np.array([label for _, _, label in texts])
+        if 0 < (seen := float(y.mean())) < 1:  # a curve on the known labels, weighted to the classes' shares in the corpus
+            z = np.array([b + sum(w[index[x]] for x in row if x in index) for row in words])
+            true = seen if share is None else min(max(share, 1e-3), 1 - 1e-3)
+            slope, at = logistic_curve(z, y, np.where(y == 1, true / seen, (1 - true) / (1 - seen)))
+            w, b = w * slope, b * slope + at
     else:
         w, b = np.full(len(index), 3.0), -2.0
     return {"weights": {x: float(w[i]) for x, i in index.items() if abs(w[i]) > 1e-3}, "bias": b, "voters": voters.names, "label_model": model}
