@@ -15,6 +15,12 @@ def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, threshold=0.85)
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from freshet.llm.embedding_dedup import embedding_near_duplicates
+
+    return embedding_near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_candidates, n_secrets, first secret's place and the kinds found, for every document."""
     from pyspark.sql import functions as F
@@ -64,7 +70,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_dedup, op3_secret_scan, op5_toxicity, op6_quality_classifier, op7_license_scan, op8_quality_rules, op9_best_fit_packing, op10_suffix_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_dedup, op2_embedding_dedup, op3_secret_scan, op5_toxicity, op6_quality_classifier, op7_license_scan, op8_quality_rules, op9_best_fit_packing, op10_suffix_dedup)}
 
 _OP8 = r"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
@@ -94,4 +100,18 @@ def _op8_sql() -> str:
     return _OP8.replace("{stop}", ", ".join(f"'{w}'" for x in STOP_WORDS for w in (x, x.capitalize())))
 
 
-ORACLE_SQL: dict[str, str] = {"op8_quality_rules": _op8_sql()}
+_OP2 = """
+WITH RECURSIVE e AS (
+    SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS MATERIALIZED (
+    SELECT a.vec_id AS u, b.vec_id AS v FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+r(u, v) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.u, p.v FROM r JOIN p ON r.v = p.u)
+SELECT vec_id, (SELECT count(*) FROM p WHERE p.u = vec_id) AS n_links, (SELECT min(r.v) FROM r WHERE r.u = vec_id) AS component_id,
+       vec_id = (SELECT min(r.v) FROM r WHERE r.u = vec_id) AS kept
+FROM embeddings
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_embedding_dedup": _OP2, "op8_quality_rules": _op8_sql()}
