@@ -34,6 +34,12 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"), F.coalesce("n_secrets", F.lit(0)).alias("n_secrets"), "first_start", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("kinds", F.lit("")).alias("kinds"))
 
 
+def op4_sentencepiece_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from freshet.llm.sentencepiece_fst import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from freshet.llm.toxicity import toxicity
 
@@ -70,7 +76,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_dedup, op2_embedding_dedup, op3_secret_scan, op5_toxicity, op6_quality_classifier, op7_license_scan, op8_quality_rules, op9_best_fit_packing, op10_suffix_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_dedup, op2_embedding_dedup, op3_secret_scan, op4_sentencepiece_fst, op5_toxicity, op6_quality_classifier, op7_license_scan, op8_quality_rules, op9_best_fit_packing, op10_suffix_dedup)}
 
 _OP8 = r"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
