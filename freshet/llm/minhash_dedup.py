@@ -17,7 +17,8 @@ The number of pairs grows with documents * trees * window, never with the square
 that a pair at the threshold is missed by all trees with a chance of about one in 10**5.
 
 Defined results: a null or empty text has no shingles, is linked with nothing and is kept; a text of fewer words than a shingle is one
-shingle; long texts are read whole; ties go to the least doc_id; an empty table gives an empty one; other columns are ignored.
+shingle; long texts are read whole; ties go to the least doc_id; rows without a
+doc_id have no component and are kept; an empty table gives an empty one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -280,7 +281,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, hashes: int = 128, trees: int = 16, depth: int = 12, window: int = 12) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document; doc_id is a key of docs."""
     marks = written(signed(docs, words, hashes), "signed")
-    reps = written(marks.where("n_shingles > 0").groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "sig")).alias("x")).select("s1", "s2", F.col("x.doc_id").alias("rep"), F.col("x.sig").alias("sig")), "representatives")
+    reps = written(marks.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "sig")).alias("x")).select("s1", "s2", F.col("x.doc_id").alias("rep"), F.col("x.sig").alias("sig")), "representatives")
     pairs = written(candidates(reps.select("rep", "sig"), threshold, hashes, trees, depth, window), "pairs")
     wanted = pairs.select(F.explode(F.array("u", "v")).alias("rep")).distinct()
     sets = written(full_sets(docs, wanted, words), "sets")
@@ -291,11 +292,11 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, has
     more = written(confirmed(apart, sets, threshold), "links")
     label = components(links.unionByName(more))
     named = reps.select("s1", "s2", "rep").join(label.select(F.col("node").alias("rep"), "label"), "rep", "left").select("s1", "s2", F.coalesce("label", "rep").alias("class"))
-    out = marks.drop("sig").join(named, ["s1", "s2"], "left").select("doc_id", "n_shingles", F.coalesce("class", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    out = marks.drop("sig").join(named, ["s1", "s2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("component_id"))
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def deduplicated(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
-    """docs with one document of each group, that of the least doc_id; all columns stay."""
-    kept = near_duplicates(docs, words, threshold).where("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, docs["doc_id"] == kept["_kept"], "left_semi")
+    """docs with one document of each group, that of the least doc_id; all columns stay, and so do rows without a doc_id."""
+    gone = near_duplicates(docs, words, threshold).where("NOT kept").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti")

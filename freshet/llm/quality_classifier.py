@@ -169,13 +169,16 @@ def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.int32()), grams], ["doc_id", "label", "grams"])
 
 
-def quality_classifier(docs: DataFrame, labels: DataFrame, target: str = "quality", fold: Callable[[Column, int], Column] = crc_fold, folds: int = 4, held: int = 2, threshold: float = 0.7, per_class: int = 3000) -> DataFrame:
-    """doc_id, held_out, score and predicted for every row of docs; learns outside the held-out fold only."""
+def trained(docs: DataFrame, labels: DataFrame, target: str, fold: Callable[[Column, int], Column], folds: int, held: int, per_class: int) -> dict:
+    """The model, from a bounded sample of labelled rows outside the held-out fold."""
     sample = learning_sample(docs, labels, target, fold, folds, held, per_class)
     rows = sample.mapInArrow(_sampled, "doc_id long, label int, grams binary").toArrow()  # bounded by per_class
-    model = fit(rows.column("doc_id").to_pylist(), [np.frombuffer(x.as_py(), np.uint64) for x in rows.column("grams")], rows.column("label").to_pylist())
-    del rows
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    return fit(rows.column("doc_id").to_pylist(), [np.frombuffer(x.as_py(), np.uint64) for x in rows.column("grams")], rows.column("label").to_pylist())
+
+
+def quality_classifier(docs: DataFrame, labels: DataFrame, target: str = "quality", fold: Callable[[Column, int], Column] = crc_fold, folds: int = 4, held: int = 2, threshold: float = 0.7, per_class: int = 3000) -> DataFrame:
+    """doc_id, held_out, score and predicted for every row of docs; learns outside the held-out fold only."""
+    sent = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, target, fold, folds, held, per_class))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
@@ -186,3 +189,16 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, target: str = "qualit
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), "text")
     scored = rows.mapInArrow(run, "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+
+
+def accepted(docs: DataFrame, labels: DataFrame, target: str = "quality", fold: Callable[[Column, int], Column] = crc_fold, folds: int = 4, held: int = 2, threshold: float = 0.7, per_class: int = 3000) -> DataFrame:
+    """The rows of docs, all columns, whose score reaches the threshold; decided in the scan, without a shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, target, fold, folds, held, per_class))
+    text = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = sent.value
+        for batch in batches:
+            yield batch.filter(pa.array([score(t.as_py() or "", model) >= threshold for t in batch.column(text)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.common import written
+from freshet.llm.common import free_name, written
 
 _CANDIDATE = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*?-----END [A-Z ]*PRIVATE KEY-----|[A-Za-z0-9_\-./+@:%]{16,}={0,2}|(?<=[=:])[A-Za-z0-9_\-./+@%]{8,}={0,2}")
 
@@ -166,16 +166,17 @@ def scan(docs: DataFrame, max_findings: int = 20_000, threshold: float = 0.5) ->
     return judged(written(findings(docs), "findings"), max_findings, threshold=threshold).drop("features")
 
 
-def spans(found: DataFrame) -> DataFrame:
-    """doc_id and the sorted spans of its secrets; a document's own candidates only, so a row is bounded by its text."""
-    return found.where("secret").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
-
-
 def redacted(docs: DataFrame, found: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every secret replaced by mark (native expressions); n_chars follows the new text; all rows stay."""
-    cut = spans(found)
-    from_ = lambda a, b: F.substring("text", a + 1, b - a)
+    """docs with every secret replaced by mark (native expressions); n_chars follows the new text; all rows and columns stay.
+
+    The spans of a document's secrets are gathered in one row; they do not overlap, so the row is bounded by the text.
+    """
+    name = free_name(docs, "spans")
+    cut = found.where("secret").groupBy("doc_id").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias(name))
     start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    parts = F.aggregate("spans", start, lambda s, x: F.struct(F.concat(s["out"], from_(s["at"], x["start"]), F.lit(mark)).alias("out"), F.greatest(s["at"], x["end"]).alias("at")), lambda s: F.concat(s["out"], from_(s["at"], F.length("text"))))
-    joined = docs.join(cut, "doc_id", "left").withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(parts))
-    return joined.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    step = lambda s, x: F.struct(F.concat(s["out"], F.substring("text", s["at"] + 1, x["start"] - s["at"]), F.lit(mark)).alias("out"), x["end"].alias("at"))
+    parts = F.aggregate(name, start, step, lambda s: F.concat(s["out"], F.substring("text", s["at"] + 1, F.length("text"))))
+    joined = docs.join(cut, "doc_id", "left").withColumn("text", F.when(F.col(name).isNull(), F.col("text")).otherwise(parts))
+    if "n_chars" in docs.columns:
+        joined = joined.withColumn("n_chars", F.when(F.col(name).isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long")))
+    return joined.select(*docs.columns)

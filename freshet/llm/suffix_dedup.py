@@ -16,7 +16,8 @@ Every byte covered by a string of `length` bytes (200) that also starts anywhere
 Equality of contexts and, in step 4, of windows is that of 64-bit hashes within one 44-bit name.
 
 Nothing is collected; a row's size is bounded by its document. Defined results: a null text counts as empty; texts under `length`
-bytes stay; long texts are read whole; equal rows are copies of each other and go; an empty table gives an empty one; other columns
+bytes stay; long texts are read whole; equal rows are copies of each other and go; rows
+without a doc_id are neither compared nor cut; an empty table gives an empty one; other columns
 are ignored (`cleaned` keeps them).
 """
 
@@ -30,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.common import written
+from freshet.llm.common import free_name, written
 
 GRAM = 32
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -358,7 +359,7 @@ def _split_names(wanted: DataFrame, length: int, share: int = 128, buckets: int
 
 def repeated_ranges(docs: DataFrame, length: int = 200, hot: int = 256) -> DataFrame:
     """doc_id, a, b: byte ranges that repeated windows cover; ranges of one document may overlap."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id IS NOT NULL")
     found = written(texts.mapInArrow(_contexts_of(length), "doc_id long, a int, b int, name long, content long, own boolean"), "contexts")
     often = found.groupBy("name").agg(F.count("*").alias("n"), F.max("own").alias("any_own")).where("n > 1 OR any_own").select("name")
     shared = written(found.join(often, "name"), "shared")
@@ -387,8 +388,10 @@ def _union(ranges: list) -> list[tuple[int, int]]:
 
 
 def _with_ranges(docs: DataFrame, length: int, hot: int) -> DataFrame:
-    spans = repeated_ranges(docs, length, hot).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias("_ranges"))
-    return docs.join(spans, "doc_id", "left")
+    """docs with one more column, the last: the ranges of each document."""
+    name = free_name(docs, "ranges")
+    spans = repeated_ranges(docs, length, hot).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias(name))
+    return docs.join(spans, "doc_id", "left").select(*docs.columns, name)
 
 
 def _cut(text: str | None, ranges: list) -> tuple[bytes, bytes, list[tuple[int, int]]]:
@@ -414,16 +417,22 @@ def suffix_dedup(docs: DataFrame, length: int = 200, hot: int = 256) -> DataFram
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 4 else pa.string()) for i, c in enumerate(zip(*rows, strict=True) if rows else [()] * 5)], names)
 
     cut = _with_ranges(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), length, hot)
-    return cut.select("doc_id", "text", "_ranges").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return cut.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cleaned(docs: DataFrame, length: int = 200, hot: int = 256) -> DataFrame:
     """docs without their repeated passages; a character that a cut splits goes too; n_chars follows; all rows and columns stay."""
 
-    @F.pandas_udf("string")
-    def without(text, ranges):
-        return text.combine(ranges, lambda t, r: _cut(t, r)[1].decode("utf-8", "ignore"))
+    text, size = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
-    cut = _with_ranges(docs, length, hot)
-    text = F.when(F.col("_ranges").isNull(), F.col("text")).otherwise(without("text", F.coalesce("_ranges", F.array().cast("array<struct<a:int,b:int>>"))))
-    return cut.withColumn("text", text).withColumn("n_chars", F.when(F.col("_ranges").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = list(batch.columns[:-1])
+            old = columns[text].to_pylist()
+            new = [t if not r else _cut(t, r)[1].decode("utf-8", "ignore") for t, r in zip(old, batch.column(batch.num_columns - 1).to_pylist(), strict=True)]
+            if size is not None:
+                columns[size] = pa.array([n if a is b else len(b) for n, a, b in zip(columns[size].to_pylist(), old, new, strict=True)], columns[size].type)
+            columns[text] = pa.array(new, columns[text].type)
+            yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
+
+    return _with_ranges(docs, length, hot).mapInArrow(run, docs.schema)
