@@ -12,7 +12,7 @@ from freshet.sources.adapters import COLS, view
 from freshet.sources.store import written
 
 #: Cells; small grids have small streams.
-THRESHOLD, MIN_BRANCH = 30, 5
+THRESHOLD, MIN_BRANCH = 30, 1
 
 
 @dataclass(frozen=True)
