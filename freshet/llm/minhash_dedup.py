@@ -211,7 +211,7 @@ def neighbours(tree: np.ndarray, seq: np.ndarray, ids: np.ndarray, sig: np.ndarr
 
 
 def candidates(reps: DataFrame, threshold: float, hashes: int, trees: int, depth: int, window: int) -> DataFrame:
-    """u, v and tree_edge (in its task's spanning forest) of pairs that may reach the threshold."""
+    """crowd (rows that one task saw connected), u, all its partners there, and those of its links in the task's spanning forest."""
     base = base_depth(threshold, trees)
     orders = sequences(hashes, trees, depth)
     least = threshold - 3.5 * math.sqrt(threshold * (1 - threshold) / hashes)
@@ -225,14 +225,27 @@ def candidates(reps: DataFrame, threshold: float, hashes: int, trees: int, depth
     ordered = spread.repartitionByRange(parts, "tree", "seq", "rep").sortWithinPartitions("tree", "seq", "rep").select("tree", "seq", "rep", "sig")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         held: list[tuple] = []
+        first = TaskContext.get().partitionId() << 40
 
         def solve(rows: list[tuple]) -> pa.RecordBatch:
+            nonlocal first
             tree, ids = np.array([r[0] for r in rows]), np.array([r[2] for r in rows])
             seq = np.frombuffer(b"".join(r[1] for r in rows), np.uint16).reshape(len(rows), depth)
             sig = np.frombuffer(b"".join(r[3] for r in rows), np.uint16).reshape(len(rows), hashes)
-            pairs, sets = neighbours(tree, seq, ids, sig, base, window, least), _Joined()
-            return pa.RecordBatch.from_arrays([pa.array([p[1] for p in pairs], pa.int64()), pa.array([p[2] for p in pairs], pa.int64()), pa.array([sets.join(p[1], p[2]) for p in pairs], pa.bool_())], ["u", "v", "tree_edge"])
+            sets, partners, forest = _Joined(), defaultdict(list), defaultdict(list)
+            for _, a, b in neighbours(tree, seq, ids, sig, base, window, least):
+                partners[a].append(b)
+                partners[b].append(a)
+                if sets.join(a, b):
+                    forest[a].append(b)
+            number: dict[int, int] = {}
+            crowd = [first + number.setdefault(sets.root(u), len(number)) for u in partners]
+            first += len(number)
+            lists = pa.list_(pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(crowd, pa.int64()), pa.array(list(partners), pa.int64()), pa.array(list(partners.values()), lists), pa.array([forest.get(u, []) for u in partners], lists)], ["crowd", "u", "partners", "forest"])
 
         for batch in batches:
             held += zip(*(c.to_pylist() for c in batch.columns), strict=True)
@@ -242,7 +255,21 @@ def candidates(reps: DataFrame, threshold: float, hashes: int, trees: int, depth
         if held:
             yield solve(held)
 
-    return ordered.mapInArrow(run, "u long, v long, tree_edge boolean").groupBy("u", "v").agg(F.max("tree_edge").alias("tree_edge"))
+    return ordered.mapInArrow(run, "crowd long, u long, partners array<long>, forest array<long>")
+
+
+def unconnected(found: DataFrame, label: DataFrame) -> DataFrame:
+    """Candidate pairs (u, v) whose ends have different labels.
+
+    Of a crowd (what one task saw connected) most documents carry one label. A pair of different labels has an end that does not carry
+    it, and every document lists all its partners, so only the lists of those others are opened.
+    """
+    end = lambda name: label.select(F.col("node").alias(name), F.col("label").alias(f"l{name}"))
+    known = found.select("crowd", "u", "partners").join(end("u"), "u", "left").withColumn("lu", F.coalesce("lu", "u"))
+    usual = known.groupBy("crowd", "lu").agg(F.count("*").alias("n")).groupBy("crowd").agg(F.max_by("lu", F.struct("n", "lu")).alias("most"))
+    apart = known.join(usual, "crowd").where("lu <> most").select("u", "lu", F.explode("partners").alias("v"))
+    far = apart.join(end("v"), "v", "left").where("lu <> coalesce(lv, v)")
+    return far.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -266,30 +293,41 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return both.select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
 
-def full_sets(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """rep and its whole shingle set, for the representatives wanted."""
+def full_sets(docs: DataFrame, wanted: DataFrame, words: int, bits: int = 26) -> DataFrame:
+    """rep and its whole shingle set, for the representatives wanted and, by chance, a few others.
+
+    The texts stay where they are read: a bit map of 2**bits places (8 MB, whatever the input) says which ids are wanted. Ids that
+    share a place only cost their sets; with more ids than places all sets are made, which is slower and as right.
+    """
+    spark = docs.sparkSession
+    place = F.pmod(F.xxhash64("rep"), F.lit(1 << bits)) + 1  # the bit map functions count from 1
+    maps = wanted.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("m")).collect()  # a fixed number of maps
+    flags = np.zeros((1 << bits) // 8, np.uint8)
+    for row in maps:
+        at = (row["k"] - 1) * len(row["m"])
+        flags[at : at + len(row["m"])] = np.frombuffer(bytes(row["m"]), np.uint8)
+    sent = spark.sparkContext.broadcast(flags)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flags = sent.value
         for batch in batches:
-            for ids, raw in _chunks(batch.column(0).to_pylist(), batch.column(1)):
+            p = batch.column(2).to_numpy() - 1
+            keep = batch.filter(pa.array((flags[p >> 3] >> (p & 7)) & 1 == 1))
+            for ids, raw in _chunks(keep.column(0).to_pylist(), keep.column(1)):
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in shingles(raw, words)], pa.binary())], ["rep", "set"])
 
-    picked = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(wanted, "rep")
-    return picked.select("rep", "text").mapInArrow(run, "rep long, set binary")
+    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where("rep IS NOT NULL")
+    return rows.select("rep", "text", place.alias("p")).mapInArrow(run, "rep long, set binary")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, hashes: int = 128, trees: int = 16, depth: int = 12, window: int = 12) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document; doc_id is a key of docs."""
     marks = written(signed(docs, words, hashes), "signed")
     reps = written(marks.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "sig")).alias("x")).select("s1", "s2", F.col("x.doc_id").alias("rep"), F.col("x.sig").alias("sig")), "representatives")
-    pairs = written(candidates(reps.select("rep", "sig"), threshold, hashes, trees, depth, window), "pairs")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("rep")).distinct()
-    sets = written(full_sets(docs, wanted, words), "sets")
-    links = written(confirmed(pairs.where("tree_edge"), sets, threshold), "links")
-    label = written(components(links), "labels")
-    end = lambda name: label.select(F.col("node").alias(name), F.col("label").alias(f"l{name}"))
-    apart = pairs.where("NOT tree_edge").join(end("u"), "u", "left").join(end("v"), "v", "left").where("lu IS NULL OR lv IS NULL OR lu <> lv").select("u", "v")
-    more = written(confirmed(apart, sets, threshold), "links")
+    found = written(candidates(reps.select("rep", "sig"), threshold, hashes, trees, depth, window), "candidates")
+    sets = written(full_sets(docs, found.select(F.col("u").alias("rep")), words), "sets")
+    links = written(confirmed(found.select("u", F.explode("forest").alias("v")).distinct(), sets, threshold), "links")
+    more = written(confirmed(unconnected(found, written(components(links), "labels")), sets, threshold), "links")
     label = components(links.unionByName(more))
     named = reps.select("s1", "s2", "rep").join(label.select(F.col("node").alias("rep"), "label"), "rep", "left").select("s1", "s2", F.coalesce("label", "rep").alias("class"))
     out = marks.drop("sig").join(named, ["s1", "s2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("component_id"))
