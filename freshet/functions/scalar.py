@@ -38,31 +38,40 @@ def _poly(x: Column, coefficients: list[float]) -> Column:
     return out
 
 
+def _bound(x: Column, body) -> Column:
+    """body(x) with x computed once, however often body names it."""
+    return F.get(F.transform(F.array(x), body), F.lit(0))
+
+
 def norm_ppf(p: Column) -> Column:
     """Quantile of the standard normal distribution; null outside (0, 1)."""
-    q = p - 0.5
-    r = F.lit(0.180625) - q * q
-    tail = F.sqrt(-F.log(F.least(p, 1 - p)))
-    near, far = tail - 1.6, tail - 5.0
-    outer = F.when(tail <= 5.0, _poly(near, _C) / _poly(near, _D)).otherwise(_poly(far, _E) / _poly(far, _F))
-    return F.when((p > 0) & (p < 1), F.when(F.abs(q) <= 0.425, q * _poly(r, _A) / _poly(r, _B)).otherwise(F.when(q < 0, -outer).otherwise(outer)))
+    ratio = lambda x, top, bottom: _poly(x, top) / _poly(x, bottom)
+
+    def body(v: Column) -> Column:
+        q = v - 0.5
+        tail = F.sqrt(-F.log(F.least(v, 1 - v)))
+        outer = F.when(tail <= 5.0, _bound(tail - 1.6, lambda t: ratio(t, _C, _D))).otherwise(_bound(tail - 5.0, lambda t: ratio(t, _E, _F)))
+        inner = q * _bound(F.lit(0.180625) - q * q, lambda t: ratio(t, _A, _B))
+        return F.when((v > 0) & (v < 1), F.when(F.abs(q) <= 0.425, inner).otherwise(F.when(q < 0, -outer).otherwise(outer)))
+
+    return _bound(p, body)
 
 
 def norm_cdf(x: Column) -> Column:
-    """Standard normal integral, by the series and continued fraction of the error function; error under 1e-12."""
-    z = F.abs(x)
-    series, term = F.lit(0.0), z
-    total = z
-    for k in range(1, 60):
-        term = term * z * z / (2 * k + 1)
-        total = total + term
-    series = 0.5 + total * F.exp(-z * z / 2) / math.sqrt(2 * math.pi)
-    fraction = z
-    for k in range(30, 0, -1):
-        fraction = z + k / fraction
-    upper = F.exp(-z * z / 2) / (fraction * math.sqrt(2 * math.pi))
-    half = F.when(z < 4, series).otherwise(1 - upper)
-    return F.when(x < 0, 1 - half).otherwise(half)
+    """Standard normal integral, by the series and the continued fraction of the error function; error under 1e-9."""
+
+    def body(v: Column) -> Column:
+        z = F.abs(v)
+        square, series, fraction = z * z, F.lit(1.0), z
+        for k in range(40, 0, -1):
+            series = 1 + square / (2 * k + 1) * series
+        for k in range(20, 0, -1):
+            fraction = z + k / fraction
+        density = F.exp(-square / 2) / math.sqrt(2 * math.pi)
+        half = F.when(z < 3.5, 0.5 + density * z * series).otherwise(1 - density / fraction)
+        return F.when(v < 0, 1 - half).otherwise(half)
+
+    return _bound(x, body)
 
 
 def water_year(day: Column) -> Column:

@@ -6,6 +6,7 @@ the way the operators compute them. Figures are rounded to six places on both si
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ from freshet.operators import terrain as T
 from freshet.operators import validation as V
 from freshet.plans.terrain import MIN_BRANCH, THRESHOLD, Terrain, terrain  # noqa: F401
 from freshet.sources.adapters import CELLSIZE, COLS, sql_text, view
-from freshet.sources.store import table, written
+from freshet.sources.store import shared_dir, table
 from freshet.streaming import gauges as G
 
 GAUGE_CMS = 400.0
@@ -291,7 +292,7 @@ def water_years(spark, sf_dir):
 
 @query(
     _with(
-        _STREAMS + f", p AS (SELECT s_suppkey AS point, CAST((s_suppkey * 3) % 100 AS INT) AS r, CAST((s_suppkey * 11) % {COLS} AS INT) AS c FROM supplier), sc AS (SELECT st.cell, dem.r, dem.c FROM st JOIN dem ON dem.cell = st.cell)",
+        _STREAMS + f", p AS (SELECT s_suppkey AS point, CAST((s_suppkey * 3) % 100 AS INT) AS r, CAST((s_suppkey * 11) % {COLS} AS INT) AS c FROM supplier), sc AS MATERIALIZED (SELECT st.cell, st.cell // {COLS} AS r, st.cell % {COLS} AS c FROM st)",
         "SELECT point, sc.cell FROM p JOIN sc ON greatest(abs(p.r - sc.r), abs(p.c - sc.c)) <= 40 QUALIFY row_number() OVER (PARTITION BY point ORDER BY greatest(abs(p.r - sc.r), abs(p.c - sc.c)), (p.r - sc.r) ** 2 + (p.c - sc.c) ** 2, sc.r, sc.c) = 1",
     )
 )
@@ -314,7 +315,7 @@ def _hit(source: str, family: str = "HAZUS") -> str:
     return f"""crv(family, k, i, d, v) AS (VALUES {_CURVE}),
 mar AS (SELECT *, CASE WHEN stage_m - hand > 0 THEN stage_m - hand - found_ht_m ELSE -1e6 END AS margin_m FROM {source}),
 low2 AS (SELECT mar.*, least(margin_m, 6.0) AS x, coalesce((SELECT max(i) FROM crv c WHERE c.family = '{family}' AND c.k = mar.k AND c.d <= least(margin_m, 6.0)), -1) AS i FROM mar),
-hit AS (SELECT low2.*, area_m2 * storeys * {_RATE} AS exposed,
+hit AS (SELECT low2.*, area_m2 * storeys * {_RATE.replace('CASE k', 'CASE low2.k')} AS exposed,
     CASE WHEN margin_m <= -1000 THEN 0 ELSE CASE WHEN low2.i = -1 THEN f.v WHEN b.i IS NULL THEN a.v ELSE a.v + (x - a.d) / (b.d - a.d) * (b.v - a.v) END END
       * least(greatest(ceil(greatest(margin_m, 0) / 3), 1), greatest(storeys, 1)) / greatest(storeys, 1) AS fraction
     FROM low2 JOIN crv f ON f.family = '{family}' AND f.k = low2.k AND f.i = 0 LEFT JOIN crv a ON a.family = '{family}' AND a.k = low2.k AND a.i = low2.i LEFT JOIN crv b ON b.family = '{family}' AND b.k = low2.k AND b.i = low2.i + 1)"""
@@ -330,7 +331,7 @@ def _placed(spark, sf_dir, t: Terrain) -> DataFrame:
     return _buildings(spark, sf_dir).join(t.hand.select("cell", "hand", "reach"), "cell")
 
 
-_AT = _STAGE + ", " + _BLD + ", at AS (SELECT bld.*, hd.hand, hd.reach, stage.stage_m, stage.multiplier FROM bld JOIN hd ON hd.cell = bld.cell JOIN stage ON stage.reach = hd.reach WHERE hd.hand IS NOT NULL)"
+_AT = _STAGE + ", " + _BLD + ", placed AS (SELECT bld.*, hd.hand, hd.reach, stage.stage_m, stage.multiplier FROM bld JOIN hd ON hd.cell = bld.cell JOIN stage ON stage.reach = hd.reach WHERE hd.hand IS NOT NULL)"
 
 
 @query(f"WITH {_BLD} SELECT building_id, storeys, round(area_m2 * storeys * {_RATE}, 6) AS exposed FROM bld")
@@ -338,7 +339,7 @@ def building_values(spark, sf_dir):
     return _buildings(spark, sf_dir).select("building_id", "storeys", F.round(E.exposed_value(F.col("floor_area_m2"), F.col("building_class")), 6).alias("exposed"))
 
 
-@query(_with(_AT + ", " + _hit("at"), "SELECT building_id, round(margin_m, 6) AS margin_m, round(fraction, 6) AS fraction, round(fraction * exposed, 4) AS damage FROM hit WHERE multiplier = 1.0"))
+@query(_with(_AT + ", " + _hit("placed"), "SELECT building_id, round(margin_m, 6) AS margin_m, round(fraction, 6) AS fraction, round(fraction * exposed, 4) AS damage FROM hit WHERE multiplier = 1.0"))
 def building_damage(spark, sf_dir):
     t, stages = _stages(spark, sf_dir)
     rows = _placed(spark, sf_dir, t).where("hand IS NOT NULL").join(stages.where("multiplier = 1.0"), "reach")
@@ -346,7 +347,7 @@ def building_damage(spark, sf_dir):
     return E.estimate(rows).select("building_id", r6("margin_m"), r6("fraction"), F.round("damage", 4).alias("damage"))
 
 
-@query(_with(_AT + ", " + _hit("at"), "SELECT building_class, round(sum(fraction * exposed), 2) AS damage, round(sum(exposed), 2) AS exposed, count(*) FILTER (fraction * exposed > 0) AS hit, count(*) AS n FROM hit WHERE multiplier = 1.0 GROUP BY ROLLUP (building_class)"))
+@query(_with(_AT + ", " + _hit("placed"), "SELECT building_class, round(sum(fraction * exposed), 2) AS damage, round(sum(exposed), 2) AS exposed, count(*) FILTER (fraction * exposed > 0) AS hit, count(*) AS n FROM hit WHERE multiplier = 1.0 GROUP BY ROLLUP (building_class)"))
 def damage_by_class(spark, sf_dir):
     t, stages = _stages(spark, sf_dir)
     rows = _placed(spark, sf_dir, t).where("hand IS NOT NULL").join(stages.where("multiplier = 1.0"), "reach")
@@ -354,7 +355,7 @@ def damage_by_class(spark, sf_dir):
     return E.damage_by_class(E.estimate(rows)).select("building_class", F.round("damage", 2).alias("damage"), F.round("exposed", 2).alias("exposed"), "hit", "n")
 
 
-@query(_with(_AT + ", " + _hit("at"), "SELECT multiplier, round(sum(fraction * exposed), 2) AS damage, count(*) FILTER (margin_m > 0) AS wet, sum(CASE WHEN margin_m > 0 THEN pop ELSE 0 END) AS residents, round(sum(CASE WHEN hand <= 0 THEN fraction * exposed ELSE 0 END), 2) AS in_channel FROM hit GROUP BY multiplier"))
+@query(_with(_AT + ", " + _hit("placed"), "SELECT multiplier, round(sum(fraction * exposed), 2) AS damage, count(*) FILTER (margin_m > 0) AS wet, sum(CASE WHEN margin_m > 0 THEN pop ELSE 0 END) AS residents, round(sum(CASE WHEN hand <= 0 THEN fraction * exposed ELSE 0 END), 2) AS in_channel FROM hit GROUP BY multiplier"))
 def damage_ladder(spark, sf_dir):
     t, stages = _stages(spark, sf_dir)
     return E.damage_ladder(_placed(spark, sf_dir, t), stages).select("multiplier", F.round("damage", 2).alias("damage"), "wet", "residents", F.round("in_channel", 2).alias("in_channel"))
@@ -480,11 +481,11 @@ def display_layers(spark, sf_dir):
 
 
 @query(
-    """SELECT CAST(l_orderkey AS BIGINT) AS cell, arg_min(CASE WHEN l_quantity > 10 THEN CAST(l_quantity AS DOUBLE) END, CASE WHEN l_quantity > 10 THEN l_linenumber END) AS z
+    """SELECT CAST(l_orderkey AS BIGINT) AS cell, arg_min(CASE WHEN l_quantity > 10 THEN CAST(l_quantity AS DOUBLE) END, CASE WHEN l_quantity > 10 THEN l_linenumber * 1000 + l_quantity END) AS z
     FROM lineitem GROUP BY l_orderkey"""
 )
 def mosaic(spark, sf_dir):
-    tiles = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("long").alias("cell"), F.col("l_linenumber").alias("ord"), F.when(F.col("l_quantity") > 10, F.col("l_quantity").cast("double")).otherwise(float("nan")).alias("z"))
+    tiles = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("long").alias("cell"), (F.col("l_linenumber") * 1000 + F.col("l_quantity")).alias("ord"), F.when(F.col("l_quantity") > 10, F.col("l_quantity").cast("double")).otherwise(float("nan")).alias("z"))
     return V.first_valid(tiles)
 
 
@@ -502,14 +503,13 @@ def gauge_windows(spark, sf_dir):
     return G.windowed(view(spark, sf_dir, "gauge")).select("site", "start", "n", r6("mean"), "peak")
 
 
-@query()
+@query(ORACLE["gauge_windows"])
 def gauge_windows_streamed(spark, sf_dir):
-    """The same windows computed by a stream over the table's file, to the end of its data."""
-    events = table(spark, sf_dir, "events")
-    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/events.parquet*")
-    rows = source.select(F.col("user_id").cast("long").alias("site"), "ts", F.col("value").cast("double").alias("value"))
-    name = "gauges_" + str(abs(hash(sf_dir)))
-    out = written(spark.range(0), "streams").sparkSession.conf.get("spark.checkpoint.dir") + f"/freshet/{name}-{spark.sparkContext.applicationId}-{id(rows)}"
-    run = G.windowed(rows, late="365 days").writeStream.outputMode("append").format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/log").trigger(availableNow=True).start()
-    run.awaitTermination()
-    return spark.read.schema("site long, start timestamp, n long, mean double, peak double").parquet(f"{out}/data").select("site", "start", "n", r6("mean"), "peak")
+    """The same windows kept by a stream over the table's files, to the end of its data."""
+    schema = table(spark, sf_dir, "events").schema
+    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/events.parquet*")
+    rows = source.select(F.col("user_id").cast("long").alias("site"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("value"))
+    out = f"{shared_dir(spark)}/freshet/gauges-{uuid.uuid4().hex}"
+    writer = G.windowed(rows).writeStream.outputMode("complete").option("checkpointLocation", f"{out}/log").trigger(availableNow=True)
+    writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{out}/data")).start().awaitTermination()
+    return spark.read.parquet(f"{out}/data").select("site", "start", "n", r6("mean"), "peak")

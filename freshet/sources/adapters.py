@@ -36,7 +36,7 @@ VIEWS = {
                CASE c_custkey % 3 WHEN 0 THEN 'Coastal' WHEN 1 THEN 'Riverine' ELSE NULL END AS environment,
                CAST(c_acctbal % 7 AS DOUBLE) AS depth_m, CAST(c_nationkey AS INT) AS event_id
         FROM {customer}""",
-    "gauge": """SELECT CAST(user_id AS BIGINT) AS site, ts, CAST(value AS DOUBLE) AS value, event_type FROM {events}""",
+    "gauge": """SELECT CAST(user_id AS BIGINT) AS site, CAST(ts AS TIMESTAMP) AS ts, CAST(value AS DOUBLE) AS value, event_type FROM {events}""",
 }
 
 
