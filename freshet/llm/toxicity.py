@@ -99,7 +99,7 @@ def label_model(patterns: dict[int, int], anchors: dict[int, tuple[int, int]], n
     keys = np.array(sorted(set(patterns) | set(anchors)), np.int64)
     x = (keys[:, None] >> np.arange(n_voters)) & 1
     n = np.array([patterns.get(int(k), 0) for k in keys], float)
-    known = np.array([anchors.get(int(k), (0, 0)) for k in keys], float)
+    known = np.array([anchors.get(int(k), (0, 0)) for k in keys], float).reshape(-1, 2)
     prior = (known[:, 1].sum() + 1) / (known.sum() + 2)
     rate = np.stack([(known[:, c] @ x + 0.5) / (known[:, c].sum() + 1) for c in (0, 1)])
     share = np.ones(n_voters)
