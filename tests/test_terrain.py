@@ -14,7 +14,7 @@ from freshet.operators.graph import components, resolve, subtree_sums
 def grid(seed, rows=11, cols=13, holes=True):
     rng = np.random.default_rng(seed)
     z = rng.integers(0, 9, (rows, cols)).astype(float)
-    return {(r, c): z[r, c] for r in range(rows) for c in range(cols) if not holes or rng.random() > 0.06}
+    return {(r, c): float(z[r, c]) for r in range(rows) for c in range(cols) if not holes or rng.random() > 0.06}
 
 
 def frame(spark, cells, cols):
