@@ -24,8 +24,11 @@ def admit(tokens: float, last: float, now: float, rate: float, burst: float) ->
     return (True, tokens - 1) if tokens >= 1 else (False, tokens)
 
 
-def token_bucket(requests: DataFrame, per_minute: float = 30.0, burst: int = 10) -> DataFrame:
-    """client, ts, admitted of a stream of requests (client, ts): continuous refill, idle buckets dropped when full again."""
+def token_bucket(requests: DataFrame, per_minute: float = 30.0, burst: int = 10, late: str = "10 minutes") -> DataFrame:
+    """client, ts, admitted of a stream of requests (client, ts): continuous refill, in event time.
+
+    An idle bucket is dropped once the watermark says that it is full again, so the state holds recent clients only.
+    """
     if per_minute <= 0 or burst < 1:
         raise ValueError("the rate must be positive and the burst at least 1")
     rate = per_minute / 60
@@ -45,9 +48,9 @@ def token_bucket(requests: DataFrame, per_minute: float = 30.0, burst: int = 10)
                 out.append(good)
             yield pd.DataFrame({"client": key[0], "ts": part["ts"].to_numpy(), "admitted": out})
         state.update((tokens, last))
-        state.setTimeoutDuration(int(1000 * max(1.0, burst / rate)))
+        state.setTimeoutTimestamp(max(int(1000 * (last + burst / rate)), state.getCurrentWatermarkMs() + 1))
 
-    return requests.groupBy("client").applyInPandasWithState(step, "client long, ts timestamp, admitted boolean", "tokens double, last double", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return requests.withWatermark("ts", late).groupBy("client").applyInPandasWithState(step, "client long, ts timestamp, admitted boolean", "tokens double, last double", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stages(discharges: DataFrame, curves: DataFrame) -> DataFrame:
