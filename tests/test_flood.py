@@ -5,6 +5,7 @@ from statistics import NormalDist
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,4 +152,4 @@ def test_registered_queries_match_duckdb(spark, sf_dir, name):
 
 def _rows(d):
     for row in d[sorted(d)].astype(object).itertuples(index=False):
-        yield [None if v is None or v != v else round(float(v), 4) + 0.0 if hasattr(v, "__float__") and not isinstance(v, (bool, np.bool_)) else v for v in row]
+        yield [None if pd.isna(v) else round(float(v), 4) + 0.0 if hasattr(v, "__float__") and not isinstance(v, (bool, np.bool_)) else v for v in row]
