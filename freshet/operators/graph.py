@@ -1,8 +1,16 @@
-"""Functional graphs (one receiver per node) and components, in a logarithmic number of joins."""
+"""Functional graphs (one receiver per node) and components, in a logarithmic number of joins.
+
+Where the nodes have a tile (a bounded set of near nodes), paths and components are first contracted inside each tile in numpy. Only
+the nodes that another tile points to take part in the joins then, and the path length that the joins halve counts tiles, not nodes.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freshet.sources.store import written
@@ -10,31 +18,95 @@ from freshet.sources.store import written
 ROUNDS = 60
 
 
+def tile_of(r: Column, c: Column, size: int = 256) -> Column:
+    """One number per tile of size x size cells."""
+    return (F.floor(r / F.lit(size)) * F.lit(1 << 31) + F.floor(c / F.lit(size))).cast("long")
+
+
 def _settled(df: DataFrame, condition: str) -> bool:
     return df.where(condition).limit(1).count() == 0
 
 
-def resolve(edges: DataFrame, cost: str | None = None) -> DataFrame:
-    """node, root and cost of every node of edges (node, next[, cost]): the last node of its path and the path's summed cost.
+def _local_pointers(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place of each row's receiver in the part (-1 if it leaves the part or ends), the receivers, and whether a row ends its path."""
+    node, to, ends = (part[k].to_numpy() for k in ("node", "next", "ends"))
+    order = np.argsort(node)
+    at = np.minimum(np.searchsorted(node[order], to), len(node) - 1)
+    return np.where((node[order][at] == to) & ~ends, order[at], -1), to, ends
 
-    next is null at a root. Pointers double each round, so a path of length n takes log2(n) joins on the node. A pointer that is
-    still not settled after all rounds lies on a cycle, which is an error.
+
+def _local_paths(part: pd.DataFrame) -> pd.DataFrame:
+    """node, out, done, cost and amount: where a node's path leaves its tile (or ends, if done), and the cost of getting there.
+
+    amount is the weight that leaves the tile at the row itself. Rows on a cycle keep their receiver, so that the joins meet it.
     """
-    step = F.when(F.col("next").isNull(), F.lit(0.0)).otherwise(F.col(cost) if cost else F.lit(1.0)).cast("double")
-    state = written(edges.select("node", F.coalesce("next", "node").alias("at"), step.alias("cost"), F.col("next").isNull().alias("done")), "pointers")
+    p, to, ends = _local_pointers(part)
+    node, step, weight = (part[k].to_numpy() for k in ("node", "step", "weight"))
+    me = np.arange(len(node))
+    stop = p < 0
+    far, cost = np.where(stop, me, p), np.where(stop, 0.0, step)
+    for _ in range(len(node).bit_length() + 1):
+        cost, far = cost + cost[far], far[far]
+    round_ = ~stop[far]
+    done = ends[far] & ~round_
+    out = np.where(round_, to, np.where(done, node[far], to[far]))
+    cost = np.where(round_, step, cost + np.where(done, 0.0, step[far]))
+    amount = np.where(stop & ~ends, np.bincount(far[~round_], weight[~round_], len(node)), 0.0)
+    return pd.DataFrame({"node": node, "out": out, "done": done, "cost": cost, "amount": amount})
+
+
+def _local_sums(part: pd.DataFrame) -> pd.DataFrame:
+    """node and total, over the paths inside the tile."""
+    p, _, _ = _local_pointers(part)
+    total = part["weight"].to_numpy().copy()
+    while (go := p >= 0).any():
+        total = total + np.bincount(p[go], total[go], len(p))
+        p = np.where(go, p[p], -1)
+    return pd.DataFrame({"node": part["node"].to_numpy(), "total": total})
+
+
+def _tiled(edges: DataFrame, step: Column, weight: Column, tile: str) -> DataFrame:
+    return edges.select("node", F.coalesce("next", "node").alias("next"), F.col("next").isNull().alias("ends"), step.cast("double").alias("step"), weight.cast("double").alias("weight"), F.col(tile).alias("tile"))
+
+
+def _contracted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Paths inside tiles, and those of them that begin where another tile's path goes on."""
+    paths = written(rows.groupBy("tile").applyInPandas(_local_paths, "node long, out long, done boolean, cost double, amount double"), "paths")
+    entries = paths.where("NOT done").select(F.col("out").alias("node")).distinct()
+    return paths, paths.join(entries, "node", "left_semi")
+
+
+def _doubled(state: DataFrame) -> DataFrame:
+    """node, root, cost from (node, at, cost, done): pointers double each round."""
+    state = written(state, "pointers")
     for _ in range(ROUNDS):
         if _settled(state, "NOT done"):
             return state.select("node", F.col("at").alias("root"), "cost")
         target = state.select(F.col("node").alias("at"), F.col("at").alias("far"), F.col("cost").alias("more"), F.col("done").alias("end"))
         joined = state.where("NOT done").join(target, "at")
-        moved = joined.select("node", F.col("far").alias("at"), (F.col("cost") + F.col("more")).alias("cost"), (F.col("end") | (F.col("far") == F.col("at"))).alias("done"))
+        moved = joined.select("node", F.col("far").alias("at"), (F.col("cost") + F.col("more")).alias("cost"), F.col("end").alias("done"))
         state = written(state.where("done").unionByName(moved), "pointers")
     raise ValueError("the receivers hold a cycle")
 
 
-def subtree_sums(edges: DataFrame, weight: str) -> DataFrame:
-    """node and total: the weights of a node and of all nodes whose paths lead through it. edges: node, next (null at a root)."""
-    state = written(edges.select("node", F.col("next").alias("at"), F.col(weight).cast("double").alias("total")), "sums")
+def resolve(edges: DataFrame, cost: str | None = None, tile: str | None = None) -> DataFrame:
+    """node, root and cost of every node of edges (node, next[, cost][, tile]): the last node of its path and the path's summed cost.
+
+    next is null at a root. Pointers double each round, so a path of length n takes log2(n) joins on the node; with tile (a column of
+    edges), n counts the tiles on the path. A pointer that is still not settled after all rounds lies on a cycle, which is an error.
+    """
+    step = F.when(F.col("next").isNull(), F.lit(0.0)).otherwise(F.col(cost) if cost else F.lit(1.0)).cast("double")
+    if tile is None:
+        return _doubled(edges.select("node", F.coalesce("next", "node").alias("at"), step.alias("cost"), F.col("next").isNull().alias("done")))
+    paths, entries = _contracted(_tiled(edges, step, F.lit(0.0), tile))
+    ways = _doubled(entries.select("node", F.col("out").alias("at"), "cost", "done")).select(F.col("node").alias("out"), "root", F.col("cost").alias("more"))
+    rest = paths.where("NOT done").join(ways, "out").select("node", "root", (F.col("cost") + F.col("more")).alias("cost"))
+    return paths.where("done").select("node", F.col("out").alias("root"), "cost").unionByName(rest)
+
+
+def _doubled_sums(state: DataFrame) -> DataFrame:
+    """node and total from (node, at, total): what has reached a node doubles its distance each round."""
+    state = written(state, "sums")
     for _ in range(ROUNDS):
         if _settled(state, "at IS NOT NULL"):
             return state.select("node", "total")
@@ -44,8 +116,41 @@ def subtree_sums(edges: DataFrame, weight: str) -> DataFrame:
     raise ValueError("the receivers hold a cycle")
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
-    """node and label (the least node connected to it) for all nodes of edges (u, v): alternating large and small stars."""
+def subtree_sums(edges: DataFrame, weight: str, tile: str | None = None) -> DataFrame:
+    """node and total: the weights of a node and of all nodes whose paths lead through it. edges: node, next (null at a root)[, tile].
+
+    With tile, the joins carry only what enters a tile from others; a second pass over the tiles spreads it along the paths inside.
+    """
+    if tile is None:
+        return _doubled_sums(edges.select("node", F.col("next").alias("at"), F.col(weight).cast("double").alias("total")))
+    rows = _tiled(edges, F.lit(1.0), F.col(weight), tile)
+    paths, entries = _contracted(rows)
+    given = paths.where("amount <> 0").groupBy(F.col("out").alias("node")).agg(F.sum("amount").alias("total"))
+    start = entries.join(given, "node", "left").select("node", F.when(~F.col("done"), F.col("out")).alias("at"), F.coalesce("total", F.lit(0.0)).alias("total"))
+    entered = _doubled_sums(start)
+    full = rows.join(entered, "node", "left").withColumn("weight", F.col("weight") + F.coalesce("total", F.lit(0.0))).drop("total")
+    return full.groupBy("tile").applyInPandas(_local_sums, "node long, total double")
+
+
+def _local_components(part: pd.DataFrame) -> pd.DataFrame:
+    """node and label (the least node) of the components of the edges inside a tile."""
+    nodes, at = np.unique(part[["u", "v"]].to_numpy().T.ravel(), return_inverse=True)
+    u, v = at[: len(part)], at[len(part) :]
+    label = np.arange(len(nodes))
+    while True:
+        least = np.minimum(label[u], label[v])
+        new = label.copy()
+        np.minimum.at(new, label[u], least)
+        np.minimum.at(new, label[v], least)
+        while (far := new[new]).tobytes() != new.tobytes():
+            new = far
+        if (new == label).all():
+            return pd.DataFrame({"node": nodes, "label": nodes[label]})
+        label = new
+
+
+def _stars(edges: DataFrame, rounds: int) -> DataFrame:
+    """node and label by alternating large and small stars."""
 
     def least(e: DataFrame) -> DataFrame:
         return e.join(e.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "u")
@@ -62,3 +167,20 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
             break
         seen = state
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))
+
+
+def components(edges: DataFrame, rounds: int = 40, tile: Callable[[Column], Column] | None = None) -> DataFrame:
+    """node and label (the least node connected to it) for all nodes of edges (u, v).
+
+    tile gives a node's tile; edges inside tiles are contracted there, and the stars join the tiles' components only.
+    """
+    if tile is None:
+        return _stars(edges, rounds)
+    placed = written(edges.where("u <> v").select("u", "v", tile(F.col("u")).alias("tile"), (tile(F.col("u")) == tile(F.col("v"))).alias("inside")), "edges")
+    local = written(placed.where("inside").select("u", "v", "tile").groupBy("tile").applyInPandas(_local_components, "node long, label long"), "labels")
+    name = lambda k: local.select(F.col("node").alias(k), F.col("label").alias(f"l{k}"))
+    between = placed.where("NOT inside").join(name("u"), "u", "left").join(name("v"), "v", "left").select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v"))
+    whole = written(_stars(between, rounds), "labels")
+    alone = whole.join(local, "node", "left_anti").select("node", F.col("node").alias("label"))
+    final = whole.select(F.col("node").alias("label"), F.col("label").alias("least"))
+    return local.unionByName(alone).join(final, "label", "left").select("node", F.coalesce("least", "label").alias("label"))

@@ -16,12 +16,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freshet.operators.graph import components, resolve, subtree_sums
+from freshet.operators.graph import components, resolve, subtree_sums, tile_of
 from freshet.sources.store import written
 
 # Direction codes and their row and column steps, in the order that breaks ties.
 DIRECTIONS = [(1, 0, 1), (2, 1, 1), (4, 1, 0), (8, 1, -1), (16, 0, -1), (32, -1, -1), (64, -1, 0), (128, -1, 1)]
 NODATA, OUTLET, FLAT = 0, -1, -2
+STEPS = [(a, b) for _, a, b in DIRECTIONS]
 
 
 def valid_cells(raw: DataFrame, nodata: float | None = None) -> DataFrame:
@@ -42,15 +43,6 @@ def neighbour_messages(cells: DataFrame, values: list[str], four: bool = False)
     return sent.select((F.col("r") - F.col("d.dr")).alias("r"), (F.col("c") - F.col("d.dc")).alias("c"), F.col("d.code").alias("code"), F.col("d.far").alias("far"), *[f"n_{v}" for v in values])
 
 
-def flow_direction(cells: DataFrame, cellsize: float = 1.0, cols: int | None = None) -> DataFrame:
-    """Steepest descent: direction code, or OUTLET where none is lower beside the domain's edge, or FLAT; ties to the lowest code."""
-    met = cells.join(neighbour_messages(cells, ["z"]), ["r", "c"], "left")
-    slope = (F.col("z").cast("float") - F.col("n_z").cast("float")).cast("double") / (F.col("far") * cellsize)
-    best = F.max_by(F.when(slope > 0, F.col("code")), F.when(slope > 0, F.struct(slope.alias("s"), (-F.col("code")).alias("k"))))
-    found = met.groupBy("cell", "r", "c", "z").agg(best.alias("best"), F.count("code").alias("n"))
-    return found.select("cell", "r", "c", "z", F.coalesce("best", F.when(F.col("n") < 8, OUTLET).otherwise(FLAT)).cast("smallint").alias("flowdir"))
-
-
 def receivers(directed: DataFrame, cols: int) -> DataFrame:
     """directed with next: the cell that a cell drains to, null for outlets, flats and what leaves the domain."""
     dr, dc = F.lit(None).cast("int"), F.lit(None).cast("int")
@@ -61,15 +53,20 @@ def receivers(directed: DataFrame, cols: int) -> DataFrame:
     return to.join(known, "next", "left").select(*directed.columns, F.when(F.col("known"), F.col("next")).alias("next"))
 
 
+def _edges(routed: DataFrame, *more: Column) -> DataFrame:
+    """node, next and tile (by r and c) of routed."""
+    return routed.select(F.col("cell").alias("node"), "next", tile_of(F.col("r"), F.col("c")).alias("tile"), *more)
+
+
 def steps_to_outlet(routed: DataFrame) -> DataFrame:
-    """cell, steps (cells of the path, the cell itself included) and outlet (its last cell)."""
-    found = resolve(routed.select(F.col("cell").alias("node"), "next"))
+    """cell, steps (cells of the path, the cell itself included) and outlet (its last cell); routed: cell, r, c, next."""
+    found = resolve(_edges(routed), tile="tile")
     return found.select(F.col("node").alias("cell"), (F.col("cost") + 1).cast("long").alias("steps"), F.col("root").alias("outlet"))
 
 
 def flow_accumulation(routed: DataFrame, weight: Column | None = None) -> DataFrame:
-    """cell and accumulation: the weights (1 each by default) of all cells that drain through a cell, itself included."""
-    found = subtree_sums(routed.select(F.col("cell").alias("node"), "next", (weight if weight is not None else F.lit(1.0)).alias("weight")), "weight")
+    """cell and accumulation: the weights (1 each by default) of all cells that drain through a cell (cell, r, c, next), itself included."""
+    found = subtree_sums(_edges(routed, (weight if weight is not None else F.lit(1.0)).alias("weight")), "weight", "tile")
     return found.select(F.col("node").alias("cell"), F.col("total").alias("accumulation"))
 
 
@@ -86,6 +83,34 @@ def _rim(cells: DataFrame, size: int) -> DataFrame:
     return spread.select(*cells.columns, F.col("t.tr").alias("tr"), F.col("t.tc").alias("tc"), ((F.col("t.tr") == own_r) & (F.col("t.tc") == own_c)).alias("own"))
 
 
+def _around(part: pd.DataFrame, steps: list[tuple[int, int]], rim: bool = False) -> np.ndarray:
+    """For each step, the place in part of each row's neighbour if that is an own cell of the tile (or of its rim, if rim), else -1."""
+    r, c = part["r"].to_numpy() - part["r"].min() + 1, part["c"].to_numpy() - part["c"].min() + 1
+    place = np.full((r.max() + 2, c.max() + 2), -1)
+    own = np.arange(len(part)) if rim else np.flatnonzero(part["own"].to_numpy())
+    place[r[own], c[own]] = own
+    return np.stack([place[r + a, c + b] for a, b in steps])
+
+
+def flow_direction(cells: DataFrame, cellsize: float = 1.0, size: int = 256) -> DataFrame:
+    """Steepest descent: direction code, or OUTLET where none is lower beside the domain's edge, or FLAT; ties to the lowest code.
+
+    Tiles see their rims, so that a cell is shuffled about once and not once per neighbour.
+    """
+    codes = np.array([k for k, _, _ in DIRECTIONS])
+    far = np.array([math.hypot(a, b) * cellsize for a, b in STEPS])[:, None]
+
+    def kernel(part: pd.DataFrame) -> pd.DataFrame:
+        near, z = _around(part, STEPS, True), part["z"].to_numpy().astype("float32")
+        slope = np.where(near >= 0, (z - z[near]).astype("float64") / far, 0.0)
+        best = slope.argmax(axis=0)  # the first of equal slopes has the lowest code
+        code = np.where(slope.max(axis=0) > 0, codes[best], np.where((near < 0).any(axis=0), OUTLET, FLAT))
+        return part.assign(flowdir=code)[["cell", "r", "c", "z", "flowdir"]][part["own"]]
+
+    rows = cells.select("cell", "r", "c", "z")
+    return _rim(rows, size).groupBy("tr", "tc").applyInPandas(kernel, rows.withColumn("flowdir", F.lit(0).cast("smallint")).schema)
+
+
 def relax(cells: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], size: int, rounds: int = 200) -> DataFrame:
     """Apply kernel to every tile and its rim until no row says `moved`; kernel returns the tile's own rows, same columns."""
     state = written(cells.withColumn("moved", F.lit(True)), "tiles")
@@ -110,53 +135,53 @@ def _settled_tiles(state: DataFrame) -> bool:
 def fill_depressions(cells: DataFrame, epsilon: float = 0.0, size: int = 256, four: bool = False) -> DataFrame:
     """cells with w: the least level at which water at a cell reaches the domain's edge (minimax over paths, plus epsilon a step)."""
     steps = [(a, b) for k, a, b in DIRECTIONS if not four or a == 0 or b == 0]
-    met = neighbour_messages(cells, ["z"], four).groupBy("r", "c").agg(F.count("*").alias("n"))
-    start = cells.join(met, ["r", "c"], "left").select("cell", "r", "c", "z", F.when(F.coalesce("n", F.lit(0)) < len(steps), F.col("z")).otherwise(float("inf")).cast("double").alias("w"))
+    start = cells.select("cell", "r", "c", "z", F.lit(None).cast("double").alias("w"))
 
     def kernel(part: pd.DataFrame) -> pd.DataFrame:
-        r, c, z, own = (part[k].to_numpy() for k in ("r", "c", "z", "own"))
-        w = part["w"].to_numpy().copy()
-        before = w.copy()
-        place = {(a, b): i for i, (a, b) in enumerate(zip(r.tolist(), c.tolist(), strict=True))}
-        heap = [(x, i) for i, x in enumerate(w.tolist()) if x < math.inf]
+        z, before = part["z"].to_numpy(), part["w"].to_numpy()
+        near = _around(part, steps)
+        if fresh := np.isnan(before).any():  # the first round: water is level with the ground at the domain's edge
+            before = np.where(part["own"] & (_around(part, steps, True) < 0).any(axis=0), z, math.inf)
+        # The last place stands for no neighbour and cannot be lowered.
+        can = np.maximum(np.append(z, 0.0)[near], before + epsilon) < np.append(before, -math.inf)[near]
+        start = np.flatnonzero(can.any(axis=0))
+        if not len(start):
+            return part.assign(w=before, moved=fresh)[part["own"]]
+        w, ground, at = before.tolist(), z.tolist(), near.T.tolist()
+        heap = [(w[i], i) for i in start.tolist()]
         heapq.heapify(heap)
         while heap:
             level, i = heapq.heappop(heap)
             if level > w[i]:
                 continue
-            a, b = r[i], c[i]
-            for da, db in steps:
-                j = place.get((a + da, b + db))
-                if j is not None and own[j] and (new := max(z[j], level + epsilon)) < w[j]:
+            for j in at[i]:
+                if j >= 0 and (new := max(ground[j], level + epsilon)) < w[j]:
                     w[j] = new
                     heapq.heappush(heap, (new, j))
-        part = part.assign(w=w, moved=w != before)
-        return part[own]
+        return part.assign(w=w, moved=fresh | (np.array(w) != before))[part["own"]]
 
     return relax(start, kernel, size)
 
 
 def undrained(cells: DataFrame, size: int = 256) -> DataFrame:
     """cells with undrained: whether no path to the domain's edge exists that never rises."""
-    met = neighbour_messages(cells, ["z"]).groupBy("r", "c").agg(F.count("*").alias("n"))
-    start = cells.join(met, ["r", "c"], "left").select("cell", "r", "c", "z", (F.coalesce("n", F.lit(0)) < 8).alias("dry"))
+    start = cells.select("cell", "r", "c", "z", F.lit(-1).alias("dry"))
 
     def kernel(part: pd.DataFrame) -> pd.DataFrame:
-        r, c, z, own = (part[k].to_numpy() for k in ("r", "c", "z", "own"))
-        dry = part["dry"].to_numpy().copy()
-        before = dry.copy()
-        place = {(a, b): i for i, (a, b) in enumerate(zip(r.tolist(), c.tolist(), strict=True))}
-        stack = np.flatnonzero(dry).tolist()
-        while stack:
-            i = stack.pop()
-            for _, da, db in DIRECTIONS:
-                j = place.get((r[i] + da, c[i] + db))
-                if j is not None and own[j] and not dry[j] and z[j] >= z[i]:
-                    dry[j] = True
-                    stack.append(j)
-        return part.assign(dry=dry, moved=dry != before)[own]
-
-    return relax(start, kernel, size).select("cell", "r", "c", "z", (~F.col("dry")).alias("undrained"))
+        z, known = part["z"].to_numpy(), part["dry"].to_numpy()
+        near = _around(part, STEPS)
+        fresh = (known < 0).any()  # the first round: cells at the domain's edge drain
+        before = part["own"].to_numpy() & (_around(part, STEPS, True) < 0).any(axis=0) if fresh else known > 0
+        open_ = (near >= 0) & (np.append(z, 0.0)[near] >= z)
+        dry, todo = before.copy(), before.copy()
+        while todo.any():
+            reached = np.zeros(len(z), bool)
+            reached[near[:, todo][open_[:, todo]]] = True
+            todo = reached & ~dry
+            dry |= todo
+        return part.assign(dry=dry.astype("int32"), moved=fresh | (dry != before))[part["own"]]
+
+    return relax(start, kernel, size).select("cell", "r", "c", "z", (F.col("dry") == 0).alias("undrained"))
 
 
 def resolve_flats(directed: DataFrame, cellsize: float = 1.0, size: int = 256) -> DataFrame:
@@ -165,32 +190,34 @@ def resolve_flats(directed: DataFrame, cellsize: float = 1.0, size: int = 256) -
     On a flat, a cell's rank is (peak - steps from higher ground) + 2 * steps to a place that drains, where peak is the largest
     such step count of all; cells that no draining place reaches stay flat.
     """
-    met = directed.join(neighbour_messages(directed.select("r", "c", "z", "flowdir"), ["z", "flowdir"]), ["r", "c"], "left")
     flat = F.col("flowdir") == FLAT
-    high = F.max((flat & (F.col("n_z") > F.col("z"))).cast("int"))
-    low = F.max((flat & (F.col("n_flowdir") != FLAT) & (F.col("n_z") <= F.col("z"))).cast("int"))
-    start = met.groupBy("cell", "r", "c", "z", "flowdir").agg(high.alias("h"), low.alias("l")).select("cell", "r", "c", "z", "flowdir", F.when(F.col("h") == 1, 1).otherwise(1 << 30).alias("high"), F.when(F.col("l") == 1, 1).otherwise(1 << 30).alias("low"))
+    far = 1 << 30
+    start = directed.select("cell", "r", "c", "z", "flowdir", F.lit(-1).alias("high"), F.lit(-1).alias("low"))
 
     def kernel(part: pd.DataFrame) -> pd.DataFrame:
-        r, c, z, own, code = (part[k].to_numpy() for k in ("r", "c", "z", "own", "flowdir"))
-        place = {(a, b): i for i, (a, b) in enumerate(zip(r.tolist(), c.tolist(), strict=True)) if code[i] == FLAT}
-        moved = np.zeros(len(part), bool)
-        out = {}
-        for name in ("high", "low"):
-            d = part[name].to_numpy().copy()
-            heap = [(int(d[i]), i) for i in place.values() if d[i] < 1 << 30]
-            heapq.heapify(heap)
-            while heap:
-                n, i = heapq.heappop(heap)
-                if n > d[i]:
-                    continue
-                for _, da, db in DIRECTIONS:
-                    j = place.get((r[i] + da, c[i] + db))
-                    if j is not None and own[j] and z[j] == z[i] and n + 1 < d[j]:
-                        d[j], moved[j] = n + 1, True
-                        heapq.heappush(heap, (n + 1, j))
-            out[name] = d
-        return part.assign(moved=moved, **out)[own]
+        z, code = part["z"].to_numpy(), part["flowdir"].to_numpy()
+        flat_here = code == FLAT
+        near = _around(part, STEPS)
+        same = (near >= 0) & flat_here & np.append(flat_here, False)[near] & (np.append(z, math.nan)[near] == z)
+        known = {name: part[name].to_numpy().copy() for name in ("high", "low")}
+        fresh = (known["high"] < 0).any()
+        if fresh:  # the first round: flat cells beside higher ground, and beside ground that drains and is no higher
+            every = _around(part, STEPS, True)
+            there, mine = every >= 0, flat_here & part["own"].to_numpy()
+            known["high"] = np.where(mine & (there & (z[every] > z)).any(axis=0), 1, far)
+            known["low"] = np.where(mine & (there & ~flat_here[every] & (z[every] <= z)).any(axis=0), 1, far)
+        moved, out = np.full(len(part), fresh), {}
+        for name, d in known.items():
+            todo = flat_here & (d < far)
+            while todo.any():
+                ways = same[:, todo]
+                to, new = near[:, todo][ways], np.broadcast_to(d[todo] + 1, ways.shape)[ways]
+                was = d.copy()
+                np.minimum.at(d, to, new)
+                todo = d < was
+                moved |= todo
+            out[name] = d.astype("int32")
+        return part.assign(moved=moved, **out)[part["own"]]
 
     if directed.where(flat).limit(1).count() == 0:
         return directed.select("cell", "r", "c", "z", "flowdir", F.lit(False).alias("flat"), F.lit(False).alias("resolved"))
@@ -237,14 +264,14 @@ def prune_streams(streams: DataFrame, min_length: int = 5, passes: int = 20) ->
     return now
 
 
-def stream_links(streams: DataFrame) -> DataFrame:
+def stream_links(streams: DataFrame, cols: int) -> DataFrame:
     """cell, start (first cell of its link), seq (place in the link) and link (rank of the start among all starts).
 
     A link begins at a stream cell with no or several stream cells above it. The rank is counted over range partitions, not in one.
     """
     ups = streams.where("next IS NOT NULL").groupBy(F.col("next").alias("cell")).agg(F.count("*").alias("n"), F.max("cell").alias("up"))
-    back = streams.join(ups, "cell", "left").select(F.col("cell").alias("node"), F.when(F.col("n") == 1, F.col("up")).alias("next"))
-    found = written(resolve(back).select(F.col("node").alias("cell"), F.col("root").alias("start"), F.col("cost").cast("long").alias("seq")), "links")
+    back = streams.join(ups, "cell", "left").select(F.col("cell").alias("node"), F.when(F.col("n") == 1, F.col("up")).alias("next"), tile_of(F.floor(F.col("cell") / cols), F.col("cell") % cols).alias("tile"))
+    found = written(resolve(back, tile="tile").select(F.col("node").alias("cell"), F.col("root").alias("start"), F.col("cost").cast("long").alias("seq")), "links")
     ranks = dense_rank(found.select("start").distinct(), "start").select("start", F.col("rank").alias("link"))
     return found.join(ranks, "start").select("cell", "start", "seq", "link")
 
@@ -315,8 +342,8 @@ def stream_network(streams: DataFrame, links: DataFrame, accumulated: DataFrame,
 def hand(filled: DataFrame, streams: DataFrame) -> DataFrame:
     """cell, drainage (the first stream cell on its path) and hand (height above it); null where no stream is met."""
     mark = streams.select("cell", F.lit(True).alias("stream"))
-    edges = filled.join(mark, "cell", "left").select(F.col("cell").alias("node"), F.when(F.col("stream"), F.lit(None).cast("long")).otherwise(F.col("next")).alias("next"))
-    roots = resolve(edges).select(F.col("node").alias("cell"), "root")
+    edges = filled.join(mark, "cell", "left").select("cell", "r", "c", F.when(F.col("stream"), F.lit(None).cast("long")).otherwise(F.col("next")).alias("next"))
+    roots = resolve(_edges(edges), tile="tile").select(F.col("node").alias("cell"), "root")
     level = filled.select("cell", F.col("z").cast("double").alias("z"))
     low = streams.select(F.col("cell").alias("root")).join(level.select(F.col("cell").alias("root"), F.col("z").alias("z0")), "root")
     return level.join(roots, "cell").join(low, "root", "left").select("cell", F.when(F.col("z0").isNotNull(), F.col("root")).alias("drainage"), (F.col("z") - F.col("z0")).alias("hand"))
@@ -357,7 +384,7 @@ def connected_to(wet: DataFrame, seeds: DataFrame, cols: int, four: bool = False
     """Of wet (cell, r, c), the cells whose connected component holds a seed (cell)."""
     sent = neighbour_messages(wet.select("r", "c", "cell"), ["cell"], four).select("r", "c", F.col("n_cell").alias("v"))
     edges = wet.join(sent, ["r", "c"]).where("cell < v").select(F.col("cell").alias("u"), "v")
-    label = components(edges).select(F.col("node").alias("cell"), "label")
+    label = components(edges, tile=lambda k: tile_of(F.floor(k / cols), k % cols)).select(F.col("node").alias("cell"), "label")
     named = wet.join(label, "cell", "left").select("cell", F.coalesce("label", "cell").alias("label"))
     good = named.join(seeds.select("cell"), "cell", "left_semi").select("label").distinct()
     return wet.join(named.join(good, "label", "left_semi").select("cell"), "cell", "left_semi")

@@ -174,7 +174,7 @@ def terrain_steps(spark, sf_dir):
 
 @query(_with(_ACC, "SELECT cell, accumulation FROM acc"))
 def terrain_accumulation(spark, sf_dir):
-    return T.flow_accumulation(terrain(spark, sf_dir).routed.select("cell", "next"))
+    return T.flow_accumulation(terrain(spark, sf_dir).routed)
 
 
 @query(_with(_STREAMS, "SELECT cell, start, seq, link FROM links"))

@@ -40,7 +40,7 @@ def route_terrain(cells: DataFrame, cols: int, cellsize: float = 1.0, threshold:
     mask = T.stream_mask(routed, threshold)
     kept = mask.select("cell", "next").join(mask.select(F.col("cell").alias("next"), F.lit(1).alias("in")), "next", "left").select("cell", F.when(F.col("in") == 1, F.col("next")).alias("next"))
     streams = written(T.prune_streams(written(kept, "streams"), min_branch), "streams")
-    links = written(T.stream_links(streams), "links")
+    links = written(T.stream_links(streams, cols), "links")
     drained = T.hand(routed, streams)
     return Terrain(raw, filled, first, routed, streams, links, written(T.reach_catchments(drained, links), "hand"))
 

@@ -108,6 +108,30 @@ def test_paths_and_sums_on_a_random_forest(spark):
             want[at] += i % 3 + 1.0
         assert roots[i] == (at, steps)
     assert sums == want
+    tiled = edges.withColumn("tile", F.col("node") % 7)
+    assert {x.node: (x.root, x.cost) for x in resolve(tiled, tile="tile").collect()} == roots
+    assert {x.node: x.total for x in subtree_sums(tiled, "w", "tile").collect()} == want
+
+
+def test_cycles_are_errors_inside_and_across_tiles(spark):
+    from freshet.operators import graph
+
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 1)], "node long, next long")
+    graph.ROUNDS, old = 4, graph.ROUNDS
+    try:
+        for tiles in (1, 2):
+            with pytest.raises(ValueError, match="cycle"):
+                resolve(edges.withColumn("tile", F.col("node") % tiles), tile="tile").count()
+    finally:
+        graph.ROUNDS = old
+
+
+@pytest.mark.parametrize("tiles", [1, 4, 1000])
+def test_components_in_tiles_equal_those_without(spark, tiles):
+    rng = np.random.default_rng(tiles)
+    edges = spark.createDataFrame([(int(a), int(b)) for a, b in rng.integers(0, 300, (190, 2))], "u long, v long")
+    got = {x.node: x.label for x in components(edges, tile=lambda k: k % tiles).collect()}
+    assert got == {x.node: x.label for x in components(edges).collect()}
 
 
 def test_components_of_a_chain_and_a_star(spark):
@@ -125,7 +149,7 @@ def test_short_branches_are_pruned(spark):
 
 def test_links_start_at_heads_and_junctions(spark):
     streams = spark.createDataFrame([(0, 1), (1, 2), (2, 3), (3, None), (10, 2)], "cell long, next long")
-    got = {x.cell: (x.start, x.seq, x.link) for x in T.stream_links(streams).collect()}
+    got = {x.cell: (x.start, x.seq, x.link) for x in T.stream_links(streams, 100).collect()}
     assert got == {0: (0, 0, 0), 1: (0, 1, 0), 2: (2, 0, 1), 3: (2, 1, 1), 10: (10, 0, 2)}
-    tree = T.link_tree(streams, T.stream_links(streams))
+    tree = T.link_tree(streams, T.stream_links(streams, 100))
     assert {x.link: x.strahler for x in T.strahler(tree).collect()} == {0: 1, 1: 2, 2: 1}
