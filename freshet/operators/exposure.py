@@ -142,6 +142,13 @@ def withheld(rungs: DataFrame, most: float = 0.5) -> DataFrame:
     return rungs.withColumn("damage", F.when(F.col("share") <= most, F.col("damage")))
 
 
+def ladder_at(rungs: DataFrame, multipliers: list[float], columns: tuple[str, ...] = ("damage", "wet", "residents", "in_channel", "share")) -> DataFrame:
+    """The ladder's columns at any multiplier, linear between rungs and held at the ends; rungs are a fixed, small number."""
+    rows = F.array_sort(F.collect_list(F.struct("multiplier", *[F.col(c).cast("double").alias(c) for c in columns])))
+    packed = rungs.agg(rows.alias("x")).select("x", F.explode(F.array(*[F.lit(float(m)) for m in multipliers])).alias("multiplier"))
+    return packed.select("multiplier", *[interp(F.col("multiplier"), F.col("x.multiplier"), F.col(f"x.{c}")).alias(c) for c in columns])
+
+
 def monte_carlo(buildings: DataFrame, draws: int = 1000, seed: int = 20220228, sigma_stage: float = 0.15, sigma_dem: float = 0.15, sigma_cost: float = 0.25, weights: dict[str, float] | None = None) -> DataFrame:
     """draw, total and wet of each draw over buildings (building_id, margin_m, building_class, floor_area_m2, storeys).
 

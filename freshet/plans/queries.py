@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 from freshet.operators import exposure as E
 from freshet.operators import hydraulics as H
+from freshet.operators import network as N
+from freshet.operators import overlay as O
 from freshet.operators import terrain as T
 from freshet.operators import validation as V
 from freshet.plans.terrain import MIN_BRANCH, THRESHOLD, Terrain, terrain  # noqa: F401
@@ -251,6 +253,85 @@ def flood_summary(spark, sf_dir):
     return wet.agg(n.alias("wet_cells"), (n * CELLSIZE**2).alias("area_m2"), F.round(F.max("depth_m"), 6).alias("max_depth_m"), F.count_if(F.col("depth_m").isNull()).alias("unknown"))
 
 
+# Along the network.
+
+_STEP = f"CASE WHEN t.flowdir IN (1, 4, 16, 64) THEN {CELLSIZE} ELSE {CELLSIZE} * sqrt(2.0) END"
+_WAY = (
+    _STREAMS
+    + f""",
+way2(src, node, d) AS (SELECT cell, cell, 0.0::DOUBLE FROM routed UNION ALL SELECT w.src, t.next, w.d + {_STEP} FROM way2 w JOIN routed t ON t.cell = w.node WHERE t.next IS NOT NULL),
+gauge AS MATERIALIZED (SELECT link AS gauge, cell FROM links WHERE seq = 0 AND link % 17 = 3),
+path AS MATERIALIZED (SELECT g.gauge, w.node, -w.d AS base FROM gauge g JOIN way2 w ON w.src = g.cell)"""
+)
+
+
+@query(_with(_WAY, "SELECT p.gauge, w.src AS cell, round(arg_min(w.d + p.base, w.d), 6) AS distance_m FROM way2 w JOIN path p ON p.node = w.node GROUP BY p.gauge, w.src"))
+def network_distance(spark, sf_dir):
+    t = terrain(spark, sf_dir)
+    gauges = t.links.where("seq = 0 AND link % 17 = 3").select(F.col("link").alias("gauge"), "cell")
+    return N.network_distance(t.routed, gauges, CELLSIZE).select("gauge", "cell", r6("distance_m"))
+
+
+_REACHES = (
+    _STREAMS
+    + f""",
+rs AS (SELECT a.link AS reach, a.cell, b.link AS there, CASE WHEN abs(st.next - a.cell) IN (1, {COLS}) THEN {CELLSIZE} ELSE {CELLSIZE} * sqrt(2.0) END AS step
+    FROM links a JOIN st ON st.cell = a.cell LEFT JOIN links b ON b.cell = st.next),
+rg AS MATERIALIZED (SELECT reach, arg_min(there, cell) FILTER (there <> reach) AS down, coalesce(sum(step) FILTER (there IS NOT NULL), 0) AS length_m FROM rs GROUP BY reach)"""
+)
+
+
+@query(_with(_REACHES, "SELECT reach, down, round(length_m, 6) AS length_m FROM rg"))
+def reach_graph(spark, sf_dir):
+    t = terrain(spark, sf_dir)
+    return N.reach_graph(t.links, t.streams, COLS, CELLSIZE).select("reach", "down", r6("length_m"))
+
+
+@query(
+    _with(
+        _REACHES
+        + """,
+bed AS MATERIALIZED (SELECT l.link AS reach, r.z AS bed FROM links l JOIN routed r ON r.cell = l.cell WHERE l.seq = 0),
+ga AS MATERIALIZED (SELECT reach, 1.0 + reach % 3 AS depth FROM bed WHERE reach % 5 = 2),
+rw(src, node, d) AS (SELECT reach, down, length_m FROM rg WHERE down IS NOT NULL UNION ALL SELECT w.src, g.down, w.d + g.length_m FROM rw w JOIN rg g ON g.reach = w.node WHERE g.down IS NOT NULL),
+lo2 AS (SELECT rw.src AS reach, min(d) AS d, arg_min(depth, d) AS depth FROM rw JOIN ga ON ga.reach = rw.node GROUP BY rw.src),
+up2 AS (SELECT node AS reach, d, depth FROM rw JOIN ga ON ga.reach = rw.src QUALIFY row_number() OVER (PARTITION BY node ORDER BY round(d, 6), src) = 1),
+al AS (SELECT bed.reach, bed, CASE WHEN ga.depth IS NOT NULL THEN 'gauged' WHEN lo2.d IS NOT NULL AND up2.d IS NOT NULL THEN 'interpolated' WHEN lo2.d IS NOT NULL OR up2.d IS NOT NULL THEN 'extrapolated' END AS kind,
+    CASE WHEN ga.depth IS NOT NULL THEN ga.depth WHEN lo2.d IS NOT NULL AND up2.d IS NOT NULL THEN up2.depth + (lo2.depth - up2.depth) * (up2.d / (up2.d + lo2.d)) ELSE coalesce(lo2.depth, up2.depth) END AS depth
+    FROM bed LEFT JOIN ga ON ga.reach = bed.reach LEFT JOIN lo2 ON lo2.reach = bed.reach LEFT JOIN up2 ON up2.reach = bed.reach)""",
+        "SELECT reach, kind, round(depth, 6) AS stage_m, round(bed + depth, 6) AS wse_m FROM al WHERE kind IS NOT NULL",
+    )
+)
+def observed_stage(spark, sf_dir):
+    t = terrain(spark, sf_dir)
+    bed = t.links.where("seq = 0").join(t.routed.select("cell", "z"), "cell").select(F.col("link").alias("reach"), F.col("z").alias("bed_m"))
+    gauges = bed.where("reach % 5 = 2").select("reach", (F.col("bed_m") + 1.0 + F.col("reach") % 3).alias("wse_m"), F.col("bed_m").alias("gauge_bed_m"))
+    rows = N.interpolate_stage(N.reach_graph(t.links, t.streams, COLS, CELLSIZE).join(bed, "reach", "left"), gauges)
+    return rows.select("reach", "kind", r6("stage_m"), r6("wse_m"))
+
+
+_SQUARES = """sq AS (SELECT c_custkey AS grp, (c_custkey % 60) * 700.0 AS x, (c_custkey // 60) * 500.0 AS y, 900.0 AS w FROM customer),
+ws AS (SELECT s_suppkey AS huc, (s_suppkey % 7) * 6000.0 AS x0, (s_suppkey % 5) * 2100.0 AS y0, 9000.0 AS w FROM supplier),
+cl AS (SELECT o_custkey AS grp, count(*) AS n, sum(o_totalprice) AS paid FROM orders GROUP BY o_custkey)"""
+
+
+@query(
+    f"""WITH {_SQUARES}, s AS (SELECT huc, grp, greatest(least(x + sq.w, x0 + ws.w) - greatest(x, x0), 0) * greatest(least(y + sq.w, y0 + ws.w) - greatest(y, y0), 0) / (sq.w * sq.w) AS share FROM sq, ws),
+m AS (SELECT huc, round(sum(n * share)) AS claims, sum(paid * share) AS paid, count(*) AS matched FROM s JOIN cl ON cl.grp = s.grp WHERE share > 0 GROUP BY huc)
+SELECT ws.huc, CAST(coalesce(claims, 0) AS BIGINT) AS claims, round(coalesce(paid, 0), 2) AS paid, coalesce(matched, 0) AS matched FROM ws LEFT JOIN m ON m.huc = ws.huc"""
+)
+def overlay_claims(spark, sf_dir):
+    def ring(x, y, w):
+        at = lambda a, b: F.struct((F.col(x) + a * F.col(w)).alias("x"), (F.col(y) + b * F.col(w)).alias("y"))
+        return F.array(at(0, 0), at(1, 0), at(1, 1), at(0, 1)).cast(O.POINT)
+
+    groups = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("group"), (F.col("c_custkey") % 60 * 700.0).alias("x"), (F.floor(F.col("c_custkey") / 60) * 500.0).alias("y"), F.lit(900.0).alias("w"))
+    units = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("huc"), (F.col("s_suppkey") % 7 * 6000.0).alias("x"), (F.col("s_suppkey") % 5 * 2100.0).alias("y"), F.lit(9000.0).alias("w"))
+    claims = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("group")).agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("paid"))
+    got = O.weigh_claims(groups.select("group", ring("x", "y", "w").alias("ring")), claims, units.select("huc", ring("x", "y", "w").alias("ring")))
+    return got.select("huc", "claims", F.round("paid", 2).alias("paid"), "matched")
+
+
 _PEAKS = f"peaks AS ({sql_text('peaks')})"
 
 
@@ -361,6 +442,22 @@ def damage_ladder(spark, sf_dir):
     return E.damage_ladder(_placed(spark, sf_dir, t), stages).select("multiplier", F.round("damage", 2).alias("damage"), "wet", "residents", F.round("in_channel", 2).alias("in_channel"))
 
 
+_RUNGS_AT = [0.25, 0.8, 1.7, 9.0]
+
+
+@query(
+    _with(
+        _AT + ", " + _hit("placed") + f""", lad AS MATERIALIZED (SELECT multiplier, sum(fraction * exposed) AS damage, CAST(count(*) FILTER (margin_m > 0) AS DOUBLE) AS wet FROM hit GROUP BY multiplier),
+    want(m) AS (VALUES {", ".join(f"({x})" for x in _RUNGS_AT)}), two AS (SELECT m, (SELECT max(multiplier) FROM lad WHERE multiplier <= m) AS a, (SELECT min(multiplier) FROM lad WHERE multiplier > m) AS b FROM want)""",
+        "SELECT CAST(m AS DOUBLE) AS multiplier, round(coalesce(x.damage + (m - a) / (b - a) * (y.damage - x.damage), x.damage), 2) AS damage, round(coalesce(x.wet + (m - a) / (b - a) * (y.wet - x.wet), x.wet), 6) AS wet FROM two JOIN lad x ON x.multiplier = a LEFT JOIN lad y ON y.multiplier = b",
+    )
+)
+def ladder_at(spark, sf_dir):
+    t, stages = _stages(spark, sf_dir)
+    rungs = E.damage_ladder(_placed(spark, sf_dir, t), stages)
+    return E.ladder_at(rungs, _RUNGS_AT, ("damage", "wet")).select("multiplier", F.round("damage", 2).alias("damage"), r6("wet"))
+
+
 @query()
 def damage_interval(spark, sf_dir):
     t, stages = _stages(spark, sf_dir)
