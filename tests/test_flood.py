@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from freshet.functions import scalar as S
 from freshet.operators import exposure as E
 from freshet.operators import hydraulics as H
+from freshet.operators import network as N
+from freshet.operators import overlay as O
 from freshet.operators import validation as V
 from freshet.sources.store import TerrainStore, params_hash
 from freshet.streaming.gauges import admit, token_bucket
@@ -132,7 +134,28 @@ def test_token_bucket_streams(spark, tmp_path):
     assert spark.read.parquet(f"{tmp_path}/out").where("admitted").count() == 6
 
 
-NAMES = ["terrain_fill", "terrain_hand", "terrain_accumulation", "rating_curves", "inundation", "damage_ladder", "frequency_fit", "rank_correlation", "gauge_windows_streamed"]
+def test_stage_between_observed_gauges(spark):
+    """Reaches 0 -> 1 -> 2 -> 3 of 30 m; reach 9 stands alone."""
+    reaches = spark.createDataFrame([(i, i + 1 if i < 3 else None, 30.0, 10.0 - i) for i in range(4)] + [(9, None, 30.0, 1.0)], "reach long, down long, length_m double, bed_m double")
+    at = lambda *rows: {x.reach: (x.kind, x.stage_m) for x in N.interpolate_stage(reaches, spark.createDataFrame(rows, "reach long, wse_m double, gauge_bed_m double")).collect()}
+    both = at((0, 15.0, 10.0), (3, 9.0, 7.0))
+    assert both == {0: ("gauged", 5.0), 1: ("interpolated", pytest.approx(4.0)), 2: ("interpolated", pytest.approx(3.0)), 3: ("gauged", 2.0)}
+    assert at((1, 12.0, 9.0)) == {0: ("extrapolated", 3.0), 1: ("gauged", 3.0), 2: ("extrapolated", 3.0), 3: ("extrapolated", 3.0)}
+    assert at((1, 5.0, 9.0))[1] == ("gauged", 0.0)
+
+
+def test_overlay_of_bent_and_turned_rings(spark):
+    ring = lambda *p: F.array(*[F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in p])
+    bent = ring((0, 0), (4, 0), (4, 4), (3, 4), (3, 1), (1, 1), (1, 4), (0, 4))  # a U of area 10
+    share = lambda w: one(spark, O.inside_share(bent, w))
+    assert share(ring((0, 0), (4, 0), (4, 4), (0, 4))) == pytest.approx(10 / 16)
+    assert share(ring((0, 2), (0, 4), (4, 4), (4, 2))) == pytest.approx(4 / 8)
+    assert share(ring((1, 1), (3, 1), (3, 4), (1, 4))) == pytest.approx(0)
+    assert share(ring((8, 8), (9, 8), (9, 9))) == 0 and share(ring((0, 0), (1, 0), (2, 0))) == 0
+    assert share(ring((0, 0), (1, 0), (0, 1))) == pytest.approx(1)
+
+
+NAMES = ["terrain_fill", "terrain_hand", "terrain_accumulation", "rating_curves", "inundation", "damage_ladder", "frequency_fit", "rank_correlation", "gauge_windows_streamed", "network_distance", "reach_graph", "observed_stage", "overlay_claims", "ladder_at"]
 
 
 @pytest.mark.parametrize("name", NAMES)
