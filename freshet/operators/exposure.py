@@ -106,6 +106,21 @@ def zonal(boxes: DataFrame, cells: DataFrame, cellsize: float, least_area: float
     return big.select("building_id").join(found, "building_id", "left")
 
 
+def regrid_sum(boxes: DataFrame, cellsize: float) -> DataFrame:
+    """r, c, pop: people of source squares (xmin, xmax, ymin, ymax, pop) shared out over target cells by area, so that the sum stays.
+
+    People that are null, negative or not a number, and squares without area, count as none.
+    """
+    size = F.lit(cellsize)
+    good = boxes.where((F.col("pop") > 0) & ~F.isnan("pop") & (F.col("xmax") > F.col("xmin")) & (F.col("ymax") > F.col("ymin")))
+    span = lambda low, high: F.explode(F.sequence(F.floor(low / size).cast("int"), F.ceil(high / size).cast("int") - 1))
+    spread = good.withColumn("c", span(F.col("xmin"), F.col("xmax"))).withColumn("r", span(-F.col("ymax"), -F.col("ymin")))
+    wide = F.least("xmax", (F.col("c") + 1) * size) - F.greatest("xmin", F.col("c") * size)
+    tall = F.least(-F.col("ymin"), (F.col("r") + 1) * size) - F.greatest(-F.col("ymax"), F.col("r") * size)
+    share = wide * tall / ((F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin")))
+    return spread.groupBy("r", "c").agg(F.sum(F.col("pop") * share).alias("pop"))
+
+
 def floor_margin(stage: Column, hand: Column, floor: Column) -> Column:
     """Water above the floor, negative while below it; NO_WATER where the water does not reach the building."""
     return F.when(stage - hand > 0, stage - hand - floor).otherwise(F.lit(NO_WATER))

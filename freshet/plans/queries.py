@@ -442,6 +442,20 @@ def damage_ladder(spark, sf_dir):
     return E.damage_ladder(_placed(spark, sf_dir, t), stages).select("multiplier", F.round("damage", 2).alias("damage"), "wet", "residents", F.round("in_channel", 2).alias("in_channel"))
 
 
+_PEOPLE = "SELECT (p_partkey % 50) * 23.0 AS xmin, (p_partkey % 50) * 23.0 + 23.0 AS xmax, -(p_partkey % 41) * 17.0 - 17.0 AS ymin, -(p_partkey % 41) * 17.0 AS ymax, CAST(p_size - 3 AS DOUBLE) AS pop FROM {part}"
+
+
+@query(
+    f"""WITH b AS ({_PEOPLE.format(part="part")}), s AS (SELECT *, unnest(range(0, 71)) AS r FROM b WHERE pop > 0),
+k AS (SELECT *, unnest(range(0, 116)) AS c FROM s WHERE r * {CELLSIZE} < -ymin AND (r + 1) * {CELLSIZE} > -ymax)
+SELECT CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c, round(sum(pop * (least(xmax, (c + 1) * {CELLSIZE}) - greatest(xmin, c * {CELLSIZE})) * (least(-ymin, (r + 1) * {CELLSIZE}) - greatest(-ymax, r * {CELLSIZE})) / (23.0 * 17.0)), 6) AS pop
+FROM k WHERE c * {CELLSIZE} < xmax AND (c + 1) * {CELLSIZE} > xmin GROUP BY ALL"""
+)
+def population_regrid(spark, sf_dir):
+    boxes = spark.sql(_PEOPLE, part=table(spark, sf_dir, "part")).select(*[F.col(k).cast("double").alias(k) for k in ("xmin", "xmax", "ymin", "ymax", "pop")])
+    return E.regrid_sum(boxes, CELLSIZE).select("r", "c", r6("pop"))
+
+
 _RUNGS_AT = [0.25, 0.8, 1.7, 9.0]
 
 

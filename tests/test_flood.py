@@ -155,7 +155,13 @@ def test_overlay_of_bent_and_turned_rings(spark):
     assert share(ring((0, 0), (1, 0), (0, 1))) == pytest.approx(1)
 
 
-NAMES = ["terrain_fill", "terrain_hand", "terrain_accumulation", "rating_curves", "inundation", "damage_ladder", "frequency_fit", "rank_correlation", "gauge_windows_streamed", "network_distance", "reach_graph", "observed_stage", "overlay_claims", "ladder_at"]
+def test_regridded_people_stay_as_many(spark):
+    rows = [(0.0, 25.0, -15.0, 0.0, 30.0), (5.0, 5.0, -1.0, 0.0, 9.0), (0.0, 10.0, -10.0, 0.0, -4.0), (0.0, 10.0, -10.0, 0.0, None), (0.0, 10.0, -10.0, 0.0, float("nan"))]
+    got = {(x.r, x.c): x["pop"] for x in E.regrid_sum(spark.createDataFrame(rows, "xmin double, xmax double, ymin double, ymax double, pop double"), 10.0).collect()}
+    assert got == {k: pytest.approx(v) for k, v in {(0, 0): 8, (0, 1): 8, (0, 2): 4, (1, 0): 4, (1, 1): 4, (1, 2): 2}.items()}
+
+
+NAMES = ["terrain_fill", "terrain_hand", "terrain_accumulation", "rating_curves", "inundation", "damage_ladder", "frequency_fit", "rank_correlation", "gauge_windows_streamed", "network_distance", "reach_graph", "observed_stage", "overlay_claims", "ladder_at", "population_regrid"]
 
 
 @pytest.mark.parametrize("name", NAMES)
