@@ -7,8 +7,8 @@
    dropped from that tree.
 3. In an order, the rows next to a document are those with the longest common prefix. The walk goes outward while the common prefix
    has `base` values or more, over `window` rows each way: where a region is crowded, that many rows share ever longer prefixes, so
-   the depth adapts to the region. In crowded regions every row also meets the region's centres, the rows nearest to the values that
-   most rows of the region share. Pairs whose signatures agree too seldom for the threshold are dropped.
+   the depth adapts to the region. In regions of over 2 * window rows every row also meets the region's centres, the rows nearest to
+   the values that most rows of the region share, chosen once per region over all tasks. Pairs whose signatures agree too seldom for the threshold are dropped.
 4. Confirmation on full sets: first a spanning forest of each task's pairs, strongest first; then every candidate pair whose ends
    are not connected yet. Links between documents that are connected already change nothing and are not confirmed again.
 5. Components of the confirmed links, by star contraction.
@@ -178,7 +178,7 @@ class _Joined:
         return a != b
 
 
-def neighbours(tree: np.ndarray, seq: np.ndarray, ids: np.ndarray, sig: np.ndarray, base: int, window: int, least: float, centres: int = 8) -> list[tuple[float, int, int]]:
+def neighbours(tree: np.ndarray, seq: np.ndarray, ids: np.ndarray, sig: np.ndarray, base: int, window: int, least: float) -> list[tuple[float, int, int]]:
     """Candidate pairs (agreement, a, b) of rows in sorted order."""
     found: dict[tuple[int, int], float] = {}
 
@@ -197,28 +197,77 @@ def neighbours(tree: np.ndarray, seq: np.ndarray, ids: np.ndarray, sig: np.ndarr
         if not len(i):
             break
         meet(i, i + o)
-    head = np.ones(n, bool)
-    head[1:] = (tree[1:] != tree[:-1]) | (seq[1:, :base] != seq[:-1, :base]).any(axis=1)
-    at = np.append(np.flatnonzero(head), n)
-    for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-        if b - a > 2 * window:
-            part = np.sort(sig[a:b], axis=0)
-            usual = part[(b - a) // 2]  # what more than half of the rows share is the middle value
-            nearest = np.argsort(-(sig[a:b] == usual).mean(axis=1), kind="stable")[:centres] + a
-            for c in nearest:
-                meet(np.arange(a, b), np.full(b - a, c))
     return sorted(((s, a, b) for (a, b), s in found.items()), reverse=True)
 
 
-def candidates(reps: DataFrame, threshold: float, hashes: int, trees: int, depth: int, window: int) -> DataFrame:
+def least_agreement(threshold: float, hashes: int) -> float:
+    """Share of equal signature values under which a pair is not taken to reach the threshold."""
+    return threshold - 3.5 * math.sqrt(threshold * (1 - threshold) / hashes)
+
+
+def regions(reps: DataFrame, threshold: float, hashes: int, trees: int, depth: int) -> DataFrame:
+    """tree, prefix, rep and the region's number of rows n, of every representative that is not alone in its prefix."""
+    base = base_depth(threshold, trees)
+    prefix = [F.concat(*[F.substring("sig", 2 * k + 1, 2) for k in order[:base]]) for order in sequences(hashes, trees, depth)]
+    rows = reps.select("rep", F.posexplode(F.array(*[F.xxhash64(p) for p in prefix])).alias("tree", "prefix"))
+    crowd = rows.groupBy("tree", "prefix").agg(F.count("*").alias("n")).where("n > 1")
+    return rows.join(crowd, ["tree", "prefix"])
+
+
+def stars(reps: DataFrame, members: DataFrame, threshold: float, hashes: int, window: int, centres: int = 8, drawn: int = 128, salts: int = 16) -> DataFrame:
+    """u, best and partners: the centres of its crowded regions that a representative agrees with, the best one apart.
+
+    The centres are chosen once per region, among all of its rows: those nearest to the values that most rows share (the middle of
+    about `drawn` rows that a hash draws). They meet every row of the region on a salted key.
+    """
+    least = least_agreement(threshold, hashes)
+    big = written(members.where(F.col("n") > 2 * window).join(reps.select("rep", "sig"), "rep").withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(salts)).cast("int")), "crowded")
+    every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
+
+    def middle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for sigs in batch.column(2).to_pylist():
+                part = np.sort(np.frombuffer(b"".join(sigs), np.uint16).reshape(len(sigs), hashes), axis=0)
+                out.append(part[len(sigs) // 2].tobytes())  # what more than half of the rows share is the middle value
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.binary())], ["tree", "prefix", "usual"])
+
+    def agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, hashes) for i in (3, 4))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array((x == y).sum(axis=1), pa.int64())], ["tree", "prefix", "rep", "agree"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = pa.list_(pa.int64())
+        for batch in batches:
+            out: tuple[list, list, list, list] = ([], [], [], [])
+            for u, sig, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                others = [c for c in found if c["rep"] != u]
+                score = (np.frombuffer(b"".join(c["sig"] for c in others), np.uint16).reshape(len(others), hashes) == np.frombuffer(sig, np.uint16)).mean(axis=1)
+                good = [i for i in np.argsort(-score, kind="stable").tolist() if score[i] >= least]
+                if good:
+                    for column, value in zip(out, (u, others[good[0]]["rep"], float(score[good[0]]), [others[i]["rep"] for i in good]), strict=True):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64()), pa.array(out[3], lists)], ["u", "best", "score", "partners"])
+
+    from pyspark.sql import Window
+
+    some = big.where(F.pmod(F.xxhash64("rep", F.lit(1)), F.col("n")) < drawn).groupBy("tree", "prefix").agg(F.collect_list("sig").alias("sigs"))
+    usual = some.mapInArrow(middle, "tree int, prefix long, usual binary")
+    agree = big.join(usual.select("*", every), ["tree", "prefix", "salt"]).select("tree", "prefix", "rep", "sig", "usual").mapInArrow(agreement, "tree int, prefix long, rep long, agree long")
+    place = F.row_number().over(Window.partitionBy("tree", "prefix").orderBy(F.desc("agree"), "rep"))
+    top = agree.withColumn("place", place).where(F.col("place") <= centres).join(reps.select("rep", "sig"), "rep")
+    chosen = written(top.groupBy("tree", "prefix").agg(F.collect_list(F.struct("rep", "sig")).alias("found")), "centres")
+    met = big.join(chosen.select("*", every), ["tree", "prefix", "salt"]).select("rep", "sig", "found").mapInArrow(meet, "u long, best long, score double, partners array<long>")
+    return met.groupBy("u").agg(F.max_by("best", F.struct("score", -F.col("best"))).alias("best"), F.array_distinct(F.flatten(F.collect_list("partners"))).alias("partners"))  # trees * centres partners at most
+
+
+def candidates(reps: DataFrame, members: DataFrame, threshold: float, hashes: int, trees: int, depth: int, window: int) -> DataFrame:
     """crowd (rows that one task saw connected), u, all its partners there, and those of its links in the task's spanning forest."""
     base = base_depth(threshold, trees)
     orders = sequences(hashes, trees, depth)
-    least = threshold - 3.5 * math.sqrt(threshold * (1 - threshold) / hashes)
-    prefix = [F.concat(*[F.substring("sig", 2 * k + 1, 2) for k in order[:base]]) for order in orders]
-    rows = reps.select("rep", F.posexplode(F.array(*[F.xxhash64(p) for p in prefix])).alias("tree", "prefix"))
-    crowd = rows.groupBy("tree", "prefix").agg(F.count("*").alias("n")).where("n > 1").select("tree", "prefix")
-    where = rows.join(crowd, ["tree", "prefix"]).groupBy("rep").agg(F.collect_list("tree").alias("trees"))  # trees entries at most
+    least = least_agreement(threshold, hashes)
+    where = members.groupBy("rep").agg(F.collect_list("tree").alias("trees"))  # trees entries at most
     full = F.array(*[F.concat(*[F.substring("sig", 2 * k + 1, 2) for k in order]) for order in orders])
     spread = reps.join(where, "rep").select("rep", "sig", F.explode("trees").alias("tree"), full.alias("all")).select("rep", "sig", "tree", F.get("all", F.col("tree")).alias("seq"))
     parts = max(1, int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -272,6 +321,13 @@ def unconnected(found: DataFrame, label: DataFrame) -> DataFrame:
     return far.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
+def apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
+    """The pairs (u, v) whose ends have different labels, once each."""
+    end = lambda name: label.select(F.col("node").alias(name), F.col("label").alias(f"l{name}"))
+    far = pairs.join(end("u"), "u", "left").join(end("v"), "v", "left").where("coalesce(lu, u) <> coalesce(lv, v)")
+    return far.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     """The pairs (u, v) whose full sets reach the threshold: percent * intersection against union, in whole numbers."""
     percent = round(threshold * 100)
@@ -324,11 +380,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, has
     """doc_id, n_shingles, component_id and kept of every document; doc_id is a key of docs."""
     marks = written(signed(docs, words, hashes), "signed")
     reps = written(marks.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min(F.struct("doc_id", "sig")).alias("x")).select("s1", "s2", F.col("x.doc_id").alias("rep"), F.col("x.sig").alias("sig")), "representatives")
-    found = written(candidates(reps.select("rep", "sig"), threshold, hashes, trees, depth, window), "candidates")
-    sets = written(full_sets(docs, found.select(F.col("u").alias("rep")), words), "sets")
-    links = written(confirmed(found.select("u", F.explode("forest").alias("v")).distinct(), sets, threshold), "links")
-    more = written(confirmed(unconnected(found, written(components(links), "labels")), sets, threshold), "links")
-    label = components(links.unionByName(more))
+    members = written(regions(reps.select("rep", "sig"), threshold, hashes, trees, depth), "regions")
+    found = written(candidates(reps.select("rep", "sig"), members, threshold, hashes, trees, depth, window), "candidates")
+    star = written(stars(reps, members, threshold, hashes, window), "stars")
+    spokes = star.select("u", F.explode("partners").alias("v"))
+    ends = found.select(F.col("u").alias("rep")).union(star.select("u")).union(star.select(F.explode("partners")))
+    sets = written(full_sets(docs, ends, words), "sets")
+    first = found.select("u", F.explode("forest").alias("v")).union(star.select("u", F.col("best").alias("v")))
+    links = written(confirmed(first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), sets, threshold), "links")
+    label = written(components(links), "labels")
+    more = written(confirmed(unconnected(found, label).union(apart(spokes, label)).distinct(), sets, threshold), "links")
+    links = links.unionByName(more)
+    label = components(links)
     named = reps.select("s1", "s2", "rep").join(label.select(F.col("node").alias("rep"), "label"), "rep", "left").select("s1", "s2", F.coalesce("label", "rep").alias("class"))
     out = marks.drop("sig").join(named, ["s1", "s2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -1,6 +1,7 @@
 """Corpus queries on the small data set and on rows with nulls, empty texts, ties, extra columns and no rows."""
 
 import hashlib
+import random
 import re
 from collections import Counter
 
@@ -88,6 +89,27 @@ def test_minhash_against_all_pairs(spark, sf_dir):
     assert got == {i: (len(sets[i]), root(i)) for i in ids}
 
 
+def test_minhash_hub_of_a_region_that_many_tasks_share(spark):
+    """Variants that only the hub links, in a region spread over far more tasks than it has rows a task."""
+    rng = random.Random(4)
+    hub = [f"h{i}" for i in range(400)]
+    texts = [" ".join(hub)]
+    for k in range(300):
+        at = rng.sample(range(2, 398), 10)
+        texts.append(" ".join(f"v{k}x{i}" if i in at else w for i, w in enumerate(hub)))
+    docs = spark.createDataFrame([(i + 1, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    sets = [set(zip(t.split(), t.split()[1:], t.split()[2:], strict=False)) for t in texts]
+    linked = {i + 1 for i, s in enumerate(sets) if 100 * len(s & sets[0]) >= 85 * len(s | sets[0])}
+    assert len(linked) > 250
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "100")
+    try:
+        got = {x.doc_id: x.component_id for x in minhash_dedup.near_duplicates(docs, 3, 0.85).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+    assert {i for i, c in got.items() if c == 1} >= linked
+
+
 def test_suffix_against_all_windows(spark, sf_dir):
     raw = {i: t.encode() for i, t in documents(sf_dir)}
     count = Counter(hash(b[k : k + 200]) for b in raw.values() for k in range(len(b) - 199))
