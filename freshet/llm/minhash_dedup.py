@@ -12,9 +12,13 @@
 4. Confirmation on full sets: first a spanning forest of each task's pairs, strongest first; then every candidate pair whose ends
    are not connected yet. Links between documents that are connected already change nothing and are not confirmed again.
 5. Components of the confirmed links, by star contraction.
+6. Exact rest: all rows of the regions that still hold different components go through a prefix-filter join on the rarest shingles
+   of their full sets, whatever the window, the centres, the signatures and the edges of tasks left out. The prefix of the smaller
+   set holds no boilerplate as long as strangers stay below the threshold. Its pairs are confirmed like the others.
 
-The number of pairs grows with documents * trees * window, never with the square of a group. `base` follows from the threshold so
-that a pair at the threshold is missed by all trees with a chance of about one in 10**5.
+So every pair that shares a region in any tree is decided. Steps 2 to 4 make documents * trees * window pairs, and leave few
+components to step 6. `base` follows from the threshold so that a pair at the threshold shares no region with a chance of about one
+in 10**5.
 
 Defined results: a null or empty text has no shingles, is linked with nothing and is kept; a text of fewer words than a shingle is one
 shingle; long texts are read whole; ties go to the least doc_id; rows without a
@@ -40,6 +44,7 @@ _SPACE[[32, *range(9, 14)]] = True
 _BASE = 0x9E3779B97F4A7C15
 _ODD = [np.uint64(x) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x9C6E6877736C46E3)]
 _BATCH = 1 << 19
+_SLOT_BITS = 18
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -376,6 +381,79 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int, bits: int = 26) ->
     return rows.select("rep", "text", place.alias("p")).mapInArrow(run, "rep long, set binary")
 
 
+def _slots(tokens: np.ndarray) -> np.ndarray:
+    return (tokens >> np.uint64(64 - _SLOT_BITS)).astype(np.int64)
+
+
+def token_counts(sets: DataFrame) -> np.ndarray:
+    """How many sets hold the shingles of each of 2**_SLOT_BITS slots: a table of fixed size, whatever the input."""
+    size = 4096
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << _SLOT_BITS, np.int64)
+        for batch in batches:
+            for x in batch.column(0):
+                np.add.at(total, _slots(np.frombuffer(x.as_py(), np.uint64)), 1)
+        parts = [(k, c) for k, c in enumerate(total.reshape(-1, size)) if c.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([c.tobytes() for _, c in parts], pa.binary())], ["part", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(c, np.int64) for c in table.column("counts").to_pylist())
+        return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+
+    out = np.zeros((1 << _SLOT_BITS) // size * size, np.int64)
+    for row in sets.select("set").mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect():  # a fixed number of parts
+        out[row["part"] * size : (row["part"] + 1) * size] = np.frombuffer(bytes(row["counts"]), np.int64)
+    return out
+
+
+def prefixes(tokens: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.ndarray, int]:
+    """The rarest shingles of a set that a link must share: those of the larger set's prefix, and how many the smaller set's has.
+
+    A link of sets x <= y shares at least 2 * percent / (100 + percent) of x and percent of y, so in any one order of all
+    shingles the first ones of both, up to these numbers, meet.
+    """
+    n = len(tokens)
+    order = np.lexsort((tokens, counts[_slots(tokens)]))
+    small, large = n + (-2 * percent * n // (100 + percent)) + 1, n + (-percent * n // 100) + 1
+    return tokens[order[:large]], small
+
+
+def unmet(sets: DataFrame, percent: int, salts: int = 16) -> DataFrame:
+    """Every pair (u, v) of different labels that can reach the threshold, from sets (rep, label, set), by a prefix-filter join.
+
+    Of a shingle's list, one end of such a pair does not carry the list's most frequent label; only those meet the list, which is
+    split by a salt. The order of the shingles (by count of their slot) bears on the cost only.
+    """
+    sent = sets.sparkSession.sparkContext.broadcast(token_counts(sets))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["token", "rep", "label", "size", "small"]
+        for batch in batches:
+            for rep, label, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                tokens = np.frombuffer(raw, np.uint64)
+                if not len(tokens):
+                    continue
+                found, small = prefixes(tokens, sent.value, percent)
+                n = len(found)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.full(n, rep)), pa.array(np.full(n, label)), pa.array(np.full(n, len(tokens))), pa.array(np.arange(n) < small)], names)
+
+    lists = written(sets.select("rep", "label", "set").mapInArrow(run, "token long, rep long, label long, size long, small boolean"), "prefixes")
+    usual = lists.groupBy("token", "label").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
+    other = lists.join(usual, "token").where("label <> most").select("token", *[F.col(c).alias(f"o_{c}") for c in ("rep", "label", "size", "small")], F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    met = other.join(lists.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(salts)).cast("int")), ["token", "salt"])
+    first = F.struct("o_size", "o_rep") < F.struct(F.col("size").alias("o_size"), F.col("rep").alias("o_rep"))
+    near = (F.col("label") != F.col("o_label")) & F.when(first, F.col("o_small")).otherwise(F.col("small")) & (100 * F.least("size", "o_size") >= percent * F.greatest("size", "o_size"))
+    return met.where(near).select(F.least("rep", "o_rep").alias("u"), F.greatest("rep", "o_rep").alias("v")).distinct()
+
+
+def undecided(members: DataFrame, label: DataFrame) -> DataFrame:
+    """rep and label of every row of the regions that still hold different labels."""
+    known = members.join(label.select(F.col("node").alias("rep"), "label"), "rep", "left").select("tree", "prefix", "rep", F.coalesce("label", "rep").alias("label"))
+    mixed = known.groupBy("tree", "prefix").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("tree", "prefix")
+    return known.join(mixed, ["tree", "prefix"]).select("rep", "label").distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, hashes: int = 128, trees: int = 16, depth: int = 12, window: int = 12) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document; doc_id is a key of docs."""
     marks = written(signed(docs, words, hashes), "signed")
@@ -391,7 +469,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, has
     label = written(components(links), "labels")
     more = written(confirmed(unconnected(found, label).union(apart(spokes, label)).distinct(), sets, threshold), "links")
     links = links.unionByName(more)
-    label = components(links)
+    label = written(components(links), "labels")
+    open_ = written(undecided(members, label), "undecided")
+    if not open_.isEmpty():
+        rest = written(full_sets(docs, open_, words).join(open_, "rep"), "sets")
+        links = links.unionByName(written(confirmed(written(unmet(rest, round(threshold * 100)), "unmet"), rest, threshold), "links"))
+        label = components(links)
     named = reps.select("s1", "s2", "rep").join(label.select(F.col("node").alias("rep"), "label"), "rep", "left").select("s1", "s2", F.coalesce("label", "rep").alias("class"))
     out = marks.drop("sig").join(named, ["s1", "s2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -110,6 +110,21 @@ def test_minhash_hub_of_a_region_that_many_tasks_share(spark):
     assert {i for i, c in got.items() if c == 1} >= linked
 
 
+def test_minhash_pairs_among_strangers_of_the_same_boilerplate(spark):
+    """Strangers just below the threshold, pairs just above it."""
+    both = [f"b{i}" for i in range(1000)]
+    texts = []
+    for k in range(400):
+        shared = [f"p{k}x{i}" for i in range(27)]
+        texts += [" ".join(both + shared + [f"{end}{k}x{i}" for i in range(75)]) for end in "yz"]
+    docs = spark.createDataFrame([(i + 1, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    sets = [set(zip(t.split(), t.split()[1:], t.split()[2:], strict=False)) for t in texts]
+    assert all(100 * len(sets[2 * k] & sets[2 * k + 1]) >= 85 * len(sets[2 * k] | sets[2 * k + 1]) for k in range(400))
+    assert not any(100 * len(sets[0] & s) >= 85 * len(sets[0] | s) for s in sets[2:])
+    got = {x.doc_id: x.component_id for x in minhash_dedup.near_duplicates(docs, 3, 0.85).collect()}
+    assert got == {i: i - (i - 1) % 2 for i in range(1, 801)}
+
+
 def test_suffix_against_all_windows(spark, sf_dir):
     raw = {i: t.encode() for i, t in documents(sf_dir)}
     count = Counter(hash(b[k : k + 200]) for b in raw.values() for k in range(len(b) - 199))
