@@ -5,39 +5,42 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.common import written
+from freshet.llm.common import spread_join, written
 
 
-def _least(edges: DataFrame) -> DataFrame:
-    """u, v and m, the least of u and all its neighbours; a node of any degree is pre-aggregated where its edges lie."""
-    least = edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-    return edges.join(least, "u")
+def _least(edges: DataFrame, total: int) -> DataFrame:
+    """u, v and m, the least of u and all its neighbours.
+
+    The least neighbour is pre-aggregated where the edges lie, and comes back to a node of many edges on salted keys.
+    """
+    least = edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+    return spread_join(edges, least.drop("n"), "u", "v", counts=least.select("u", "n"), total=total)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    return _least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return _least(both, 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    found = _least(down)
+    found = _least(down, total)
     return found.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(found.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node and label, the least node of its component, for every node of an edge; edges has long columns u and v.
 
-    Each round moves every edge towards the least node that it can see; a logarithmic number of rounds suffices. Every round is
-    written to the shared folder, so the lineage stays short; the stop test compares one count and one sum.
+    Each round moves every edge towards the least node that it can see, until a round changes nothing: a logarithmic number of
+    rounds. Every round is written to the shared folder, so the lineage stays short; the stop test compares one count and one sum.
     """
     now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    state = None
-    for _ in range(rounds):
-        now = written(_small_star(_large_star(now).where("u <> v")), "edges")
+    state, total = None, now.count()
+    while total:
+        now = written(_small_star(_large_star(now, total).where("u <> v"), total), "edges")
         seen = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if (seen["n"], seen["h"]) == state:
             break
-        state = (seen["n"], seen["h"])
+        state, total = (seen["n"], seen["h"]), seen["n"]
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("label"))
     return nodes.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.common import written
+from freshet.llm.common import spread_join, written
 from freshet.llm.components import components
 
 _SPACE = np.zeros(256, bool)
@@ -319,17 +319,19 @@ def unconnected(found: DataFrame, label: DataFrame) -> DataFrame:
     it, and every document lists all its partners, so only the lists of those others are opened.
     """
     end = lambda name: label.select(F.col("node").alias(name), F.col("label").alias(f"l{name}"))
-    known = found.select("crowd", "u", "partners").join(end("u"), "u", "left").withColumn("lu", F.coalesce("lu", "u"))
+    known = spread_join(found.select("crowd", "u", "partners"), end("u"), "u", "crowd", "left").withColumn("lu", F.coalesce("lu", "u"))
     usual = known.groupBy("crowd", "lu").agg(F.count("*").alias("n")).groupBy("crowd").agg(F.max_by("lu", F.struct("n", "lu")).alias("most"))
-    apart = known.join(usual, "crowd").where("lu <> most").select("u", "lu", F.explode("partners").alias("v"))
-    far = apart.join(end("v"), "v", "left").where("lu <> coalesce(lv, v)")
+    apart = written(known.join(usual, "crowd").where("lu <> most").select("u", "lu", F.explode("partners").alias("v")), "opened")
+    far = spread_join(apart, end("v"), "v", "u", "left").where("lu <> coalesce(lv, v)")
     return far.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
 def apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
     """The pairs (u, v) whose ends have different labels, once each."""
     end = lambda name: label.select(F.col("node").alias(name), F.col("label").alias(f"l{name}"))
-    far = pairs.join(end("u"), "u", "left").join(end("v"), "v", "left").where("coalesce(lu, u) <> coalesce(lv, v)")
+    of, total = {c: pairs.groupBy(c).agg(F.count("*").alias("n")) for c in ("u", "v")}, pairs.count()
+    known = spread_join(pairs, end("u"), "u", "v", "left", of["u"], total)
+    far = spread_join(known, end("v"), "v", "u", "left", of["v"], total).where("coalesce(lu, u) <> coalesce(lv, v)")
     return far.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
 
 
@@ -349,8 +351,10 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
                 keep.append(100 * both >= percent * (len(a) + len(b) - both))
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["u", "v"])
 
-    left = pairs.select("u", "v").join(sets.select(F.col("rep").alias("v"), F.col("set").alias("y")), "v")
-    both = left.join(sets.select(F.col("rep").alias("u"), F.col("set").alias("x")), "u")
+    pairs = written(pairs.select("u", "v"), "pairs")
+    of, total = {c: pairs.groupBy(c).agg(F.count("*").alias("n")) for c in ("u", "v")}, pairs.count()
+    left = spread_join(pairs, sets.select(F.col("rep").alias("v"), F.col("set").alias("y")), "v", "u", counts=of["v"], total=total)
+    both = spread_join(left, sets.select(F.col("rep").alias("u"), F.col("set").alias("x")), "u", "v", counts=of["u"], total=total)
     return both.select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
 
 

@@ -39,20 +39,20 @@ def _hash(word: str) -> int:
 
 
 class _Kept(dict):
-    """A function of words, kept for a bounded number of them."""
+    """A function of words, kept for a bounded number of them; very long words are worked out each time."""
 
     def __init__(self, f: Callable[[str], int]):
         self.f = f
 
     def __missing__(self, word: str) -> int:
         value = self.f(word)
-        if len(self) < 200_000:
+        if len(self) < 200_000 and len(word) < 60:
             self[word] = value
         return value
 
 
 def shape(word: str) -> str:
-    fold = _LETTERS[0].sub(lambda m: "a" if m[0].islower() else "A" if m[0].isupper() and len(m[0]) > 1 else "Aa", word[:60])
+    fold = _LETTERS[0].sub(lambda m: "a" if m[0].islower() else "A" if m[0].isupper() and len(m[0]) > 1 else "Aa", word)
     return _LETTERS[2].sub(r"\1+", _LETTERS[1].sub("0", fold))
 
 

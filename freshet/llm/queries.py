@@ -23,15 +23,9 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_candidates, n_secrets, first secret's place and the kinds found, for every document."""
-    from pyspark.sql import functions as F
+    from freshet.llm.secret_scan import summary
 
-    from freshet.llm.secret_scan import scan
-
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    secret = F.when(F.col("secret"), True)
-    kinds = F.array_join(F.sort_array(F.collect_set(F.when(F.col("secret"), F.col("kind")))), ",")
-    found = scan(docs).groupBy("doc_id").agg(F.count("*").alias("n_candidates"), F.count(secret).alias("n_secrets"), F.min(F.when(F.col("secret"), F.col("start"))).alias("first_start"), F.max("probability").alias("score"), kinds.alias("kinds"))
-    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("n_candidates", F.lit(0)).alias("n_candidates"), F.coalesce("n_secrets", F.lit(0)).alias("n_secrets"), "first_start", F.coalesce("score", F.lit(0.0)).alias("score"), F.coalesce("kinds", F.lit("")).alias("kinds"))
+    return summary(table(spark, sf_dir, "documents"))
 
 
 def op4_sentencepiece_fst(spark: SparkSession, sf_dir: str) -> DataFrame:
