@@ -5,20 +5,21 @@ Every byte covered by a string of `length` bytes (200) that also starts anywhere
 1. Routing. Each window of `length` bytes is named by the least hash of its 32-byte grams (winnowing), so equal windows have equal
    names wherever they stand. Neighbouring windows of one name form a context; a corpus has about one context per 85 bytes. Names
    that occur once, in contexts that do not repeat themselves, hold no match and go no further.
-2. Contexts that are equal throughout are settled by counting.
-3. Index. The rest meets by name, in batches of whole names. Of a batch's contexts a suffix order gives the Burrows-Wheeler
-   transform; only its run heads are kept with their text positions and the length of their match with the suffix before (found by
-   rank comparisons). Inside a run the match of the next text position is one shorter than the last, so matching statistics of all
-   positions stream from the run heads alone. Windows whose statistic reaches `length` are marked.
-4. A name that more than `hot` different contexts share (a common line) is salted into shares, which exchange lists of the
-   fingerprints of their windows, so that no task receives such a group.
-
-Equality of contexts and, in step 4, of windows is that of 64-bit hashes within one 44-bit name.
-
-Nothing is collected; a row's size is bounded by its document. Defined results: a null text counts as empty; texts under `length`
-bytes stay; long texts are read whole; equal rows are copies of each other and go; rows
-without a doc_id are neither compared nor cut; an empty table gives an empty one; other columns
-are ignored (`cleaned` keeps them).
+2. Equal contexts of a name (equal by a hash of 128 bits) form a class: one of them stands for all, with their number as its weight.
+   Copies only lengthen the runs of a Burrows-Wheeler transform, so a class enters an index once.
+3. Index. Classes meet by name, in batches of whole names. Their suffix order gives the Burrows-Wheeler transform; only its runs are
+   kept, with the text positions of both ends and the length of their matches with the suffixes outside of the run. Inside a run the
+   match of the next text position is one shorter than the last, so matching statistics of all positions stream from the run ends
+   alone. Windows whose statistic reaches `length` are marked; the marks of a class hold for each of its contexts.
+4. A name whose classes hold more than `hot` bytes (a common line) would make its index one task. Its classes are salted into shares,
+   which exchange lists of the fingerprints of their windows, so that no task receives such a group. Windows there are equal if two
+   64-bit hashes folded into one agree within one 44-bit name. The README gives the share of removed bytes that goes this way.
+
+Nothing is collected; a row's size is bounded by its document. Rows are told apart by doc_id and text, not by doc_id alone: rows of
+one doc_id with different texts, and rows without one, are cut each by its own passages.
+
+Defined results: a null text counts as empty; texts under `length` bytes stay; long texts are read whole; equal rows are copies of
+each other and go; an empty table gives an empty one; other columns are ignored (`cleaned` keeps them).
 """
 
 from __future__ import annotations
@@ -28,10 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.common import free_name, written
+from freshet.llm.common import free_name, spread_join, written
 
 GRAM = 32
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -125,8 +126,8 @@ def _contexts_of(length: int):
     import xxhash
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, row, texts in _grouped_texts(batches, 1):
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
+        for batch, row, texts in _grouped_texts(batches, 0):
+            one, two = (batch.column(i).to_numpy() for i in (1, 2))
             long = [i for i, t in enumerate(texts) if len(t) >= length]
             pieces = []
             for i in long:  # a very long text is hashed by parts that share length - 1 bytes
@@ -144,54 +145,63 @@ def _contexts_of(length: int):
                 if not len(text):
                     continue
                 raw = memoryview(buf)
-                digest = xxhash.xxh3_64_intdigest
+                digest = xxhash.xxh3_128_digest
                 lo, hi = (starts[text] + a).tolist(), (starts[text] + b + length - 1).tolist()
-                content = np.array([digest(raw[x:y]) for x, y in zip(lo, hi, strict=True)], np.uint64).view(np.int64)
+                content = np.frombuffer(b"".join([digest(raw[x:y]) for x, y in zip(lo, hi, strict=True)]), np.int64).reshape(-1, 2)
                 base = np.array([p[1] for p in part])[text]
-                doc = ids[row + np.array([p[0] for p in part])[text]]
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array((base + a).astype(np.int32)), pa.array((base + b).astype(np.int32)), pa.array(name), pa.array(content), pa.array(own)], ["doc_id", "a", "b", "name", "content", "own"])
+                doc = row + np.array([p[0] for p in part])[text]
+                yield pa.RecordBatch.from_arrays([pa.array(one[doc]), pa.array(two[doc]), pa.array((base + a).astype(np.int32)), pa.array((base + b).astype(np.int32)), pa.array(name), pa.array(content[:, 0].copy()), pa.array(content[:, 1].copy()), pa.array(own)], ["k1", "k2", "a", "b", "name", "c1", "c2", "own"])
 
     return run
 
 
 class RunIndex:
-    """A run-length compressed Burrows-Wheeler transform of a few contexts, sampled at its run heads."""
+    """The run-length compressed Burrows-Wheeler transform of a few contexts, with samples at both ends of its runs.
 
-    def __init__(self, texts: list[bytes]):
-        """The contexts are laid end to end; an end mark below all bytes closes each."""
+    Of the suffix order only the runs stay: symbol, length (copies counted), and the text positions of the ends with the length of
+    their matches with the suffix outside of the run.
+    """
+
+    def __init__(self, texts: list[bytes], weights: list[int] | None = None):
+        """The contexts are laid end to end; an end mark below all bytes closes each. weights: how many copies each stands for."""
         sizes = np.array([len(t) for t in texts], np.int64)
         self.starts = np.cumsum(sizes + 1) - (sizes + 1)
-        self.sizes = sizes
-        symbols = np.zeros(int((sizes + 1).sum()), np.int64)
-        flat = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
+        self.sizes, self.total = sizes, int((sizes + 1).sum())
+        self.copied = np.array(weights or [1] * len(texts)) > 1
+        symbols = np.zeros(self.total, np.int16)
+        flat = np.frombuffer(b"".join(texts), np.uint8).astype(np.int16) + 1
         symbols[np.arange(len(flat)) + np.repeat(np.arange(len(texts)), sizes)] = flat
-        self.symbols = symbols
-        order, self._ranks = self._sorted(symbols)
+        order, ranks = self._sorted(symbols)
         before = symbols[order - 1]
         heads = np.ones(len(order), bool)
         heads[1:] = before[1:] != before[:-1]
-        heads[order == 0] = True  # the text's first symbol has none before it
-        at = np.flatnonzero(heads)
-        heads[at[at + 1 < len(order)] + 1] |= order[at[at + 1 < len(order)]] == 0
-        self.head = np.flatnonzero(heads)
-        self.sample = order[self.head]
-        self.match = np.zeros(len(self.head), np.int64)
-        self.match[1:] = self._common(order[self.head[1:] - 1], self.sample[1:])
-        self.order = order
+        at = np.flatnonzero(order == 0)  # the text's first symbol has none before it and is a run of its own
+        heads[at] = True
+        heads[at[at + 1 < len(order)] + 1] = True
+        head = np.flatnonzero(heads)
+        tail = np.append(head[1:], len(order)) - 1
+        inside = np.add.accumulate(np.repeat(np.array(weights or [1] * len(texts), np.int64), sizes + 1)[order])
+        self.symbol, self.length = before[head], np.diff(inside[tail], prepend=0)
+        self.first, self.last = order[head].astype(np.int64), order[tail].astype(np.int64)
+        self.first_match, self.last_match = np.zeros(len(head), np.int64), np.zeros(len(head), np.int64)
+        self.first_match[1:] = self._common(symbols, ranks, self.last[:-1], self.first[1:])
+        self.last_match[:-1] = self.first_match[1:]
 
     @staticmethod
     def _sorted(symbols: np.ndarray) -> tuple[np.ndarray, list[tuple[int, np.ndarray]]]:
         """Suffix order by prefix doubling over what is not settled yet; the ranks of each step."""
         n = len(symbols)
-        padded = np.concatenate([symbols, np.zeros(7, np.int64)])
+        padded = np.concatenate([symbols, np.zeros(7, np.int16)])
         key = np.zeros(n, np.int64)
         for j in range(7):
             key = (key << 9) | padded[j : j + n]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key, kind="stable").astype(np.int32)
         new = np.ones(n, bool)
-        new[1:] = key[order][1:] != key[order][:-1]
-        rank = np.empty(n, np.int64)
-        head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+        sorted_ = key[order]
+        new[1:] = sorted_[1:] != sorted_[:-1]
+        del key, sorted_
+        rank = np.empty(n, np.int32)
+        head = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0))
         rank[order] = head
         levels, width = [(7, rank.copy())], 7
         while True:
@@ -201,45 +211,48 @@ class RunIndex:
             if not len(slots):
                 return order, levels
             who = order[slots]
-            follow = who + width
+            follow = who.astype(np.int64) + width
             second = np.where(follow < n, rank[np.minimum(follow, n - 1)] + 1, 0)
-            key = head[slots] * (n + 1) + second
+            key = head[slots].astype(np.int64) * (n + 1) + second
             sort = np.argsort(key, kind="stable")
             who, key = who[sort], key[sort]
             order[slots] = who
             fresh = np.ones(len(slots), bool)
             fresh[1:] = key[1:] != key[:-1]
             new[slots] = fresh
-            head = np.maximum.accumulate(np.where(new, np.arange(n), 0))
+            head = np.maximum.accumulate(np.where(new, np.arange(n, dtype=np.int32), 0))
             rank[who] = head[slots]
             width *= 2
             levels.append((width, rank.copy()))
 
-    def _common(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    @staticmethod
+    def _common(symbols: np.ndarray, ranks: list[tuple[int, np.ndarray]], x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """Length of the common prefix of suffixes x and y, from the ranks of the steps."""
-        n, found = len(self.symbols), np.zeros(len(x), np.int64)
+        n, found = len(symbols), np.zeros(len(x), np.int64)
         x, y = x.copy(), y.copy()
-        for width, rank in reversed(self._ranks):
+        for width, rank in reversed(ranks):
             same = (x < n) & (y < n)
             same[same] = rank[x[same]] == rank[y[same]]
             step = np.where(same, width, 0)
             found, x, y = found + step, x + step, y + step
         for _ in range(7):
             same = (x < n) & (y < n)
-            same[same] = self.symbols[x[same]] == self.symbols[y[same]]
+            same[same] = symbols[x[same]] == symbols[y[same]]
             found, x, y = found + same, x + same, y + same
         return found
 
+    def _streamed(self, at: np.ndarray, match: np.ndarray) -> np.ndarray:
+        """The matches of all text positions, from those at samples: one shorter with each step up to the next sample."""
+        place = np.arange(self.total)
+        value, source = np.zeros(self.total, np.int64), np.full(self.total, -1)
+        value[at], source[at] = match, at
+        last = np.maximum.accumulate(source)
+        return np.where(last >= 0, value[last] - (place - last), 0)
+
     def statistics(self) -> np.ndarray:
         """Of every position, the longest match of what follows it with what follows any other position."""
-        n = len(self.symbols)
-        value, source = np.zeros(n, np.int64), np.full(n, -1)
-        value[self.sample], source[self.sample] = self.match, self.sample
-        last = np.maximum.accumulate(source)
-        before = np.where(last >= 0, value[last] - (np.arange(n) - last), 0)  # one shorter with each step inside a run
-        after = np.zeros(n, np.int64)
-        after[self.order[:-1]] = before[self.order[1:]]
-        return np.maximum(before, after)
+        found = np.maximum(self._streamed(self.first, self.first_match), self._streamed(self.last, self.last_match))
+        return np.maximum(found, self._streamed(self.starts, np.where(self.copied, self.sizes, 0)))  # a copy matches to its end
 
     def marked(self, length: int) -> list[np.ndarray]:
         """Of each context, the places from which length bytes occur elsewhere too."""
@@ -255,24 +268,20 @@ def merged(places: np.ndarray, length: int) -> list[tuple[int, int]]:
     return list(zip(places[np.append(0, cut + 1)].tolist(), (places[np.append(cut, len(places) - 1)] + length).tolist(), strict=True))
 
 
-_RANGES = "doc_id long, a int, b int"
-_RANGES_ARROW = pa.schema([("doc_id", pa.int64()), ("a", pa.int32()), ("b", pa.int32())])
+_SPANS = "name long, c1 long, c2 long, spans array<struct<x: int, y: int>>"
+_SPANS_ARROW = pa.schema([("name", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("spans", pa.list_(pa.struct([("x", pa.int32()), ("y", pa.int32())])))])
 
 
-def _range_batch(rows: list[tuple[int, int, int]]) -> pa.RecordBatch:
-    columns = list(zip(*rows, strict=True)) or [(), (), ()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _RANGES_ARROW.types, strict=True)], schema=_RANGES_ARROW)
+def _span_batch(rows: list[tuple[int, int, int, list[tuple[int, int]]]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([{"name": n, "c1": a, "c2": b, "spans": [{"x": x, "y": y} for x, y in found]} for n, a, b, found in rows if found], schema=_SPANS_ARROW)
 
 
 def _index_of(length: int, batch_bytes: int = 1 << 20):
-    """Rows (name, doc_id, a, bytes, settled), sorted by name within the partition -> ranges; whole names at a time."""
+    """Rows (name, c1, c2, bytes, weight), sorted by name within the partition -> spans of each class; whole names at a time."""
 
-    def solve(rows: list[tuple]) -> list[tuple[int, int, int]]:
-        out = []
-        for (_, doc, a, _, settled), places in zip(rows, RunIndex([r[3] for r in rows]).marked(length), strict=True):
-            if not settled:
-                out += [(doc, a + x, a + y) for x, y in merged(places, length)]
-        return out
+    def solve(rows: list[tuple]) -> pa.RecordBatch:
+        found = RunIndex([r[3] for r in rows], [r[4] for r in rows]).marked(length)
+        return _span_batch([(*row[:3], merged(places, length)) for row, places in zip(rows, found, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -280,29 +289,29 @@ def _index_of(length: int, batch_bytes: int = 1 << 20):
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if total >= batch_bytes and row[0] != held[-1][0]:
-                    yield _range_batch(solve(held))
+                    yield solve(held)
                     held, total = [], 0
                 held.append(row)
                 total += len(row[3])
         if held:
-            yield _range_batch(solve(held))
+            yield solve(held)
 
     return run
 
 
-_WANTED = "name long, doc_id long, a int, bytes binary, settled boolean, kinds long"
-_WANTED_ARROW = pa.schema([("name", pa.int64()), ("doc_id", pa.int64()), ("a", pa.int32()), ("bytes", pa.binary()), ("settled", pa.bool_()), ("kinds", pa.int64())])
+_WANTED = "name long, c1 long, c2 long, bytes binary, weight long, total long"
+_WANTED_ARROW = pa.schema([("name", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("bytes", pa.binary()), ("weight", pa.int64()), ("total", pa.int64())])
 
 
 def _wanted_of(length: int):
-    """Rows (doc_id, text, asked) -> the bytes of the contexts asked for."""
+    """Rows (text, asked) -> the bytes of the contexts asked for, which stand for their classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
-            for doc, text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for text, asked in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = text.encode("utf-8", "surrogatepass")
-                rows += [(x["name"], doc, x["a"], raw[x["a"] : x["b"] + length - 1], x["settled"], x["kinds"]) for x in asked]
+                rows += [(x["name"], x["c1"], x["c2"], raw[x["a"] : x["b"] + length - 1], x["weight"], x["total"]) for x in asked]
             for at in range(0, len(rows), 5000):
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[at : at + 5000], strict=True), _WANTED_ARROW.types, strict=True)], schema=_WANTED_ARROW)
 
@@ -315,19 +324,20 @@ def _prints(raw: bytes, length: int) -> np.ndarray:
     return (rolling(buf, length) ^ (rolling(buf, length, _BASE2) >> np.uint64(7))).view(np.int64)
 
 
-def _split_names(wanted: DataFrame, length: int, share: int = 128, buckets: int = 64) -> DataFrame:
-    """Ranges of the contexts of hot names, without gathering such a name in one task.
+def _split_names(wanted: DataFrame, length: int, share: int = 1 << 16, buckets: int = 64) -> DataFrame:
+    """Spans of the classes of hot names, without gathering such a name in one task.
 
-    A name's contexts are salted into shares. Each share lists its windows' fingerprints, those seen once and those seen again, by
-    bucket; a bucket's lists from all shares tell which fingerprints repeat; those go back to every share, which marks its
-    contexts. Lists travel as arrays, so there are a few rows per share, and work and traffic grow in proportion to the windows.
+    A name's classes are salted into shares of about `share` bytes. Each share lists its windows' fingerprints, those seen once and
+    those seen again, by bucket; a bucket's lists from all shares tell which fingerprints repeat; those go back to every share, which
+    marks its classes. Lists travel as arrays, so there are a few rows per share, and work and traffic grow in proportion to the windows.
     """
-    salts = F.ceil(F.col("kinds") / share).cast("int")
-    rows = wanted.where("kinds > 0").withColumn("salts", salts).withColumn("salt", F.pmod(F.xxhash64("doc_id", "a"), F.col("salts")).cast("int"))
+    rows = wanted.withColumn("salts", F.ceil(F.col("total") / share).cast("int")).withColumn("salt", F.pmod(F.xxhash64("c1", "c2"), F.col("salts")).cast("int"))
     listed = pa.schema([("name", pa.int64()), ("bucket", pa.int32()), ("salts", pa.int32()), ("once", pa.list_(pa.int64())), ("again", pa.list_(pa.int64()))])
 
     def lists(group: pa.Table) -> pa.Table:
-        values, counts = np.unique(np.concatenate([_prints(x.as_py(), length) for x in group.column("bytes")]), return_counts=True)
+        own, weight = [_prints(x.as_py(), length) for x in group.column("bytes")], group.column("weight").to_numpy()
+        values, at, counts = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+        counts += np.bincount(at, np.repeat(weight > 1, [len(x) for x in own]), len(values)).astype(np.int64)  # a copy is an occurrence too
         bucket, out = values % buckets, []
         for k in np.unique(bucket):
             mine = bucket == k
@@ -342,39 +352,53 @@ def _split_names(wanted: DataFrame, length: int, share: int = 128, buckets: int
 
     def mark(left: pa.Table, right: pa.Table) -> pa.Table:
         prints = np.sort(np.concatenate([np.zeros(0, np.int64), *(np.array(x.as_py(), np.int64) for x in right.column("prints"))]))
-        out: list[tuple[int, int, int]] = []
+        out = []
         if len(prints):
-            for doc, a, raw, settled in zip(*(left.column(c).to_pylist() for c in ("doc_id", "a", "bytes", "settled")), strict=True):
-                if not settled:
-                    own = _prints(raw, length)
-                    hit = prints[np.minimum(np.searchsorted(prints, own), len(prints) - 1)] == own
-                    out += [(doc, a + x, a + y) for x, y in merged(np.flatnonzero(hit), length)]
-        return pa.Table.from_batches([_range_batch(out)])
-
-    found = rows.select("name", "salt", "salts", "bytes").groupBy("name", "salt").applyInArrow(lists, "name long, bucket int, salts int, once array<long>, again array<long>")
+            for name, c1, c2, raw in zip(*(left.column(c).to_pylist() for c in ("name", "c1", "c2", "bytes")), strict=True):
+                own = _prints(raw, length)
+                hit = prints[np.minimum(np.searchsorted(prints, own), len(prints) - 1)] == own
+                out.append((name, c1, c2, merged(np.flatnonzero(hit), length)))
+        return pa.Table.from_batches([_span_batch(out)])
+
+    found = rows.select("name", "salt", "salts", "bytes", "weight").groupBy("name", "salt").applyInArrow(lists, "name long, bucket int, salts int, once array<long>, again array<long>")
     repeats = found.groupBy("name", "bucket").applyInArrow(merge, "name long, salts int, prints array<long>").where(F.size("prints") > 0)
     sent = repeats.select("name", "prints", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
-    return rows.select("name", "salt", "doc_id", "a", "bytes", "settled").groupBy("name", "salt").cogroup(sent.groupBy("name", "salt")).applyInArrow(mark, _RANGES)
-
-
-def repeated_ranges(docs: DataFrame, length: int = 200, hot: int = 256) -> DataFrame:
-    """doc_id, a, b: byte ranges that repeated windows cover; ranges of one document may overlap."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id IS NOT NULL")
-    found = written(texts.mapInArrow(_contexts_of(length), "doc_id long, a int, b int, name long, content long, own boolean"), "contexts")
-    often = found.groupBy("name").agg(F.count("*").alias("n"), F.max("own").alias("any_own")).where("n > 1 OR any_own").select("name")
-    shared = written(found.join(often, "name"), "shared")
-    alike = shared.groupBy("name", "content").agg(F.count("*").alias("same"), F.min(F.struct("doc_id", "a")).alias("one"))
-    kinds = alike.groupBy("name").agg(F.count("*").alias("kinds"))
-    rows = shared.join(alike, ["name", "content"]).join(kinds, "name")
-    one = F.col("one") == F.struct("doc_id", "a")
-    rows = written(rows.select("doc_id", "a", "b", "name", (F.col("same") > 1).alias("settled"), ((F.col("kinds") > 1) | F.col("own") & (F.col("same") == 1)).alias("mixed"), one.alias("one"), F.when(F.col("kinds") > hot, F.col("kinds")).otherwise(F.lit(0)).alias("kinds")), "rows")
-    settled = rows.where("settled").select("doc_id", "a", (F.col("b") + length - 1).alias("b"))
-    asked = rows.where("mixed AND (NOT settled OR one)").groupBy("doc_id").agg(F.collect_list(F.struct("name", "a", "b", "settled", "kinds")).alias("asked"))
-    wanted = written(texts.join(asked, "doc_id").select("doc_id", "text", "asked").mapInArrow(_wanted_of(length), _WANTED), "wanted")
-    by_name = wanted.where("kinds = 0").select("name", "doc_id", "a", "bytes", "settled")
+    return rows.select("name", "salt", "c1", "c2", "bytes").groupBy("name", "salt").cogroup(sent.groupBy("name", "salt")).applyInArrow(mark, _SPANS)
+
+
+def _keys() -> tuple[Column, Column]:
+    """What tells the rows apart: the doc_id (a hash of the text where it is null) and a hash of the text."""
+    text = F.coalesce("text", F.lit(""))
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(F.lit(1), text)), F.xxhash64(text)
+
+
+def class_spans(docs: DataFrame, length: int = 200, hot: int = 1 << 20) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The contexts of names that occur again (k1, k2, a, name, c1, c2), and the spans of their classes: by index, and by lists."""
+    k1, k2 = _keys()
+    texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), k1.alias("k1"), k2.alias("k2"))
+    found = written(texts.mapInArrow(_contexts_of(length), "k1 long, k2 long, a int, b int, name long, c1 long, c2 long, own boolean"), "contexts")
+    often = found.groupBy("name").agg(F.count("*").alias("n"), F.max("own").alias("any_own")).where("n > 1 OR any_own")
+    shared = written(spread_join(found.drop("own"), often.select("name"), "name", "c1", counts=often.select("name", "n"), total=found.count()), "shared")
+    size = F.col("b") - F.col("a") + length - 1
+    alike = shared.groupBy("name", "c1", "c2").agg(F.count("*").alias("weight"), F.min(F.struct("k1", "k2", "a", "b")).alias("one"), F.max(size).cast("long").alias("size"))
+    alike = written(alike.select("name", "c1", "c2", "weight", "size", "one.*"), "classes")
+    whole = alike.groupBy("name").agg(F.sum("size").alias("total"), F.count("*").alias("n"))
+    rows = spread_join(alike, whole.select("name", "total"), "name", "c1", counts=whole.select("name", "n"), total=alike.count())
+    asked = rows.groupBy("k1", "k2").agg(F.collect_list(F.struct("name", "c1", "c2", "a", "b", "weight", "total")).alias("asked"))
+    # equal rows send their classes twice; these have a weight above 1 anyway, and their spans are united
+    wanted = written(texts.join(asked, ["k1", "k2"]).select("text", "asked").mapInArrow(_wanted_of(length), _WANTED), "wanted")
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    indexed = by_name.repartition(parts, "name").sortWithinPartitions("name", "doc_id", "a").mapInArrow(_index_of(length), _RANGES)
-    return settled.unionByName(indexed).unionByName(_split_names(wanted, length))
+    by_name = wanted.where(F.col("total") <= hot).select("name", "c1", "c2", "bytes", "weight")
+    indexed = by_name.repartition(parts, "name").sortWithinPartitions("name", "c1", "c2").mapInArrow(_index_of(length), _SPANS)
+    return shared, indexed, _split_names(wanted.where(F.col("total") > hot), length)
+
+
+def repeated_ranges(docs: DataFrame, length: int = 200, hot: int = 1 << 20) -> DataFrame:
+    """k1, k2, a, b: byte ranges that repeated windows cover; ranges of one row may overlap."""
+    shared, indexed, listed = class_spans(docs, length, hot)
+    spans = written(indexed.unionByName(listed), "spans")
+    found = shared.select("k1", "k2", "a", "name", "c1", "c2").join(spans, ["name", "c1", "c2"]).select("k1", "k2", "a", F.explode("spans").alias("s"))
+    return found.select("k1", "k2", (F.col("a") + F.col("s.x")).alias("a"), (F.col("a") + F.col("s.y")).alias("b"))
 
 
 def _union(ranges: list) -> list[tuple[int, int]]:
@@ -388,10 +412,11 @@ def _union(ranges: list) -> list[tuple[int, int]]:
 
 
 def _with_ranges(docs: DataFrame, length: int, hot: int) -> DataFrame:
-    """docs with one more column, the last: the ranges of each document."""
-    name = free_name(docs, "ranges")
-    spans = repeated_ranges(docs, length, hot).groupBy("doc_id").agg(F.collect_list(F.struct("a", "b")).alias(name))
-    return docs.join(spans, "doc_id", "left").select(*docs.columns, name)
+    """docs with one more column, the last: the ranges of each row."""
+    name, one, two = (free_name(docs, x) for x in ("ranges", "k1", "k2"))
+    spans = repeated_ranges(docs, length, hot).groupBy("k1", "k2").agg(F.collect_set(F.struct("a", "b")).alias(name)).withColumnsRenamed({"k1": one, "k2": two})
+    k1, k2 = _keys()
+    return docs.withColumns({one: k1, two: k2}).join(spans, [one, two], "left").select(*docs.columns, name)
 
 
 def _cut(text: str | None, ranges: list) -> tuple[bytes, bytes, list[tuple[int, int]]]:
@@ -404,7 +429,7 @@ def _cut(text: str | None, ranges: list) -> tuple[bytes, bytes, list[tuple[int,
     return raw, b"".join(kept), spans
 
 
-def suffix_dedup(docs: DataFrame, length: int = 200, hot: int = 256) -> DataFrame:
+def suffix_dedup(docs: DataFrame, length: int = 200, hot: int = 1 << 20) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document."""
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
 
@@ -420,7 +445,7 @@ def suffix_dedup(docs: DataFrame, length: int = 200, hot: int = 256) -> DataFram
     return cut.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def cleaned(docs: DataFrame, length: int = 200, hot: int = 256) -> DataFrame:
+def cleaned(docs: DataFrame, length: int = 200, hot: int = 1 << 20) -> DataFrame:
     """docs without their repeated passages; a character that a cut splits goes too; n_chars follows; all rows and columns stay."""
 
     text, size = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None

@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from freshet.llm import license_scan, minhash_dedup, packing, quality_rules, secret_scan, sentencepiece_fst, suffix_dedup
+from freshet.llm import embedding_dedup, license_scan, minhash_dedup, packing, quality_rules, secret_scan, sentencepiece_fst, suffix_dedup
 from freshet.llm import queries as Q
 
 ODD = "doc_id long, text string, lang string, source string, n_chars long, ranges int, spans int"
@@ -42,13 +42,78 @@ def test_rules_packing_pieces_licences_secrets_on_odd_rows(odd):
     assert license_scan.license_scan(odd).count() == n and sentencepiece_fst.digests(odd).where("doc_id = 2").first().n_ids == 0
     packed = packing.pack(odd).collect()
     assert Counter(x.doc_id for x in packed)[6] > 1 and next(x for x in packed if x.doc_id == 1).length == 1
-    safe = secret_scan.redacted(odd, secret_scan.scan(odd))
+    safe = secret_scan.masked(odd)
     assert safe.columns == odd.columns and safe.where("doc_id = 9").first().text == "password=[SECRET] token"
 
 
+def test_rows_without_an_id_or_with_the_same_one_are_judged_by_their_own_text(spark):
+    """Secrets and passages: no row takes another's spans, and none is left out."""
+    passage = " ".join(f"shared{i}" for i in range(60))
+    alone = " ".join(f"alone{i}" for i in range(60))
+    rows = [(None, "password=863f516bfe4564e43c token"), (7, "token = 9b18565f63d0b770c4262a4f5ba8015c49c15ded end"), (7, "nothing here at all"), (None, passage + " x"), (8, passage + " y"), (8, alone), (9, "secret=ab12cd34ef"), (9, "secret=ab12cd34ef")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    safe = sorted(x.text for x in secret_scan.masked(docs).collect())
+    assert safe == sorted(["password=[SECRET] token", "token = [SECRET] end", "nothing here at all", passage + " x", passage + " y", alone, "secret=[SECRET]", "secret=[SECRET]"])
+    assert sorted((x.doc_id or 0, x.n_candidates, x.n_secrets) for x in secret_scan.summary(docs).collect()) == [(0, 0, 0), (0, 1, 1), (7, 0, 0), (7, 1, 1), (8, 0, 0), (8, 0, 0), (9, 1, 1), (9, 1, 1)]
+    clean = sorted(x.text for x in suffix_dedup.cleaned(docs).collect())
+    assert clean == sorted([r[1] for r in rows if passage not in r[1]] + ["x", "y"])
+
+
+def test_secret_labels_may_come_from_a_table(spark):
+    docs = spark.createDataFrame([(i, f"value {'ab1' * 7 + str(i) if i % 2 else 'word.' * 5 + str(i)} end") for i in range(40)], "doc_id long, text string")
+    found = secret_scan.findings(docs)
+    labelled = found.select("doc_id", "start", "end", (F.col("doc_id") % 2).cast("int").alias("label"))
+    got = secret_scan.scan(docs, labelled).collect()
+    assert len(got) == 40 and all(x.secret == bool(x.doc_id % 2) for x in got if x.label is None)
+
+
+def test_hot_names_leave_nothing_behind(spark):
+    """Names over the bound of bytes go through lists of fingerprints, with the same result."""
+    rng = random.Random(8)
+    line = "".join(rng.choices("abcdef ", k=260))
+    docs = spark.createDataFrame([(i, "".join(rng.choices("uvwxyz ", k=120)) + line + "".join(rng.choices("uvwxyz ", k=120))) for i in range(60)] + [(60, line), (61, line)], "doc_id long, text string")
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    got = rows(suffix_dedup.suffix_dedup(docs))
+    assert got == rows(suffix_dedup.suffix_dedup(docs, hot=1000)) and all(x[2] >= 260 for x in got)
+
+
+def test_packing_counters_of_common_lengths(spark):
+    docs = spark.createDataFrame([(i, "a b c") for i in range(500)] + [(i, "a " * (i % 90)) for i in range(500, 700)], "doc_id long, text string")
+    got = packing.pack(docs, capacity=64, share=20).collect()
+    seen = {}
+    for x in got:
+        seen.setdefault(x.sequence_id, []).append((x.offset, x.length))
+    for rows in seen.values():
+        at = 0
+        for offset, length in sorted(rows):
+            assert offset == at
+            at += length
+        assert at <= 64
+    assert len({(x.doc_id, x.piece) for x in got}) == len(got) and sum(x.length for x in got) == sum(x.length for x in packing.pieces(docs, 64).collect())
+
+
+def test_embeddings_of_odd_rows(spark):
+    inf, one = float("inf"), [1.0, 0.0, 0.5]
+    rows = [(1, "a", one), (2, "a", one), (3, None, one), (4, "a", None), (5, "a", [0.0, 0.0, 0.0]), (6, "a", [1.0, None, 0.5]), (7, "a", [1.0, inf, 0.5]), (8, "a", [1.0, float("nan"), 0.5]), (9, "a", [1.0, 0.0]), (10, "b", one), (11, "a", [1.0, 0.0, 0.51]), (12, "a", [])]
+    vectors = spark.createDataFrame([(i, str(2**40) + x if x else x, v, 1, 2) for i, x, v in rows], "vec_id long, label string, embedding array<double>, copies int, dim int")
+    got = {x.vec_id: (x.n_links, x.component_id, x.kept) for x in embedding_dedup.embedding_near_duplicates(vectors).collect()}
+    assert got == {i: (0, i, True) for i in range(3, 13) if i != 11} | {1: (2, 1, True), 2: (2, 1, False), 11: (2, 1, False)}
+    assert embedding_dedup.embedding_near_duplicates(vectors.where("vec_id = -1")).count() == 0
+    whole = embedding_dedup.embedding_near_duplicates(vectors.withColumn("label", F.when(F.col("label").isNotNull(), F.lit(2**40)))).collect()
+    assert {x.vec_id: x.n_links for x in whole}[10] == 3
+
+
+def test_components_of_a_long_chain_and_a_star(spark):
+    from freshet.llm.components import components
+
+    chain = [(i, i + 1) for i in range(1000, 1600)] + [(5, i) for i in range(2000, 2400)]
+    got = {x.node: x.label for x in components(spark.createDataFrame(chain, "u long, v long")).collect()}
+    assert got == {i: 1000 for i in range(1000, 1601)} | {i: 5 for i in [5, *range(2000, 2400)]}
+
+
 def test_empty_tables(odd):
     none = odd.where("doc_id = -1")
-    for f in (lambda d: minhash_dedup.near_duplicates(d), suffix_dedup.suffix_dedup, packing.pack, quality_rules.quality_rules, license_scan.license_scan, sentencepiece_fst.encoded):
+    for f in (lambda d: minhash_dedup.near_duplicates(d), suffix_dedup.suffix_dedup, packing.pack, secret_scan.summary, secret_scan.scan, quality_rules.quality_rules, license_scan.license_scan, sentencepiece_fst.encoded):
         assert f(none).count() == 0
 
 
