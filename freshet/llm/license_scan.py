@@ -4,8 +4,8 @@ A text is lower-cased (A-Z only) and cut into words of digits, letters and non-A
 the words joined by blanks, with a blank at each end, so that a phrase matches whole consecutive words only. Identifier tags
 (``SPDX-License-Identifier:``) are read from the raw text; their and/or/with expressions are parsed and evaluated.
 
-Defined results: a null or empty text has no words, no labels and score 0; a malformed expression yields the labels of the
-names it holds; very long texts are scanned whole; repeated rows give repeated results; an empty table gives an empty one;
+Defined results: a null or empty text has no words, no labels and score 0; a malformed expression (unclosed, wrapped onto another
+line, an operator without a name) yields the labels of the names read up to where it breaks, or of the first one; very long texts are scanned whole; repeated rows give repeated results; an empty table gives an empty one;
 other columns are ignored.
 """
 
@@ -60,30 +60,42 @@ _RANK = {"or": 1, "and": 2, "with": 3}
 _FOLD = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
 
 
+class Malformed(ValueError):
+    """An expression that breaks off or makes no sense; names are the licences read up to there."""
+
+    def __init__(self, why: str, names: set[str]):
+        super().__init__(why)
+        self.names = names
+
+
 def parse(expression: str) -> list[str]:
-    """The expression in postfix order (shunting-yard); ValueError if it is malformed.
+    """The expression in postfix order (shunting-yard); Malformed, with the names so far, if it is none.
 
     Reading stops at the first name that cannot continue the expression, as prose may follow a tag on its line.
     """
     out: list[str] = []
     stack: list[str] = []
-    operand = True
+    names: list[str] = []
+    operand, excepted = True, False
     for token in _TOKEN.findall(expression):
         low = token.lower()
         if low in _RANK:
+            if operand and not names:
+                first = [t.lower() for t in _TOKEN.findall(expression) if t.lower() not in _RANK and t not in "()"][:1]
+                raise Malformed(f"{token} without a licence before it", set(first))
             if operand:
-                raise ValueError(f"{token} without a licence before it")
+                raise Malformed(f"{token} without a licence before it", set(names))
             while stack and stack[-1] != "(" and _RANK[stack[-1]] >= _RANK[low]:
                 out.append(stack.pop())
             stack.append(low)
-            operand = True
+            operand, excepted = True, low == "with"
         elif token == "(":
             if not operand:
                 break
             stack.append(token)
         elif token == ")":
             if operand:
-                raise ValueError("empty brackets")
+                raise Malformed("empty brackets", set(names))
             while stack and stack[-1] != "(":
                 out.append(stack.pop())
             if not stack:
@@ -93,12 +105,14 @@ def parse(expression: str) -> list[str]:
             if not operand:
                 break
             out.append(low)
-            operand = False
+            if not excepted:
+                names.append(low)
+            operand, excepted = False, False
     if operand:
-        raise ValueError("the expression ends early")
+        raise Malformed("the expression ends early", set(names))
     while stack:
         if (top := stack.pop()) == "(":
-            raise ValueError("a bracket is not closed")
+            raise Malformed("a bracket is not closed", set(names))
         out.append(top)
     return out
 
@@ -166,8 +180,8 @@ def scan(text: str | None, auto) -> dict:
             try:
                 postfix = parse(m[1])
                 names, good = licences(postfix), evaluate(postfix)
-            except ValueError:
-                names, good = {x.lower() for x in _TOKEN.findall(m[1])[:1] if x not in "()" and x.lower() not in _RANK}, False
+            except Malformed as e:
+                names, good = e.names, False
             labels |= names
             trust = 1.0 if names else trust
             allowed = good if allowed is None else allowed and good

@@ -1,22 +1,23 @@
 """SentencePiece encoding and decoding with weighted finite-state transducers.
 
-A model is compiled into three machines: the normaliser (blank to mark, mark in front), the pieces (a trie whose leaves emit ids, with a
-byte path for every character outside the vocabulary) and, for byte-pair models, a pair filter. They are composed lazily with each
-input, and the tropical-semiring shortest path through the composition is the encoding. Unigram models weigh a piece by its
-negative log probability. For byte-pair models a sequence is the result of the merges exactly if every two neighbouring pieces are
-the result of merging their own concatenation; the filter admits just these pairs, so its composition has one path, each arc at
-cost 1, and the shortest path is found depth first (`only_path`; `shortest` relaxes states by cost and serves unigram models).
+A model is compiled into machines: the normaliser (the model's character map as a trie of longest matches, then a machine of blanks
+to marks), the pieces (a trie whose leaves emit ids), the byte fallback (a path of byte ids for every character outside the
+vocabulary) and, for byte-pair models, a pair filter. They are composed lazily with each input, and the tropical-semiring shortest
+path through the composition is the encoding. Unigram models weigh a piece by its negative log probability. For byte-pair models a
+sequence is the result of the merges exactly if every two neighbouring pieces are the result of merging their own concatenation; the
+filter's states are the last pieces, its arcs just these pairs, and each arc costs 1.
 
 Texts are cut before a mark that follows another character where no piece spans such a place (the compiler checks this), and the
 paths of parts are kept in a bounded table per worker.
 
 Defined results: a null or empty text has no ids; long texts are encoded whole; repeated rows give equal rows; an empty table gives an
-empty one; other columns are ignored. Models with a character map other than identity are refused.
+empty one; other columns are ignored. Models that treat the mark as a suffix, or words and single characters as pieces, are refused.
 """
 
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 MARK = "▁"
 _LEAF = ""
 _KEPT = 400_000
+_PARTS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
 def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
@@ -55,16 +57,80 @@ def _fields(raw: bytes) -> Iterator[tuple[int, object]]:
             at += n
 
 
+def character_map(raw: bytes) -> dict[str, str]:
+    """The rules of a compiled character map: a double-array trie over UTF-8, and the replacements, each closed by a zero byte."""
+    size = struct.unpack("<I", raw[:4])[0]
+    units, texts = np.frombuffer(raw[4 : 4 + size], "<u4").astype(np.int64), raw[4 + size :]
+    labels, letters = units & 0x800000FF, np.arange(256)
+    offset = lambda unit: (unit >> 10) << ((unit & 512) >> 6)
+    found: dict[str, str] = {}
+    stack = [(int(offset(units[0])), b"")]
+    while stack:
+        at, key = stack.pop()
+        places = at ^ letters
+        inside = places < len(units)
+        for c in letters[inside][labels[places[inside]] == letters[inside]].tolist():
+            if c == 0:
+                continue  # label 0 marks a value
+            unit = int(units[at ^ c])
+            below = (at ^ c) ^ int(offset(unit))
+            if unit >> 8 & 1:
+                start = int(units[below]) & 0x7FFFFFFF
+                found[(key + bytes([c])).decode()] = texts[start : texts.index(b"\0", start)].decode()
+            stack.append((below, key + bytes([c])))
+    return found
+
+
+class Normaliser:
+    """The machine in front: longest matches of the character map, then blanks to marks, with a mark in front."""
+
+    def __init__(self, rules: dict[str, str], fixed: list[str], prefix: bool, squeeze: bool):
+        """fixed: pieces that the user defined, which no rule changes."""
+        self.prefix, self.squeeze = prefix, squeeze
+        self.trie: dict = {}
+        for key, out in [*rules.items(), *((p.replace(MARK, " "), p.replace(MARK, " ")) for p in fixed if rules)]:
+            node = self.trie
+            for c in key:
+                node = node.setdefault(c, {})
+            node[_LEAF] = out
+        first = "".join(map(re.escape, self.trie))
+        self.skip = re.compile(f"[^{first}]+") if first else None
+
+    def mapped(self, text: str) -> str:
+        out, at, n = [], 0, len(text)
+        while at < n:
+            if m := self.skip.match(text, at):
+                out.append(m[0])
+                at = m.end()
+                continue
+            node, end, best = self.trie.get(text[at]), at + 1, None
+            while node is not None:
+                if _LEAF in node:
+                    best = (end, node[_LEAF])
+                node = node.get(text[end]) if end < n else None
+                end += 1
+            end, new = best or (at + 1, text[at])
+            out.append(new)
+            at = end
+        return "".join(out)
+
+    def __call__(self, text: str) -> str:
+        if self.trie:
+            text = self.mapped(text)
+        if self.squeeze:
+            text = re.sub(" +", " ", text.strip(" "))
+        text = text.replace(" ", MARK)
+        return MARK + text if text and self.prefix else text
+
+
 class Transducer:
     """The compiled machines of one model."""
 
     def __init__(self, model: bytes):
-        import struct
-
         self.pieces: list[str] = []
         self.scores: list[float] = []
         self.kinds: list[int] = []
-        self.prefix, self.squeeze, self.model_type = True, True, 1
+        prefix, squeeze, model_type, rules = True, True, 1, {}
         for number, value in _fields(model):
             if number == 1:
                 f = dict(_fields(value))
@@ -72,17 +138,24 @@ class Transducer:
                 self.scores.append(struct.unpack("<f", f[2])[0] if 2 in f else 0.0)
                 self.kinds.append(f.get(3, 1))
             elif number == 2:
-                self.model_type = dict(_fields(value)).get(3, 1)
+                f = dict(_fields(value))
+                model_type = f.get(3, 1)
+                if f.get(24) or model_type not in (1, 2):
+                    raise ValueError("only unigram and byte-pair models with the mark in front are supported")
             elif number == 3:
                 f = dict(_fields(value))
-                if f.get(2):
-                    raise ValueError("only the identity character map is supported")
-                self.prefix, self.squeeze = bool(f.get(3, 1)), bool(f.get(4, 1))
-        self.bpe = self.model_type == 2
+                rules = character_map(f[2]) if f.get(2) else {}
+                prefix, squeeze = bool(f.get(3, 1)), bool(f.get(4, 1))
+        self.bpe, self.prefix = model_type == 2, prefix
+        self.users = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == 4}
+        self.normalise = Normaliser(rules, list(self.users), prefix, squeeze)
         self.unknown = self.kinds.index(2)
         self.bytes = {int(p[3:5], 16): i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == 6}
         self.byte_of = {i: b for b, i in self.bytes.items()}
-        self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k in (1, 4)}
+        self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, self.kinds, strict=True)) if k == 1 or k == 4 and not self.bpe}
+        usual = [s for s, k in zip(self.scores, self.kinds, strict=True) if k == 1]
+        self.costs = [1.0 if self.bpe else 0.1 - len(p) * max(usual, default=0.0) if k == 4 else -s for p, s, k in zip(self.pieces, self.scores, self.kinds, strict=True)]
+        self.outside = 1.0 if self.bpe else 10.0 - min(usual, default=0.0)
         self.trie: dict = {}
         for p, i in self.ids.items():
             if self.bpe and self.merged(p) != [p]:
@@ -91,19 +164,15 @@ class Transducer:
             for c in p:
                 node = node.setdefault(c, {})
             node[_LEAF] = i
-        self.cuts = not any(MARK in p.lstrip(MARK) for p in self.ids)
+        self.cuts = not any(MARK in p.lstrip(MARK) for p in [*self.ids, *self.users])
+        #: In byte-pair models a piece of the user's stands alone before anything merges.
+        self.alone_first = re.compile("(" + "|".join(re.escape(p) for p in sorted(self.users, key=len, reverse=True)) + ")") if self.bpe and self.users else None
         self.alone = ["" if k == 3 else p for p, k in zip(self.pieces, self.kinds, strict=True)]
         for b, i in self.bytes.items():
             self.alone[i] = chr(b) if b < 128 else None
         self.pairs: dict[tuple[int, int], bool] = {}
         self.kept: dict[str, bytes] = {}
 
-    def normalise(self, text: str) -> str:
-        if self.squeeze:
-            text = re.sub(" +", " ", text.strip(" "))
-        text = text.replace(" ", MARK)
-        return MARK + text if text and self.prefix else text
-
     def merged(self, text: str) -> list[str]:
         """Byte-pair merges of a short string, best piece first, leftmost first."""
         parts = list(text)
@@ -131,77 +200,49 @@ class Transducer:
                 self.pairs[left, right] = known
         return known
 
-    def arcs(self, text: str, at: int) -> list[tuple[int, int, float]]:
-        """(end, piece, weight) of the pieces' machine from a place; piece -1 takes the byte path of one character."""
-        out, node = [], self.trie
-        for end in range(at, len(text)):
-            node = node.get(text[end])
-            if node is None:
-                break
-            if (i := node.get(_LEAF)) is not None:
-                out.append((end + 1, i, 1.0 if self.bpe else -self.scores[i]))
-        if text[at] not in self.ids:
-            out.append((at + 1, -1, 1.0 if self.bpe else 10.0 - min(self.scores)))
-        return out
-
     def shortest(self, text: str) -> list[int]:
-        """The shortest path of the composition with one part of a normalised text."""
-        states: list[dict[int, tuple[float, int, int]]] = [{} for _ in range(len(text) + 1)]
-        states[0][-1] = (0.0, -1, -1)
-        for at in range(len(text)):
-            if not states[at]:
+        """The shortest path of the composition with one part of a normalised text.
+
+        A state is a place with, in byte-pair models, the filter's last piece. States are relaxed from left to right, as every arc
+        leads on; piece -1 is the byte path of one character.
+        """
+        n, trie, ids, pairs, costs, bpe = len(text), self.trie, self.ids, self.pairs, self.costs, self.bpe
+        states: list[dict[int, tuple]] = [{} for _ in range(n + 1)]  # last piece -> (cost, piece, place and last piece before)
+        states[0][-1] = (0.0, -1, 0, -1)
+        for at in range(n):
+            here = states[at]
+            if not here:
                 continue
-            for end, piece, weight in self.arcs(text, at):
-                for last, (cost, _, _) in states[at].items():
-                    if self.bpe and not self.admits(last, piece):
-                        continue
-                    key = piece if self.bpe else -1
-                    old = states[end].get(key)
-                    if old is None or cost + weight < old[0]:
-                        states[end][key] = (cost + weight, at, last if self.bpe else piece)
-        path, at = [], len(text)
-        last = min(states[at], key=lambda k: states[at][k][0]) if at else -1
+            node, end, single = trie.get(text[at]), at + 1, False
+            arcs = []
+            while node is not None:
+                if (piece := node.get(_LEAF)) is not None:
+                    arcs.append((end, piece, costs[piece]))
+                    single = single or end == at + 1
+                node = node.get(text[end]) if end < n else None
+                end += 1
+            if not single and text[at] not in ids:
+                arcs.append((at + 1, -1, self.outside))
+            for end, piece, cost in arcs:
+                key = piece if bpe else -1
+                best = states[end].get(key)
+                for last, state in here.items():
+                    if bpe:
+                        if (ok := pairs.get((last, piece))) is None:
+                            ok = self.admits(last, piece)
+                        if not ok:
+                            continue
+                    if best is None or state[0] + cost < best[0]:
+                        best = (state[0] + cost, piece, at, last)
+                if best is not None:
+                    states[end][key] = best
+        at, path = n, []
+        last = min(states[n], key=lambda k: states[n][k][0])
         while at:
-            _, start, before = states[at][last]
-            piece = last if self.bpe else before
-            path.append((start, at, piece))
-            at, last = start, before if self.bpe else min(states[start], key=lambda k: states[start][k][0])
-        out: list[int] = []
-        for start, end, piece in reversed(path):
-            out += [piece] if piece >= 0 else self.fallback(text[start:end])
-        return out
-
-    def only_path(self, text: str) -> list[int]:
-        """The path of a composition that has just one (byte-pair models): depth first, longest arcs first, dead states kept."""
-        admits, pairs, trie, n = self.admits, self.pairs, self.trie, len(text)
-        stack: list[tuple[int, int, list[tuple[int, int]]]] = []
-        dead: set[tuple[int, int]] = set()
-        at, last, arcs = 0, -1, None
-        while at < n:
-            if arcs is None:
-                arcs, node, end = [], trie.get(text[at]), at + 1
-                if node is None or _LEAF not in node and text[at] not in self.ids:
-                    arcs.append((end, -1))
-                while node is not None:
-                    if (i := node.get(_LEAF)) is not None:
-                        arcs.append((end, i))
-                    node = node.get(text[end]) if end < n else None
-                    end += 1
-            while arcs:
-                arc = arcs.pop()
-                if (ok := pairs.get((last, arc[1]))) is None:
-                    ok = admits(last, arc[1])
-                if ok and arc not in dead:
-                    stack.append((at, last, arcs))
-                    (at, last), arcs = arc, None
-                    break
-            else:
-                dead.add((at, last))
-                at, last, arcs = stack.pop()
-        out: list[int] = []
-        for (start, _, _), (end, piece) in zip(stack, [(x[0], x[1]) for x in stack[1:]] + [(at, last)], strict=True):
-            out += [piece] if piece >= 0 else self.fallback(text[start:end])
-        return out
+            _, piece, start, before = states[at][last]
+            path.append([piece] if piece >= 0 else self.fallback(text[start:at]))
+            at, last = start, before
+        return [i for found in reversed(path) for i in found]
 
     def fallback(self, character: str) -> list[int]:
         """Ids of the byte path of a character."""
@@ -210,16 +251,23 @@ class Transducer:
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian 32-bit integers."""
         line = self.normalise(text)
-        parts = re.findall(f"{MARK}+[^{MARK}]*|[^{MARK}]+", line) if self.cuts else [line] if line else []
         out, kept = [], self.kept
-        for part in parts:
-            ids = kept.get(part)
-            if ids is None:
-                ids = np.array(self.only_path(part) if self.bpe else self.shortest(part), "<u4").tobytes()
-                if len(kept) < _KEPT and len(part) < 40:
-                    kept[part] = ids
-            out.append(ids)
-        return b"".join(out)
+        for stretch in self.alone_first.split(line) if self.alone_first else [line]:
+            if stretch in self.users and self.bpe:
+                out.append(np.array([self.users[stretch]], "<u4").tobytes())
+                continue
+            for part in _PARTS.findall(stretch) if self.cuts else [stretch] if stretch else []:
+                ids = kept.get(part)
+                if ids is None:
+                    ids = np.array(self.shortest(part), "<u4").tobytes()
+                    if len(kept) < _KEPT and len(part) < 40:
+                        kept[part] = ids
+                out.append(ids)
+        found = b"".join(out)
+        if not self.bytes and found:  # unknown characters next to each other are one unknown piece
+            ids = np.frombuffer(found, "<u4")
+            found = ids[np.append(True, (ids[1:] != self.unknown) | (ids[:-1] != self.unknown))].tobytes()
+        return found
 
     def decode(self, ids: list[int]) -> str:
         """The inverse machines: pieces, runs of bytes, marks to blanks, without the mark in front."""

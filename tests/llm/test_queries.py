@@ -9,7 +9,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from freshet.llm import embedding_dedup, license_scan, minhash_dedup, packing, quality_rules, secret_scan, sentencepiece_fst, suffix_dedup
+from freshet.llm import embedding_dedup, license_scan, minhash_dedup, packing, quality_classifier, quality_rules, secret_scan, sentencepiece_fst, suffix_dedup, toxicity
 from freshet.llm import queries as Q
 
 ODD = "doc_id long, text string, lang string, source string, n_chars long, ranges int, spans int"
@@ -59,6 +59,44 @@ def test_rows_without_an_id_or_with_the_same_one_are_judged_by_their_own_text(sp
     assert clean == sorted([r[1] for r in rows if passage not in r[1]] + ["x", "y"])
 
 
+def _words(rng, n):
+    return " ".join(rng.choice("the of and to in house tree river stone light water road over under between slowly".split()) for _ in range(n))
+
+
+@pytest.fixture(scope="module")
+def rated(spark):
+    """Documents with nulls, empty texts, repeated rows, an unlabelled part and clashing column names; toxic and junk ones are known."""
+    rng, rows, marks = random.Random(12), [], []
+    for i in range(900):
+        text = _words(rng, 40)
+        toxic, junk = i % 8 == 0, i % 5 == 1
+        if toxic:
+            text += " you " + " ".join(rng.sample(["moron", "idiot", "pathetic", "worthless", "scum", "zonkhead"], 3))
+        if junk:
+            text = " ".join(w.upper() + rng.choice(["!!", "$$$", "###"]) for w in text.split())
+        rows.append((i, text, "x", 0.5, i))
+        if i % 3:
+            marks.append((i, int(not junk), int(toxic)))
+    rows += [(5, rows[5][1], "x", 0.5, 5), (1001, None, None, None, None), (1002, "", None, None, None), (None, rows[8][1], None, None, None)]
+    return spark.createDataFrame(rows, "doc_id long, text string, label string, score double, words long"), spark.createDataFrame(marks + [(None, 1, 1), (3, None, None), (4, 7, 7)], "doc_id long, quality int, toxic int")
+
+
+@pytest.mark.parametrize("query", [toxicity.toxicity, quality_classifier.quality_classifier])
+def test_classifiers_on_held_out_and_odd_rows(rated, query):
+    docs, labels = rated
+    got = query(docs, labels).toPandas()
+    assert len(got) == docs.count() and got.score.between(0, 1).all() and got.predicted.isin([0, 1]).all()
+    toxic = query is toxicity.toxicity
+    held = got[got.held_out & got.doc_id.notna() & (got.doc_id < 900)]
+    truth = held.doc_id % 8 == 0 if toxic else held.doc_id % 5 != 1
+    assert len(held) > 100 and (held.predicted.astype(bool) == truth).mean() > 0.97
+    assert got[got.doc_id == 5].score.nunique() == 1  # repeated rows
+    if toxic:
+        assert (got[got.doc_id > 1000].predicted == 0).all() and got[got.doc_id.isna()].predicted.tolist() == [1]
+    none = docs.where("doc_id = -1")
+    assert query(none, labels).count() == 0 and query(docs, labels.where("doc_id = -1")).count() == docs.count()
+
+
 def test_secret_labels_may_come_from_a_table(spark):
     docs = spark.createDataFrame([(i, f"value {'ab1' * 7 + str(i) if i % 2 else 'word.' * 5 + str(i)} end") for i in range(40)], "doc_id long, text string")
     found = secret_scan.findings(docs)

@@ -1,6 +1,7 @@
 """Corpus operators' helpers against brute force, without Spark."""
 
 import random
+import struct
 from collections import Counter
 
 import numpy as np
@@ -77,8 +78,51 @@ def test_pieces_equal_the_library_and_go_round():
         text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 30)))
         ids = np.frombuffer(fst.encode(text), "<u4").tolist()
         assert ids == spm.encode(text) and fst.decode(ids) == spm.decode(ids)
-    line = fst.normalise("the shortest path")
-    assert fst.shortest(line) == fst.only_path(line)
+
+
+def _field(number: int, value) -> bytes:
+    def varint(x: int) -> bytes:
+        out = b""
+        while x > 127:
+            out, x = out + bytes([x & 127 | 128]), x >> 7
+        return out + bytes([x])
+
+    if isinstance(value, float):
+        return varint(number << 3 | 5) + struct.pack("<f", value)
+    if isinstance(value, int):
+        return varint(number << 3) + varint(value)
+    return varint(number << 3 | 2) + varint(len(value)) + value
+
+
+def _model(kind: int, pieces: list[tuple[str, float, int]], rules: bytes, with_bytes: bool, squeeze: bool) -> bytes:
+    """A model file as the library reads it."""
+    rows = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)] + [(f"<0x{b:02X}>", 0.0, 6) for b in range(256) if with_bytes] + pieces
+    out = b"".join(_field(1, _field(1, p.encode()) + _field(2, s) + _field(3, k)) for p, s, k in rows)
+    out += _field(2, _field(3, kind) + _field(35, int(with_bytes)))
+    return out + _field(3, _field(1, b"own") + (_field(2, rules) if rules else b"") + _field(3, 1) + _field(4, int(squeeze)) + _field(5, 1))
+
+
+@pytest.mark.parametrize("kind", [1, 2])
+@pytest.mark.parametrize("with_bytes", [True, False])
+@pytest.mark.parametrize("mapped", [True, False])
+def test_other_models_equal_the_library(kind, with_bytes, mapped):
+    """Unigram and byte-pair models, with and without byte fallback, character map and pieces of the user's."""
+    import sentencepiece
+
+    rng = random.Random(kind)
+    rules = dict(sentencepiece_fst._fields(dict(sentencepiece_fst._fields(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()))[3]))[2] if mapped else b""
+    words = sorted({"".join(rng.choices("abcde▁", k=rng.randint(2, 4))) for _ in range(120)})
+    words = [w for w in words if "▁" not in w[1:]]
+    if kind == 2:  # a byte-pair vocabulary holds the halves of its pieces
+        words = sorted({w[:k] for w in words for k in range(2, len(w) + 1)})
+    order = rng.sample(range(len(words) + 6), len(words) + 6)
+    pieces = [(w, -1.0 - order[i] * (1.0 if kind == 2 else 0.0371), 1) for i, w in enumerate(["▁", *"abcde", *words])] + [("<x>", 0.0, 4)]
+    model = _model(kind, pieces, rules, with_bytes, mapped)
+    spm, fst = sentencepiece.SentencePieceProcessor(model_proto=model), sentencepiece_fst.Transducer(model)
+    for _ in range(400):
+        letters = rng.choice([list("abcde "), list("ab  ▁"), list("aé日½ﬁＡ　 b"), ["<x>", "a", "b", " ", "f"]])
+        text = "".join(rng.choice(letters) for _ in range(rng.randint(0, 14)))
+        assert np.frombuffer(fst.encode(text), "<u4").tolist() == spm.encode(text), text
 
 
 def test_token_ids_equal_the_tokenizer():
@@ -120,6 +164,9 @@ def test_licence_phrases_and_expressions():
     for bad in ("", "OR MIT", "(MIT", "MIT AND"):
         with pytest.raises(ValueError):
             license_scan.parse(bad)
+    for bad, names in (("(MIT", "mit"), ("OR MIT", "mit"), ("(MIT OR Apache-2.0", "apache-2.0,mit"), ("Apache-2.0 OR (MIT", "apache-2.0,mit"), ("MIT AND", "mit"), ("GPL-2.0 WITH", "gpl-2.0"), ("(", "")):
+        got = license_scan.scan(f"SPDX-License-Identifier: {bad}\nnext line", auto)
+        assert got["labels"] == names and got["allowed"] is False
     assert "gpl-2.0" in license_scan.scan("// SPDX-License-Identifier: GPL-2.0 OR MIT", auto)["labels"]
 
 
@@ -178,7 +225,24 @@ def test_classifiers_learn_and_take_empty_texts():
     model = quality_classifier.fit(list(range(160)), [quality_classifier.ngrams(t) for t in texts], [1] * 80 + [0] * 80)
     assert quality_classifier.score(good[0], model) > 0.7 > quality_classifier.score(bad[0], model) and 0 <= quality_classifier.score("", model) <= 1
     assert quality_classifier.score("x", quality_classifier.fit([], [], [])) == pytest.approx(0.5)
-    toxic = [g + " you pathetic moron idiot" for g in good[:40]]
-    model = toxicity.fit([(i, t, int(i < 40)) for i, t in enumerate(toxic + good[40:])], 0.5)
-    assert toxicity.score("a river you pathetic moron idiot", model) > 0.5 > toxicity.score("a river", model)
-    assert 0 <= toxicity.score("", toxicity.fit([])) < 0.5
+
+
+def test_label_model_finds_accuracies_and_correlations_without_labels():
+    rng = np.random.default_rng(6)
+    n, counts = 20_000, Counter()
+    y = rng.random(n) < 0.12
+    fired = np.column_stack([rng.random(n) < np.where(y, a, b) for a, b in ((0.7, 0.03), (0.6, 0.02), (0.8, 0.03), (0.5, 0.03))])
+    fired = np.column_stack([fired, fired[:, 0] ^ (rng.random(n) < 0.02)])  # nearly a copy of the first
+    counts.update((fired @ (1 << np.arange(5))).tolist())
+    model = toxicity.label_model(dict(counts), 5)
+    assert abs(model["prior"] - 0.12) < 0.03 and model["rate"][1][2] > 0.6 > 0.1 > model["rate"][0][2]
+    assert model["share"][0] < 0.7 and model["share"][4] < 0.7 and model["share"][2] > 0.9
+    posterior = np.array([model["posterior"][m] for m in (fired @ (1 << np.arange(5))).tolist()])
+    assert ((posterior >= 0.5) == y).mean() > 0.96
+    assert toxicity.label_model({}, 5)["posterior"] == {}
+
+
+def test_voters_fire_on_words_stems_and_patterns():
+    voters = toxicity.Voters(toxicity.learned_lexicons(["zonk", "zonk*"]))
+    fired = lambda t: {n for i, n in enumerate(voters.names) if voters.votes(t, toxicity.indicators(t)) >> i & 1}
+    assert {"insult", "addressed"} <= fired("you moron") and "learned stems" in fired("zonkers") and fired("") == set() == fired("die Sache")
