@@ -7,8 +7,8 @@ path through the composition is the encoding. Unigram models weigh a piece by it
 sequence is the result of the merges exactly if every two neighbouring pieces are the result of merging their own concatenation; the
 filter's states are the last pieces, its arcs just these pairs, and each arc costs 1.
 
-Texts are cut before a mark that follows another character where no piece spans such a place (the compiler checks this), and the
-paths of parts are kept in a bounded table per worker.
+Texts are cut where no piece spans a place (the compiler notes which neighbouring characters pieces hold; first before marks, then
+inside the parts), and the paths of parts are kept in a bounded table per worker.
 
 Defined results: a null or empty text has no ids; long texts are encoded whole; repeated rows give equal rows; an empty table gives an
 empty one; other columns are ignored. Models that treat the mark as a suffix, or words and single characters as pieces, are refused.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 MARK = "▁"
 _LEAF = ""
-_KEPT = 400_000
+_KEPT = 700_000
 _PARTS = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+")
 
 
@@ -170,6 +170,8 @@ class Transducer:
         self.alone = ["" if k == 3 else p for p, k in zip(self.pieces, self.kinds, strict=True)]
         for b, i in self.bytes.items():
             self.alone[i] = chr(b) if b < 128 else None
+        #: Neighbouring characters inside pieces: no path crosses a place between two others but at a state that forgets what was before.
+        self.inside = {pair for p in self.ids for pair in zip(p, p[1:], strict=False)}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.kept: dict[str, bytes] = {}
 
@@ -196,7 +198,7 @@ class Transducer:
         if known is None:
             a, b = self.pieces[left], self.pieces[right]
             known = self.merged(a + b) == [a, b]
-            if len(self.pairs) < 2 * _KEPT:
+            if len(self.pairs) < _KEPT:
                 self.pairs[left, right] = known
         return known
 
@@ -204,38 +206,39 @@ class Transducer:
         """The shortest path of the composition with one part of a normalised text.
 
         A state is a place with, in byte-pair models, the filter's last piece. States are relaxed from left to right, as every arc
-        leads on; piece -1 is the byte path of one character.
+        leads on, and places that no path reaches are passed over; piece -1 is the byte path of one character.
         """
         n, trie, ids, pairs, costs, bpe = len(text), self.trie, self.ids, self.pairs, self.costs, self.bpe
-        states: list[dict[int, tuple]] = [{} for _ in range(n + 1)]  # last piece -> (cost, piece, place and last piece before)
-        states[0][-1] = (0.0, -1, 0, -1)
+        states: list[dict[int, tuple] | None] = [None] * (n + 1)  # last piece -> (cost, piece, place and last piece before)
+        states[0] = {-1: (0.0, -1, 0, -1)}
+
+        def reach(end: int, piece: int, cost: float, at: int, last: int) -> None:
+            key, there = piece if bpe else -1, states[end]
+            if there is None:
+                states[end] = {key: (cost, piece, at, last)}
+            elif key not in there or cost < there[key][0]:
+                there[key] = (cost, piece, at, last)
+
         for at in range(n):
             here = states[at]
-            if not here:
+            if here is None:
                 continue
-            node, end, single = trie.get(text[at]), at + 1, False
-            arcs = []
+            ways = list(here.items())
+            if text[at] not in ids:
+                cost, last = min((state[0], last) for last, state in ways)
+                reach(at + 1, -1, cost + self.outside, at, last)
+            node, end = trie.get(text[at]), at
             while node is not None:
+                end += 1
                 if (piece := node.get(_LEAF)) is not None:
-                    arcs.append((end, piece, costs[piece]))
-                    single = single or end == at + 1
+                    for last, state in ways:
+                        if bpe:
+                            if (ok := pairs.get((last, piece))) is None:
+                                ok = self.admits(last, piece)
+                            if not ok:
+                                continue
+                        reach(end, piece, state[0] + costs[piece], at, last)
                 node = node.get(text[end]) if end < n else None
-                end += 1
-            if not single and text[at] not in ids:
-                arcs.append((at + 1, -1, self.outside))
-            for end, piece, cost in arcs:
-                key = piece if bpe else -1
-                best = states[end].get(key)
-                for last, state in here.items():
-                    if bpe:
-                        if (ok := pairs.get((last, piece))) is None:
-                            ok = self.admits(last, piece)
-                        if not ok:
-                            continue
-                    if best is None or state[0] + cost < best[0]:
-                        best = (state[0] + cost, piece, at, last)
-                if best is not None:
-                    states[end][key] = best
         at, path = n, []
         last = min(states[n], key=lambda k: states[n][k][0])
         while at:
@@ -259,7 +262,7 @@ class Transducer:
             for part in _PARTS.findall(stretch) if self.cuts else [stretch] if stretch else []:
                 ids = kept.get(part)
                 if ids is None:
-                    ids = np.array(self.shortest(part), "<u4").tobytes()
+                    ids = self._joined_paths(part)
                     if len(kept) < _KEPT and len(part) < 40:
                         kept[part] = ids
                 out.append(ids)
@@ -269,6 +272,21 @@ class Transducer:
             found = ids[np.append(True, (ids[1:] != self.unknown) | (ids[:-1] != self.unknown))].tobytes()
         return found
 
+    def _joined_paths(self, part: str) -> bytes:
+        """Shortest paths of the stretches of a part between places that no piece spans, put together."""
+        out, kept, inside, start = [], self.kept, self.inside, 0
+        places = [i for i, pair in enumerate(zip(part, part[1:], strict=False), 1) if pair not in inside]
+        for end in [*places, len(part)]:
+            stretch = part[start:end]
+            ids = kept.get(stretch)
+            if ids is None:
+                ids = np.array(self.shortest(stretch), "<u4").tobytes()
+                if places and len(kept) < _KEPT and len(stretch) < 40:
+                    kept[stretch] = ids
+            out.append(ids)
+            start = end
+        return b"".join(out)
+
     def decode(self, ids: list[int]) -> str:
         """The inverse machines: pieces, runs of bytes, marks to blanks, without the mark in front."""
         try:  # without bytes of wider characters every id has a text of its own
