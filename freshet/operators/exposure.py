@@ -1,11 +1,8 @@
-"""Exposure and damage: buildings on a grid, curves, values, the ladder of discharges and the Monte Carlo interval."""
+"""Exposure and damage: buildings on a grid, built-in curves, values, the ladder of discharges, intervals of draws."""
 
 from __future__ import annotations
 
-import math
-
-import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freshet.functions.scalar import clip, generic_class, interp
@@ -38,12 +35,6 @@ CURVES = {
 RATES = {"residential": 2000.0, "commercial": 2500.0, "industrial": 1500.0, "other": 1800.0}
 
 
-def curve_table(spark: SparkSession, curves: dict = CURVES) -> DataFrame:
-    """family, class, depths, fractions: a few rows, small whatever the inventory."""
-    rows = [(f, k, list(DEPTHS), list(v)) for f, classes in curves.items() for k, v in classes.items()]
-    return spark.createDataFrame(rows, "family string, class string, depths array<double>, fractions array<double>")
-
-
 def curve_class(name: Column, known: list[str] = list(RATES), default: str = "residential") -> Column:
     """The curve's class of a building class: exact, else by prefix, else the default."""
     generic = generic_class(name)
@@ -164,30 +155,36 @@ def ladder_at(rungs: DataFrame, multipliers: list[float], columns: tuple[str, ..
     return packed.select("multiplier", *[interp(F.col("multiplier"), F.col("x.multiplier"), F.col(f"x.{c}")).alias(c) for c in columns])
 
 
-def monte_carlo(buildings: DataFrame, draws: int = 1000, seed: int = 20220228, sigma_stage: float = 0.15, sigma_dem: float = 0.15, sigma_cost: float = 0.25, weights: dict[str, float] | None = None) -> DataFrame:
-    """draw, total and wet of each draw over buildings (building_id, margin_m, building_class, floor_area_m2, storeys).
+def building_depths(boxes: DataFrame, cells: DataFrame, cellsize: float, rows: int, cols: int, least_area: float = 10.0, statistic: str = "max") -> DataFrame:
+    """depth_m, floor_depth_m, floor_margin_m, hand_m, reach_id and off_raster of every box (building_id, corners, found_ht_m) of the least area.
 
-    A draw's stage, cost and family come from the driver's generator; the noise of a building in a draw is a hash of (seed, draw,
-    building) made normal, so it does not depend on partitions. Draws are a fixed number of columns in one array, exploded beside
-    each building and pre-aggregated per draw.
+    statistic: max, mean, p90 or centroid. A box whose cells are all undefined has depth 0; one beyond the raster has depth 0, a
+    margin of -inf, a height of +inf and reach -1, as has a box that the water's height is unknown for.
     """
-    weights = weights or {"HAZUS": 0.6, "JRC_GLOBAL": 0.4}
-    rng = np.random.default_rng(seed)
-    names = list(weights)
-    p = np.array([weights[n] for n in names])
-    family = rng.choice(len(names), draws, p=p / p.sum())
-    stage, cost = rng.normal(0, sigma_stage, draws), rng.lognormal(-(sigma_cost**2) / 2, sigma_cost, draws)
-    each = buildings.sparkSession.createDataFrame([(i, int(family[i]), float(stage[i]), float(cost[i])) for i in range(draws)], "draw int, family int, d_stage double, d_cost double")
-    rows = buildings.crossJoin(F.broadcast(each))  # a fixed number of draws
-    u = lambda k: (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "draw", "building_id"), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    noise = F.sqrt(-2 * F.log(u(1))) * F.cos(2 * math.pi * u(2)) * sigma_dem
-    depth = F.when(F.col("margin_m") <= NO_WATER_BELOW, F.col("margin_m")).otherwise(F.col("margin_m") + F.col("d_stage") + noise)
-    rows = rows.withColumn("depth", depth)
-    share = F.lit(None).cast("double")
-    for k, name in enumerate(names):
-        share = F.when(F.col("family") == k, damage_fraction(F.col("depth"), name, F.col("building_class"))).otherwise(share)
-    damage = share * storey_exposure(F.col("depth"), F.col("storeys")) * exposed_value(F.col("floor_area_m2"), F.col("building_class")) * F.col("d_cost")
-    return rows.groupBy("draw").agg(F.sum(damage).alias("total"), F.count_if(F.col("depth") > 0).alias("wet"))
+    inf = float("inf")
+    found = zonal(boxes, cells, cellsize, least_area)
+    kept = boxes.where((F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin")) >= least_area)
+    outside = (F.col("xmax") < 0) | (F.col("xmin") >= cols * cellsize) | (F.col("ymin") > 0) | (F.col("ymax") <= -rows * cellsize)
+    both = kept.join(found, "building_id", "left")
+    if statistic == "centroid":
+        at = lambda low, high, sign: F.floor(sign * (F.col(low) + F.col(high)) / 2 / cellsize).cast("int")
+        middle = kept.select("building_id", at("ymin", "ymax", -1).alias("r"), at("xmin", "xmax", 1).alias("c")).join(cells.select("r", "c", F.col("depth_m").alias("depth_centroid")), ["r", "c"]).select("building_id", "depth_centroid")
+        both = both.join(middle, "building_id", "left")
+    depth = F.when(outside, 0.0).otherwise(F.coalesce(F.col(f"depth_{statistic}"), F.lit(0.0)))
+    margin = F.when(~outside & (depth > 0), depth - F.col("found_ht_m")).otherwise(F.lit(-inf))
+    return both.select("building_id", depth.alias("depth_m"), F.greatest(depth - F.col("found_ht_m"), F.lit(0.0)).alias("floor_depth_m"), margin.alias("floor_margin_m"), F.when(outside, F.lit(inf)).otherwise(F.coalesce("hand_p10", F.lit(inf))).alias("hand_m"), F.when(outside, F.lit(-1).cast("long")).otherwise(F.coalesce(F.col("reach").cast("long"), F.lit(-1))).alias("reach_id"), outside.alias("off_raster"))
+
+
+def exposure_counts(depths: DataFrame, n_boxes: int) -> DataFrame:
+    """n, n_inundated (floor wet), n_wet_ground, n_off_raster and n_too_small, of n_boxes boxes in all."""
+    return depths.agg(F.count("*").alias("n"), F.count_if(F.col("floor_depth_m") > 0).alias("n_inundated"), F.count_if(F.col("depth_m") > 0).alias("n_wet_ground"), F.count_if("off_raster").alias("n_off_raster"), (F.lit(n_boxes) - F.count("*")).alias("n_too_small"))
+
+
+def reference_damage(buildings: DataFrame, stages: DataFrame, references: list[float], family: str = "HAZUS") -> DataFrame:
+    """building_id and one column of damage for each reference multiplier (d0, d1, ...), which must be rungs of the stage table."""
+    rows = buildings.where("reach IS NOT NULL AND hand IS NOT NULL").join(stages.where(F.col("multiplier").isin(references)), "reach").withColumn("margin_m", floor_margin(F.col("stage_m"), F.col("hand"), F.col("found_ht_m")))
+    hit = estimate(rows, family)
+    return hit.groupBy("building_id").agg(*[F.sum(F.when(F.col("multiplier") == m, F.col("damage")).otherwise(0.0)).alias(f"d{i}") for i, m in enumerate(references)])
 
 
 def interval(draws: DataFrame, low: float = 0.05, high: float = 0.95) -> DataFrame:

@@ -149,38 +149,56 @@ def _local_components(part: pd.DataFrame) -> pd.DataFrame:
         label = new
 
 
-def _stars(edges: DataFrame, rounds: int) -> DataFrame:
-    """node and label by alternating large and small stars."""
+def spread_join(rows: DataFrame, facts: DataFrame, key: str, by: str, how: str = "inner", counts: DataFrame | None = None, total: int | None = None, parts: int = 2000) -> DataFrame:
+    """rows joined with facts on key, such that no task gets a key whole that holds more than 1/parts of all rows.
 
-    def least(e: DataFrame) -> DataFrame:
-        return e.join(e.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "u")
+    There are at most `parts` such keys, which bounds what is broadcast: each with its number of salts, together at most twice
+    `parts`. Its rows are dealt over the salts by a hash of the column `by`, and its facts are repeated for every salt. counts (key
+    and n, its rows) and total (all rows) save counting where they are known; else rows should be a written table.
+    how: inner or left.
+    """
+    if counts is None:
+        counts = rows.groupBy(key).agg(F.count("*").alias("n"))
+    share = max(1.0, (rows.count() if total is None else total) / parts)
+    hot = F.broadcast(counts.where(F.col("n") > share).select(key, F.ceil(F.col("n") / share).cast("int").alias("salts_")))
+    left = rows.join(hot, key, "left").withColumn("salt_", F.when(F.col("salts_").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), F.col("salts_")).cast("int"))).drop("salts_")
+    right = facts.join(hot, key, "left").withColumn("salt_", F.explode(F.sequence(F.lit(0), F.coalesce("salts_", F.lit(1)) - 1))).drop("salts_")
+    return left.join(right, [key, "salt_"], how).drop("salt_")
+
+
+def _stars(edges: DataFrame) -> DataFrame:
+    """node and label by alternating large and small stars, until a round changes nothing."""
+
+    def least(e: DataFrame, total: int) -> DataFrame:
+        found = e.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        return spread_join(e, found.drop("n"), "u", "v", counts=found.select("u", "n"), total=total)
 
     now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    seen = None
-    for _ in range(rounds):
+    seen, total = None, now.count()
+    while total:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = least(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        small = least(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")))
+        large = least(both, 2 * total).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        small = least(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), total)
         now = written(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        state = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
         if state == seen:
             break
-        seen = state
+        seen, total = state, state["n"]
     return now.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("label"))).groupBy("node").agg(F.min("label").alias("label"))
 
 
-def components(edges: DataFrame, rounds: int = 40, tile: Callable[[Column], Column] | None = None) -> DataFrame:
+def components(edges: DataFrame, tile: Callable[[Column], Column] | None = None) -> DataFrame:
     """node and label (the least node connected to it) for all nodes of edges (u, v).
 
     tile gives a node's tile; edges inside tiles are contracted there, and the stars join the tiles' components only.
     """
     if tile is None:
-        return _stars(edges, rounds)
+        return _stars(edges)
     placed = written(edges.where("u <> v").select("u", "v", tile(F.col("u")).alias("tile"), (tile(F.col("u")) == tile(F.col("v"))).alias("inside")), "edges")
     local = written(placed.where("inside").select("u", "v", "tile").groupBy("tile").applyInPandas(_local_components, "node long, label long"), "labels")
     name = lambda k: local.select(F.col("node").alias(k), F.col("label").alias(f"l{k}"))
     between = placed.where("NOT inside").join(name("u"), "u", "left").join(name("v"), "v", "left").select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v"))
-    whole = written(_stars(between, rounds), "labels")
+    whole = written(_stars(between), "labels")
     alone = whole.join(local, "node", "left_anti").select("node", F.col("node").alias("label"))
     final = whole.select(F.col("node").alias("label"), F.col("label").alias("least"))
     return local.unionByName(alone).join(final, "label", "left").select("node", F.coalesce("least", "label").alias("label"))

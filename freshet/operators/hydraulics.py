@@ -70,6 +70,12 @@ def stage_table(curves: DataFrame, discharge: DataFrame, multipliers: list[float
     return rows.select("reach", "multiplier", F.coalesce(interp(F.col("discharge_cms") * F.col("multiplier"), F.col("flows"), F.col("stages")), F.lit(0.0)).alias("stage_m"))
 
 
+def stage_gaps(curves: DataFrame, discharge: DataFrame) -> DataFrame:
+    """reach, missing (it has no curve, so its stage is 0) and capped (its discharge exceeds the curve's last)."""
+    top = curves.groupBy("reach").agg(F.max("discharge_cms").alias("top"))
+    return discharge.join(top, "reach", "left").select("reach", F.col("top").isNull().alias("missing"), F.coalesce(F.col("discharge_cms") > F.col("top"), F.lit(False)).alias("capped"))
+
+
 def ladder(top: float = 3.0, step: float = 0.05, detail: bool = True) -> list[float]:
     """Multipliers of the discharge, with finer ones below the first."""
     rungs = {round(float(x), 10) for x in np.linspace(0, top, round(top / step) + 1)}

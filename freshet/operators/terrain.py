@@ -111,21 +111,33 @@ def flow_direction(cells: DataFrame, cellsize: float = 1.0, size: int = 256) ->
     return _rim(rows, size).groupBy("tr", "tc").applyInPandas(kernel, rows.withColumn("flowdir", F.lit(0).cast("smallint")).schema)
 
 
-def relax(cells: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], size: int, rounds: int = 200) -> DataFrame:
-    """Apply kernel to every tile and its rim until no row says `moved`; kernel returns the tile's own rows, same columns."""
+def relax(cells: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], size: int) -> DataFrame:
+    """Apply kernel to tiles and their rims until no row says `moved`; kernel returns the tile's own rows, same columns.
+
+    After the first round only the tiles beside one that moved are given to the kernel again; the others keep their rows. Levels and
+    steps only fall, so the rounds come to an end, however many a large grid needs.
+    """
     state = written(cells.withColumn("moved", F.lit(True)), "tiles")
     schema = state.schema
     names = cells.columns
+    at = lambda k: F.floor(F.col(k) / F.lit(float(size))).cast("int")
+    beside = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])).alias("d")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         return kernel(part)[[*names, "moved"]]
 
-    for _ in range(rounds):
-        spread = _rim(state.select(*names), size)
-        state = written(spread.groupBy("tr", "tc").applyInPandas(run, schema), "tiles")
-        if _settled_tiles(state):
-            return state.select(*names)
-    raise ValueError("the tiles did not settle")
+    first = True
+    while first or not _settled_tiles(state):
+        if first:
+            state = written(_rim(state.select(*names), size).groupBy("tr", "tc").applyInPandas(run, schema), "tiles")
+            first = False
+            continue
+        near = state.where("moved").select(at("r").alias("tr"), at("c").alias("tc")).distinct().select("tr", "tc", beside)
+        active = written(near.select((F.col("tr") + F.col("d.a")).alias("tr"), (F.col("tc") + F.col("d.b")).alias("tc")).distinct(), "active")
+        again = _rim(state.select(*names), size).join(active, ["tr", "tc"], "left_semi").groupBy("tr", "tc").applyInPandas(run, schema)
+        rest = state.withColumns({"tr": at("r"), "tc": at("c")}).join(active, ["tr", "tc"], "left_anti").select(*names, F.lit(False).alias("moved"))
+        state = written(again.unionByName(rest), "tiles")
+    return state.select(*names)
 
 
 def _settled_tiles(state: DataFrame) -> bool:
@@ -134,6 +146,10 @@ def _settled_tiles(state: DataFrame) -> bool:
 
 def fill_depressions(cells: DataFrame, epsilon: float = 0.0, size: int = 256, four: bool = False) -> DataFrame:
     """cells with w: the least level at which water at a cell reaches the domain's edge (minimax over paths, plus epsilon a step)."""
+    if epsilon < 0:
+        raise ValueError("an epsilon is not negative")
+    if epsilon and (top := cells.agg(F.max(F.abs("z")).alias("top")).first()["top"]) is not None and np.float32(top) + np.float32(epsilon) == np.float32(top):
+        raise ValueError(f"an epsilon of {epsilon} vanishes beside levels of {top} in single precision")
     steps = [(a, b) for k, a, b in DIRECTIONS if not four or a == 0 or b == 0]
     start = cells.select("cell", "r", "c", "z", F.lit(None).cast("double").alias("w"))
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from freshet.functions.scalar import log_scale
+from freshet.operators.graph import spread_join
+from freshet.sources.store import written
 
 
 def extent_metrics(pairs: DataFrame) -> DataFrame:
@@ -25,7 +27,24 @@ def scorable_marks(marks: DataFrame, graded_only: bool = True) -> DataFrame:
 def mark_metrics(marks: DataFrame) -> DataFrame:
     """n, rmse, bias, median absolute error and share wet; columns surface_m, ground_m, observed_m; dry marks count at the ground."""
     error = F.coalesce("surface_m", "ground_m") - F.col("observed_m")
-    return marks.agg(F.count("*").alias("n"), F.sqrt(F.avg(error * error)).alias("rmse"), F.avg(error).alias("bias"), F.median(F.abs(error)).alias("median_abs"), F.avg(F.col("surface_m").isNotNull().cast("double")).alias("recall"))
+    rows = written(marks.select(error.alias("e"), F.abs(error).alias("v"), F.col("surface_m").isNotNull().cast("double").alias("wet")), "errors")
+    n = rows.where("v IS NOT NULL").count()
+    middle = at_places(rows.select("v"), "v", [(n - 1) // 2, n // 2]) if n else None
+    sums = rows.agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.avg("e").alias("bias"), F.avg("wet").alias("recall"))
+    return sums.select("n", "rmse", "bias", F.lit(None if middle is None else sum(middle) / 2).cast("double").alias("median_abs"), "recall")
+
+
+def _ranged(df: DataFrame, value: str) -> tuple[DataFrame, list[tuple[int, int, int]]]:
+    """The distinct values with their counts n in range partitions (part), and (part, values before it, values in it)."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = df.groupBy(value).agg(F.count("*").alias("n"))
+    placed = written(counts.repartitionByRange(parts, value).withColumn("part", F.spark_partition_id()), "ranks")
+    sizes = sorted((r["part"], r["n"]) for r in placed.groupBy("part").agg(F.sum("n").alias("n")).collect())  # one row per partition
+    out, at = [], 0
+    for part, n in sizes:
+        out.append((part, at, n))
+        at += n
+    return placed, out
 
 
 def mean_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
@@ -33,21 +52,23 @@ def mean_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
 
     The running count goes over range partitions and their starts, so that no task sees all rows.
     """
-    counts = df.groupBy(value).agg(F.count("*").alias("n"))
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = counts.repartitionByRange(parts, value).withColumn("part", F.spark_partition_id())
-    from freshet.sources.store import written
-
-    placed = written(placed, "ranks")
-    sizes = sorted((r["part"], r["n"]) for r in placed.groupBy("part").agg(F.sum("n").alias("n")).collect())  # one row per partition
-    pairs, at = [], 0
-    for part, n in sizes:
-        pairs += [F.lit(part), F.lit(at)]
-        at += n
+    placed, starts = _ranged(df, value)
+    pairs = [F.lit(x) for part, at, _ in starts for x in (part, at)]
     offset = F.element_at(F.create_map(*pairs), F.col("part")) if pairs else F.lit(0)
     upto = F.sum("n").over(Window.partitionBy("part").orderBy(value))
-    ranked = placed.select(value, (offset + upto - (F.col("n") - 1) / 2.0).alias(name))
-    return df.join(ranked, value)
+    ranked = placed.select(value, (offset + upto - (F.col("n") - 1) / 2.0).alias(name), "n")
+    return spread_join(df, ranked.drop("n"), value, value if len(df.columns) == 1 else next(c for c in df.columns if c != value), counts=ranked.select(value, "n"), total=sum(n for _, _, n in starts))
+
+
+def at_places(df: DataFrame, value: str, places: list[int]) -> list:
+    """The values at places (from 0) of the sorted rows, by range partitions: only those that hold a place are looked into."""
+    placed, starts = _ranged(df.where(F.col(value).isNotNull()), value)
+    found = []
+    for place in places:
+        part, at, _ = next(s for s in starts if s[1] <= place < s[1] + s[2])
+        upto = F.sum("n").over(Window.partitionBy("part").orderBy(value))
+        found.append(placed.where(F.col("part") == part).withColumn("upto", upto).where(F.col("upto") > place - at).agg(F.min(value).alias("v")).first()["v"])
+    return found
 
 
 def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
@@ -57,8 +78,11 @@ def spearman(df: DataFrame, x: str, y: str) -> DataFrame:
 
 
 def upper_median(df: DataFrame, value: Column) -> DataFrame:
-    """The value at place n div 2 (from 0) of the sorted ones."""
-    return df.select(value.alias("v")).where("v IS NOT NULL").agg(F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY v DESC)").alias("median"), F.count("*").alias("n"))
+    """The value at place n div 2 (from 0) of the sorted ones, and n; no task holds all values."""
+    rows = df.select(value.alias("v")).where("v IS NOT NULL")
+    n = rows.count()
+    found = at_places(rows, "v", [n // 2])[0] if n else None
+    return df.sparkSession.createDataFrame([(None if found is None else float(found), n)], "median double, n long")
 
 
 def compare_tracts(model: DataFrame, claims: DataFrame, aid: DataFrame) -> DataFrame:
@@ -68,6 +92,28 @@ def compare_tracts(model: DataFrame, claims: DataFrame, aid: DataFrame) -> DataF
     return both.select("tract", "modelled", "wet", z("paid").alias("paid"), z("claims").alias("claims"), z("aid").alias("aid"))
 
 
+def tract_scores(tracts: DataFrame) -> DataFrame:
+    """One row over compared tracts: n, rank correlations of modelled damage with claims paid, with aid, and of counts, the upper median
+    of the ratios of modelled to paid damage, and the totals. Tracts are an administrative few thousand."""
+    rho = lambda x, y, name: spearman(tracts, x, y).select(F.col("rho").alias(name))
+    median = upper_median(tracts.where("paid > 0"), F.col("modelled") / F.col("paid")).select(F.col("median").alias("median_ratio"))
+    out = tracts.agg(F.count("*").alias("n"), F.sum("modelled").alias("modelled"), F.sum("paid").alias("paid"), F.sum("aid").alias("aid"))
+    for one in (rho("modelled", "paid", "rho_paid"), rho("modelled", "aid", "rho_aid"), rho("wet", "claims", "rho_counts"), median):
+        out = out.crossJoin(F.broadcast(one))  # one row each
+    return out
+
+
+def against_interval(claims: DataFrame, intervals: DataFrame, key: str) -> DataFrame:
+    """Claims (key, paid) beside the model's interval (key, low, median, high): the median's ratio, inside, and model_below_claims."""
+    both = intervals.join(claims, key, "left").withColumn("paid", F.coalesce("paid", F.lit(0.0)))
+    return both.select(key, "paid", F.try_divide("median", F.when(F.col("paid") > 0, F.col("paid"))).alias("ratio"), F.col("paid").between(F.col("low"), F.col("high")).alias("inside"), (F.col("high") < F.col("paid")).alias("model_below_claims"))
+
+
+def count_within(rows: DataFrame, value: str, low: float, high: float) -> DataFrame:
+    """inside and n: how many values lie between low and high, both included."""
+    return rows.agg(F.count_if(F.col(value).between(low, high)).alias("inside"), F.count("*").alias("n"))
+
+
 def block_reduce(cells: DataFrame, factor: int, how: str, rows: int, cols: int) -> DataFrame:
     """r, c, v per block of factor * factor cells: mean, max or sum of value; missing cells ignored, partial blocks left out."""
     agg = {"mean": F.avg, "max": F.max, "sum": F.sum}[how]
@@ -95,9 +141,18 @@ def drift(now: DataFrame, golden: DataFrame, tolerance: float) -> DataFrame:
 
 
 def evict_to_budget(files: DataFrame, budget: int) -> DataFrame:
-    """Files (path, mtime, size, unit) to delete, oldest first within each unit, until what stays is within the budget."""
-    newest = Window.partitionBy("unit").orderBy(F.col("mtime").desc(), "path").rowsBetween(Window.unboundedPreceding, 0)
-    return files.withColumn("kept", F.sum("size").over(newest)).where(F.col("kept") > budget).drop("kept")
+    """Files (path, mtime, size, unit) to delete, oldest first within each unit, until what stays is within the budget.
+
+    The running size goes over range partitions of (unit, newest first) and what lies before each of them in the unit, so that a unit
+    of any size is spread over tasks.
+    """
+    parts = int(files.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("unit"), F.col("mtime").desc(), F.col("path")]
+    placed = written(files.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "files")
+    sums = placed.groupBy("unit", "part").agg(F.sum("size").alias("held"))  # partitions + units rows at most
+    before = sums.withColumn("before", F.coalesce(F.sum("held").over(Window.partitionBy("unit").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("held")
+    upto = F.sum("size").over(Window.partitionBy("unit", "part").orderBy(F.col("mtime").desc(), "path").rowsBetween(Window.unboundedPreceding, 0))
+    return placed.withColumn("upto", upto).join(before, ["unit", "part"]).where(F.col("upto") + F.col("before") > budget).select(*files.columns)
 
 
 def first_valid(tiles: DataFrame) -> DataFrame:

@@ -260,15 +260,20 @@ _WAY = (
     _STREAMS
     + f""",
 way2(src, node, d) AS (SELECT cell, cell, 0.0::DOUBLE FROM routed UNION ALL SELECT w.src, t.next, w.d + {_STEP} FROM way2 w JOIN routed t ON t.cell = w.node WHERE t.next IS NOT NULL),
-gauge AS MATERIALIZED (SELECT link AS gauge, cell FROM links WHERE seq = 0 AND link % 17 = 3),
+gauge AS MATERIALIZED (SELECT link AS gauge, cell FROM links JOIN supplier ON s_suppkey = link WHERE seq = 0),
 path AS MATERIALIZED (SELECT g.gauge, w.node, -w.d AS base FROM gauge g JOIN way2 w ON w.src = g.cell)"""
 )
 
 
+def _gauged(spark, sf_dir) -> DataFrame:
+    """Links with a gauge: every supplier stands at the head of the link of its number, where there is one."""
+    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("link"))
+
+
 @query(_with(_WAY, "SELECT p.gauge, w.src AS cell, round(arg_min(w.d + p.base, w.d), 6) AS distance_m FROM way2 w JOIN path p ON p.node = w.node GROUP BY p.gauge, w.src"))
 def network_distance(spark, sf_dir):
     t = terrain(spark, sf_dir)
-    gauges = t.links.where("seq = 0 AND link % 17 = 3").select(F.col("link").alias("gauge"), "cell")
+    gauges = t.links.where("seq = 0").join(_gauged(spark, sf_dir), "link").select(F.col("link").alias("gauge"), "cell")
     return N.network_distance(t.routed, gauges, CELLSIZE).select("gauge", "cell", r6("distance_m"))
 
 
@@ -292,7 +297,7 @@ def reach_graph(spark, sf_dir):
         _REACHES
         + """,
 bed AS MATERIALIZED (SELECT l.link AS reach, r.z AS bed FROM links l JOIN routed r ON r.cell = l.cell WHERE l.seq = 0),
-ga AS MATERIALIZED (SELECT reach, 1.0 + reach % 3 AS depth FROM bed WHERE reach % 5 = 2),
+ga AS MATERIALIZED (SELECT reach, 1.0 + reach % 3 AS depth FROM bed JOIN supplier ON s_suppkey = reach),
 rw(src, node, d) AS (SELECT reach, down, length_m FROM rg WHERE down IS NOT NULL UNION ALL SELECT w.src, g.down, w.d + g.length_m FROM rw w JOIN rg g ON g.reach = w.node WHERE g.down IS NOT NULL),
 lo2 AS (SELECT rw.src AS reach, min(d) AS d, arg_min(depth, d) AS depth FROM rw JOIN ga ON ga.reach = rw.node GROUP BY rw.src),
 up2 AS (SELECT node AS reach, d, depth FROM rw JOIN ga ON ga.reach = rw.src QUALIFY row_number() OVER (PARTITION BY node ORDER BY round(d, 6), src) = 1),
@@ -305,7 +310,7 @@ al AS (SELECT bed.reach, bed, CASE WHEN ga.depth IS NOT NULL THEN 'gauged' WHEN
 def observed_stage(spark, sf_dir):
     t = terrain(spark, sf_dir)
     bed = t.links.where("seq = 0").join(t.routed.select("cell", "z"), "cell").select(F.col("link").alias("reach"), F.col("z").alias("bed_m"))
-    gauges = bed.where("reach % 5 = 2").select("reach", (F.col("bed_m") + 1.0 + F.col("reach") % 3).alias("wse_m"), F.col("bed_m").alias("gauge_bed_m"))
+    gauges = bed.join(_gauged(spark, sf_dir).withColumnRenamed("link", "reach"), "reach").select("reach", (F.col("bed_m") + 1.0 + F.col("reach") % 3).alias("wse_m"), F.col("bed_m").alias("gauge_bed_m"))
     rows = N.interpolate_stage(N.reach_graph(t.links, t.streams, COLS, CELLSIZE).join(bed, "reach", "left"), gauges)
     return rows.select("reach", "kind", r6("stage_m"), r6("wse_m"))
 
@@ -472,14 +477,6 @@ def ladder_at(spark, sf_dir):
     return E.ladder_at(rungs, _RUNGS_AT, ("damage", "wet")).select("multiplier", F.round("damage", 2).alias("damage"), r6("wet"))
 
 
-@query()
-def damage_interval(spark, sf_dir):
-    t, stages = _stages(spark, sf_dir)
-    rows = _placed(spark, sf_dir, t).where("hand IS NOT NULL").join(stages.where("multiplier = 1.0"), "reach")
-    rows = rows.withColumn("margin_m", E.floor_margin(F.col("stage_m"), F.col("hand"), F.col("found_ht_m")))
-    return E.interval(E.monte_carlo(rows, draws=200))
-
-
 _BOX = "SELECT p_partkey AS building_id, CAST((p_partkey * 7) % 1270 AS DOUBLE) AS xmin, CAST((p_partkey * 7) % 1270 + 5 + p_size % 13 AS DOUBLE) AS xmax, -CAST((p_partkey * 5) % 1100 + 6 + p_size % 11 AS DOUBLE) AS ymin, -CAST((p_partkey * 5) % 1100 AS DOUBLE) AS ymax FROM {part}"
 
 
@@ -614,13 +611,21 @@ def gauge_windows(spark, sf_dir):
     return G.windowed(view(spark, sf_dir, "gauge")).select("site", "start", "n", r6("mean"), "peak")
 
 
-@query(ORACLE["gauge_windows"])
+_LATE = "INTERVAL 10 MINUTE"
+
+
+@query(
+    f"""WITH e AS (SELECT event_id, user_id AS site, ts, value, date_trunc('hour', ts) AS start FROM events), w AS (SELECT max(ts) FILTER (event_id % 3 = 0) - {_LATE} AS one, max(ts) - {_LATE} AS two FROM e)
+    SELECT site, start, count(*) AS n, round(avg(value), 6) AS mean, max(value) AS peak FROM e, w WHERE (event_id % 3 < 2 OR start + INTERVAL 1 HOUR > one) AND start + INTERVAL 1 HOUR <= two GROUP BY site, start"""
+)
 def gauge_windows_streamed(spark, sf_dir):
-    """The same windows kept by a stream over the table's files, to the end of its data."""
-    schema = table(spark, sf_dir, "events").schema
-    source = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{sf_dir}/events.parquet*")
-    rows = source.select(F.col("user_id").cast("long").alias("site"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("value"))
+    """Windows that a stream closes. The readings come in three parts; the watermark of the first says what of the third is late."""
+    events = table(spark, sf_dir, "events")
     out = f"{shared_dir(spark)}/freshet/gauges-{uuid.uuid4().hex}"
-    writer = G.windowed(rows).writeStream.outputMode("complete").option("checkpointLocation", f"{out}/log").trigger(availableNow=True)
-    writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{out}/data")).start().awaitTermination()
+    for k in range(3):
+        events.where(F.col("event_id") % 3 == k).coalesce(1).write.mode("append").parquet(f"{out}/in")
+    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
+    rows = source.select(F.col("user_id").cast("long").alias("site"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("value"))
+    writer = G.windowed(rows).writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/log")
+    writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{out}/data").select("site", "start", "n", r6("mean"), "peak")

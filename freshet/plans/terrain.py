@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from freshet.operators import terrain as T
 from freshet.sources.adapters import COLS, view
-from freshet.sources.store import written
+from freshet.sources.store import fingerprint, table, written
 
 #: Cells; small grids have small streams.
 THRESHOLD, MIN_BRANCH = 30, 1
+#: Cells a side of a tile: small beside the usual 256, so that the data set's narrow grid has several tiles each way.
+TILE = 64
 
 
 @dataclass(frozen=True)
@@ -45,12 +47,17 @@ def route_terrain(cells: DataFrame, cols: int, cellsize: float = 1.0, threshold:
     return Terrain(raw, filled, first, routed, streams, links, written(T.reach_catchments(drained, links), "hand"))
 
 
-_DONE: dict[tuple[str, str], Terrain] = {}
+_DONE: dict[tuple[str, str, str], Terrain] = {}
 
 
 def terrain(spark: SparkSession, sf_dir: str) -> Terrain:
-    """The terrain of the data set's grid; computed once per application, as all scenarios share it."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The terrain of the data set's grid, which all scenarios share; computed once per application and state of the table's files."""
+    key = (spark.sparkContext.applicationId, sf_dir, fingerprint(table(spark, sf_dir, "lineitem")))
     if key not in _DONE:
-        _DONE[key] = route_terrain(T.valid_cells(view(spark, sf_dir, "dem")), COLS)
+        _DONE[key] = route_terrain(T.valid_cells(view(spark, sf_dir, "dem")), COLS, size=TILE)
     return _DONE[key]
+
+
+def forget() -> None:
+    """Compute the terrain anew at the next call."""
+    _DONE.clear()

@@ -9,6 +9,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,14 +17,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the cluster names none."""
+    """The folder that driver and executors share, as spark.checkpoint.dir names it; only a session in one process may do without."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="freshet-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _file(spark: SparkSession, path: str):
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found, found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether the store that the path names holds it."""
+    found, store = _file(spark, path)
+    return store.exists(found)
+
+
+def fingerprint(*tables: DataFrame) -> str:
+    """A hash of the names, sizes and times of the files behind tables: changed files give another one."""
+    rows = [tuple(r) for t in tables for r in t.select("_metadata.file_path", "_metadata.file_size", F.col("_metadata.file_modification_time").cast("string")).distinct().collect()]  # one row a file
+    return hashlib.sha256(repr(sorted(rows)).encode()).hexdigest()[:16]
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it back."""
     spark = df.sparkSession
@@ -67,12 +87,26 @@ class TerrainStore:
         return f"{self.root}/huc={unit}/params={key}"
 
     def exists(self, unit: str, key: str) -> bool:
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self._path(unit, key)}/_SUCCESS")
-        return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        return exists(self.spark, f"{self._path(unit, key)}/_SUCCESS")
 
     def put(self, unit: str, key: str, cells: DataFrame) -> None:
-        cells.write.mode("overwrite").parquet(self._path(unit, key))
+        """Write beside the artifact and put it in its place when it is whole, so that a failed job leaves the old one."""
+        final = self._path(unit, key)
+        part = f"{self.root}/.part-{uuid.uuid4().hex}"
+        cells.write.parquet(part)
+        target, store = _file(self.spark, final)
+        store.delete(target, True)
+        store.mkdirs(target.getParent())
+        if not store.rename(_file(self.spark, part)[0], target):
+            raise OSError(f"{part} could not become {final}")
+
+    def find(self, unit: str | None = None) -> DataFrame:
+        """huc and params of the artifacts in the store, of one unit or all."""
+        pattern = f"{self.root}/huc={unit or '*'}/params=*/_SUCCESS"
+        found, store = _file(self.spark, pattern)
+        names = [str(f.getPath().getParent()) for f in (store.globStatus(found) or [])]
+        rows = [(n.split("/huc=")[1].split("/")[0], n.rsplit("/params=", 1)[1]) for n in names]
+        return self.spark.createDataFrame(rows, "huc string, params string")
 
     def get(self, unit: str, key: str) -> DataFrame:
         return self.spark.read.parquet(self._path(unit, key))

@@ -55,4 +55,4 @@ def token_bucket(requests: DataFrame, per_minute: float = 30.0, burst: int = 10,
 
 def stages(discharges: DataFrame, curves: DataFrame) -> DataFrame:
     """Stage of every reading of discharge (reach, ts, discharge_cms) on the static curves (reach, stages, flows): stream-static join."""
-    return discharges.join(curves, "reach").select("reach", "ts", "discharge_cms", interp(F.col("discharge_cms"), F.col("flows"), F.col("stages")).alias("stage_m"))
+    return discharges.join(curves, "reach").select(*discharges.columns, interp(F.col("discharge_cms"), F.col("flows"), F.col("stages")).alias("stage_m"))
