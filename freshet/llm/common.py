@@ -2,36 +2,39 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from freshet.operators.graph import spread_join  # noqa: F401  (the corpus operators take it from here)
+from freshet.sources.store import shared_dir, table  # noqa: F401
+
 #: White space that separates words in every contract: blank, and tab to carriage return.
 WORD_GAP = r"[\x20\x09-\x0D]+"
 WORD_BYTES = rb"[^\x20\x09-\x0D]+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A table of the data set; only Spark reads the path, so any store that Spark knows will do."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+_SCOPE: list[str] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, as spark.checkpoint.dir names it.
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """On leaving, delete what `written` put into the shared folder meanwhile; what is still needed must be written elsewhere by then."""
+    _SCOPE.append(f"scratch-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        remove(spark, f"{shared_dir(spark)}/freshet/{_SCOPE.pop()}")
 
-    Only a session in one process may do without that setting and gets a folder of its own; on a cluster such a folder would lie on
-    one machine, so there the setting is required.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="freshet-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store."""
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(found, True)
 
 
 def free_name(df: DataFrame, base: str) -> str:
@@ -48,28 +51,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     Later stages survive the loss of executors, as the files belong to none of them.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/freshet/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/freshet/{_SCOPE[-1] + '/' if _SCOPE else ''}{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def spread_join(rows: DataFrame, facts: DataFrame, key: str, by: str, how: str = "inner", counts: DataFrame | None = None, total: int | None = None, parts: int = 2000) -> DataFrame:
-    """rows joined with facts on key, such that no task gets a key whole that holds more than 1/parts of all rows.
-
-    There are at most `parts` such keys, which bounds what is broadcast: each with its number of salts, together at most twice
-    `parts`. Its rows are dealt over the salts by a hash of the column `by`, and its facts are repeated for every salt. counts (key
-    and n, its rows) and total (all rows) save counting where they are known; else rows should be a written table.
-    how: inner or left.
-    """
-    if counts is None:
-        counts = rows.groupBy(key).agg(F.count("*").alias("n"))
-    share = max(1.0, (rows.count() if total is None else total) / parts)
-    hot = F.broadcast(counts.where(F.col("n") > share).select(key, F.ceil(F.col("n") / share).cast("int").alias("salts_")))
-    left = rows.join(hot, key, "left").withColumn("salt_", F.when(F.col("salts_").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), F.col("salts_")).cast("int"))).drop("salts_")
-    right = facts.join(hot, key, "left").withColumn("salt_", F.explode(F.sequence(F.lit(0), F.coalesce("salts_", F.lit(1)) - 1))).drop("salts_")
-    return left.join(right, [key, "salt_"], how).drop("salt_")
-
-
 def crc_fold(doc_id, folds: int):
     """crc32 of the id's decimal text, modulo folds."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(folds)

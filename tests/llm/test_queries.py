@@ -241,6 +241,80 @@ def test_suffix_against_all_windows(spark, sf_dir):
         assert got[i] == (sum(gone), hashlib.sha256(kept).hexdigest())
 
 
+def _fixture(spark, tmp_path):
+    """A data set of documents and labels in which every stage has something to do."""
+    rng, rows, marks = random.Random(21), [], []
+    passage = " ".join(f"passage{i}" for i in range(70))
+    for i in range(240):
+        text = " ".join(rng.choice("the of and to in house tree river stone light water road over under between slowly".split()) + str(rng.randint(0, 99)) for _ in range(60))
+        if i % 6 == 5:
+            text = " ".join(w.upper() + "$$$ !!" for w in text.split())
+        elif i % 20 == 1:
+            text += " " + passage + f" end{i}"
+        elif i % 20 == 2:
+            text += f" password=ab{i}cd93ef{i}"
+        elif i % 20 == 3:
+            text = rows[i - 1][1] + " once more"
+        rows.append((i, text, "en", "s", len(text)))
+        if i % 3:
+            marks.append((i, int(i % 6 != 5), 0))
+    rows += [(900, None, "en", "s", None), (901, "", "en", "s", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").coalesce(2).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(marks, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    return rows, passage
+
+
+def test_pipeline_against_plain_python(spark, tmp_path):
+    """Every stage by brute force: the classifier's own score, all pairs, all windows, the scan's rule, the library's tokens."""
+    import corpus_pipeline as P
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    rows, passage = _fixture(spark, tmp_path)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    model = quality_classifier.trained(docs, spark.read.parquet(f"{tmp_path}/labels.parquet"), "quality", quality_classifier.crc_fold, 4, 2, 3000)
+    kept = {i: t for i, t, *_ in rows if quality_classifier.score(t or "", model) >= 0.7}
+    assert all(i in kept for i in range(240) if i % 6 != 5) and not any(i in kept for i in range(240) if i % 6 == 5)
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for i, t in kept.items()}
+    near = {b for a in kept for b in kept if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    assert near
+    kept = {i: t for i, t in kept.items() if i not in near}
+    raw = {i: (t or "").encode() for i, t in kept.items()}
+    count = Counter(b[k : k + 200] for b in raw.values() for k in range(len(b) - 199))
+    for i, b in raw.items():
+        gone = bytearray(len(b))
+        for k in range(len(b) - 199):
+            if count[b[k : k + 200]] > 1:
+                gone[k : k + 200] = b"\1" * 200
+        kept[i] = bytes(x for x, g in zip(b, gone, strict=True) if not g).decode()
+    assert not any(passage in t for t in kept.values())
+    kept = {i: re.sub(r"password=\S+", "password=[SECRET]", t) for i, t in kept.items()}
+    assert sum("[SECRET]" in t for t in kept.values()) > 5
+    coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = {i: len(coder.encode(t, add_special_tokens=False).ids) + 1 for i, t in kept.items()}
+    got = P.run(spark, str(tmp_path)).collect()
+    assert {x.doc_id: x.length for x in got} == want and all(x.piece == 0 for x in got)
+    places = {}
+    for x in got:
+        places.setdefault(x.sequence_id, []).append((x.offset, x.length))
+    assert all(sum(n for _, n in p) <= 2048 and all(o == sum(n for q, n in p if q < o) for o, _ in p) for p in places.values())
+    assert len(places) == -(-sum(want.values()) // 2048)
+
+
+def test_pipeline_of_no_rows_and_of_other_columns(spark, tmp_path):
+    import corpus_pipeline as P
+
+    _fixture(spark, tmp_path)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    none = docs.where("doc_id < 0")
+    for _, stage in P.STAGES:
+        assert stage(spark, none, str(tmp_path)).count() == 0
+    wide = docs.select("*", F.lit(1).alias("k1"), F.lit(2).alias("ranges"), F.lit(3).alias("spans"), F.lit(4).alias("score")).where("doc_id % 20 < 3")
+    assert P.good_quality(spark, wide, str(tmp_path)).columns == P.COLUMNS
+    for stage in (P.near_unique, P.without_repeats, P.without_secrets):
+        assert stage(spark, wide, str(tmp_path)).columns == wide.columns
+
+
 def test_pipeline_stages_follow_each_other(spark, sf_dir):
     import corpus_pipeline as P
 
