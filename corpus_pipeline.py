@@ -1,6 +1,11 @@
 """A training-corpus pipeline: five stages over whole documents, each written and reread by the next.
 
 Every stage but the last takes and returns the columns of documents; what a stage drops or changes is gone for those after it.
+
+Defined results: a null text is an empty one (the classifier gives it the score of the bias alone, which decides on it; the other
+stages keep it as it is, and packing makes one end mark of it); an empty table runs through and gives no pieces; columns beyond those
+of documents end with the first stage, so their names cannot clash; rows of one doc_id with different texts are judged each by its own
+text, but for the near-duplicates, where a doc_id counts once; repeated rows stay repeated until the passages, where both are cut.
 """
 
 from __future__ import annotations
@@ -10,11 +15,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from freshet.llm.common import shared_dir, table
+from freshet.llm.common import remove, scratch, shared_dir, table
 from freshet.llm.minhash_dedup import deduplicated
 from freshet.llm.packing import pack
 from freshet.llm.quality_classifier import accepted
-from freshet.llm.secret_scan import redacted, scan
+from freshet.llm.secret_scan import masked
 from freshet.llm.suffix_dedup import cleaned
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -37,7 +42,7 @@ def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts with every found secret replaced."""
-    return redacted(docs, scan(docs))
+    return masked(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,15 +58,18 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packed),
 ]
 
-#: SQL can express neither the classifier nor the tokenizer; the tests hold run() against a brute-force version.
+#: SQL can express neither the classifier nor the tokenizer; a test follows run() stage by stage with plain Python on a small fixture.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents."""
+    """The stages applied to documents; what a stage leaves in the shared folder goes once the next one's output is whole."""
     docs = table(spark, sf_dir, "documents")
     folder = f"{shared_dir(spark)}/freshet/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        with scratch(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return docs
