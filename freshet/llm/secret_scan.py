@@ -345,8 +345,3 @@ def masked(docs: DataFrame, mark: str = "[SECRET]", labelled: DataFrame | None =
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
     return docs.mapInArrow(run, docs.schema)
-
-
-def redacted(docs: DataFrame, found: DataFrame | None = None, mark: str = "[SECRET]") -> DataFrame:
-    """docs with every secret replaced by mark; see masked."""
-    return masked(docs, mark)
