@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freshet.llm.common import spread_join, written
-from freshet.llm.components import components
+from freshet.llm.components import components, joined
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
@@ -469,16 +469,17 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, has
     ends = found.select(F.col("u").alias("rep")).union(star.select("u")).union(star.select(F.explode("partners")))
     sets = written(full_sets(docs, ends, words), "sets")
     first = found.select("u", F.explode("forest").alias("v")).union(star.select("u", F.col("best").alias("v")))
-    links = written(confirmed(first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), sets, threshold), "links")
+    links = confirmed(first.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), sets, threshold)
     label = written(components(links), "labels")
     more = written(confirmed(unconnected(found, label).union(apart(spokes, label)).distinct(), sets, threshold), "links")
-    links = links.unionByName(more)
-    label = written(components(links), "labels")
+    if not more.isEmpty():
+        label = written(joined(label, more), "labels")
     open_ = written(undecided(members, label), "undecided")
     if not open_.isEmpty():
         rest = written(full_sets(docs, open_, words).join(open_, "rep"), "sets")
-        links = links.unionByName(written(confirmed(written(unmet(rest, round(threshold * 100)), "unmet"), rest, threshold), "links"))
-        label = components(links)
+        more = written(confirmed(unmet(rest, round(threshold * 100)), rest, threshold), "links")
+        if not more.isEmpty():
+            label = joined(label, more)
     named = reps.select("s1", "s2", "rep").join(label.select(F.col("node").alias("rep"), "label"), "rep", "left").select("s1", "s2", F.coalesce("label", "rep").alias("class"))
     out = marks.drop("sig").join(named, ["s1", "s2"], "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.common import crc_fold, learning_sample, logistic_curve
+from freshet.llm.common import crc_fold, learning_sample, logistic_curve, written
 
 _LETTERS = (re.compile(r"[^\W\d_]+"), re.compile(r"\d+"), re.compile(r"(.)\1+"))
 
@@ -108,18 +108,16 @@ def dual_coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], y: np.nda
     return w
 
 
-def fit(ids: list[int], grams: list[np.ndarray], labels: list[int], min_docs: int = 3) -> dict:
-    """Sorted n-grams with their weights, bias and the curve; the result does not depend on the order of the rows."""
-    order = sorted(range(len(ids)), key=lambda i: ids[i])
-    grams, y = [grams[i] for i in order], np.array([labels[i] for i in order], int)
+def fit(ids: list[int], sparse: list[np.ndarray], labels: list[int], index: np.ndarray) -> dict:
+    """Sorted n-grams with their weights, bias and the curve; sparse: of each row, its places in the sorted index of n-grams.
+
+    The result does not depend on the order of the rows.
+    """
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], labels[i], len(sparse[i])))
+    sparse, y = [sparse[i] for i in order], np.array([labels[i] for i in order], int)
     none = np.zeros(0)
-    if len(set(y.tolist())) < 2:
+    if len(set(y.tolist())) < 2 or not len(index):
         return {"grams": none.astype(np.uint64), "pull": none, "norm": none, "bias": 0.0, "slope": 1e-6, "at": 0.0}
-    keys, counts = np.unique(np.concatenate(grams), return_counts=True)
-    index = keys[counts >= min_docs]
-    if not len(index):
-        index = keys
-    sparse = [_found(g, index) for g in grams]
     counts = np.ones((2, len(index)))
     for label, row in zip(y, sparse, strict=True):
         counts[label, row] += 1
@@ -165,15 +163,28 @@ def score(text: str, model: dict) -> float:
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        grams = pa.array([ngrams(t.as_py() or "").tobytes() for t in batch.column(1)], pa.binary())
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.int32()), grams], ["doc_id", "label", "grams"])
+        grams = [ngrams(t.as_py() or "").view(np.int64) for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.int32()), pa.array(grams, pa.list_(pa.int64()))], ["doc_id", "label", "grams"])
+
 
+def trained(docs: DataFrame, labels: DataFrame, target: str, fold: Callable[[Column, int], Column], folds: int, held: int, per_class: int, min_docs: int = 3) -> dict:
+    """The model, from a bounded sample of labelled rows outside the held-out fold.
 
-def trained(docs: DataFrame, labels: DataFrame, target: str, fold: Callable[[Column, int], Column], folds: int, held: int, per_class: int) -> dict:
-    """The model, from a bounded sample of labelled rows outside the held-out fold."""
+    The sample's n-grams are counted by Spark; the driver gets those of at least min_docs rows, and each row's places among them.
+    """
     sample = learning_sample(docs, labels, target, fold, folds, held, per_class)
-    rows = sample.mapInArrow(_sampled, "doc_id long, label int, grams binary").toArrow()  # bounded by per_class
-    return fit(rows.column("doc_id").to_pylist(), [np.frombuffer(x.as_py(), np.uint64) for x in rows.column("grams")], rows.column("label").to_pylist())
+    rows = written(sample.mapInArrow(_sampled, "doc_id long, label int, grams array<long>"), "sample")
+    often = rows.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("gram").toArrow()
+    index = np.sort(often.column("gram").to_numpy().view(np.uint64))
+    sent = docs.sparkSession.sparkContext.broadcast(index)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [_found(np.array(x.as_py(), np.int64).view(np.uint64), sent.value).astype(np.int32).tobytes() for x in batch.column(2)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.binary())], ["doc_id", "label", "places"])
+
+    known = rows.mapInArrow(places, "doc_id long, label int, places binary").toArrow()  # bounded by per_class
+    return fit(known.column("doc_id").to_pylist(), [np.frombuffer(x.as_py(), np.int32) for x in known.column("places")], known.column("label").to_pylist(), index)
 
 
 def quality_classifier(docs: DataFrame, labels: DataFrame, target: str = "quality", fold: Callable[[Column, int], Column] = crc_fold, folds: int = 4, held: int = 2, threshold: float = 0.7, per_class: int = 3000) -> DataFrame:

@@ -222,9 +222,11 @@ def test_classifiers_learn_and_take_empty_texts():
     good = [" ".join(rng.choice("the of and to in house tree river stone".split()) for _ in range(60)) for _ in range(80)]
     bad = [" ".join(rng.choice("BUY!! NOW!! free$$$ | win###".split()) for _ in range(60)) for _ in range(80)]
     texts = good + bad
-    model = quality_classifier.fit(list(range(160)), [quality_classifier.ngrams(t) for t in texts], [1] * 80 + [0] * 80)
+    grams = [quality_classifier.ngrams(t) for t in texts]
+    index = np.unique(np.concatenate(grams))
+    model = quality_classifier.fit(list(range(160)), [quality_classifier._found(g, index) for g in grams], [1] * 80 + [0] * 80, index)
     assert quality_classifier.score(good[0], model) > 0.7 > quality_classifier.score(bad[0], model) and 0 <= quality_classifier.score("", model) <= 1
-    assert quality_classifier.score("x", quality_classifier.fit([], [], [])) == pytest.approx(0.5)
+    assert quality_classifier.score("x", quality_classifier.fit([], [], [], np.zeros(0, np.uint64))) == pytest.approx(0.5)
 
 
 def test_label_model_finds_accuracies_and_correlations_without_labels():
