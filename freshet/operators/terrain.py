@@ -316,30 +316,22 @@ def link_tree(streams: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def strahler(tree: DataFrame) -> DataFrame:
-    """link and strahler order, solved per outlet's tree: links are a small share of the cells (one in `threshold` at most)."""
-    roots = resolve(tree.select(F.col("link").alias("node"), F.col("down").alias("next"))).select(F.col("node").alias("link"), "root")
-
-    def solve(part: pd.DataFrame) -> pd.DataFrame:
-        down = dict(zip(part["link"].tolist(), part["down"].tolist(), strict=True))
-        down = {k: int(v) if v == v and v is not None else None for k, v in down.items()}
-        waiting = {k: 0 for k in down}
-        for v in down.values():
-            if v is not None:
-                waiting[v] += 1
-        into: dict[int, list[int]] = {k: [] for k in down}
-        order, ready = {}, [k for k, n in waiting.items() if n == 0]
-        while ready:
-            k = ready.pop()
-            top = max(into[k], default=0)
-            order[k] = max(1, top + (into[k].count(top) > 1)) if into[k] else 1
-            if (v := down[k]) is not None:
-                into[v].append(order[k])
-                waiting[v] -= 1
-                if waiting[v] == 0:
-                    ready.append(v)
-        return pd.DataFrame({"link": list(order), "strahler": list(order.values())})
-
-    return tree.join(roots, "link").groupBy("root").applyInPandas(lambda p: solve(p), "link long, strahler int")
+    """link and strahler order of a link tree (link, down).
+
+    A link is of order k + 1 or more exactly if it, or a link above it, has two tributaries of order k or more. So each round counts
+    tributaries and marks what lies below: sums along the paths. Rounds are as many as the highest order, at most the logarithm of
+    the links, and each works on half of the links at most; no basin is one task.
+    """
+    level = written(tree.select("link", "down"), "order")
+    found = level.select("link")
+    while True:
+        joined = level.where("down IS NOT NULL").groupBy(F.col("down").alias("link")).agg(F.count("*").alias("n")).where("n > 1").select("link", F.lit(1.0).alias("seed"))
+        if joined.limit(1).count() == 0:
+            return found.groupBy("link").agg(F.count("*").cast("int").alias("strahler"))
+        seeded = written(level.join(joined, "link", "left").select(F.col("link").alias("node"), F.col("down").alias("next"), F.coalesce("seed", F.lit(0.0)).alias("seed")), "order")
+        above = subtree_sums(seeded, "seed").where("total > 0").select(F.col("node").alias("link"))
+        level = written(level.join(above, "link", "left_semi"), "order")
+        found = found.unionByName(level.select("link"))
 
 
 def stream_network(streams: DataFrame, links: DataFrame, accumulated: DataFrame, cols: int, cellsize: float, x0: float = 0.0, y0: float = 0.0) -> DataFrame:

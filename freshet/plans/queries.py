@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from statistics import NormalDist
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -189,12 +190,34 @@ def terrain_hand(spark, sf_dir):
     return terrain(spark, sf_dir).hand.select("cell", "drainage", "hand", "reach")
 
 
-@query()
+def _pass(k: int, least: int = 5) -> str:
+    """CTEs of one round of pruning: from p{k} to p{k + 1}."""
+    return f""", u{k} AS (SELECT next AS cell, count(*) AS n FROM p{k} WHERE next IS NOT NULL GROUP BY next),
+w{k}(head, cell, n) AS (SELECT p{k}.cell, p{k}.cell, 1 FROM p{k} WHERE cell NOT IN (SELECT cell FROM u{k}) UNION ALL SELECT w.head, p.next, w.n + 1 FROM w{k} w JOIN p{k} p ON p.cell = w.cell JOIN u{k} u ON u.cell = p.next WHERE u.n = 1 AND w.n < {least}),
+g{k} AS (SELECT DISTINCT cell FROM w{k} WHERE head IN (SELECT head FROM w{k} GROUP BY head HAVING max(n) < {least})),
+p{k + 1} AS MATERIALIZED (SELECT p.cell, CASE WHEN q.cell IS NULL THEN p.next END AS next FROM p{k} p LEFT JOIN g{k} q ON q.cell = p.next WHERE p.cell NOT IN (SELECT cell FROM g{k}))"""
+
+
+@query(_with(_STREAMS + ", p0 AS (SELECT cell, next FROM st)" + "".join(_pass(k) for k in range(8)), "SELECT cell, next FROM p8"))
 def terrain_prune(spark, sf_dir):
     return T.prune_streams(terrain(spark, sf_dir).streams, 5)
 
 
-@query()
+_ORDERS = "".join(f", o{k} AS (SELECT DISTINCT node AS link FROM anc WHERE link IN (SELECT down FROM lt JOIN o{k - 1} ON o{k - 1}.link = lt.link WHERE down IS NOT NULL GROUP BY down HAVING count(*) > 1))" for k in range(2, 9))
+
+
+@query(
+    _with(
+        _STREAMS
+        + f""", nx AS (SELECT links.link, links.cell, links.seq, st.next, b.link AS there, CASE WHEN st.next IS NULL THEN 0.0 WHEN abs(st.next - links.cell) IN (1, {COLS}) THEN {CELLSIZE} ELSE {CELLSIZE} * sqrt(2.0) END AS step
+    FROM links JOIN st ON st.cell = links.cell LEFT JOIN links b ON b.cell = st.next),
+lt AS MATERIALIZED (SELECT link, CASE WHEN arg_max(coalesce(there, -1), seq) >= 0 THEN arg_max(coalesce(there, -1), seq) END AS down, count(*) AS cells, sum(step) AS length_m FROM nx GROUP BY link),
+anc(link, node) AS (SELECT link, link FROM lt UNION ALL SELECT a.link, lt.down FROM anc a JOIN lt ON lt.link = a.node WHERE lt.down IS NOT NULL),
+o1 AS (SELECT link FROM lt){_ORDERS}, od AS (SELECT link, count(*) AS strahler FROM ({" UNION ALL ".join(f"SELECT link FROM o{k}" for k in range(1, 9))}) GROUP BY link),
+hd2 AS (SELECT link, arg_min(accumulation, seq) AS acc_head, max(accumulation) AS acc_outflow FROM links JOIN acc ON acc.cell = links.cell GROUP BY link)""",
+        "SELECT lt.link, down, cells, CAST(strahler AS INTEGER) AS strahler, down IS NULL AS terminates, round(length_m, 6) AS length_m, acc_head, acc_outflow, CAST(cells + CASE WHEN down IS NULL THEN 0 ELSE 1 END AS INTEGER) AS points FROM lt JOIN od ON od.link = lt.link JOIN hd2 ON hd2.link = lt.link WHERE cells + CASE WHEN down IS NULL THEN 0 ELSE 1 END >= 2",
+    )
+)
 def terrain_network(spark, sf_dir):
     t = terrain(spark, sf_dir)
     return T.stream_network(t.streams, t.links, t.routed, COLS, CELLSIZE).select("link", "down", "cells", "strahler", "terminates", r6("length_m"), "acc_head", "acc_outflow", F.size("line").alias("points"))
@@ -350,7 +373,18 @@ def frequency_fit(spark, sf_dir):
     return H.frequency_fit(view(spark, sf_dir, "peaks"), ["site"]).select("site", "n", r6("log_mean"), r6("log_sd"), r6("log_skew"), "can_fit")
 
 
-@query()
+# Standard normal quantiles of the periods, to sixteen digits; the integral is the alternating-free series of the error function.
+_QUANTILE = ", ".join(f"({p}, {NormalDist().inv_cdf(1 - 1 / p)!r})" for p in (2.0, 10.0, 50.0, 100.0, 500.0))
+_FIT = f"""{_PEAKS}, x AS (SELECT site, log10(cms) AS x FROM peaks WHERE cms > 0), mu AS (SELECT site, avg(x) AS mu FROM x GROUP BY site),
+s AS (SELECT x.site, count(*) AS n, avg(x) AS m, stddev_samp(x) AS sd, sum(pow(x - mu.mu, 3)) AS m3 FROM x JOIN mu ON mu.site = x.site GROUP BY x.site),
+fit AS (SELECT site, n, m, sd, n * m3 / ((n - 1) * (n - 2) * pow(sd, 3)) AS g FROM s)"""
+_PHI = "CASE WHEN z < 0 THEN 0.5 - {0} ELSE 0.5 + {0} END".format("exp(-z * z / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 120), lambda k: exp((2 * k + 1) * ln(greatest(abs(z), 1e-300)) - lgamma(2 * k + 2) + lgamma(k + 1) + k * ln(2.0))))")
+
+
+@query(
+    f"""WITH {_FIT}, q(period, z) AS (VALUES {_QUANTILE}), f AS (SELECT site, CAST(period AS DOUBLE) AS period, m + (2 / g) * (pow((z - g / 6) * (g / 6) + 1, 3) - 1) * sd AS lq FROM fit, q WHERE n >= 10)
+    SELECT site, period, round(pow(10, lq), 6) AS cms, round(period, 4) AS back FROM f"""
+)
 def frequency_quantiles(spark, sf_dir):
     fit = H.frequency_fit(view(spark, sf_dir, "peaks"), ["site"]).withColumn("period", F.explode(F.array(*[F.lit(float(x)) for x in (2, 10, 50, 100, 500)])))
     flow = H.pearson_discharge(F.col("period"))
@@ -358,15 +392,16 @@ def frequency_quantiles(spark, sf_dir):
 
 
 @query(
-    f"""WITH {_PEAKS}, e AS (SELECT site, avg(cms) AS discharge_cms FROM peaks GROUP BY site)
-    SELECT e.site, round(discharge_cms, 6) AS discharge_cms, count(*) FILTER (cms > discharge_cms) + 1 AS rank, count(*) AS n,
-           round((count(*) + 1) / (count(*) FILTER (cms > discharge_cms) + 1), 6) AS empirical, round(max(cms) FILTER (cms <= discharge_cms), 6) AS nearest_below
-    FROM e JOIN peaks ON peaks.site = e.site WHERE cms > 0 GROUP BY e.site, discharge_cms"""
+    f"""WITH {_FIT}, e AS (SELECT site, quantile_cont(cms, 0.8) AS discharge_cms FROM peaks GROUP BY site),
+    c AS (SELECT e.site, discharge_cms, count(*) FILTER (cms > discharge_cms) + 1 AS rank, count(*) AS n, max(cms) FILTER (cms <= discharge_cms) AS nearest_below FROM e JOIN peaks ON peaks.site = e.site WHERE cms > 0 GROUP BY e.site, discharge_cms),
+    zz AS (SELECT c.*, (cbrt((log10(discharge_cms) - m) / sd * g / 2 + 1) - 1) / (g / 6) + g / 6 AS z FROM c JOIN fit ON fit.site = c.site),
+    t AS (SELECT *, least(greatest(1 / greatest(1 - ({_PHI}), 1e-12), 1.0001), 1000) AS period FROM zz)
+    SELECT site, round(discharge_cms, 6) AS discharge_cms, rank, n, round((n + 1) / rank, 6) AS empirical, CASE WHEN period < 1000 THEN round(period, 4) END AS fitted, period >= 1000 AS saturated, period < 1000 AND period > 2 * n AS extrapolated, round(nearest_below, 6) AS nearest_below FROM t"""
 )
 def frequency_context(spark, sf_dir):
     peaks = view(spark, sf_dir, "peaks")
-    events = peaks.groupBy("site").agg(F.avg("cms").alias("discharge_cms"))
-    return H.event_context(peaks, events, H.frequency_fit(peaks, ["site"])).select("site", r6("discharge_cms"), "rank", "n", r6("empirical"), r6("nearest_below"))
+    events = peaks.groupBy("site").agg(F.percentile("cms", F.lit(0.8)).alias("discharge_cms"))
+    return H.event_context(peaks, events, H.frequency_fit(peaks, ["site"])).select("site", r6("discharge_cms"), "rank", "n", r6("empirical"), F.round("fitted", 4).alias("fitted"), "saturated", "extrapolated", r6("nearest_below"))
 
 
 @query("SELECT o_orderkey, CAST(year(o_orderdate) + CASE WHEN month(o_orderdate) >= 10 THEN 1 ELSE 0 END AS INTEGER) AS water_year FROM orders")

@@ -1,5 +1,6 @@
 """Functions, hydraulics, damage and validation against hand-computed answers; registered queries against DuckDB."""
 
+import json
 import math
 from statistics import NormalDist
 
@@ -10,12 +11,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from freshet.functions import scalar as S
+from freshet.operators import curves as C
 from freshet.operators import exposure as E
+from freshet.operators import gauging as GA
 from freshet.operators import hydraulics as H
 from freshet.operators import network as N
 from freshet.operators import overlay as O
+from freshet.operators import spatial as SP
 from freshet.operators import validation as V
-from freshet.sources.store import TerrainStore, params_hash
+from freshet.sources import raster as R
+from freshet.sources.store import TerrainStore, fingerprint, params_hash
 from freshet.streaming.gauges import admit, token_bucket
 
 
@@ -88,11 +93,129 @@ def test_damage_curve_edges(spark):
     assert one(spark, E.storeys(F.lit(0.0), F.lit(7.5))) == 2.0 and one(spark, E.storeys(F.lit(None).cast("double"), F.lit(None).cast("double"))) == 1.0
 
 
-def test_monte_carlo_does_not_depend_on_partitions(spark):
-    rows = [(i, float(i % 3) - 0.5, "residential", 100.0, 1.0) for i in range(50)]
+def _plain_estimate(margin, name, area, floors, family):
+    xs, ys = np.array(E.DEPTHS), np.array(E.CURVES[family][name])
+    share = np.interp(np.minimum(margin, 6.0), xs, ys)
+    n = max(floors, 1.0)
+    return share * np.clip(np.ceil(np.maximum(margin, 0) / 3.0), 1, n) / n * area * E.RATES[name]
+
+
+def test_monte_carlo_equals_a_plain_loop_whatever_the_partitions(spark):
+    rows = [(i, float(i % 3) - 0.5, ["residential", "commercial"][i % 2], 100.0, 1.0 + i % 3) for i in range(30)] + [(99, E.NO_WATER, "residential", 50.0, 1.0)]
     b = spark.createDataFrame(rows, "building_id long, margin_m double, building_class string, floor_area_m2 double, storeys double")
-    one_, many = (E.interval(E.monte_carlo(b.repartition(n), draws=60)).first() for n in (1, 7))
-    assert one_.median == pytest.approx(many.median) and one_.low < one_.median < one_.high
+    weights, draws, seed = {"HAZUS": 0.6, "JRC_GLOBAL": 0.4}, 50, 7
+    each = np.arange(draws)
+    stage, cost = C.normal(seed, 1, each) * 0.15, np.exp(C.normal(seed, 2, each) * 0.25)
+    family = np.where(C.uniform(seed, 0, each) < 0.6, "HAZUS", "JRC_GLOBAL")
+    want, mean = np.zeros(draws), {}
+    for i, margin, name, area, floors in rows:
+        drawn = margin + stage + C.normal(seed, 4, each, i) * 0.15
+        mine = np.array([_plain_estimate(m, name, area, floors, f) * c for m, f, c in zip(drawn, family, cost, strict=True)]) if margin > -1000 else np.zeros(draws)
+        want, mean[i] = want + mine, mine.mean()
+    for n in (1, 7):
+        found = C.monte_carlo(b.repartition(n), C.bundled(spark), weights, draws, seed, block=8)
+        got = {x.draw: x for x in C.draw_totals(found).collect()}
+        assert [got[i].total for i in range(draws)] == [pytest.approx(w) for w in want] and all(x.wet <= 30 for x in got.values())
+        assert {x.building_id: x.expected for x in C.expected_damage(found).collect()} == {i: pytest.approx(m) for i, m in mean.items()}
+    assert abs(np.log(cost).mean()) < 0.15  # the multiplier's median is 1
+
+
+def test_mixed_numbers_are_uniform_and_normal():
+    u = C.uniform(3, 1, np.arange(200_000))
+    assert abs(u.mean() - 0.5) < 0.005 and abs(u.var() - 1 / 12) < 0.002 and 0 < u.min() < u.max() < 1
+    z = C.normal(3, 4, np.arange(400)[None, :], np.arange(400)[:, None])
+    assert abs(z.mean()) < 0.02 and abs(z.std() - 1) < 0.02 and abs(np.corrcoef(z[0], z[1])[0, 1]) < 0.2
+
+
+def test_curves_from_files_and_their_checks(spark):
+    point = lambda m, s: {"type": "NormalDistribution", "parameters": {"mean": m, "standarddeviation": s}}
+    entry = {"damagefunction": {"xvalues": [-2, -1, 0, 1], "ydistributions": [point(0, 0.3), point(2.5, 1.2), point(13.4, 1.6), point(12.0, 1.6)]}, "source": "x"}
+    text = json.dumps({"occupancytypes": {"RES1-1SNB": {"componentdamagefunctions": {"structure": {"damagefunctions": {"depth": entry}}, "contents": {"damagefunctions": {"duration": entry}}}}}})
+    (curve,) = C.checked(C.occupancy_curves(spark.createDataFrame([(text,)], "json string"))).collect()
+    assert curve.component == "structure" and curve.verified and curve.depths == [pytest.approx(0.3048 * x) for x in (-2, -1, 0, 1)]
+    assert curve.fractions == [pytest.approx(x) for x in (0, 0.025, 0.134, 0.134)] and curve.sigmas[1] == pytest.approx(0.012)
+    bad = spark.createDataFrame([("f", "a", "structure", [0.0, 0.0], [0.0, 1.0], [0.0, 0.0], False), ("f", "b", "structure", [0.0, 1.0], [0.5, 0.1], [0.0, 0.0], False), ("f", "c", "structure", [0.0], [0.5], [0.0], False), ("f", "d", "structure", [0.0, 1.0], [0.5, 1.5], [0.0, 0.0], False), ("f", "e", "structure", [0.0, 1.0], [0.5], [0.0], False)], C.SCHEMA)
+    assert {x["class"]: x.problem for x in C.problems(bad).collect()} == {"a": "depths do not ascend", "b": "fractions decrease", "c": "fewer than two points", "d": "fractions outside of 0 to 1", "e": "lengths differ"}
+    with pytest.raises(ValueError, match="do not ascend"):
+        C.checked(bad)
+    low = C.occupancy_curves(spark.createDataFrame([(text,)], "json string"))
+    flat = spark.createDataFrame([(0.0,), (1.0,)], "margin_m double")
+    with pytest.raises(ValueError, match="signed margins"):
+        C.refuse_clamped(flat, low)
+    C.refuse_clamped(flat, C.bundled(spark))
+    C.refuse_clamped(flat.union(spark.createDataFrame([(-1.0,)], "margin_m double")), low)
+
+
+def test_contents_and_spread(spark):
+    curves = spark.createDataFrame([("U", "residential", p, [0.0, 2.0], [0.1, 0.5], [0.0, 0.1], True) for p in ("structure", "contents")], C.SCHEMA)
+    b = spark.createDataFrame([(1, 1.0, "x", 1.0, 1000.0, 300.0), (2, E.NO_WATER, "x", 1.0, 1000.0, 300.0)], "building_id long, margin_m double, building_class string, storeys double, structure_value double, contents_value double")
+    one_, dry = C.priced(b, curves, "U", contents=True, z=1.0).orderBy("building_id").collect()
+    assert one_.structure == pytest.approx(350) and one_.contents == pytest.approx(105) and dry.damage == 0
+    assert C.totals(C.priced(b, curves, "U")).first().loss_ratio == pytest.approx(300 / 2000)
+
+
+def test_gauge_tables_as_text(spark):
+    text = "# note\n#\nagency_cd\tsite_no\tpeak_dt\tpeak_va\tgage_ht\n5s\t15s\t10d\t8s\t8s\nUSGS\t1\t2017-08-27\t1000\t20.5\nUSGS\t1\t1994-10-18\t\t\nbroken\tline\nUSGS\t1\t1994-10-18\t900\t\n"
+    rows = spark.createDataFrame([("1", text), ("2", "# nothing\na\tb\n")], "site string, text string")
+    peaks = GA.peak_series(GA.parsed_rdb(rows, "site"), "site")
+    assert sorted((x.date, x.water_year, round(x.cms, 4)) for x in peaks.collect()) == [("1994-10-18", 1995, 25.4851), ("2017-08-27", 2017, 28.3168)]
+    top = GA.peak_of_record(peaks, "site").first()
+    assert (top.date, top.n_years) == ("2017-08-27", 2)
+
+
+def test_projections_against_known_places_and_their_own_laws(spark):
+    p = one(spark, SP.to_utm(F.lit(-93.0), F.lit(30.0), 15))
+    assert p.x == pytest.approx(500000, abs=1e-6) and p.y == pytest.approx(3318785.35, abs=0.01)  # the meridian's arc to 30 degrees, scaled
+
+    def shift(f, lon, lat, d=1e-6):
+        a, b, c = (one(spark, f(F.lit(x), F.lit(y))) for x, y in ((lon, lat), (lon + d, lat), (lon, lat + d)))
+        return np.array([b.x - a.x, b.y - a.y]) / d, np.array([c.x - a.x, c.y - a.y]) / d
+
+    lon, lat, e2 = -95.4, 29.8, SP.FLATTENING * (2 - SP.FLATTENING)
+    w = 1 - e2 * math.sin(math.radians(lat)) ** 2
+    east, north = (math.radians(1) * SP.AXIS * x for x in (math.cos(math.radians(lat)) / math.sqrt(w), (1 - e2) / w**1.5))
+    de, dn = shift(lambda x, y: SP.to_utm(x, y, 15), lon, lat)
+    assert abs(de @ dn) / (np.linalg.norm(de) * np.linalg.norm(dn)) < 1e-4 and np.linalg.norm(de) / east == pytest.approx(np.linalg.norm(dn) / north, rel=1e-4)  # angles stay
+    de, dn = shift(SP.to_albers, lon, lat)
+    assert abs(de[0] * dn[1] - de[1] * dn[0]) == pytest.approx(east * north, rel=1e-4)  # areas stay
+
+
+def test_points_masks_and_units(spark):
+    ring = "array(named_struct('x', 0D, 'y', 0D), named_struct('x', 4D, 'y', 0D), named_struct('x', 4D, 'y', -4D), named_struct('x', 2D, 'y', -2D), named_struct('x', 0D, 'y', -4D))"
+    units = spark.sql(f"SELECT 'u' AS unit, {ring} AS ring")
+    points = spark.createDataFrame([(1, 1.0, -1.0), (2, 2.0, -3.5), (3, 4.0, -2.0), (4, 9.0, 9.0)], "id long, x double, y double")
+    assert [x.id for x in SP.points_in_units(points, units, 3.0).collect()] == [1]
+    assert sorted(x.id for x in SP.points_in_units(points, units, 3.0, True).collect()) == [1, 3]
+    row = units.select(SP.area(F.col("ring")).alias("a"), SP.bounds(F.col("ring")).alias("b")).first()
+    assert row.a == pytest.approx(12) and row.b.ymin == -4
+    back = SP.units_of(spark.createDataFrame([('{"features": [' + SP.as_geojson(units, ["unit"]).first().feature + "]}",)], "json string")).first()
+    assert back.area == pytest.approx(12) and back.properties == {"unit": "u"}
+
+
+def test_windows_writes_and_merges(spark, tmp_path):
+    assert [(x.r0, x.c0, x.height, x.width) for x in R.windows(spark, 5, 7, 4).orderBy("window").collect()] == [(0, 0, 4, 4), (0, 4, 4, 3), (4, 0, 1, 4), (4, 4, 1, 3)]
+    rows = spark.createDataFrame([(1, 2.0), (2, 3.0)], "key long, value double")
+    R.write_once(rows, f"file://{tmp_path}/a", 26915, 26915)
+    for call in (lambda: R.write_once(rows, f"file://{tmp_path}/b", 4326, 26915), lambda: R.write_once(rows, f"file://{tmp_path}/a", 26915, 26915), lambda: R.read_window(rows, srid=None, expected=26915)):
+        with pytest.raises(Exception):  # noqa: B017  (a refusal of ours or of the writer)
+            call()
+    new = spark.createDataFrame([(2, None), (3, 9.0), (1, 5.0)], "key long, value double")
+    assert sorted(tuple(x) for x in R.merged_results(rows, new).collect()) == [(1, 5.0), (2, 3.0), (3, 9.0)]
+    assert sorted(x.status for x in R.manifest(spark, [("a", f"file://{tmp_path}/a", None), ("b", f"file://{tmp_path}/b", None), ("c", "", "404")]).collect()) == ["failed", "missing", "stored"]
+
+
+def test_changed_files_are_seen(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    spark.range(5).write.parquet(path)
+    first = fingerprint(spark.read.parquet(path))
+    assert first == fingerprint(spark.read.parquet(path))
+    spark.range(9).write.mode("overwrite").parquet(path)
+    assert first != fingerprint(spark.read.parquet(path))
+
+
+def test_sql_function_interpolates(spark):
+    S.register(spark)
+    assert spark.sql("SELECT interp(1.5D, array(0D, 1D, 2D), array(0D, 10D, 30D)) AS x").first().x == 20
 
 
 def test_scores(spark):
@@ -120,6 +243,8 @@ def test_store_and_hash(spark, tmp_path):
     assert not store.exists("1204", key)
     store.put("1204", key, spark.range(3))
     assert store.exists("1204", key) and store.get("1204", key).count() == 3
+    store.put("1204", key, spark.range(4))  # put in place when whole
+    assert store.get("1204", key).count() == 4 and [tuple(x) for x in store.find().collect()] == [("1204", key)]
     with pytest.raises(ValueError):
         store.exists("123", key)
 
@@ -161,16 +286,17 @@ def test_regridded_people_stay_as_many(spark):
     assert got == {k: pytest.approx(v) for k, v in {(0, 0): 8, (0, 1): 8, (0, 2): 4, (1, 0): 4, (1, 1): 4, (1, 2): 2}.items()}
 
 
-NAMES = ["terrain_fill", "terrain_hand", "terrain_accumulation", "rating_curves", "inundation", "damage_ladder", "frequency_fit", "rank_correlation", "gauge_windows_streamed", "network_distance", "reach_graph", "observed_stage", "overlay_claims", "ladder_at", "population_regrid"]
+NAMES = ["terrain_fill", "terrain_hand", "terrain_accumulation", "rating_curves", "inundation", "damage_ladder", "frequency_fit", "rank_correlation", "gauge_windows_streamed", "network_distance", "reach_graph", "observed_stage", "overlay_claims", "ladder_at", "population_regrid", "damage_draws", "expected_damage", "contents_damage", "occupancy_curves", "building_depths", "damage_channels", "slider_depths", "warp_bilinear", "gauge_peaks", "event_gauge", "chosen_gauges", "marks_in_units", "geometry_mask", "selected_tiles", "utm_and_back", "equal_area", "aid_comparison", "reproduced", "mark_scores", "ratio_median", "cache_eviction", "terrain_prune", "terrain_network", "frequency_context", "streamed_stages"]
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_registered_queries_match_duckdb(spark, sf_dir, name):
+    from freshet.plans import exposure_queries, site_queries  # noqa: F401  (they register their queries)
     from freshet.plans import queries as Q
 
     got = Q.QUERIES[name](spark, sf_dir).toPandas()
     db = duckdb.connect()
-    for t in ("customer", "supplier", "part", "orders", "lineitem", "events"):
+    for t in ("customer", "supplier", "part", "orders", "lineitem", "events", "nation"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet'")
     want = db.execute(Q.ORACLE[name]).df()
     assert sorted(got) == sorted(want)

@@ -153,3 +153,32 @@ def test_links_start_at_heads_and_junctions(spark):
     assert got == {0: (0, 0, 0), 1: (0, 1, 0), 2: (2, 0, 1), 3: (2, 1, 1), 10: (10, 0, 2)}
     tree = T.link_tree(streams, T.stream_links(streams, 100))
     assert {x.link: x.strahler for x in T.strahler(tree).collect()} == {0: 1, 1: 2, 2: 1}
+
+
+@pytest.mark.parametrize("size", [32, 256])
+def test_wide_catchment_drains_whatever_the_tiles(spark, size):
+    """A catchment wider than a tile: plain levels, directions without cycles, sums that account for every cell."""
+    from freshet.operators.terrain import valid_cells
+    from freshet.plans.terrain import route_terrain
+    from freshet.sources.raster import synthetic_catchment
+
+    cells = synthetic_catchment(spark, 40, 300, 5.0, pits=6, seed=3, border=1)
+    t = route_terrain(valid_cells(cells), 300, 5.0, 60, 1, size)
+    got = {(x.r, x.c): x.z for x in t.filled.collect()}
+    plain = {(x.r, x.c): x.z for x in cells.where("z IS NOT NULL").collect()}
+    assert got == filled(plain) and sum(got[p] > plain[p] for p in plain) > 10
+    routed = t.routed.collect()
+    ends = [x for x in routed if x.next is None]
+    assert sum(x.accumulation for x in ends) == len(plain) and all(x.flowdir == T.OUTLET for x in ends)
+    assert t.hand.where("hand < 0").count() == 0 and t.links.count() > 30
+
+
+def test_epsilon_that_vanishes_is_refused(spark):
+    cells = frame(spark, {(r, c): 1e6 for r in range(3) for c in range(3)}, 3)
+    with pytest.raises(ValueError, match="vanishes"):
+        T.fill_depressions(cells, epsilon=1e-4)
+
+
+def test_strahler_counts_equal_tributaries(spark):
+    tree = spark.createDataFrame([(1, 3), (2, 3), (3, 7), (4, 6), (5, 6), (6, 7), (7, 9), (8, 9), (9, None), (20, None)], "link long, down long")
+    assert {x.link: x.strahler for x in T.strahler(tree).collect()} == {1: 1, 2: 1, 3: 2, 4: 1, 5: 1, 6: 2, 7: 3, 8: 1, 9: 3, 20: 1}
