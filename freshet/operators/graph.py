@@ -6,6 +6,7 @@ the nodes that another tile points to take part in the joins then, and the path
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 import numpy as np
@@ -150,19 +151,26 @@ def _local_components(part: pd.DataFrame) -> pd.DataFrame:
 
 
 def spread_join(rows: DataFrame, facts: DataFrame, key: str, by: str, how: str = "inner", counts: DataFrame | None = None, total: int | None = None, parts: int = 2000) -> DataFrame:
-    """rows joined with facts on key, such that no task gets a key whole that holds more than 1/parts of all rows.
+    """rows joined with facts on key, such that no task gets a key whole that holds more than 1/parts of all rows (or 64).
 
-    There are at most `parts` such keys, which bounds what is broadcast: each with its number of salts, together at most twice
-    `parts`. Its rows are dealt over the salts by a hash of the column `by`, and its facts are repeated for every salt. counts (key
-    and n, its rows) and total (all rows) save counting where they are known; else rows should be a written table.
-    how: inner or left.
+    There are fewer than `parts` such keys, which bounds what the driver learns: they go into the plan as values, in tiers of 4, 16,
+    64, ... salts. Their rows are dealt over the salts by a hash of the column `by`, and their facts are repeated for every salt.
+    Without such a key it is a plain join. counts (key and n, its rows; better a written table) and total (all rows) save counting
+    where they are known; else rows should be a written table. how: inner or left.
     """
     if counts is None:
         counts = rows.groupBy(key).agg(F.count("*").alias("n"))
-    share = max(1.0, (rows.count() if total is None else total) / parts)
-    hot = F.broadcast(counts.where(F.col("n") > share).select(key, F.ceil(F.col("n") / share).cast("int").alias("salts_")))
-    left = rows.join(hot, key, "left").withColumn("salt_", F.when(F.col("salts_").isNull(), 0).otherwise(F.pmod(F.xxhash64(by), F.col("salts_")).cast("int"))).drop("salts_")
-    right = facts.join(hot, key, "left").withColumn("salt_", F.explode(F.sequence(F.lit(0), F.coalesce("salts_", F.lit(1)) - 1))).drop("salts_")
+    share = max(64.0, (rows.count() if total is None else total) / parts)
+    tiers: dict[int, list] = {}
+    for r in counts.where(F.col("n") > share).select(key, "n").collect():  # fewer than parts
+        tiers.setdefault(4 ** math.ceil(math.log(r["n"] / share, 4)), []).append(r[key])
+    if not tiers:
+        return rows.join(facts, key, how)
+    salts = F.lit(1)
+    for n, keys in sorted(tiers.items()):
+        salts = F.when(F.col(key).isin(keys), n).otherwise(salts)
+    left = rows.withColumn("salt_", F.pmod(F.xxhash64(by), salts).cast("int"))
+    right = facts.withColumn("salt_", F.explode(F.sequence(F.lit(0), F.coalesce(salts, F.lit(1)) - 1)))
     return left.join(right, [key, "salt_"], how).drop("salt_")
 
 
@@ -170,7 +178,7 @@ def _stars(edges: DataFrame) -> DataFrame:
     """node and label by alternating large and small stars, until a round changes nothing."""
 
     def least(e: DataFrame, total: int) -> DataFrame:
-        found = e.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+        found = written(e.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), "least")
         return spread_join(e, found.drop("n"), "u", "v", counts=found.select("u", "n"), total=total)
 
     now = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
