@@ -13,7 +13,7 @@ def _least(edges: DataFrame, total: int) -> DataFrame:
 
     The least neighbour is pre-aggregated where the edges lie, and comes back to a node of many edges on salted keys.
     """
-    least = edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n"))
+    least = written(edges.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count("*").alias("n")), "least")
     return spread_join(edges, least.drop("n"), "u", "v", counts=least.select("u", "n"), total=total)
 
 

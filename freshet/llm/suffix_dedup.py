@@ -377,12 +377,12 @@ def class_spans(docs: DataFrame, length: int = 200, hot: int = 1 << 20) -> tuple
     k1, k2 = _keys()
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), k1.alias("k1"), k2.alias("k2"))
     found = written(texts.mapInArrow(_contexts_of(length), "k1 long, k2 long, a int, b int, name long, c1 long, c2 long, own boolean"), "contexts")
-    often = found.groupBy("name").agg(F.count("*").alias("n"), F.max("own").alias("any_own")).where("n > 1 OR any_own")
-    shared = written(spread_join(found.drop("own"), often.select("name"), "name", "c1", counts=often.select("name", "n"), total=found.count()), "shared")
+    often = written(found.groupBy("name").agg(F.count("*").alias("n"), F.max("own").alias("any_own")).where("n > 1 OR any_own").select("name", "n"), "names")
+    shared = written(spread_join(found.drop("own"), often.select("name"), "name", "c1", counts=often, total=found.count()), "shared")
     size = F.col("b") - F.col("a") + length - 1
     alike = shared.groupBy("name", "c1", "c2").agg(F.count("*").alias("weight"), F.min(F.struct("k1", "k2", "a", "b")).alias("one"), F.max(size).cast("long").alias("size"))
     alike = written(alike.select("name", "c1", "c2", "weight", "size", "one.*"), "classes")
-    whole = alike.groupBy("name").agg(F.sum("size").alias("total"), F.count("*").alias("n"))
+    whole = written(alike.groupBy("name").agg(F.sum("size").alias("total"), F.count("*").alias("n")), "names")
     rows = spread_join(alike, whole.select("name", "total"), "name", "c1", counts=whole.select("name", "n"), total=alike.count())
     asked = rows.groupBy("k1", "k2").agg(F.collect_list(F.struct("name", "c1", "c2", "a", "b", "weight", "total")).alias("asked"))
     # equal rows send their classes twice; these have a weight above 1 anyway, and their spans are united
