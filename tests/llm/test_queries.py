@@ -192,6 +192,79 @@ def test_minhash_against_all_pairs(spark, sf_dir):
     assert got == {i: (len(sets[i]), root(i)) for i in ids}
 
 
+def test_pieces_of_all_documents_equal_the_library(spark, sf_dir):
+    import zlib
+
+    import numpy as np
+    import public_tokenizers
+    import sentencepiece
+
+    spm = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    got = {x.doc_id: x for x in Q.QUERIES["op4_sentencepiece_fst"](spark, sf_dir).collect()}
+    for i, t in documents(sf_dir):
+        ids = spm.encode(t)
+        assert (got[i].n_ids, got[i].ids_crc32, got[i].round_trip) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()), spm.decode(ids) == t)
+
+
+def test_packed_ids_of_all_documents_equal_the_tokenizer(spark, sf_dir):
+    import zlib
+
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    coder = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got, room = {}, Counter()
+    for x in Q.QUERIES["op9_best_fit_packing"](spark, sf_dir).collect():
+        got.setdefault(x.doc_id, []).append(x)
+        room[x.sequence_id] += x.length
+    total = 0
+    for i, t in documents(sf_dir):
+        ids = np.array([*coder.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        total += len(ids)
+        pieces = sorted(got[i], key=lambda x: x.piece)
+        assert [x.start for x in pieces] == np.cumsum([0, *(x.length for x in pieces[:-1])]).tolist() and sum(x.length for x in pieces) == len(ids)
+        assert all(x.length == 2048 for x in pieces[1:]) and all(x.ids_crc32 == zlib.crc32(ids[x.start : x.start + x.length].tobytes()) for x in pieces)
+    assert max(room.values()) <= 2048 and len(room) <= -(-total // 2048) + 1
+
+
+def test_licence_base_columns_against_plain_loops(spark, sf_dir):
+    phrases = {tuple(p.split()): label for p, label in license_scan.BASE_PHRASES.items()}
+    got = {x.doc_id: x for x in Q.QUERIES["op7_license_scan"](spark, sf_dir).collect()}
+    hits = 0
+    for i, t in documents(sf_dir):
+        low = "".join(c.lower() if "A" <= c <= "Z" else c for c in t)
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        at = [(k, label) for k in range(len(words)) for p, label in phrases.items() if tuple(words[k : k + len(p)]) == p]
+        hits += len(at)
+        x = got[i]
+        assert (x.n_words, x.n_base, x.first_word, x.last_word, x.base_labels) == (len(words), len(at), min((k for k, _ in at), default=None), max((k for k, _ in at), default=None), ",".join(sorted({b for _, b in at})))
+        assert {b for _, b in at} <= set(x.labels.split(",")) | {""} and 0 <= x.score <= 1
+    assert hits
+
+
+def test_secret_query_finds_every_planted_value(spark, sf_dir):
+    got = {x.doc_id: x for x in Q.QUERIES["op3_secret_scan"](spark, sf_dir).collect()}
+    planted = {i: len(re.findall(r'(?:token = "[0-9a-f]{40}"|AKIA[A-Z0-9]{16}|password=[0-9a-f]{12,})', t)) for i, t in documents(sf_dir)}
+    assert all(got[i].n_secrets == n for i, n in planted.items())
+
+
+def test_candidates_of_near_pairs_are_hardly_ever_missed():
+    """Recall of the forest before its exact rest: pairs just above the threshold share a region in some tree."""
+    import numpy as np
+
+    rng, missed, total = np.random.default_rng(3), 0, 0
+    factors = minhash_dedup.multipliers(128)
+    orders = minhash_dedup.sequences(128, 16, 12)
+    base = minhash_dedup.base_depth(0.85, 16)
+    for _ in range(400):
+        both, own = rng.integers(0, 1 << 63, 860).astype(np.uint64), rng.integers(0, 1 << 63, (2, 72)).astype(np.uint64)
+        a, b = minhash_dedup.signatures([np.unique(np.concatenate([both, own[0]])), np.unique(np.concatenate([both, own[1]]))], factors)
+        total += 1
+        missed += not any((a[o[:base]] == b[o[:base]]).all() for o in orders)
+    assert missed <= 0.01 * total
+
+
 def test_minhash_hub_of_a_region_that_many_tasks_share(spark):
     """Variants that only the hub links, in a region spread over far more tasks than it has rows a task."""
     rng = random.Random(4)
