@@ -46,14 +46,28 @@ def clip(ring: Column, window: Column) -> Column:
     return F.aggregate(edges, ring.cast(POINT), cut)
 
 
+def _convex(ring: Column) -> Column:
+    """Whether a ring turns one way only."""
+    turn = F.zip_with(F.zip_with(ring, _turned(ring), lambda a, b: F.struct(a.alias("a"), b.alias("b"))), _turned(ring, 2), lambda e, c: (e["b"]["x"] - e["a"]["x"]) * (c["y"] - e["b"]["y"]) - (e["b"]["y"] - e["a"]["y"]) * (c["x"] - e["b"]["x"]))
+    return _let(turn, lambda t: F.forall(t, lambda x: x >= 0) | F.forall(t, lambda x: x <= 0))
+
+
+def _shared_area(ring: Column, window: Column) -> Column:
+    """Area of the overlap with any simple window: over the triangles of a fan, those that turn against the window taken off."""
+    fan = F.transform(F.sequence(F.lit(1), F.size(window) - 2), lambda i: F.array(F.get(window, F.lit(0)), F.get(window, i), F.get(window, i + 1)))
+    part = F.transform(fan, lambda t: F.signum(signed_area(t)) * F.abs(_let(clip(ring, t), signed_area)))
+    return F.abs(F.aggregate(part, F.lit(0.0), lambda s, x: s + x))
+
+
 def inside_share(ring: Column, window: Column) -> Column:
-    """Share of the convex window's area that the ring covers, 0 to 1; 0 for a window without area."""
-    share = F.try_divide(F.abs(_let(clip(ring, window), signed_area)), F.abs(signed_area(window)))
+    """Share of a simple window's area that the ring covers, 0 to 1; 0 for a window without area. A convex window is cut out at once."""
+    shared = F.when(F.size(window) < 3, 0.0).when(_convex(window), F.abs(_let(clip(ring, window), signed_area))).otherwise(_shared_area(ring, window))
+    share = F.try_divide(shared, F.abs(signed_area(window)))
     return F.coalesce(F.least(F.greatest(share, F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
 
 
 def weigh_claims(groups: DataFrame, claims: DataFrame, watersheds: DataFrame) -> DataFrame:
-    """huc, claims, paid, matched: claims (group, n, paid) of convex groups (group, ring), by the share inside watersheds (huc, ring).
+    """huc, claims, paid, matched: claims (group, n, paid) of groups (group, ring), by the share inside watersheds (huc, ring).
 
     Groups and watersheds meet by grid squares of the larger extent, never all with all: a group has a row per square it touches.
     """

@@ -378,6 +378,25 @@ def claims_against_interval(spark, sf_dir):
     return V.against_interval(weighed, intervals, "huc").select("huc", F.round("paid", 2).alias("paid"), r6("ratio"), "inside", "model_below_claims")
 
 
+_RECT = "greatest(least({a} + {w}, x1 + 300) - greatest({a}, x1), 0) * greatest(least({b}, y1) - greatest({b} - {h}, y1 - 300), 0)"
+
+
+@query(
+    f"""WITH ell AS ({_ELL.replace('{supplier}', 'supplier')}), sq AS (SELECT n_nationkey AS huc, CAST(n_nationkey * 137 % 900 AS DOUBLE) AS x1, -CAST(n_nationkey * 211 % 1000 AS DOUBLE) AS y1 FROM nation),
+    s AS (SELECT huc, unit, ({_RECT.format(a='x0', b='y0', w='2 * w', h='w')} + {_RECT.format(a='x0', b='(y0 - w)', w='w', h='w')}) / (3 * w * w) AS share FROM ell, sq),
+    m AS (SELECT huc, round(sum((s_nationkey + 1) * share)) AS claims, sum(abs(s_acctbal) * share) AS paid, count(*) AS matched FROM s JOIN supplier ON s_suppkey = unit WHERE share > 1e-9 GROUP BY huc)
+    SELECT sq.huc, CAST(coalesce(claims, 0) AS BIGINT) AS claims, round(coalesce(paid, 0), 2) AS paid, coalesce(matched, 0) AS matched FROM sq LEFT JOIN m ON m.huc = sq.huc"""
+)
+def overlay_of_bent_groups(spark, sf_dir):
+    """Groups that are not convex."""
+    at = lambda a, b: F.struct((F.col("x") + a).alias("x"), (F.col("y") - b).alias("y"))
+    squares = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("huc"), (F.col("n_nationkey") * 137 % 900).cast("double").alias("x"), (-(F.col("n_nationkey") * 211 % 1000)).cast("double").alias("y"))
+    units = squares.select("huc", F.array(at(0, 0), at(300, 0), at(300, 300), at(0, 300)).cast(O.POINT).alias("ring"))
+    claims = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("group"), (F.col("s_nationkey") + 1).alias("n"), F.abs("s_acctbal").alias("paid"))
+    groups = _ells(spark, sf_dir).select(F.col("unit").alias("group"), F.col("ring").cast(O.POINT).alias("ring"))
+    return O.weigh_claims(groups, claims, units).select("huc", "claims", F.round("paid", 2).alias("paid"), "matched")
+
+
 _FEMA = """t AS (SELECT c_nationkey AS tract, sum(o_totalprice) AS modelled, count(*) AS wet FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY c_nationkey),
 cl AS (SELECT c_nationkey AS tract, sum(abs(c_acctbal)) AS paid, count(*) AS claims FROM customer WHERE c_mktsegment <> 'BUILDING' GROUP BY c_nationkey), ai AS (SELECT s_nationkey AS tract, sum(abs(s_acctbal)) AS aid FROM supplier GROUP BY s_nationkey),
 j AS (SELECT t.tract, modelled, wet, coalesce(paid, 0) AS paid, coalesce(claims, 0) AS claims, coalesce(aid, 0) AS aid FROM t LEFT JOIN cl ON cl.tract = t.tract LEFT JOIN ai ON ai.tract = t.tract WHERE modelled > 0)"""
