@@ -204,6 +204,26 @@ def test_windows_writes_and_merges(spark, tmp_path):
     assert sorted(x.status for x in R.manifest(spark, [("a", f"file://{tmp_path}/a", None), ("b", f"file://{tmp_path}/b", None), ("c", "", "404")]).collect()) == ["failed", "missing", "stored"]
 
 
+def test_a_cluster_without_a_shared_folder_is_refused():
+    from types import SimpleNamespace
+
+    from freshet.sources.store import shared_dir
+
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda name, default: None), sparkContext=SimpleNamespace(master="spark://somewhere:7077"))
+    with pytest.raises(ValueError, match="shared|share"):
+        shared_dir(session)
+
+
+def test_hot_keys_are_spread_and_nothing_is_lost(spark):
+    from freshet.operators.graph import spread_join
+
+    rows = spark.createDataFrame([(7, i) for i in range(900)] + [(i, i) for i in range(300)] + [(None, 5)], "k long, v long")
+    facts = spark.createDataFrame([(i, i * 10) for i in range(200)], "k long, f long")
+    for how in ("inner", "left"):
+        plain = sorted(map(str, rows.join(facts, "k", how).select("k", "v", "f").collect()))
+        assert plain == sorted(map(str, spread_join(rows, facts, "k", "v", how).select("k", "v", "f").collect()))
+
+
 def test_changed_files_are_seen(spark, tmp_path):
     path = f"file://{tmp_path}/t"
     spark.range(5).write.parquet(path)
