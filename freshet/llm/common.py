@@ -65,7 +65,7 @@ def learning_sample(docs: DataFrame, labels: DataFrame, target: str, fold, folds
     """(doc_id, text, label) of at most about per_class labelled rows of each class outside the held-out fold.
 
     The sample is drawn by a hash of doc_id, so that it does not depend on partitioning. It is bounded by per_class, which
-    makes the broadcast of its ids safe at any input size; the texts are never shuffled.
+    makes the broadcast of its ids safe at any input size; the texts are never shuffled. Rows of one doc_id share its label.
     """
     known = labels.where(F.col(target).isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != held)).groupBy("doc_id").agg(F.max(target).alias("label"))
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
