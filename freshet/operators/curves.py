@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.functions.scalar import clip, interp
-from freshet.operators.exposure import CURVES, DEPTHS, NO_WATER_BELOW, curve_class, exposed_value, storey_exposure
+from freshet.operators.exposure import CURVES, DEPTHS, NO_WATER_BELOW, curve_class, exposed_value, floor_margin, storey_exposure
 
 SCHEMA = "family string, class string, component string, depths array<double>, fractions array<double>, sigmas array<double>, verified boolean"
 FEET = 0.3048
@@ -136,6 +136,14 @@ def top_classes(damaged: DataFrame, n: int = 8) -> DataFrame:
     return damaged.groupBy("building_class").agg(F.sum("damage").alias("damage")).orderBy(F.desc("damage"), "building_class").limit(n)
 
 
+def priced_ladder(buildings: DataFrame, stages: DataFrame, curves: DataFrame, family: str, default: str = "residential", contents: bool = False) -> DataFrame:
+    """multiplier, damage, structure, contents, wet, in_channel (damage at heights of 0 or less) and its share, per rung of the stage table."""
+    rows = buildings.where("reach IS NOT NULL AND hand IS NOT NULL").join(stages, "reach").withColumn("margin_m", floor_margin(F.col("stage_m"), F.col("hand"), F.col("found_ht_m")))
+    hit = priced(rows, curves, family, default, contents)
+    sums = hit.groupBy("multiplier").agg(*[F.sum(c).alias(c) for c in ("damage", "structure", "contents")], F.count_if(F.col("margin_m") > 0).alias("wet"), F.sum(F.when(F.col("hand") <= 0, F.col("damage")).otherwise(0.0)).alias("in_channel"))
+    return sums.withColumn("share", F.coalesce(F.try_divide("in_channel", "damage"), F.lit(0.0)))
+
+
 # Draws. A uniform number is a mixed integer of (seed, kind, draw, building), so it depends on no partition, and SQL can repeat it.
 
 _BITS = 30

@@ -114,6 +114,17 @@ def top_classes(spark, sf_dir):
     return C.top_classes(E.estimate(rows.withColumn("margin_m", E.floor_margin(F.col("stage_m"), F.col("hand"), F.col("found_ht_m"))))).select("building_class", F.round("damage", 2).alias("damage"))
 
 
+_LADDER = _PRICED.replace("FROM placed WHERE multiplier = 1.0", "FROM placed").replace("priced AS MATERIALIZED (SELECT building_id,", "priced AS MATERIALIZED (SELECT building_id, multiplier, hand, margin_m,").replace(" + 0.5 * (a.s0", " + 0.0 * (a.s0")
+
+
+@query(_with(_LADDER, "SELECT multiplier, round(sum(structure + contents), 2) AS damage, round(sum(structure), 2) AS structure, round(sum(contents), 2) AS contents, count(*) FILTER (margin_m > 0) AS wet, round(sum(CASE WHEN hand <= 0 THEN structure + contents ELSE 0 END), 2) AS in_channel FROM priced GROUP BY multiplier"))
+def priced_ladder(spark, sf_dir):
+    t, stages = _stages(spark, sf_dir)
+    rows = _placed(spark, sf_dir, t).withColumns({"building_class": F.expr(_OWN), "structure_value": F.col("value") * 100, "contents_value": F.col("value") * 40})
+    two = lambda c: F.round(c, 2).alias(c)
+    return C.priced_ladder(rows, stages, _library(spark, sf_dir), "USACE", _DEFAULT, contents=True).select("multiplier", two("damage"), two("structure"), two("contents"), "wet", two("in_channel"))
+
+
 _REFERENCES = [0.5, 1.0, 2.0, 3.0]
 
 
