@@ -423,16 +423,21 @@ def prefixes(tokens: np.ndarray, counts: np.ndarray, percent: int) -> tuple[np.n
     return tokens[order[:large]], small
 
 
-def unmet(sets: DataFrame, percent: int, salts: int = 16) -> DataFrame:
+def unmet(sets: DataFrame, percent: int, salts: int = 16, words: int = 16) -> DataFrame:
     """Every pair (u, v) of different labels that can reach the threshold, from sets (rep, label, set), by a prefix-filter join.
 
     Of a shingle's list, one end of such a pair does not carry the list's most frequent label; only those meet the list, which is
     split by a salt. The order of the shingles (by count of their slot) bears on the cost only.
+
+    Two bounds drop pairs in the join, both exact. Sets whose first common shingle stands at places i and j share at most what is left
+    from there. And where the sets' bit maps (of 64 * words bits) differ, an element of one set only must stand, so the number of
+    differing bits bounds the overlap from above; strangers of the same boilerplate end there.
     """
     sent = sets.sparkSession.sparkContext.broadcast(token_counts(sets))
+    names = ["token", "rep", "label", "size", "small", "at"]
+    maps = [f"b{k}" for k in range(words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["token", "rep", "label", "size", "small"]
         for batch in batches:
             for rep, label, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 tokens = np.frombuffer(raw, np.uint64)
@@ -440,14 +445,28 @@ def unmet(sets: DataFrame, percent: int, salts: int = 16) -> DataFrame:
                     continue
                 found, small = prefixes(tokens, sent.value, percent)
                 n = len(found)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.full(n, rep)), pa.array(np.full(n, label)), pa.array(np.full(n, len(tokens))), pa.array(np.arange(n) < small)], names)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(np.full(n, rep)), pa.array(np.full(n, label)), pa.array(np.full(n, len(tokens))), pa.array(np.arange(n) < small), pa.array(np.arange(n))], names)
+
+    def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.zeros((batch.num_rows, 64 * words), np.uint8)
+            for i, raw in enumerate(batch.column(1)):
+                bits[i, (np.frombuffer(raw.as_py(), np.uint64) % np.uint64(64 * words)).astype(np.int64)] = 1
+            found = np.packbits(bits, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(words))], ["rep", *maps])
 
-    lists = written(sets.select("rep", "label", "set").mapInArrow(run, "token long, rep long, label long, size long, small boolean"), "prefixes")
+    lists = written(sets.select("rep", "label", "set").mapInArrow(run, "token long, rep long, label long, size long, small boolean, at long"), "prefixes")
     usual = lists.groupBy("token", "label").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
-    other = lists.join(usual, "token").where("label <> most").select("token", *[F.col(c).alias(f"o_{c}") for c in ("rep", "label", "size", "small")], F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
-    met = other.join(lists.withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(salts)).cast("int")), ["token", "salt"])
+    bits = sets.select("rep", "set").mapInArrow(mapped, "rep long, " + ", ".join(f"{m} long" for m in maps))
+    lists = written(lists.join(usual, "token").join(bits, "rep"), "mixed")  # the shingles of one label only bring no pair
+    other = lists.where("label <> most").select("token", *[F.col(c).alias(f"o_{c}") for c in [*names[1:], *maps]], F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    met = other.join(lists.drop("most").withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(salts)).cast("int")), ["token", "salt"])
     first = F.struct("o_size", "o_rep") < F.struct(F.col("size").alias("o_size"), F.col("rep").alias("o_rep"))
+    both = F.col("size") + F.col("o_size")
+    differing = sum((F.bit_count(F.col(f"b{k}").bitwiseXOR(F.col(f"o_b{k}"))) for k in range(1, words)), F.bit_count(F.col("b0").bitwiseXOR(F.col("o_b0"))))
+    reach = lambda twice: (100 + percent) * twice >= 2 * percent * both  # noqa: E731  (twice the overlap at most)
     near = (F.col("label") != F.col("o_label")) & F.when(first, F.col("o_small")).otherwise(F.col("small")) & (100 * F.least("size", "o_size") >= percent * F.greatest("size", "o_size"))
+    near = near & reach(2 * F.least(F.col("size") - F.col("at"), F.col("o_size") - F.col("o_at"))) & reach(both - differing)
     return met.where(near).select(F.least("rep", "o_rep").alias("u"), F.greatest("rep", "o_rep").alias("v")).distinct()
 
 
