@@ -46,7 +46,7 @@ class _Kept(dict):
 
     def __missing__(self, word: str) -> int:
         value = self.f(word)
-        if len(self) < 200_000 and len(word) < 60:
+        if len(self) < 100_000 and len(word) < 60:
             self[word] = value
         return value
 
@@ -146,6 +146,13 @@ def fit(ids: list[int], sparse: list[np.ndarray], labels: list[int], index: np.n
     return {"grams": index[useful], "pull": (w[:-1] * ratio)[useful], "norm": (ratio**2)[useful], "bias": float(w[-1]), "slope": slope, "at": at}
 
 
+def _forgotten(texts: Iterator) -> Iterator:
+    """texts, and at their end the kept words are dropped, as the worker's memory goes to later stages."""
+    yield from texts
+    _WORDS.clear()
+    _SHAPES.clear()
+
+
 def _found(grams: np.ndarray, index: np.ndarray) -> np.ndarray:
     """Places in the sorted index of those grams that it holds."""
     if not len(index):
@@ -162,7 +169,7 @@ def score(text: str, model: dict) -> float:
 
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in _forgotten(batches):
         grams = [ngrams(t.as_py() or "").view(np.int64) for t in batch.column(1)]
         yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), batch.column(2).cast(pa.int32()), pa.array(grams, pa.list_(pa.int64()))], ["doc_id", "label", "grams"])
 
@@ -193,7 +200,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, target: str = "qualit
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        for batch in batches:
+        for batch in _forgotten(batches):
             found = pa.array([score(t.as_py() or "", model) for t in batch.column(2)], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], ["doc_id", "held_out", "score"])
 
@@ -209,7 +216,7 @@ def accepted(docs: DataFrame, labels: DataFrame, target: str = "quality", fold:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        for batch in batches:
+        for batch in _forgotten(batches):
             yield batch.filter(pa.array([score(t.as_py() or "", model) >= threshold for t in batch.column(text)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

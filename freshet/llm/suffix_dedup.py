@@ -132,11 +132,11 @@ def _contexts_of(length: int):
             pieces = []
             for i in long:  # a very long text is hashed by parts that share length - 1 bytes
                 t = texts[i]
-                pieces += [(i, a, t[a : a + (1 << 19) + length - 1]) for a in range(0, len(t) - length + 1, 1 << 19)]
+                pieces += [(i, a, t[a : a + _BATCH + length - 1]) for a in range(0, len(t) - length + 1, _BATCH)]
             at = 0
             while at < len(pieces):
                 part, total = [], 0
-                while at < len(pieces) and (not part or total + len(pieces[at][2]) < 4 * _BATCH):
+                while at < len(pieces) and (not part or total + len(pieces[at][2]) < 2 * _BATCH):
                     part.append(pieces[at])
                     total += len(pieces[at][2])
                     at += 1
@@ -276,7 +276,7 @@ def _span_batch(rows: list[tuple[int, int, int, list[tuple[int, int]]]]) -> pa.R
     return pa.RecordBatch.from_pylist([{"name": n, "c1": a, "c2": b, "spans": [{"x": x, "y": y} for x, y in found]} for n, a, b, found in rows if found], schema=_SPANS_ARROW)
 
 
-def _index_of(length: int, batch_bytes: int = 1 << 20):
+def _index_of(length: int, batch_bytes: int = 1 << 19):
     """Rows (name, c1, c2, bytes, weight), sorted by name within the partition -> spans of each class; whole names at a time."""
 
     def solve(rows: list[tuple]) -> pa.RecordBatch:
