@@ -232,7 +232,7 @@ def stars(reps: DataFrame, members: DataFrame, threshold: float, hashes: int, wi
     def middle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for sigs in batch.column(2).to_pylist():
+            for sigs in (x.as_py() for x in batch.column(2)):
                 part = np.sort(np.frombuffer(b"".join(sigs), np.uint16).reshape(len(sigs), hashes), axis=0)
                 out.append(part[len(sigs) // 2].tobytes())  # what more than half of the rows share is the middle value
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.binary())], ["tree", "prefix", "usual"])
@@ -244,7 +244,7 @@ def stars(reps: DataFrame, members: DataFrame, threshold: float, hashes: int, wi
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lists = pa.list_(pa.int64())
-        for batch in batches:
+        for batch in (b.slice(at, 500) for b in batches for at in range(0, b.num_rows, 500)):
             out: tuple[list, list, list, list] = ([], [], [], [])
             for u, sig, found in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 others = [c for c in found if c["rep"] != u]
@@ -301,9 +301,9 @@ def candidates(reps: DataFrame, members: DataFrame, threshold: float, hashes: in
             lists = pa.list_(pa.int64())
             return pa.RecordBatch.from_arrays([pa.array(crowd, pa.int64()), pa.array(list(partners), pa.int64()), pa.array(list(partners.values()), lists), pa.array([forest.get(u, []) for u in partners], lists)], ["crowd", "u", "partners", "forest"])
 
-        for batch in batches:
+        for batch in (b.slice(at, 2000) for b in batches for at in range(0, b.num_rows, 2000)):
             held += zip(*(c.to_pylist() for c in batch.columns), strict=True)
-            if len(held) >= 20_000:
+            if len(held) >= 8_000:
                 yield solve(held)
                 held = held[-window:]
         if held:
