@@ -70,7 +70,13 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_dedup, op2_embedding_dedup, op3_secret_scan, op4_sentencepiece_fst, op5_toxicity, op6_quality_classifier, op7_license_scan, op8_quality_rules, op9_best_fit_packing, op10_suffix_dedup)}
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from freshet.llm.lexical_search import lexical_search
+
+    return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_dedup, op2_embedding_dedup, op3_secret_scan, op4_sentencepiece_fst, op5_toxicity, op6_quality_classifier, op7_license_scan, op8_quality_rules, op9_best_fit_packing, op10_suffix_dedup, op11_lexical_search)}
 
 _OP8 = r"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
@@ -114,4 +120,18 @@ SELECT vec_id, (SELECT count(*) FROM p WHERE p.u = vec_id) AS n_links, (SELECT m
 FROM embeddings
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_embedding_dedup": _OP2, "op8_quality_rules": _op8_sql()}
+_OP11 = r"""
+WITH t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+d AS (SELECT row_number() OVER () AS k, doc_id, ts, len(ts) AS n FROM t WHERE len(ts) > 0),
+z AS (SELECT count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_terms FROM d),
+p AS (SELECT k, term, count(*) AS tf FROM (SELECT k, unnest(ts) AS term FROM d) GROUP BY k, term),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+w AS (SELECT term, floor(1000 * ln((2 * n_docs + 2)::DOUBLE / (2 * df + 1)))::BIGINT AS w FROM (SELECT term, count(*) AS df FROM p GROUP BY term), z),
+m AS (SELECT k, doc_id, (50 + (50 * n * n_docs) // n_terms)::BIGINT AS m FROM d, z),
+s AS (SELECT item_id, m.k, m.doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m)))::BIGINT AS score
+      FROM q JOIN w USING (term) JOIN p USING (term) JOIN m USING (k) GROUP BY item_id, m.k, m.doc_id),
+r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
+"""
+
+ORACLE_SQL: dict[str, str] = {"op11_lexical_search": _OP11, "op2_embedding_dedup": _OP2, "op8_quality_rules": _op8_sql()}
