@@ -76,7 +76,13 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_dedup, op2_embedding_dedup, op3_secret_scan, op4_sentencepiece_fst, op5_toxicity, op6_quality_classifier, op7_license_scan, op8_quality_rules, op9_best_fit_packing, op10_suffix_dedup, op11_lexical_search)}
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from freshet.llm.prefix_trie import conversation_trie
+
+    return conversation_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_dedup, op2_embedding_dedup, op3_secret_scan, op4_sentencepiece_fst, op5_toxicity, op6_quality_classifier, op7_license_scan, op8_quality_rules, op9_best_fit_packing, op10_suffix_dedup, op11_lexical_search, op13_prefix_trie)}
 
 _OP8 = r"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
@@ -134,4 +140,28 @@ r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DES
 SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
 """
 
-ORACLE_SQL: dict[str, str] = {"op11_lexical_search": _OP11, "op2_embedding_dedup": _OP2, "op8_quality_rules": _op8_sql()}
+# crc32 of a decimal number: eight steps of the reflected polynomial for each digit's byte.
+_OP13 = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(strlen(role)::VARCHAR || ':' || role || text)) - 1 AS pos FROM t),
+c AS (SELECT conv_id, conv_id - conv_id % 20 AS head,
+             xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda d: ascii(d)::BIGINT)),
+                 lambda a, b: list_reduce(list_prepend(xor(a, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), lambda x, y: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295) % 4 AS h
+      FROM (SELECT DISTINCT conv_id FROM t)),
+r AS (SELECT c.conv_id, pos, role, text FROM c JOIN p ON p.conv_id = c.conv_id WHERE pos >= h
+      UNION ALL SELECT c.conv_id, pos, role, text FROM c JOIN p ON p.conv_id = c.head WHERE pos < h),
+s AS (SELECT c.conv_id, coalesce(q.s, []) AS s FROM c LEFT JOIN (SELECT conv_id, list(md5(strlen(role)::VARCHAR || ':' || role || text) ORDER BY pos) AS s FROM r GROUP BY conv_id) q USING (conv_id)),
+w AS (SELECT DISTINCT md5(strlen(role)::VARCHAR || ':' || role || text) AS item, len(list_filter(regexp_split_to_array(text, '[\x20\x09-\x0D]+'), lambda x: x <> ''))::BIGINT AS n_words FROM r),
+m AS (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS depth FROM s),
+n AS (SELECT s[1:depth] AS pre, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+             sha256(coalesce(string_agg(CASE WHEN len(s) = depth THEN conv_id::VARCHAR END, ',' ORDER BY conv_id), '')) AS ends_sha256 FROM m GROUP BY ALL),
+k AS (SELECT n.*, u.conv_id AS parent_conv_id, (n.n_convs - 1) * coalesce(n_words, 0) AS own,
+             (SELECT count(*) FROM n x WHERE x.depth = n.depth + 1 AND x.pre[1:n.depth] = n.pre) AS n_children
+      FROM n LEFT JOIN n u ON u.depth = n.depth - 1 AND n.pre[1:n.depth - 1] = u.pre AND n.depth > 0 LEFT JOIN w ON w.item = n.pre[n.depth]),
+b AS (SELECT s[1:d] AS pre, sum(own) AS saved_tokens, sum((n_children = 0)::BIGINT) AS n_leaves FROM (SELECT pre AS s, own, n_children, unnest(range(0, depth + 1)) AS d FROM k) GROUP BY s[1:d])
+SELECT conv_id::BIGINT AS conv_id, depth::BIGINT AS depth, parent_conv_id::BIGINT AS parent_conv_id, n_convs::BIGINT AS n_convs, n_children::BIGINT AS n_children,
+       n_leaves::BIGINT AS n_leaves, saved_tokens::BIGINT AS saved_tokens, ends_sha256
+FROM k JOIN b USING (pre)
+"""
+
+ORACLE_SQL: dict[str, str] = {"op13_prefix_trie": _OP13, "op11_lexical_search": _OP11, "op2_embedding_dedup": _OP2, "op8_quality_rules": _op8_sql()}
