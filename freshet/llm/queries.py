@@ -76,13 +76,19 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from freshet.llm.spot_signatures import spot_signatures
+
+    return spot_signatures(table(spark, sf_dir, "documents"))
+
+
 def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from freshet.llm.prefix_trie import conversation_trie
 
     return conversation_trie(table(spark, sf_dir, "conversations"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_dedup, op2_embedding_dedup, op3_secret_scan, op4_sentencepiece_fst, op5_toxicity, op6_quality_classifier, op7_license_scan, op8_quality_rules, op9_best_fit_packing, op10_suffix_dedup, op11_lexical_search, op13_prefix_trie)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_minhash_dedup, op2_embedding_dedup, op3_secret_scan, op4_sentencepiece_fst, op5_toxicity, op6_quality_classifier, op7_license_scan, op8_quality_rules, op9_best_fit_packing, op10_suffix_dedup, op11_lexical_search, op12_spot_signatures, op13_prefix_trie)}
 
 _OP8 = r"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS t FROM documents),
@@ -140,6 +146,38 @@ r AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DES
 SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 50
 """
 
+_SPOTS = r"""list_sort(list_distinct(list_concat(
+    CASE WHEN len(ws) > 0 THEN [left(md5(array_to_string(list_concat(['^'], content[1:{chain}]), ' ')), 8)] ELSE [] END,
+    list_filter(list_transform(marks, lambda a, k: CASE WHEN a.i - k < len(content)
+        THEN left(md5(array_to_string(list_concat([a.w], content[a.i - k + 1:a.i - k + {chain}]), ' ')), 8) END), lambda h: h IS NOT NULL))))"""
+_PARTED = r"""list_filter(ws, lambda w: w NOT IN ({stop})) AS content,
+    list_filter(list_transform(ws, lambda w, i: {'w': w, 'i': i}), lambda a: a.w IN ({stop})) AS marks"""
+_WORDS = r"list_filter(regexp_split_to_array({text}, '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+_LIKE = """CASE WHEN {a} = {b} THEN 1.0 WHEN len({a}) = 0 OR len({b}) = 0 THEN 0.0
+    WHEN len(list_intersect({a}, {b}))::DOUBLE / (len({a}) + len({b}) - len(list_intersect({a}, {b}))) >= 0.1
+    THEN len(list_intersect({a}, {b}))::DOUBLE / (len({a}) + len({b}) - len(list_intersect({a}, {b}))) ELSE 0.0 END::DOUBLE"""
+_OP12 = f"""
+WITH d AS (SELECT row_number() OVER (ORDER BY doc_id DESC NULLS LAST) AS k, doc_id, coalesce(text, '') AS t FROM documents),
+n AS (SELECT k, doc_id, t, coalesce(lead(t) OVER (ORDER BY k), first_value(t) OVER (ORDER BY k)) AS u, length(t)::BIGINT AS n FROM d),
+e AS (SELECT *, left(t, (n - n // 2)) || left(u, n // 2) AS e FROM n),
+a AS (SELECT 'own' AS kind, k, {_WORDS.format(text="t")} AS ws FROM e UNION ALL SELECT 'edited', k, {_WORDS.format(text="e")} FROM e),
+p AS (SELECT kind, k, ws, {_PARTED} FROM a),
+s AS (SELECT kind, k, {_SPOTS} AS s FROM p),
+x AS (SELECT e.k, doc_id, n, e, o.s AS s, c.s AS c FROM e JOIN s o ON o.k = e.k AND o.kind = 'own' JOIN s c ON c.k = e.k AND c.kind = 'edited'),
+y AS (SELECT *, coalesce(lead(s) OVER (ORDER BY k), first_value(s) OVER (ORDER BY k)) AS f FROM x)
+SELECT doc_id, n AS n_chars, sha256(e) AS edited_sha256, array_to_string(s, ' ') AS fingerprint, array_to_string(c, ' ') AS edited_fingerprint,
+       {_LIKE.format(a="s", b="c")} AS near_edited, {_LIKE.format(a="s", b="f")} AS near_next
+FROM y
+"""
+
+
+def _op12_sql() -> str:
+    from freshet.llm.quality_rules import STOP_WORDS
+    from freshet.llm.spot_signatures import CHAIN
+
+    return _OP12.replace("{stop}", ", ".join(f"'{w}'" for x in STOP_WORDS for w in (x, x.capitalize()))).replace("{chain}", str(CHAIN))
+
+
 # crc32 of a decimal number: eight steps of the reflected polynomial for each digit's byte.
 _OP13 = r"""
 WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
@@ -164,4 +202,4 @@ SELECT conv_id::BIGINT AS conv_id, depth::BIGINT AS depth, parent_conv_id::BIGIN
 FROM k JOIN b USING (pre)
 """
 
-ORACLE_SQL: dict[str, str] = {"op13_prefix_trie": _OP13, "op11_lexical_search": _OP11, "op2_embedding_dedup": _OP2, "op8_quality_rules": _op8_sql()}
+ORACLE_SQL: dict[str, str] = {"op12_spot_signatures": _op12_sql(), "op13_prefix_trie": _OP13, "op11_lexical_search": _OP11, "op2_embedding_dedup": _OP2, "op8_quality_rules": _op8_sql()}
