@@ -44,8 +44,7 @@ def occupancy_curves(texts: DataFrame, column: str = "json", family: str = "USAC
     chosen = part.select("class", "component", F.coalesce(F.try_element_at("found.damagefunctions", F.lit("depth")), F.try_element_at("found.damagefunctions", F.lit("default"))).alias("f")).where("f.damagefunction IS NOT NULL")
     mean = lambda y: F.coalesce(y["parameters"]["mean"], y["parameters"]["value"]) / 100
     points = chosen.select("class", "component", F.transform("f.damagefunction.xvalues", lambda x: x * FEET).alias("depths"), F.transform("f.damagefunction.ydistributions", mean).alias("raw"), F.transform("f.damagefunction.ydistributions", lambda y: F.coalesce(y["parameters"]["standarddeviation"], F.lit(0.0)) / 100).alias("sigmas"))
-    sigmas = F.when(F.col("component") == "structure", F.col("sigmas")).otherwise(F.transform("sigmas", lambda _: F.lit(0.0)))
-    return points.select(F.lit(family).alias("family"), "class", "component", "depths", _running_max(F.col("raw")).alias("fractions"), sigmas.alias("sigmas"), F.lit(True).alias("verified"))
+    return points.select(F.lit(family).alias("family"), "class", "component", "depths", _running_max(F.col("raw")).alias("fractions"), "sigmas", F.lit(True).alias("verified"))
 
 
 def family_curves(texts: DataFrame, column: str = "json") -> DataFrame:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freshet.functions.scalar import clip, generic_class, interp
+from freshet.operators.scan import touched_cells
+from freshet.operators.spatial import area, centroid
 
 NO_WATER, NO_WATER_BELOW = -1e6, -1e3
 
@@ -84,16 +88,39 @@ def footprints(points: DataFrame, least_side: float = 4.0) -> DataFrame:
     return points.withColumns({"xmin": F.col("x") - half, "ymin": F.col("y") - half, "xmax": F.col("x") + half, "ymax": F.col("y") + half})
 
 
-def zonal(boxes: DataFrame, cells: DataFrame, cellsize: float, least_area: float = 10.0) -> DataFrame:
-    """Zonal figures of boxes (building_id, xmin, ymin, xmax, ymax; origin at the top left) over every cell that a box touches.
+def zonal(units: DataFrame, cells: DataFrame, cellsize: float, least_area: float = 10.0, shape: tuple[int, int] | None = None) -> DataFrame:
+    """Zonal figures of units (building_id and xmin, ymin, xmax, ymax, or rings; origin at the top left) over every cell that one touches.
 
-    cells: r, c, depth_m, hand, reach. max, mean and 90th percentile of depth, 10th of height, most usual reach (least on a tie).
+    cells: r, c, depth_m, hand, reach, and unclamped (depth that may be negative) if known; a raster of `shape` has cells without a row too.
+    Max, mean and 90th percentile of depth, where an undefined depth is 0; of unclamped depth (margin_*), where it is -inf; 10th
+    percentile of the heights that are defined, most usual reach (least on a tie), and the figures of the centroid's own cell (centre_*).
     """
     at = lambda x: F.floor(F.col(x) / cellsize).cast("int")
-    rows = F.explode(F.sequence(-F.ceil(F.col("ymax") / cellsize).cast("int"), -F.ceil(F.col("ymin") / cellsize).cast("int"))).alias("r")
-    big = boxes.where((F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin")) >= least_area)
-    spread = big.select("building_id", "xmin", "xmax", rows).select("building_id", "r", F.explode(F.sequence(at("xmin"), at("xmax"))).alias("c"))
-    found = spread.join(cells, ["r", "c"]).groupBy("building_id").agg(F.max("depth_m").alias("depth_max"), F.avg("depth_m").alias("depth_mean"), F.percentile("depth_m", F.lit(0.9)).alias("depth_p90"), F.percentile("hand", F.lit(0.1)).alias("hand_p10"), F.mode("reach", True).alias("reach"), F.count("*").alias("n_cells"))
+    if "rings" in units.columns:
+        sized = units.select("building_id", "rings", F.aggregate("rings", F.lit(0.0), lambda s, ring: s - area(ring)).alias("holes"), centroid(F.get("rings", F.lit(0))).alias("p"), (2 * area(F.get("rings", F.lit(0)))).alias("outer"))
+        big = sized.where(F.col("holes") + F.col("outer") >= least_area)
+        spread = touched_cells(big.select(F.col("building_id").alias("unit"), "rings"), cellsize).withColumnRenamed("unit", "building_id")
+        middle = big.select("building_id", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+    else:
+        rows = F.explode(F.sequence(-F.ceil(F.col("ymax") / cellsize).cast("int"), -F.ceil(F.col("ymin") / cellsize).cast("int"))).alias("r")
+        big = units.where((F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin")) >= least_area)
+        spread = big.select("building_id", "xmin", "xmax", rows).select("building_id", "r", F.explode(F.sequence(at("xmin"), at("xmax"))).alias("c"))
+        middle = big.select("building_id", ((F.col("xmin") + F.col("xmax")) / 2).alias("x"), ((F.col("ymin") + F.col("ymax")) / 2).alias("y"))
+    spread = spread.join(middle.select("building_id", at("x").alias("mc"), F.floor(-F.col("y") / cellsize).cast("int").alias("mr")), "building_id")
+    centre = (F.col("r") == F.col("mr")) & (F.col("c") == F.col("mc"))
+    if shape:
+        spread = spread.where((F.col("r") >= 0) & (F.col("r") < shape[0]) & (F.col("c") >= 0) & (F.col("c") < shape[1]))
+    known = [c for c in ("depth_m", "hand", "reach", "unclamped") if c in cells.columns]
+    found = spread.join(cells.select("r", "c", *known), ["r", "c"], "left" if shape else "inner")
+    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) != float("inf"))
+    found = found.withColumn("depth_m", F.when(finite("depth_m"), F.col("depth_m")).otherwise(0.0))
+    figures = {"depth": "depth_m"}
+    if "unclamped" in known:
+        found, figures = found.withColumn("unclamped", F.when(finite("unclamped"), F.col("unclamped")).otherwise(F.lit(-math.inf))), figures | {"margin": "unclamped"}
+    out = [f for k, c in figures.items() for f in (F.max(c).alias(f"{k}_max"), F.avg(c).alias(f"{k}_mean"), F.percentile(c, F.lit(0.9)).alias(f"{k}_p90"), F.max(F.when(centre, F.col(c))).alias(f"{k}_centroid"))]
+    own = [F.max(F.when(centre, F.col(c))).alias(f"centre_{c}") for c in ("hand", "reach") if c in known]
+    heights = F.percentile(F.when(finite("hand"), F.col("hand")), F.lit(0.1)).alias("hand_p10")
+    found = found.groupBy("building_id").agg(*out, heights, F.mode("reach", True).alias("reach"), F.count("*").alias("n_cells"), *own)
     return big.select("building_id").join(found, "building_id", "left")
 
 
@@ -158,21 +185,20 @@ def ladder_at(rungs: DataFrame, multipliers: list[float], columns: tuple[str, ..
 def building_depths(boxes: DataFrame, cells: DataFrame, cellsize: float, rows: int, cols: int, least_area: float = 10.0, statistic: str = "max") -> DataFrame:
     """depth_m, floor_depth_m, floor_margin_m, hand_m, reach_id and off_raster of every box (building_id, corners, found_ht_m) of the least area.
 
-    statistic: max, mean, p90 or centroid. A box whose cells are all undefined has depth 0; one beyond the raster has depth 0, a
-    margin of -inf, a height of +inf and reach -1, as has a box that the water's height is unknown for.
+    statistic: max, mean, p90 or centroid (then the heights and reach are those of the centroid's cell too). Undefined depths count 0.
+    With a column unclamped in cells the margin is that depth less the floor's height, also for water that stops short; without one it is
+    known only where the ground is wet, else -inf. A box beyond the raster has depth 0, a margin of -inf, a height of +inf and reach -1.
     """
     inf = float("inf")
-    found = zonal(boxes, cells, cellsize, least_area)
+    found = zonal(boxes, cells, cellsize, least_area, (rows, cols))
     kept = boxes.where((F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin")) >= least_area)
     outside = (F.col("xmax") < 0) | (F.col("xmin") >= cols * cellsize) | (F.col("ymin") > 0) | (F.col("ymax") <= -rows * cellsize)
     both = kept.join(found, "building_id", "left")
-    if statistic == "centroid":
-        at = lambda low, high, sign: F.floor(sign * (F.col(low) + F.col(high)) / 2 / cellsize).cast("int")
-        middle = kept.select("building_id", at("ymin", "ymax", -1).alias("r"), at("xmin", "xmax", 1).alias("c")).join(cells.select("r", "c", F.col("depth_m").alias("depth_centroid")), ["r", "c"]).select("building_id", "depth_centroid")
-        both = both.join(middle, "building_id", "left")
     depth = F.when(outside, 0.0).otherwise(F.coalesce(F.col(f"depth_{statistic}"), F.lit(0.0)))
-    margin = F.when(~outside & (depth > 0), depth - F.col("found_ht_m")).otherwise(F.lit(-inf))
-    return both.select("building_id", depth.alias("depth_m"), F.greatest(depth - F.col("found_ht_m"), F.lit(0.0)).alias("floor_depth_m"), margin.alias("floor_margin_m"), F.when(outside, F.lit(inf)).otherwise(F.coalesce("hand_p10", F.lit(inf))).alias("hand_m"), F.when(outside, F.lit(-1).cast("long")).otherwise(F.coalesce(F.col("reach").cast("long"), F.lit(-1))).alias("reach_id"), outside.alias("off_raster"))
+    signed = F.coalesce(F.col(f"margin_{statistic}"), F.lit(-inf)) if "unclamped" in cells.columns else F.when(depth > 0, depth).otherwise(F.lit(-inf))
+    margin = F.when(outside, F.lit(-inf)).otherwise(signed - F.col("found_ht_m"))
+    height, reach = ("centre_hand", "centre_reach") if statistic == "centroid" else ("hand_p10", "reach")
+    return both.select("building_id", depth.alias("depth_m"), F.greatest(depth - F.col("found_ht_m"), F.lit(0.0)).alias("floor_depth_m"), margin.alias("floor_margin_m"), F.when(outside, F.lit(inf)).otherwise(F.coalesce(height, F.lit(inf))).alias("hand_m"), F.when(outside, F.lit(-1).cast("long")).otherwise(F.coalesce(F.col(reach).cast("long"), F.lit(-1))).alias("reach_id"), outside.alias("off_raster"))
 
 
 def exposure_counts(depths: DataFrame, n_boxes: int) -> DataFrame:

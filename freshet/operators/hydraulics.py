@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from freshet.functions.scalar import interp, norm_cdf, norm_ppf
 from freshet.operators.terrain import connected_to
+from freshet.operators.tiles import SIZE
 
 # Metres in a unit of a gauge reading.
 UNITS = {"m": 1.0, "ft": 0.3048, "usft": 1200 / 3937}
@@ -82,12 +83,12 @@ def ladder(top: float = 3.0, step: float = 0.05, detail: bool = True) -> list[fl
     return sorted(rungs | ({round(step / k, 10) for k in (2, 4, 8, 16)} if detail else set()))
 
 
-def inundate(catchments: DataFrame, cells: DataFrame, stages: DataFrame, streams: DataFrame, cols: int, min_depth: float = 0.05, four: bool = False) -> DataFrame:
+def inundate(catchments: DataFrame, cells: DataFrame, stages: DataFrame, streams: DataFrame, cols: int, min_depth: float = 0.05, four: bool = False, size: int = SIZE) -> DataFrame:
     """cell, depth_m and connected: water above ground, kept where its component holds a wet stream cell; null heights stay null."""
     depth = F.greatest(F.coalesce("stage_m", F.lit(0.0)) - F.col("hand"), F.lit(0.0))
     wet = catchments.join(stages.select("reach", "stage_m"), "reach", "left").select("cell", "hand", F.when(F.col("hand").isNotNull(), depth).alias("depth_m"))
     pool = cells.select("cell", "r", "c").join(wet.where((F.col("depth_m") >= min_depth) & (F.col("depth_m") > 0)), "cell").select("cell", "r", "c")
-    kept = connected_to(pool, streams.select("cell").join(pool.select("cell"), "cell", "left_semi"), cols, four).select("cell", F.lit(True).alias("connected"))
+    kept = connected_to(pool, streams.select("cell").join(pool.select("cell"), "cell", "left_semi"), cols, four, size).select("cell", F.lit(True).alias("connected"))
     return wet.join(kept, "cell", "left").select("cell", F.when(F.col("hand").isNotNull(), F.when(F.col("connected"), F.col("depth_m")).otherwise(0.0)).alias("depth_m"), F.coalesce("connected", F.lit(False)).alias("connected"))
 
 

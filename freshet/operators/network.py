@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freshet.operators import graph
-from freshet.operators.terrain import DIRECTIONS, tile_of
+from freshet.operators.graph import tile_of
+from freshet.operators.tiles import DIRECTIONS, SIZE
 from freshet.sources.store import written
 
 
@@ -18,13 +19,13 @@ def step_length(flowdir: Column, cellsize: float) -> Column:
     return F.when(flowdir.isin(straight), cellsize).otherwise(cellsize * math.sqrt(2))
 
 
-def network_distance(routed: DataFrame, gauges: DataFrame, cellsize: float) -> DataFrame:
+def network_distance(routed: DataFrame, gauges: DataFrame, cellsize: float, size: int = SIZE) -> DataFrame:
     """gauge, cell, distance_m for gauges (gauge, cell) and routed (cell, r, c, flowdir, next): positive upstream, negative downstream.
 
     A cell whose path meets the gauge's path has a distance, and the two meet at their common outlet at the latest. So the distance is
     the difference of the two ways to the outlet, and one pass over the paths serves every gauge. Cells of other outlets have no row.
     """
-    edges = routed.select(F.col("cell").alias("node"), "next", step_length(F.col("flowdir"), cellsize).alias("step"), tile_of(F.col("r"), F.col("c")).alias("tile"))
+    edges = routed.select(F.col("cell").alias("node"), "next", step_length(F.col("flowdir"), cellsize).alias("step"), tile_of(F.col("r"), F.col("c"), size).alias("tile"))
     ways = written(graph.resolve(edges, "step", "tile"), "ways")
     own = gauges.join(ways.select(F.col("node").alias("cell"), "root", F.col("cost").alias("at")), "cell").select("gauge", "root", "at")
     return ways.join(own, "root").select("gauge", F.col("node").alias("cell"), (F.col("cost") - F.col("at")).alias("distance_m"))

@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freshet.functions.scalar import _bound, point_in_ring
+from freshet.operators.scan import covered_cells, points_in_units, rings_of  # noqa: F401
 
 RING = "array<struct<x: double, y: double>>"
-_COLLECTION = "features array<struct<properties: map<string, string>, geometry: struct<type: string, coordinates: array<array<array<double>>>>>>"
+#: Coordinates stay text here, as their nesting depends on the type.
+_COLLECTION = "features array<struct<properties: map<string, string>, geometry: struct<type: string, coordinates: string>>>"
 
 # The ellipsoid of NAD83 and WGS84 (to the millimetre the same), and the scale of a UTM zone.
 AXIS, FLATTENING, UTM_SCALE, UTM_EAST = 6378137.0, 1 / 298.257222101, 0.9996, 500000.0
@@ -44,23 +46,9 @@ def centroid(ring: Column) -> Column:
     return F.aggregate(_edges(ring), zero, add, lambda s: F.struct((s["x"] / (3 * s["w"])).alias("x"), (s["y"] / (3 * s["w"])).alias("y")))
 
 
-def points_in_units(points: DataFrame, units: DataFrame, block: float, boundary: bool = False) -> DataFrame:
-    """points (x, y) with the units (unit, ring) that hold them, a row for each such unit.
-
-    Units are cut into blocks of their extents, so points meet only units near to them; the ring decides. boundary: a point on an
-    edge is inside (structures), else outside (marks, gauges).
-    """
-    at = lambda x: F.floor(x / block).cast("int")
-    boxed = units.select("unit", "ring", bounds(F.col("ring")).alias("b"))
-    spread = boxed.select("unit", "ring", F.explode(F.sequence(at(F.col("b.xmin")), at(F.col("b.xmax")))).alias("bx"), "b").select("unit", "ring", "bx", F.explode(F.sequence(at(F.col("b.ymin")), at(F.col("b.ymax")))).alias("by"))
-    met = points.withColumns({"bx": at(F.col("x")), "by": at(F.col("y"))}).join(spread, ["bx", "by"])
-    return met.where(point_in_ring(F.col("x"), F.col("y"), F.col("ring"), boundary)).drop("bx", "by", "ring")
-
-
-def geometry_mask(cells: DataFrame, units: DataFrame, cellsize: float, block: int = 64) -> DataFrame:
-    """unit and cell of every cell (r, c) whose centre lies in the unit's ring (origin at the top left, y downwards negative)."""
-    centres = cells.select("cell", ((F.col("c") + 0.5) * cellsize).alias("x"), (-(F.col("r") + 0.5) * cellsize).alias("y"))
-    return points_in_units(centres, units, block * cellsize).select("unit", "cell")
+def geometry_mask(cells: DataFrame, units: DataFrame, cellsize: float) -> DataFrame:
+    """unit and cell of every cell (r, c) whose centre lies inside the unit (origin at the top left, y downwards negative)."""
+    return covered_cells(units, cellsize).join(cells.select("r", "c", "cell"), ["r", "c"]).select("unit", "cell")
 
 
 def extent(rows: DataFrame) -> DataFrame:
@@ -104,25 +92,37 @@ def subtype_class(subtype: Column, default: str = "residential") -> Column:
 
 
 def units_of(texts: DataFrame, column: str = "json") -> DataFrame:
-    """properties, ring and area of the polygons of GeoJSON collections (a text a row), largest first; outer rings only."""
-    one = texts.select(F.explode(F.from_json(column, _COLLECTION)["features"]).alias("f")).where("f.geometry.type = 'Polygon'")
-    outer = F.get("f.geometry.coordinates", F.lit(0))
-    ring = F.transform(F.slice(outer, F.lit(1), F.size(outer) - 1), lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
-    return one.select(F.col("f.properties").alias("properties"), ring.alias("ring")).withColumn("area", area(F.col("ring"))).orderBy(F.desc("area"))
+    """properties, parts, rings, ring and area of the polygons of GeoJSON collections (a text a row), largest first.
+
+    parts holds each polygon's rings, the outer one first and then its holes; rings is all of them, ring the outer one of the first
+    part. Polygons and multipolygons are kept, other geometries have no area and are left out.
+    """
+    one = texts.select(F.explode(F.from_json(column, _COLLECTION)["features"]).alias("f")).where("f.geometry.type IN ('Polygon', 'MultiPolygon')")
+    polygon = "array<array<array<double>>>"
+    found = F.when(F.col("f.geometry.type") == "Polygon", F.array(F.from_json("f.geometry.coordinates", polygon))).otherwise(F.from_json("f.geometry.coordinates", f"array<{polygon}>"))
+    opened = lambda ring: F.transform(F.slice(ring, F.lit(1), F.size(ring) - 1), lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
+    rows = one.select(F.col("f.properties").alias("properties"), F.transform(found, lambda part: F.transform(part, opened)).alias("parts"))
+    sized = F.aggregate("parts", F.lit(0.0), lambda s, part: s + F.aggregate(part, F.lit(0.0), lambda t, ring: t - area(ring)) + 2 * area(F.get(part, F.lit(0))))
+    return rows.select("properties", "parts", F.flatten("parts").alias("rings"), F.get(F.get("parts", F.lit(0)), F.lit(0)).alias("ring"), sized.alias("area")).orderBy(F.desc("area"))
 
 
 def as_geojson(units: DataFrame, properties: list[str]) -> DataFrame:
-    """feature: a GeoJSON text of each unit's ring, closed, with the named columns as properties."""
-    closed = F.concat("ring", F.slice("ring", 1, 1))
-    points = F.transform(closed, lambda p: F.array(p["x"], p["y"]))
-    return units.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*properties).alias("properties"), F.struct(F.lit("Polygon").alias("type"), F.array(points).alias("coordinates")).alias("geometry"))).alias("feature"))
+    """feature: a GeoJSON text of each unit, with the named columns as properties; a multipolygon where units have parts, else their ring."""
+    closed = lambda ring: F.transform(F.concat(ring, F.slice(ring, 1, 1)), lambda p: F.array(p["x"], p["y"]))
+    if "parts" in units.columns:
+        shape = F.struct(F.lit("MultiPolygon").alias("type"), F.transform("parts", lambda part: F.transform(part, closed)).alias("coordinates"))
+    else:
+        shape = F.struct(F.lit("Polygon").alias("type"), F.array(closed(F.col("ring"))).alias("coordinates"))
+    return units.select(F.to_json(F.struct(F.lit("Feature").alias("type"), F.struct(*properties).alias("properties"), shape.alias("geometry"))).alias("feature"))
 
 
 def unit_of_point(units: DataFrame, x: float, y: float) -> DataFrame:
     """The unit that holds a point, or else the first by name among those whose box does."""
-    b = bounds(F.col("ring"))
+    rings = rings_of(units)
+    b = bounds(F.flatten(rings))
     near = units.where((b["xmin"] <= x) & (b["xmax"] >= x) & (b["ymin"] <= y) & (b["ymax"] >= y))
-    return near.withColumn("inside", point_in_ring(F.lit(x), F.lit(y), F.col("ring"))).orderBy(F.desc("inside"), "unit").limit(1).drop("inside")
+    inside = F.size(F.filter(rings, lambda ring: point_in_ring(F.lit(x), F.lit(y), ring))) % 2 == 1
+    return near.withColumn("inside", inside).orderBy(F.desc("inside"), "unit").limit(1).drop("inside")
 
 
 # Projections: the transverse Mercator by Krueger's series to the fourth order, Albers' equal area, the inverse Web Mercator.

@@ -1,29 +1,24 @@
 """Terrain operators over cell tables (cell, r, c, z): conditioning, D8 routing, accumulation, streams, height above drainage.
 
 A row is a valid cell; cells outside the domain are absent, so that no sentinel takes part in a comparison. Neighbour work is one
-message per neighbour, joined by cell; paths are pointer doubling; depression filling and flats relax tiles in numpy and exchange
-their rims until nothing moves, so no grid is ever whole in one task.
+message per neighbour, joined by cell; paths are pointer doubling; depression filling and flats work on tiles in numpy and on a graph of
+their borders, so no grid is ever whole in one task.
 """
 
 from __future__ import annotations
 
-import heapq
 import math
-from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from freshet.operators.conditioning import fill_depressions, resolve_flats, undrained  # noqa: F401
 from freshet.operators.graph import components, resolve, subtree_sums, tile_of
+from freshet.operators.tiles import DIRECTIONS, FLAT, NODATA, OUTLET, SIZE, STEPS, around, neighbour_messages, rim
 from freshet.sources.store import written
 
-# Direction codes and their row and column steps, in the order that breaks ties.
-DIRECTIONS = [(1, 0, 1), (2, 1, 1), (4, 1, 0), (8, 1, -1), (16, 0, -1), (32, -1, -1), (64, -1, 0), (128, -1, 1)]
-NODATA, OUTLET, FLAT = 0, -1, -2
-STEPS = [(a, b) for _, a, b in DIRECTIONS]
-
 
 def valid_cells(raw: DataFrame, nodata: float | None = None) -> DataFrame:
     """Rows whose z is finite and not nodata."""
@@ -35,14 +30,6 @@ def cell_id(r: Column, c: Column, cols: int) -> Column:
     return (r * F.lit(cols) + c).cast("long")
 
 
-def neighbour_messages(cells: DataFrame, values: list[str], four: bool = False) -> DataFrame:
-    """r, c of a neighbour, the code of the direction from it back to the sender, the distance, and the sender's values."""
-    steps = [d for d in DIRECTIONS if not four or d[1] == 0 or d[2] == 0]
-    each = F.explode(F.array(*[F.struct(F.lit(k).alias("code"), F.lit(dr).alias("dr"), F.lit(dc).alias("dc"), F.lit(math.hypot(dr, dc)).alias("far")) for k, dr, dc in steps]))
-    sent = cells.select("r", "c", *[F.col(v).alias(f"n_{v}") for v in values], each.alias("d"))
-    return sent.select((F.col("r") - F.col("d.dr")).alias("r"), (F.col("c") - F.col("d.dc")).alias("c"), F.col("d.code").alias("code"), F.col("d.far").alias("far"), *[f"n_{v}" for v in values])
-
-
 def receivers(directed: DataFrame, cols: int) -> DataFrame:
     """directed with next: the cell that a cell drains to, null for outlets, flats and what leaves the domain."""
     dr, dc = F.lit(None).cast("int"), F.lit(None).cast("int")
@@ -53,46 +40,24 @@ def receivers(directed: DataFrame, cols: int) -> DataFrame:
     return to.join(known, "next", "left").select(*directed.columns, F.when(F.col("known"), F.col("next")).alias("next"))
 
 
-def _edges(routed: DataFrame, *more: Column) -> DataFrame:
+def _edges(routed: DataFrame, size: int, *more: Column) -> DataFrame:
     """node, next and tile (by r and c) of routed."""
-    return routed.select(F.col("cell").alias("node"), "next", tile_of(F.col("r"), F.col("c")).alias("tile"), *more)
+    return routed.select(F.col("cell").alias("node"), "next", tile_of(F.col("r"), F.col("c"), size).alias("tile"), *more)
 
 
-def steps_to_outlet(routed: DataFrame) -> DataFrame:
+def steps_to_outlet(routed: DataFrame, size: int = SIZE) -> DataFrame:
     """cell, steps (cells of the path, the cell itself included) and outlet (its last cell); routed: cell, r, c, next."""
-    found = resolve(_edges(routed), tile="tile")
+    found = resolve(_edges(routed, size), tile="tile")
     return found.select(F.col("node").alias("cell"), (F.col("cost") + 1).cast("long").alias("steps"), F.col("root").alias("outlet"))
 
 
-def flow_accumulation(routed: DataFrame, weight: Column | None = None) -> DataFrame:
+def flow_accumulation(routed: DataFrame, weight: Column | None = None, size: int = SIZE) -> DataFrame:
     """cell and accumulation: the weights (1 each by default) of all cells that drain through a cell (cell, r, c, next), itself included."""
-    found = subtree_sums(_edges(routed, (weight if weight is not None else F.lit(1.0)).alias("weight")), "weight", "tile")
+    found = subtree_sums(_edges(routed, size, (weight if weight is not None else F.lit(1.0)).alias("weight")), "weight", "tile")
     return found.select(F.col("node").alias("cell"), F.col("total").alias("accumulation"))
 
 
-# Tiles: a kernel sees a tile's cells and the rim of its neighbours, and gives the tile's cells back.
-
-
-def _rim(cells: DataFrame, size: int) -> DataFrame:
-    """cells with (tr, tc, own): once in the own tile, and once in each tile that the cell touches."""
-    steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])
-    at = lambda x, d: F.floor((F.col(x) + d) / F.lit(float(size))).cast("int")
-    copies = F.array_distinct(F.transform(steps, lambda s: F.struct(at("r", s["a"]).alias("tr"), at("c", s["b"]).alias("tc"))))
-    own_r, own_c = at("r", F.lit(0)), at("c", F.lit(0))
-    spread = cells.withColumn("t", F.explode(copies))
-    return spread.select(*cells.columns, F.col("t.tr").alias("tr"), F.col("t.tc").alias("tc"), ((F.col("t.tr") == own_r) & (F.col("t.tc") == own_c)).alias("own"))
-
-
-def _around(part: pd.DataFrame, steps: list[tuple[int, int]], rim: bool = False) -> np.ndarray:
-    """For each step, the place in part of each row's neighbour if that is an own cell of the tile (or of its rim, if rim), else -1."""
-    r, c = part["r"].to_numpy() - part["r"].min() + 1, part["c"].to_numpy() - part["c"].min() + 1
-    place = np.full((r.max() + 2, c.max() + 2), -1)
-    own = np.arange(len(part)) if rim else np.flatnonzero(part["own"].to_numpy())
-    place[r[own], c[own]] = own
-    return np.stack([place[r + a, c + b] for a, b in steps])
-
-
-def flow_direction(cells: DataFrame, cellsize: float = 1.0, size: int = 256) -> DataFrame:
+def flow_direction(cells: DataFrame, cellsize: float = 1.0, size: int = SIZE) -> DataFrame:
     """Steepest descent: direction code, or OUTLET where none is lower beside the domain's edge, or FLAT; ties to the lowest code.
 
     Tiles see their rims, so that a cell is shuffled about once and not once per neighbour.
@@ -101,154 +66,14 @@ def flow_direction(cells: DataFrame, cellsize: float = 1.0, size: int = 256) ->
     far = np.array([math.hypot(a, b) * cellsize for a, b in STEPS])[:, None]
 
     def kernel(part: pd.DataFrame) -> pd.DataFrame:
-        near, z = _around(part, STEPS, True), part["z"].to_numpy().astype("float32")
+        near, z = around(part, STEPS, True), part["z"].to_numpy().astype("float32")
         slope = np.where(near >= 0, (z - z[near]).astype("float64") / far, 0.0)
         best = slope.argmax(axis=0)  # the first of equal slopes has the lowest code
         code = np.where(slope.max(axis=0) > 0, codes[best], np.where((near < 0).any(axis=0), OUTLET, FLAT))
         return part.assign(flowdir=code)[["cell", "r", "c", "z", "flowdir"]][part["own"]]
 
     rows = cells.select("cell", "r", "c", "z")
-    return _rim(rows, size).groupBy("tr", "tc").applyInPandas(kernel, rows.withColumn("flowdir", F.lit(0).cast("smallint")).schema)
-
-
-def relax(cells: DataFrame, kernel: Callable[[pd.DataFrame], pd.DataFrame], size: int) -> DataFrame:
-    """Apply kernel to tiles and their rims until no row says `moved`; kernel returns the tile's own rows, same columns.
-
-    After the first round only the tiles beside one that moved are given to the kernel again; the others keep their rows. Levels and
-    steps only fall, so the rounds come to an end, however many a large grid needs.
-    """
-    state = written(cells.withColumn("moved", F.lit(True)), "tiles")
-    schema = state.schema
-    names = cells.columns
-    at = lambda k: F.floor(F.col(k) / F.lit(float(size))).cast("int")
-    beside = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])).alias("d")
-
-    def run(part: pd.DataFrame) -> pd.DataFrame:
-        return kernel(part)[[*names, "moved"]]
-
-    first = True
-    while first or not _settled_tiles(state):
-        if first:
-            state = written(_rim(state.select(*names), size).groupBy("tr", "tc").applyInPandas(run, schema), "tiles")
-            first = False
-            continue
-        near = state.where("moved").select(at("r").alias("tr"), at("c").alias("tc")).distinct().select("tr", "tc", beside)
-        active = written(near.select((F.col("tr") + F.col("d.a")).alias("tr"), (F.col("tc") + F.col("d.b")).alias("tc")).distinct(), "active")
-        again = _rim(state.select(*names), size).join(active, ["tr", "tc"], "left_semi").groupBy("tr", "tc").applyInPandas(run, schema)
-        rest = state.withColumns({"tr": at("r"), "tc": at("c")}).join(active, ["tr", "tc"], "left_anti").select(*names, F.lit(False).alias("moved"))
-        state = written(again.unionByName(rest), "tiles")
-    return state.select(*names)
-
-
-def _settled_tiles(state: DataFrame) -> bool:
-    return state.where("moved").limit(1).count() == 0
-
-
-def fill_depressions(cells: DataFrame, epsilon: float = 0.0, size: int = 256, four: bool = False) -> DataFrame:
-    """cells with w: the least level at which water at a cell reaches the domain's edge (minimax over paths, plus epsilon a step)."""
-    if epsilon < 0:
-        raise ValueError("an epsilon is not negative")
-    if epsilon and (top := cells.agg(F.max(F.abs("z")).alias("top")).first()["top"]) is not None and np.float32(top) + np.float32(epsilon) == np.float32(top):
-        raise ValueError(f"an epsilon of {epsilon} vanishes beside levels of {top} in single precision")
-    steps = [(a, b) for k, a, b in DIRECTIONS if not four or a == 0 or b == 0]
-    start = cells.select("cell", "r", "c", "z", F.lit(None).cast("double").alias("w"))
-
-    def kernel(part: pd.DataFrame) -> pd.DataFrame:
-        z, before = part["z"].to_numpy(), part["w"].to_numpy()
-        near = _around(part, steps)
-        if fresh := np.isnan(before).any():  # the first round: water is level with the ground at the domain's edge
-            before = np.where(part["own"] & (_around(part, steps, True) < 0).any(axis=0), z, math.inf)
-        # The last place stands for no neighbour and cannot be lowered.
-        can = np.maximum(np.append(z, 0.0)[near], before + epsilon) < np.append(before, -math.inf)[near]
-        start = np.flatnonzero(can.any(axis=0))
-        if not len(start):
-            return part.assign(w=before, moved=fresh)[part["own"]]
-        w, ground, at = before.tolist(), z.tolist(), near.T.tolist()
-        heap = [(w[i], i) for i in start.tolist()]
-        heapq.heapify(heap)
-        while heap:
-            level, i = heapq.heappop(heap)
-            if level > w[i]:
-                continue
-            for j in at[i]:
-                if j >= 0 and (new := max(ground[j], level + epsilon)) < w[j]:
-                    w[j] = new
-                    heapq.heappush(heap, (new, j))
-        return part.assign(w=w, moved=fresh | (np.array(w) != before))[part["own"]]
-
-    return relax(start, kernel, size)
-
-
-def undrained(cells: DataFrame, size: int = 256) -> DataFrame:
-    """cells with undrained: whether no path to the domain's edge exists that never rises."""
-    start = cells.select("cell", "r", "c", "z", F.lit(-1).alias("dry"))
-
-    def kernel(part: pd.DataFrame) -> pd.DataFrame:
-        z, known = part["z"].to_numpy(), part["dry"].to_numpy()
-        near = _around(part, STEPS)
-        fresh = (known < 0).any()  # the first round: cells at the domain's edge drain
-        before = part["own"].to_numpy() & (_around(part, STEPS, True) < 0).any(axis=0) if fresh else known > 0
-        open_ = (near >= 0) & (np.append(z, 0.0)[near] >= z)
-        dry, todo = before.copy(), before.copy()
-        while todo.any():
-            reached = np.zeros(len(z), bool)
-            reached[near[:, todo][open_[:, todo]]] = True
-            todo = reached & ~dry
-            dry |= todo
-        return part.assign(dry=dry.astype("int32"), moved=fresh | (dry != before))[part["own"]]
-
-    return relax(start, kernel, size).select("cell", "r", "c", "z", (F.col("dry") == 0).alias("undrained"))
-
-
-def resolve_flats(directed: DataFrame, cellsize: float = 1.0, size: int = 256) -> DataFrame:
-    """directed with flats drained: flowdir replaced, flat (was one) and resolved.
-
-    On a flat, a cell's rank is (peak - steps from higher ground) + 2 * steps to a place that drains, where peak is the largest
-    such step count of all; cells that no draining place reaches stay flat.
-    """
-    flat = F.col("flowdir") == FLAT
-    far = 1 << 30
-    start = directed.select("cell", "r", "c", "z", "flowdir", F.lit(-1).alias("high"), F.lit(-1).alias("low"))
-
-    def kernel(part: pd.DataFrame) -> pd.DataFrame:
-        z, code = part["z"].to_numpy(), part["flowdir"].to_numpy()
-        flat_here = code == FLAT
-        near = _around(part, STEPS)
-        same = (near >= 0) & flat_here & np.append(flat_here, False)[near] & (np.append(z, math.nan)[near] == z)
-        known = {name: part[name].to_numpy().copy() for name in ("high", "low")}
-        fresh = (known["high"] < 0).any()
-        if fresh:  # the first round: flat cells beside higher ground, and beside ground that drains and is no higher
-            every = _around(part, STEPS, True)
-            there, mine = every >= 0, flat_here & part["own"].to_numpy()
-            known["high"] = np.where(mine & (there & (z[every] > z)).any(axis=0), 1, far)
-            known["low"] = np.where(mine & (there & ~flat_here[every] & (z[every] <= z)).any(axis=0), 1, far)
-        moved, out = np.full(len(part), fresh), {}
-        for name, d in known.items():
-            todo = flat_here & (d < far)
-            while todo.any():
-                ways = same[:, todo]
-                to, new = near[:, todo][ways], np.broadcast_to(d[todo] + 1, ways.shape)[ways]
-                was = d.copy()
-                np.minimum.at(d, to, new)
-                todo = d < was
-                moved |= todo
-            out[name] = d.astype("int32")
-        return part.assign(moved=moved, **out)[part["own"]]
-
-    if directed.where(flat).limit(1).count() == 0:
-        return directed.select("cell", "r", "c", "z", "flowdir", F.lit(False).alias("flat"), F.lit(False).alias("resolved"))
-    known = relax(start, kernel, size)
-    peak = known.where(flat & (F.col("high") < 1 << 30)).agg(F.coalesce(F.max("high"), F.lit(0)).alias("peak")).first()["peak"]
-    away = F.when(F.col("high") < 1 << 30, F.lit(peak) - F.col("high")).otherwise(F.lit(peak))
-    ranked = known.withColumn("rank", F.when(~flat, F.lit(0)).when(F.col("low") < 1 << 30, away + 2 * F.col("low")).otherwise(F.lit(0)))
-    ranked = ranked.withColumn("can", flat & (F.col("low") < 1 << 30))
-    met = ranked.where("can").join(neighbour_messages(ranked.select("r", "c", "z", "rank", "can", "flowdir"), ["z", "rank", "can", "flowdir"]), ["r", "c"], "left")
-    open_ = (F.col("n_z") <= F.col("z")) & (F.col("n_can") & (F.col("n_z") == F.col("z")) | (F.col("n_flowdir") != FLAT))
-    drop = (F.col("rank") - F.when(F.col("n_can"), F.col("n_rank")).otherwise(F.lit(0))) / (F.col("far") * cellsize)
-    best = F.max_by(F.when(open_ & (drop > 0), F.col("code")), F.when(open_ & (drop > 0), F.struct(drop.alias("s"), (-F.col("code")).alias("k"))))
-    chosen = met.groupBy("cell").agg(best.alias("best"))
-    joined = ranked.join(chosen, "cell", "left")
-    return joined.select("cell", "r", "c", "z", F.coalesce("best", "flowdir").cast("smallint").alias("flowdir"), flat.alias("flat"), F.col("best").isNotNull().alias("resolved"))
+    return rim(rows, size).groupBy("tr", "tc").applyInPandas(kernel, rows.withColumn("flowdir", F.lit(0).cast("smallint")).schema)
 
 
 # Streams.
@@ -280,13 +105,13 @@ def prune_streams(streams: DataFrame, min_length: int = 5, passes: int = 20) ->
     return now
 
 
-def stream_links(streams: DataFrame, cols: int) -> DataFrame:
+def stream_links(streams: DataFrame, cols: int, size: int = SIZE) -> DataFrame:
     """cell, start (first cell of its link), seq (place in the link) and link (rank of the start among all starts).
 
     A link begins at a stream cell with no or several stream cells above it. The rank is counted over range partitions, not in one.
     """
     ups = streams.where("next IS NOT NULL").groupBy(F.col("next").alias("cell")).agg(F.count("*").alias("n"), F.max("cell").alias("up"))
-    back = streams.join(ups, "cell", "left").select(F.col("cell").alias("node"), F.when(F.col("n") == 1, F.col("up")).alias("next"), tile_of(F.floor(F.col("cell") / cols), F.col("cell") % cols).alias("tile"))
+    back = streams.join(ups, "cell", "left").select(F.col("cell").alias("node"), F.when(F.col("n") == 1, F.col("up")).alias("next"), tile_of(F.floor(F.col("cell") / cols), F.col("cell") % cols, size).alias("tile"))
     found = written(resolve(back, tile="tile").select(F.col("node").alias("cell"), F.col("root").alias("start"), F.col("cost").cast("long").alias("seq")), "links")
     ranks = dense_rank(found.select("start").distinct(), "start").select("start", F.col("rank").alias("link"))
     return found.join(ranks, "start").select("cell", "start", "seq", "link")
@@ -347,11 +172,11 @@ def stream_network(streams: DataFrame, links: DataFrame, accumulated: DataFrame,
     return line.where(F.size("line") >= 2).select("link", "line", length.alias("length_m"), "acc_head", "acc_outflow").join(tree, "link").join(strahler(tree), "link").withColumn("terminates", F.col("down").isNull())
 
 
-def hand(filled: DataFrame, streams: DataFrame) -> DataFrame:
+def hand(filled: DataFrame, streams: DataFrame, size: int = SIZE) -> DataFrame:
     """cell, drainage (the first stream cell on its path) and hand (height above it); null where no stream is met."""
     mark = streams.select("cell", F.lit(True).alias("stream"))
     edges = filled.join(mark, "cell", "left").select("cell", "r", "c", F.when(F.col("stream"), F.lit(None).cast("long")).otherwise(F.col("next")).alias("next"))
-    roots = resolve(_edges(edges), tile="tile").select(F.col("node").alias("cell"), "root")
+    roots = resolve(_edges(edges, size), tile="tile").select(F.col("node").alias("cell"), "root")
     level = filled.select("cell", F.col("z").cast("double").alias("z"))
     low = streams.select(F.col("cell").alias("root")).join(level.select(F.col("cell").alias("root"), F.col("z").alias("z0")), "root")
     return level.join(roots, "cell").join(low, "root", "left").select("cell", F.when(F.col("z0").isNotNull(), F.col("root")).alias("drainage"), (F.col("z") - F.col("z0")).alias("hand"))
@@ -364,35 +189,44 @@ def reach_catchments(drained: DataFrame, links: DataFrame) -> DataFrame:
 
 # Channel geometry (regional regressions on drainage area in km2).
 
+# Coefficient and exponent of bankfull depth and width over drainage area (km2, m), and the greatest depth.
+DEPTH, WIDTH, DEEPEST = (0.381, 0.246), (4.774, 0.321), 8.0
+
 
-def channel_depth(area_km2: Column, c: float = 0.381, e: float = 0.246, most: float = 8.0) -> Column:
-    return F.when(area_km2 > 0, F.least(F.lit(c) * F.pow(area_km2, F.lit(e)), F.lit(most))).otherwise(F.lit(0.0))
+def channel_depth(area_km2: Column, law: tuple[float, float] = DEPTH, most: float = DEEPEST) -> Column:
+    return F.when(area_km2 > 0, F.least(F.lit(law[0]) * F.pow(area_km2, F.lit(law[1])), F.lit(most))).otherwise(F.lit(0.0))
 
 
-def channel_width(area_km2: Column, c: float = 4.774, e: float = 0.321) -> Column:
-    return F.when(area_km2 > 0, F.lit(c) * F.pow(area_km2, F.lit(e))).otherwise(F.lit(0.0))
+def channel_width(area_km2: Column, law: tuple[float, float] = WIDTH) -> Column:
+    return F.when(area_km2 > 0, F.lit(law[0]) * F.pow(area_km2, F.lit(law[1]))).otherwise(F.lit(0.0))
 
 
-def burn_channel(cells: DataFrame, streams: DataFrame, cellsize: float) -> DataFrame:
-    """cells with burned: z lowered by the channel's depth, widened ring by ring where a neighbour's channel is wider than a cell.
+def burn_channel(cells: DataFrame, streams: DataFrame, cellsize: float, depth: tuple[float, float] = DEPTH, width: tuple[float, float] = WIDTH) -> DataFrame:
+    """cells with burned: z lowered by the channel's depth, also beside stream cells whose channel is wider than a cell.
 
-    streams: cell, accumulation (cells). A ring grows over the four neighbours while the widest channel reaches that far; it never
-    wraps around the grid's edge.
+    streams: cell, accumulation (cells). As many rings as the widest channel reaches beyond its cell are grown over the four neighbours;
+    in each, a cell takes the greatest depth around it if one of its neighbours is a stream cell with a channel wider than a cell (its
+    own width, which rings do not hand on). Nothing wraps around the grid's edge.
     """
     area = F.col("accumulation") * (cellsize * cellsize / 1e6)
-    now = cells.join(streams.select("cell", channel_depth(area).alias("depth"), channel_width(area).alias("width")), "cell", "left").select("cell", "r", "c", "z", F.coalesce("depth", F.lit(0.0)).alias("depth"), F.coalesce("width", F.lit(0.0)).alias("width"))
-    widest = now.agg(F.max("width").alias("w")).first()["w"] or 0.0
-    for _ in range(max(0, math.floor((widest / cellsize - 1) / 2))):
-        sent = neighbour_messages(now.where((F.col("depth") > 0) & (F.col("width") > cellsize)), ["depth", "width"], four=True).groupBy("r", "c").agg(F.max("n_depth").alias("d"), F.max("n_width").alias("v"))
-        now = written(now.join(sent, ["r", "c"], "left").select("cell", "r", "c", "z", F.greatest("depth", F.coalesce("d", F.lit(0.0))).alias("depth"), F.greatest("width", F.coalesce("v", F.lit(0.0))).alias("width")), "burn")
+    channel = written(streams.select("cell", channel_depth(area, depth).alias("depth"), channel_width(area, width).alias("width")), "channel")
+    now = cells.join(channel, "cell", "left").select("cell", "r", "c", "z", F.coalesce("depth", F.lit(0.0)).alias("depth"), F.coalesce("width", F.lit(0.0)).alias("width"))
+    widest = channel.agg(F.max("width").alias("w")).first()["w"] or 0.0
+    rings = max(0, math.floor((widest / cellsize - 1) / 2))
+    if rings:
+        wide = neighbour_messages(now.where(F.col("width") > cellsize), ["width"], four=True).select("r", "c").distinct()
+        now = written(now.join(wide.withColumn("wide", F.lit(True)), ["r", "c"], "left").select("cell", "r", "c", "z", "depth", F.coalesce("wide", F.lit(False)).alias("wide")), "burn")
+    for _ in range(rings):
+        sent = neighbour_messages(now.where("depth > 0"), ["depth"], four=True).groupBy("r", "c").agg(F.max("n_depth").alias("d"))
+        now = written(now.join(sent, ["r", "c"], "left").select("cell", "r", "c", "z", F.when(F.col("wide"), F.greatest("depth", F.coalesce("d", F.lit(0.0)))).otherwise(F.col("depth")).alias("depth"), "wide"), "burn")
     return now.select("cell", "r", "c", "z", (F.col("z") - F.col("depth")).alias("burned"))
 
 
-def connected_to(wet: DataFrame, seeds: DataFrame, cols: int, four: bool = False) -> DataFrame:
+def connected_to(wet: DataFrame, seeds: DataFrame, cols: int, four: bool = False, size: int = SIZE) -> DataFrame:
     """Of wet (cell, r, c), the cells whose connected component holds a seed (cell)."""
     sent = neighbour_messages(wet.select("r", "c", "cell"), ["cell"], four).select("r", "c", F.col("n_cell").alias("v"))
     edges = wet.join(sent, ["r", "c"]).where("cell < v").select(F.col("cell").alias("u"), "v")
-    label = components(edges, tile=lambda k: tile_of(F.floor(k / cols), k % cols)).select(F.col("node").alias("cell"), "label")
+    label = components(edges, tile=lambda k: tile_of(F.floor(k / cols), k % cols, size)).select(F.col("node").alias("cell"), "label")
     named = wet.join(label, "cell", "left").select("cell", F.coalesce("label", "cell").alias("label"))
     good = named.join(seeds.select("cell"), "cell", "left_semi").select("label").distinct()
     return wet.join(named.join(good, "label", "left_semi").select("cell"), "cell", "left_semi")

@@ -92,21 +92,32 @@ def compare_tracts(model: DataFrame, claims: DataFrame, aid: DataFrame) -> DataF
     return both.select("tract", "modelled", "wet", z("paid").alias("paid"), z("claims").alias("claims"), z("aid").alias("aid"))
 
 
-def tract_scores(tracts: DataFrame) -> DataFrame:
-    """One row over compared tracts: n, rank correlations of modelled damage with claims paid, with aid, and of counts, the upper median
-    of the ratios of modelled to paid damage, and the totals. Tracts are an administrative few thousand."""
-    rho = lambda x, y, name: spearman(tracts, x, y).select(F.col("rho").alias(name))
-    median = upper_median(tracts.where("paid > 0"), F.col("modelled") / F.col("paid")).select(F.col("median").alias("median_ratio"))
-    out = tracts.agg(F.count("*").alias("n"), F.sum("modelled").alias("modelled"), F.sum("paid").alias("paid"), F.sum("aid").alias("aid"))
-    for one in (rho("modelled", "paid", "rho_paid"), rho("modelled", "aid", "rho_aid"), rho("wet", "claims", "rho_counts"), median):
+def tract_scores(tracts: DataFrame, claims: DataFrame | None = None, aid: DataFrame | None = None) -> DataFrame:
+    """One row over compared tracts: how many are modelled, how many have both series, rank correlations and ratios over those.
+
+    Two observed series that measure the same flood bound what any model can reach, so paid claims are ranked against aid beside modelled damage
+    against each; only tracts where both are positive count. Ratios are upper medians. claims and aid give totals of all tracts, also
+    of those without modelled damage.
+    """
+    both = written(tracts.where("paid > 0 AND aid > 0"), "tracts")
+    rho = lambda x, y, name: spearman(both, x, y).select(F.col("rho").alias(name))
+    ratio = lambda y, name: upper_median(both, F.col("modelled") / F.col(y)).select(F.col("median").alias(name))
+    out = tracts.agg(F.count("*").alias("n_modelled"), F.count_if((F.col("paid") > 0) & (F.col("aid") > 0)).alias("n_both"))
+    totals = [x.agg(F.coalesce(F.sum(v), F.lit(0)).alias(n)) for x, v, n in ((claims, "paid", "paid_total"), (claims, "claims", "claims_total"), (aid, "aid", "aid_total")) if x is not None]
+    for one in (rho("paid", "aid", "rho_paid_aid"), rho("modelled", "paid", "rho_paid"), rho("modelled", "aid", "rho_aid"), ratio("paid", "ratio_paid"), ratio("aid", "ratio_aid"), *totals):
         out = out.crossJoin(F.broadcast(one))  # one row each
     return out
 
 
 def against_interval(claims: DataFrame, intervals: DataFrame, key: str) -> DataFrame:
-    """Claims (key, paid) beside the model's interval (key, low, median, high): the median's ratio, inside, and model_below_claims."""
-    both = intervals.join(claims, key, "left").withColumn("paid", F.coalesce("paid", F.lit(0.0)))
-    return both.select(key, "paid", F.try_divide("median", F.when(F.col("paid") > 0, F.col("paid"))).alias("ratio"), F.col("paid").between(F.col("low"), F.col("high")).alias("inside"), (F.col("high") < F.col("paid")).alias("model_below_claims"))
+    """Claims filed (key, claims, paid) beside the model's count of flooded buildings (key, low, modelled, high) and its damage.
+
+    ratio: buildings modelled for each claim; damage_ratio: modelled damage for each unit paid; model_below_claims: even the top of the
+    interval lies under the claims, the one direction that is a failure for sure.
+    """
+    both = intervals.join(claims, key, "left").withColumns({"claims": F.coalesce("claims", F.lit(0)), "paid": F.coalesce("paid", F.lit(0.0))})
+    over = lambda a, b: F.try_divide(F.col(a).cast("double"), F.when(F.col(b) > 0, F.col(b)))
+    return both.select(key, "claims", "paid", over("modelled", "claims").alias("ratio"), over("damage", "paid").alias("damage_ratio"), F.col("claims").between(F.col("low"), F.col("high")).alias("inside"), (F.col("high") < F.col("claims")).alias("model_below_claims"))
 
 
 def count_within(rows: DataFrame, value: str, low: float, high: float) -> DataFrame:

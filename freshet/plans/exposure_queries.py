@@ -17,7 +17,7 @@ from freshet.sources.store import table, written
 _LIB = "SELECT upper(substr(p_type, 1, 3)) AS k, count(*) % 7 AS a, 1 + sum(p_size) % 5 AS b FROM {part} GROUP BY upper(substr(p_type, 1, 3))"
 _LIB_SQL = f"""lib AS ({_LIB.replace("{part}", "part")}),
 raw AS (SELECT k, a, 'structure' AS component, i, i * 0.3048 AS d, greatest(CASE WHEN i < 0 THEN 0 ELSE least(b * 4 + i * (a + 1), 100) - (CASE WHEN i = 8 THEN a * 9 ELSE 0 END) END, 0) / 100 AS y, abs(i) / 4 / 100 AS s FROM lib, (SELECT unnest([-2, -1, 0, 1, 2, 4, 8, 12]) AS i)
-    UNION ALL SELECT k, a, 'contents', i, i * 0.3048, CASE i WHEN 0 THEN 0 WHEN 2 THEN a + 10 ELSE a * 3 + 20 END / 100, 0 FROM lib, (SELECT unnest([0, 2, 4]) AS i) WHERE a % 2 = 0),
+    UNION ALL SELECT k, a, 'contents', i, i * 0.3048, CASE i WHEN 0 THEN 0 WHEN 2 THEN a + 10 ELSE a * 3 + 20 END / 100, i / 50 FROM lib, (SELECT unnest([0, 2, 4]) AS i) WHERE a % 2 = 0),
 occ AS MATERIALIZED (SELECT k, component, i, d, max(y) OVER (PARTITION BY k, component ORDER BY i) AS f, s FROM raw)"""
 
 
@@ -27,7 +27,7 @@ def _library(spark, sf_dir):
     points = F.array(*[F.lit(float(i)) for i in feet])
     mean = lambda i: F.greatest(F.when(i < 0, 0.0).otherwise(F.least(F.col("b") * 4 + i * (F.col("a") + 1), F.lit(100.0))) - F.when(i == 8, F.col("a") * 9).otherwise(0), F.lit(0.0))
     spread = F.transform(points, lambda i: F.struct(F.lit("NormalDistribution").alias("type"), F.struct(mean(i).alias("mean"), (F.abs(i) / 4).alias("standarddeviation")).alias("parameters")))
-    fixed = F.array(*[F.struct(F.lit("DeterministicDistribution").alias("type"), F.struct(v.cast("double").alias("value")).alias("parameters")) for v in (F.lit(0), F.col("a") + 10, F.col("a") * 3 + 20)])
+    fixed = F.array(*[F.struct(F.lit("NormalDistribution").alias("type"), F.struct(v.cast("double").alias("mean"), F.lit(2.0 * i).alias("standarddeviation")).alias("parameters")) for i, v in ((0, F.lit(0)), (2, F.col("a") + 10), (4, F.col("a") * 3 + 20))])
     function = lambda name, xs, ys: F.struct(F.struct(F.struct(F.lit("s").alias("source"), F.struct(xs.alias("xvalues"), ys.alias("ydistributions")).alias("damagefunction")).alias(name)).alias("damagefunctions"))
     inside = F.when(F.col("a") % 2 == 0, function("default", F.array(*[F.lit(float(i)) for i in (0, 2, 4)]), fixed))
     entry = F.struct(F.struct(function("depth", points, spread).alias("structure"), inside.alias("contents")).alias("componentdamagefunctions"))
@@ -82,7 +82,7 @@ bend AS MATERIALIZED (SELECT component, k, d AS d0, coalesce(lead(d) OVER w, 1e9
 cv AS (SELECT code.*, (SELECT min(first) FROM bend WHERE component = 'structure' AND k = ks) AS ls, (SELECT min(first) FROM bend WHERE component = 'contents' AND k = kc) AS lc, {_REACH} AS reach_share FROM code),
 priced AS MATERIALIZED (SELECT building_id, value * 100 AS exposed,
     CASE WHEN margin_m <= -1000 THEN 0 ELSE least(greatest(a.f0 + (greatest(least(margin_m, 6.0), ls) - a.d0) / (a.d1 - a.d0) * (a.f1 - a.f0) + 0.5 * (a.s0 + (greatest(least(margin_m, 6.0), ls) - a.d0) / (a.d1 - a.d0) * (a.s1 - a.s0)), 0), 1) END * reach_share * value * 100 AS structure,
-    CASE WHEN margin_m <= -1000 THEN 0 ELSE least(greatest(b.f0 + (greatest(least(margin_m, 6.0), lc) - b.d0) / (b.d1 - b.d0) * (b.f1 - b.f0), 0), 1) END * reach_share * value * 40 AS contents
+    CASE WHEN margin_m <= -1000 THEN 0 ELSE least(greatest(b.f0 + (greatest(least(margin_m, 6.0), lc) - b.d0) / (b.d1 - b.d0) * (b.f1 - b.f0) + 0.5 * (b.s0 + (greatest(least(margin_m, 6.0), lc) - b.d0) / (b.d1 - b.d0) * (b.s1 - b.s0)), 0), 1) END * reach_share * value * 40 AS contents
     FROM cv JOIN bend a ON a.component = 'structure' AND a.k = ks AND a.d0 <= greatest(least(margin_m, 6.0), ls) AND a.d1 > greatest(least(margin_m, 6.0), ls)
     JOIN bend b ON b.component = 'contents' AND b.k = kc AND b.d0 <= greatest(least(margin_m, 6.0), lc) AND b.d1 > greatest(least(margin_m, 6.0), lc))"""
 
@@ -114,7 +114,7 @@ def top_classes(spark, sf_dir):
     return C.top_classes(E.estimate(rows.withColumn("margin_m", E.floor_margin(F.col("stage_m"), F.col("hand"), F.col("found_ht_m"))))).select("building_class", F.round("damage", 2).alias("damage"))
 
 
-_LADDER = _PRICED.replace("FROM placed WHERE multiplier = 1.0", "FROM placed").replace("priced AS MATERIALIZED (SELECT building_id,", "priced AS MATERIALIZED (SELECT building_id, multiplier, hand, margin_m,").replace(" + 0.5 * (a.s0", " + 0.0 * (a.s0")
+_LADDER = _PRICED.replace("FROM placed WHERE multiplier = 1.0", "FROM placed").replace("priced AS MATERIALIZED (SELECT building_id,", "priced AS MATERIALIZED (SELECT building_id, multiplier, hand, margin_m,").replace(" + 0.5 * (a.s0", " + 0.0 * (a.s0").replace(" + 0.5 * (b.s0", " + 0.0 * (b.s0")
 
 
 @query(_with(_LADDER, "SELECT multiplier, round(sum(structure + contents), 2) AS damage, round(sum(structure), 2) AS structure, round(sum(contents), 2) AS contents, count(*) FILTER (margin_m > 0) AS wet, round(sum(CASE WHEN hand <= 0 THEN structure + contents ELSE 0 END), 2) AS in_channel FROM priced GROUP BY multiplier"))
@@ -223,7 +223,8 @@ _DEPTHS = (
     _WET
     + f""", box AS ({_BIG.replace("{part}", "part")}), size AS (SELECT max(r) + 1 AS rows FROM dem),
 kept AS (SELECT *, xmax < 0 OR xmin >= {COLS * CELLSIZE} OR ymin > 0 OR ymax <= -(SELECT rows FROM size) * {CELLSIZE} AS outside FROM box WHERE (xmax - xmin) * (ymax - ymin) >= 10),
-touch AS (SELECT building_id, wet.depth_m, hd.hand, hd.reach FROM kept JOIN dem ON dem.c BETWEEN floor(xmin / 10) AND floor(xmax / 10) AND dem.r BETWEEN -ceil(ymax / 10) AND -ceil(ymin / 10) JOIN wet ON wet.cell = dem.cell JOIN hd ON hd.cell = dem.cell),
+grid AS (SELECT building_id, r, unnest(range(greatest(0, CAST(floor(xmin / 10) AS INT)), least({COLS} - 1, CAST(floor(xmax / 10) AS INT)) + 1)) AS c FROM (SELECT building_id, xmin, xmax, unnest(range(greatest(0, CAST(-ceil(ymax / 10) AS INT)), least((SELECT rows FROM size) - 1, CAST(-ceil(ymin / 10) AS INT)) + 1)) AS r FROM kept)),
+touch AS (SELECT building_id, coalesce(wet.depth_m, 0) AS depth_m, hd.hand, hd.reach FROM grid LEFT JOIN dem ON dem.r = grid.r AND dem.c = grid.c LEFT JOIN wet ON wet.cell = dem.cell LEFT JOIN hd ON hd.cell = dem.cell),
 md AS (SELECT building_id, reach FROM touch WHERE reach IS NOT NULL GROUP BY building_id, reach QUALIFY row_number() OVER (PARTITION BY building_id ORDER BY count(*) DESC, reach) = 1),
 agg AS (SELECT building_id, quantile_cont(depth_m, 0.9) AS d, quantile_cont(hand, 0.1) AS h FROM touch GROUP BY building_id),
 bd AS MATERIALIZED (SELECT kept.building_id, CASE WHEN outside THEN 0.0 ELSE coalesce(d, 0.0) END AS depth_m, found_ht_m, CASE WHEN outside OR h IS NULL THEN CAST('inf' AS DOUBLE) ELSE h END AS hand_m, CASE WHEN outside THEN -1 ELSE coalesce(md.reach, -1) END AS reach_id, outside AS off_raster

@@ -19,7 +19,7 @@ from freshet.operators import network as N
 from freshet.operators import overlay as O
 from freshet.operators import terrain as T
 from freshet.operators import validation as V
-from freshet.plans.terrain import MIN_BRANCH, THRESHOLD, Terrain, terrain  # noqa: F401
+from freshet.plans.terrain import MIN_BRANCH, THRESHOLD, TILE, Terrain, terrain
 from freshet.sources.adapters import CELLSIZE, COLS, sql_text, view
 from freshet.sources.store import shared_dir, table
 from freshet.streaming import gauges as G
@@ -90,11 +90,20 @@ _ACC = (
 walk(src, node, n) AS (SELECT cell, cell, 1 FROM routed UNION ALL SELECT w.src, t.next, w.n + 1 FROM walk w JOIN routed t ON t.cell = w.node WHERE t.next IS NOT NULL),
 acc AS MATERIALIZED (SELECT node AS cell, CAST(count(*) AS DOUBLE) AS accumulation FROM walk GROUP BY node)"""
 )
+def _pass(k: int, least: int = 5) -> str:
+    """CTEs of one round of pruning: from p{k} to p{k + 1}."""
+    return f""", u{k} AS (SELECT next AS cell, count(*) AS n FROM p{k} WHERE next IS NOT NULL GROUP BY next),
+w{k}(head, cell, n) AS (SELECT p{k}.cell, p{k}.cell, 1 FROM p{k} WHERE cell NOT IN (SELECT cell FROM u{k}) UNION ALL SELECT w.head, p.next, w.n + 1 FROM w{k} w JOIN p{k} p ON p.cell = w.cell JOIN u{k} u ON u.cell = p.next WHERE u.n = 1 AND w.n < {least}),
+g{k} AS (SELECT DISTINCT cell FROM w{k} WHERE head IN (SELECT head FROM w{k} GROUP BY head HAVING max(n) < {least})),
+p{k + 1} AS MATERIALIZED (SELECT p.cell, CASE WHEN q.cell IS NULL THEN p.next END AS next FROM p{k} p LEFT JOIN g{k} q ON q.cell = p.next WHERE p.cell NOT IN (SELECT cell FROM g{k}))"""
+
+
 _STREAMS = (
     _ACC
     + f""",
-st AS MATERIALIZED (SELECT a.cell, CASE WHEN b.cell IS NOT NULL THEN t.next END AS next FROM acc a JOIN routed t ON t.cell = a.cell
-    LEFT JOIN acc b ON b.cell = t.next AND b.accumulation >= {THRESHOLD} WHERE a.accumulation >= {THRESHOLD}),
+p0 AS MATERIALIZED (SELECT a.cell, CASE WHEN b.cell IS NOT NULL THEN t.next END AS next FROM acc a JOIN routed t ON t.cell = a.cell
+    LEFT JOIN acc b ON b.cell = t.next AND b.accumulation >= {THRESHOLD} WHERE a.accumulation >= {THRESHOLD}){"".join(_pass(k, MIN_BRANCH) for k in range(8))},
+st AS MATERIALIZED (SELECT cell, next FROM p8),
 ups AS MATERIALIZED (SELECT next AS cell, count(*) AS n FROM st WHERE next IS NOT NULL GROUP BY next),
 lk(start, cell, seq) AS (SELECT st.cell, st.cell, 0 FROM st LEFT JOIN ups ON ups.cell = st.cell WHERE coalesce(ups.n, 0) <> 1 UNION ALL
     SELECT lk.start, st.next, lk.seq + 1 FROM lk JOIN st ON st.cell = lk.cell JOIN ups ON ups.cell = st.next WHERE ups.n = 1),
@@ -156,13 +165,13 @@ def terrain_fill(spark, sf_dir):
 
 @query(_with(_DEM + ", ok(cell) AS (SELECT cell FROM edge UNION SELECT nb.n_cell FROM ok JOIN nb ON nb.cell = ok.cell WHERE nb.n_z >= nb.z)", "SELECT cell, cell NOT IN (SELECT cell FROM ok) AS undrained FROM dem"))
 def terrain_undrained(spark, sf_dir):
-    return T.undrained(terrain(spark, sf_dir).raw).select("cell", "undrained")
+    return T.undrained(terrain(spark, sf_dir).raw, TILE).select("cell", "undrained")
 
 
 @query(_with(_D8, "SELECT cell, flowdir FROM d8"))
 def terrain_d8(spark, sf_dir):
     t = terrain(spark, sf_dir)
-    return T.flow_direction(t.filled.select("cell", "r", "c", "z")).select("cell", F.col("flowdir").cast("int").alias("flowdir"))
+    return T.flow_direction(t.filled.select("cell", "r", "c", "z"), size=t.size).select("cell", F.col("flowdir").cast("int").alias("flowdir"))
 
 
 @query(_with(_FLATS, "SELECT cell, flowdir, flat, resolved, next FROM routed"))
@@ -172,12 +181,12 @@ def terrain_flats(spark, sf_dir):
 
 @query(_with(_ACC, "SELECT src AS cell, max(n) AS steps, arg_max(node, n) AS outlet FROM walk GROUP BY src"))
 def terrain_steps(spark, sf_dir):
-    return T.steps_to_outlet(terrain(spark, sf_dir).routed)
+    return T.steps_to_outlet(terrain(spark, sf_dir).routed, TILE)
 
 
 @query(_with(_ACC, "SELECT cell, accumulation FROM acc"))
 def terrain_accumulation(spark, sf_dir):
-    return T.flow_accumulation(terrain(spark, sf_dir).routed)
+    return T.flow_accumulation(terrain(spark, sf_dir).routed, size=TILE)
 
 
 @query(_with(_STREAMS, "SELECT cell, start, seq, link FROM links"))
@@ -190,17 +199,9 @@ def terrain_hand(spark, sf_dir):
     return terrain(spark, sf_dir).hand.select("cell", "drainage", "hand", "reach")
 
 
-def _pass(k: int, least: int = 5) -> str:
-    """CTEs of one round of pruning: from p{k} to p{k + 1}."""
-    return f""", u{k} AS (SELECT next AS cell, count(*) AS n FROM p{k} WHERE next IS NOT NULL GROUP BY next),
-w{k}(head, cell, n) AS (SELECT p{k}.cell, p{k}.cell, 1 FROM p{k} WHERE cell NOT IN (SELECT cell FROM u{k}) UNION ALL SELECT w.head, p.next, w.n + 1 FROM w{k} w JOIN p{k} p ON p.cell = w.cell JOIN u{k} u ON u.cell = p.next WHERE u.n = 1 AND w.n < {least}),
-g{k} AS (SELECT DISTINCT cell FROM w{k} WHERE head IN (SELECT head FROM w{k} GROUP BY head HAVING max(n) < {least})),
-p{k + 1} AS MATERIALIZED (SELECT p.cell, CASE WHEN q.cell IS NULL THEN p.next END AS next FROM p{k} p LEFT JOIN g{k} q ON q.cell = p.next WHERE p.cell NOT IN (SELECT cell FROM g{k}))"""
-
-
-@query(_with(_STREAMS + ", p0 AS (SELECT cell, next FROM st)" + "".join(_pass(k) for k in range(8)), "SELECT cell, next FROM p8"))
+@query(_with(_STREAMS, "SELECT cell, next FROM st"))
 def terrain_prune(spark, sf_dir):
-    return T.prune_streams(terrain(spark, sf_dir).streams, 5)
+    return T.prune_streams(terrain(spark, sf_dir).mask, MIN_BRANCH)
 
 
 _ORDERS = "".join(f", o{k} AS (SELECT DISTINCT node AS link FROM anc WHERE link IN (SELECT down FROM lt JOIN o{k - 1} ON o{k - 1}.link = lt.link WHERE down IS NOT NULL GROUP BY down HAVING count(*) > 1))" for k in range(2, 9))
@@ -261,7 +262,7 @@ def stage_table(spark, sf_dir):
 
 def _wet(spark, sf_dir) -> tuple[Terrain, DataFrame, DataFrame]:
     t, stages = _stages(spark, sf_dir)
-    return t, stages, H.inundate(t.hand, t.raw, stages.where("multiplier = 1.0"), t.streams, COLS)
+    return t, stages, H.inundate(t.hand, t.raw, stages.where("multiplier = 1.0"), t.streams, COLS, size=t.size)
 
 
 @query(_with(_WET, "SELECT cell, round(depth_m, 6) AS depth_m, connected FROM wet"))
@@ -297,7 +298,7 @@ def _gauged(spark, sf_dir) -> DataFrame:
 def network_distance(spark, sf_dir):
     t = terrain(spark, sf_dir)
     gauges = t.links.where("seq = 0").join(_gauged(spark, sf_dir), "link").select(F.col("link").alias("gauge"), "cell")
-    return N.network_distance(t.routed, gauges, CELLSIZE).select("gauge", "cell", r6("distance_m"))
+    return N.network_distance(t.routed, gauges, CELLSIZE, t.size).select("gauge", "cell", r6("distance_m"))
 
 
 _REACHES = (
@@ -518,7 +519,7 @@ _BOX = "SELECT p_partkey AS building_id, CAST((p_partkey * 7) % 1270 AS DOUBLE)
 @query(
     _with(
         _WET + f""", box AS ({_BOX.replace("{part}", "part")}),
-    touch AS (SELECT building_id, wet.depth_m, hd.hand, hd.reach FROM box JOIN dem ON dem.c BETWEEN floor(xmin / 10) AND floor(xmax / 10) AND dem.r BETWEEN -ceil(ymax / 10) AND -ceil(ymin / 10) JOIN wet ON wet.cell = dem.cell JOIN hd ON hd.cell = dem.cell WHERE (xmax - xmin) * (ymax - ymin) >= 10),
+    touch AS (SELECT building_id, coalesce(wet.depth_m, 0) AS depth_m, hd.hand, hd.reach FROM box JOIN dem ON dem.c BETWEEN floor(xmin / 10) AND floor(xmax / 10) AND dem.r BETWEEN -ceil(ymax / 10) AND -ceil(ymin / 10) JOIN wet ON wet.cell = dem.cell JOIN hd ON hd.cell = dem.cell WHERE (xmax - xmin) * (ymax - ymin) >= 10),
     md AS (SELECT building_id, reach FROM touch WHERE reach IS NOT NULL GROUP BY building_id, reach QUALIFY row_number() OVER (PARTITION BY building_id ORDER BY count(*) DESC, reach) = 1),
     agg AS (SELECT building_id, max(depth_m) AS a, avg(depth_m) AS b, quantile_cont(depth_m, 0.9) AS c, quantile_cont(hand, 0.1) AS d, count(*) AS n FROM touch GROUP BY building_id)""",
         "SELECT box.building_id, round(a, 6) AS depth_max, round(b, 6) AS depth_mean, round(c, 6) AS depth_p90, round(d, 6) AS hand_p10, md.reach, n AS n_cells FROM box LEFT JOIN agg ON agg.building_id = box.building_id LEFT JOIN md ON md.building_id = box.building_id WHERE (xmax - xmin) * (ymax - ymin) >= 10",

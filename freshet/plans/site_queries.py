@@ -96,7 +96,7 @@ def resolved_gauges(spark, sf_dir):
 def slope_stage(spark, sf_dir):
     t = terrain(spark, sf_dir)
     gauge = t.links.where("seq = 0").agg(F.max("cell").alias("cell")).select(F.lit(1).alias("gauge"), "cell")
-    far = N.network_distance(t.routed, gauge, CELLSIZE).select("cell", "distance_m")
+    far = N.network_distance(t.routed, gauge, CELLSIZE, t.size).select("cell", "distance_m")
     return G.stage_field(t.routed.select("cell").join(far, "cell", "left"), "slope", 4.0, 0.01).select("cell", r6("stage_m"))
 
 
@@ -314,16 +314,28 @@ def routing_counts(spark, sf_dir):
     return terrain(spark, sf_dir).routed.agg(F.count("*").alias("cells"), F.count_if(code == T.OUTLET).alias("outlets"), F.count_if(code == T.FLAT).alias("stuck"))
 
 
+#: A law of width that makes channels of several cells out of the grid's small basins.
+_WIDE = (200.0, 0.321)
+
+
+def _ring(k: int) -> str:
+    """CTE of one more ring of burning: from b{k} to b{k + 1}, unchanged once all rings are grown."""
+    return f""", b{k + 1} AS MATERIALIZED (SELECT b.cell, CASE WHEN {k} < (SELECT rings FROM n) AND wd.cell IS NOT NULL THEN greatest(b.dep, coalesce((SELECT max(o.dep) FROM n4 JOIN b{k} o ON o.cell = n4.n_cell WHERE n4.cell = b.cell), 0)) ELSE b.dep END AS dep FROM b{k} b LEFT JOIN wd ON wd.cell = b.cell)"""
+
+
 @query(
     _with(
-        _STREAMS + f""", ch AS (SELECT st.cell, least(0.381 * pow(accumulation * {CELLSIZE**2} / 1e6, 0.246), 8) AS dep, 4.774 * pow(accumulation * {CELLSIZE**2} / 1e6, 0.321) AS wid FROM st JOIN acc ON acc.cell = st.cell), n AS (SELECT greatest(0, floor((max(wid) / {CELLSIZE} - 1) / 2)) AS rings FROM ch)""",
-        "SELECT d.cell, round(d.z - coalesce(ch.dep, 0), 6) AS burned FROM dem d LEFT JOIN ch ON ch.cell = d.cell WHERE (SELECT rings FROM n) = 0",
+        _STREAMS + f""", ch AS (SELECT st.cell, least(0.381 * pow(accumulation * {CELLSIZE**2} / 1e6, 0.246), 8) AS dep, {_WIDE[0]} * pow(accumulation * {CELLSIZE**2} / 1e6, {_WIDE[1]}) AS wid FROM st JOIN acc ON acc.cell = st.cell),
+    n AS (SELECT greatest(0, floor((max(wid) / {CELLSIZE} - 1) / 2)) AS rings FROM ch), n4 AS MATERIALIZED (SELECT cell, n_cell FROM nb WHERE code IN (1, 4, 16, 64)),
+    wd AS MATERIALIZED (SELECT DISTINCT n4.n_cell AS cell FROM n4 JOIN ch ON ch.cell = n4.cell WHERE wid > {CELLSIZE}), b0 AS MATERIALIZED (SELECT d.cell, coalesce(dep, 0) AS dep FROM dem d LEFT JOIN ch ON ch.cell = d.cell)"""
+        + "".join(_ring(k) for k in range(8)),
+        "SELECT d.cell, round(d.z - b8.dep, 6) AS burned FROM dem d JOIN b8 ON b8.cell = d.cell WHERE (SELECT rings FROM n) BETWEEN 1 AND 8",
     )
 )
 def burned_channel(spark, sf_dir):
     t = terrain(spark, sf_dir)
     streams = t.streams.select("cell").join(t.routed.select("cell", "accumulation"), "cell")
-    return T.burn_channel(t.raw.select("cell", "r", "c", "z"), streams, CELLSIZE).select("cell", r6("burned"))
+    return T.burn_channel(t.raw.select("cell", "r", "c", "z"), streams, CELLSIZE, width=_WIDE).select("cell", r6("burned"))
 
 
 @query(f"WITH dem AS ({sql_text('dem')}), a AS (SELECT cell FROM dem WHERE z % 2 = 0), b AS (SELECT cell FROM dem WHERE c % 3 = 0) SELECT 'both' AS kind, count(*) AS n FROM (SELECT cell FROM a INTERSECT SELECT cell FROM b) UNION ALL SELECT 'first only', count(*) FROM (SELECT cell FROM a EXCEPT SELECT cell FROM b) UNION ALL SELECT 'either', count(*) FROM (SELECT cell FROM a UNION SELECT cell FROM b)")
@@ -358,11 +370,12 @@ def derived_structures(spark, sf_dir):
 _CLAIM = """ws AS (SELECT s_suppkey AS huc, (s_suppkey % 7) * 6000.0 AS x0, (s_suppkey % 5) * 2100.0 AS y0, 9000.0 AS w FROM supplier), sq AS (SELECT c_custkey AS grp, (c_custkey % 60) * 700.0 AS x, (c_custkey // 60) * 500.0 AS y, 900.0 AS w FROM customer),
 cl AS (SELECT o_custkey AS grp, count(*) AS n, sum(o_totalprice) AS paid FROM orders GROUP BY o_custkey),
 s AS (SELECT huc, grp, greatest(least(x + sq.w, x0 + ws.w) - greatest(x, x0), 0) * greatest(least(y + sq.w, y0 + ws.w) - greatest(y, y0), 0) / (sq.w * sq.w) AS share FROM sq, ws),
-m AS (SELECT huc, sum(paid * share) AS paid FROM s JOIN cl ON cl.grp = s.grp WHERE share > 0 GROUP BY huc),
-iv AS (SELECT s_suppkey AS huc, abs(s_acctbal) * 300 AS low, abs(s_acctbal) * 500 AS median, abs(s_acctbal) * 900 AS high FROM supplier)"""
+m AS (SELECT huc, round(sum(n * share)) AS claims, sum(paid * share) AS paid FROM s JOIN cl ON cl.grp = s.grp WHERE share > 0 GROUP BY huc),
+iv AS (SELECT s_suppkey AS huc, floor(abs(s_acctbal) / 60) AS low, floor(abs(s_acctbal) / 30) AS modelled, floor(abs(s_acctbal) / 12) AS high, abs(s_acctbal) * 500 AS damage FROM supplier)"""
 
 
-@query(f"WITH {_CLAIM} SELECT ws.huc, round(coalesce(paid, 0), 2) AS paid, round(CASE WHEN paid > 0 THEN median / paid END, 6) AS ratio, coalesce(paid, 0) BETWEEN low AND high AS inside, high < coalesce(paid, 0) AS model_below_claims FROM ws JOIN iv ON iv.huc = ws.huc LEFT JOIN m ON m.huc = ws.huc")
+@query(f"""WITH {_CLAIM}, j AS (SELECT ws.huc, CAST(coalesce(claims, 0) AS BIGINT) AS claims, coalesce(paid, 0) AS paid, low, modelled, high, damage FROM ws JOIN iv ON iv.huc = ws.huc LEFT JOIN m ON m.huc = ws.huc)
+    SELECT huc, claims, round(paid, 2) AS paid, round(CASE WHEN claims > 0 THEN modelled / claims END, 6) AS ratio, round(CASE WHEN paid > 0 THEN damage / paid END, 6) AS damage_ratio, claims BETWEEN low AND high AS inside, high < claims AS model_below_claims FROM j""")
 def claims_against_interval(spark, sf_dir):
     def ring(x, y, w):
         at = lambda a, b: F.struct((F.col(x) + a * F.col(w)).alias("x"), (F.col(y) + b * F.col(w)).alias("y"))
@@ -374,8 +387,8 @@ def claims_against_interval(spark, sf_dir):
     claims = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("group")).agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("paid"))
     weighed = O.weigh_claims(groups.select("group", ring("x", "y", "w").alias("ring")), claims, units.select("huc", ring("x", "y", "w").alias("ring")))
     figure = F.abs("s_acctbal")
-    intervals = supplier.select(F.col("s_suppkey").alias("huc"), (figure * 300).alias("low"), (figure * 500).alias("median"), (figure * 900).alias("high"))
-    return V.against_interval(weighed, intervals, "huc").select("huc", F.round("paid", 2).alias("paid"), r6("ratio"), "inside", "model_below_claims")
+    intervals = supplier.select(F.col("s_suppkey").alias("huc"), F.floor(figure / 60).alias("low"), F.floor(figure / 30).alias("modelled"), F.floor(figure / 12).alias("high"), (figure * 500).alias("damage"))
+    return V.against_interval(weighed, intervals, "huc").select("huc", "claims", F.round("paid", 2).alias("paid"), r6("ratio"), r6("damage_ratio"), "inside", "model_below_claims")
 
 
 _RECT = "greatest(least({a} + {w}, x1 + 300) - greatest({a}, x1), 0) * greatest(least({b}, y1) - greatest({b} - {h}, y1 - 300), 0)"
@@ -407,15 +420,19 @@ def _ranked(c: str) -> str:
 
 
 @query(
-    f"""WITH {_FEMA}, r AS (SELECT *, {", ".join(_ranked(c) for c in ("modelled", "paid", "aid", "wet", "claims"))} FROM j)
-    SELECT count(*) AS n, round(corr(r_modelled, r_paid), 6) AS rho_paid, round(corr(r_modelled, r_aid), 6) AS rho_aid, round(corr(r_wet, r_claims), 6) AS rho_counts, round(list_sort(list(modelled / paid) FILTER (paid > 0))[CAST(floor(count(*) FILTER (paid > 0) / 2) AS INT) + 1], 6) AS median_ratio, round(sum(modelled), 2) AS modelled, round(sum(paid), 2) AS paid FROM r"""
+    f"""WITH {_FEMA}, b AS (SELECT * FROM j WHERE paid > 0 AND aid > 0), r AS (SELECT *, {", ".join(_ranked(c) for c in ("modelled", "paid", "aid"))} FROM b),
+    half AS (SELECT CAST(floor(count(*) / 2) AS INT) + 1 AS k FROM b)
+    SELECT (SELECT count(*) FROM j) AS n_modelled, count(*) AS n_both, round(corr(r_paid, r_aid), 6) AS rho_paid_aid, round(corr(r_modelled, r_paid), 6) AS rho_paid, round(corr(r_modelled, r_aid), 6) AS rho_aid,
+        round(list_sort(list(modelled / paid))[(SELECT k FROM half)], 6) AS ratio_paid, round(list_sort(list(modelled / aid))[(SELECT k FROM half)], 6) AS ratio_aid,
+        (SELECT round(sum(paid), 2) FROM cl) AS paid_total, (SELECT CAST(sum(claims) AS BIGINT) FROM cl) AS claims_total, (SELECT round(sum(aid), 2) FROM ai) AS aid_total FROM r"""
 )
 def aid_comparison(spark, sf_dir):
     orders, customer, supplier = (table(spark, sf_dir, n) for n in ("orders", "customer", "supplier"))
     model = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("c_nationkey").alias("tract")).agg(F.sum("o_totalprice").alias("modelled"), F.count("*").alias("wet"))
     claims = customer.where("c_mktsegment <> 'BUILDING'").groupBy(F.col("c_nationkey").alias("tract")).agg(F.sum(F.abs("c_acctbal")).alias("paid"), F.count("*").alias("claims"))
     aid = supplier.groupBy(F.col("s_nationkey").alias("tract")).agg(F.sum(F.abs("s_acctbal")).alias("aid"))
-    return V.tract_scores(V.compare_tracts(model, claims, aid)).select("n", r6("rho_paid"), r6("rho_aid"), r6("rho_counts"), r6("median_ratio"), F.round("modelled", 2).alias("modelled"), F.round("paid", 2).alias("paid"))
+    scores = V.tract_scores(V.compare_tracts(model, claims, aid), claims, aid)
+    return scores.select("n_modelled", "n_both", r6("rho_paid_aid"), r6("rho_paid"), r6("rho_aid"), r6("ratio_paid"), r6("ratio_aid"), F.round("paid_total", 2).alias("paid_total"), "claims_total", F.round("aid_total", 2).alias("aid_total"))
 
 
 @query("SELECT count(*) FILTER (o_totalprice BETWEEN 50000 AND 150000) AS inside, count(*) AS n FROM orders")

@@ -11,23 +11,25 @@ from freshet.operators import terrain as T
 from freshet.sources.adapters import COLS, view
 from freshet.sources.store import fingerprint, table, written
 
-#: Cells; small grids have small streams.
-THRESHOLD, MIN_BRANCH = 30, 1
+#: Cells; small grids have small streams. Shorter head branches are pruned.
+THRESHOLD, MIN_BRANCH = 30, 5
 #: Cells a side of a tile: small beside the usual 256, so that the data set's narrow grid has several tiles each way.
 TILE = 64
 
 
 @dataclass(frozen=True)
 class Terrain:
-    """filled (cell, r, c, z, flowdir, next, accumulation, flat, resolved), streams (cell, next), links, hand and the raw cells."""
+    """filled (cell, r, c, z, flowdir, next, accumulation, flat, resolved), mask (all stream cells) and streams (pruned; cell, next), links, hand and the raw cells."""
 
     raw: DataFrame
     filled: DataFrame
     first: DataFrame
     routed: DataFrame
+    mask: DataFrame
     streams: DataFrame
     links: DataFrame
     hand: DataFrame
+    size: int
 
 
 def route_terrain(cells: DataFrame, cols: int, cellsize: float = 1.0, threshold: float = THRESHOLD, min_branch: int = MIN_BRANCH, size: int = 256) -> Terrain:
@@ -35,16 +37,17 @@ def route_terrain(cells: DataFrame, cols: int, cellsize: float = 1.0, threshold:
     raw = written(cells, "raw")
     filled = written(T.fill_depressions(raw, size=size).select("cell", "r", "c", F.col("w").alias("z"), F.col("z").alias("raw")), "filled")
     level = filled.select("cell", "r", "c", "z")
-    first = written(T.flow_direction(level, cellsize), "directions")
+    first = written(T.flow_direction(level, cellsize, size), "directions")
     flats = written(T.resolve_flats(first, cellsize, size), "flats")
     to = written(T.receivers(flats, cols), "receivers")
-    routed = written(to.join(T.flow_accumulation(to), "cell"), "routed")
+    routed = written(to.join(T.flow_accumulation(to, size=size), "cell"), "routed")
     mask = T.stream_mask(routed, threshold)
     kept = mask.select("cell", "next").join(mask.select(F.col("cell").alias("next"), F.lit(1).alias("in")), "next", "left").select("cell", F.when(F.col("in") == 1, F.col("next")).alias("next"))
-    streams = written(T.prune_streams(written(kept, "streams"), min_branch), "streams")
-    links = written(T.stream_links(streams, cols), "links")
-    drained = T.hand(routed, streams)
-    return Terrain(raw, filled, first, routed, streams, links, written(T.reach_catchments(drained, links), "hand"))
+    whole = written(kept, "mask")
+    streams = written(T.prune_streams(whole, min_branch), "streams")
+    links = written(T.stream_links(streams, cols, size), "links")
+    drained = T.hand(routed, streams, size)
+    return Terrain(raw, filled, first, routed, whole, streams, links, written(T.reach_catchments(drained, links), "hand"), size)
 
 
 _DONE: dict[tuple[str, str, str], Terrain] = {}

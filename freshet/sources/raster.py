@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from freshet.operators.spatial import geometry_mask
-from freshet.operators.validation import first_valid
+from freshet.operators.scan import covered_cells
 from freshet.sources.store import exists
 
 
@@ -32,13 +31,15 @@ def windows(spark: SparkSession, rows: int, cols: int, block: int) -> DataFrame:
 
 
 def ingested(tiles: DataFrame, order: DataFrame, units: DataFrame, cellsize: float) -> DataFrame:
-    """The mosaic of the chosen tiles' cells (path, cell, r, c, z) inside the units' rings: unit, cell and z.
+    """The mosaic of the chosen tiles' cells (path, cell, r, c, z) inside the units: unit, cell and z.
 
-    order: path and ord of the chosen tiles, few, the first valid value of a cell wins.
+    order: path and ord of the chosen tiles; the first valid value of a cell wins. Only cells inside a unit reach the mosaic.
     """
-    chosen = tiles.join(F.broadcast(order.select("path", "ord")), "path")
-    whole = first_valid(chosen.select("cell", "ord", "z")).join(chosen.select("cell", "r", "c").distinct(), "cell")
-    return geometry_mask(whole, units, cellsize).join(whole.select("cell", "z"), "cell").select("unit", "cell", "z")
+    inside = covered_cells(units, cellsize)
+    kept = tiles.join(order.select("path", "ord"), "path").join(inside.select("r", "c").distinct(), ["r", "c"], "left_semi")
+    good = F.col("z").isNotNull() & ~F.isnan("z")
+    whole = kept.groupBy("cell", "r", "c").agg(F.min_by(F.when(good, F.col("z")), F.when(good, F.col("ord"))).alias("z"))
+    return whole.join(inside, ["r", "c"]).select("unit", "cell", "z")
 
 
 def synthetic_catchment(spark: SparkSession, rows: int, cols: int, cellsize: float = 10.0, pits: int = 5, seed: int = 0, border: int = 0, noise: float = 0.0) -> DataFrame:
