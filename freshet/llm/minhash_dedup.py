@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.common import spread_join, written
+from freshet.llm.common import free_name, spread_join, written
 from freshet.llm.components import components, joined
 
 _SPACE = np.zeros(256, bool)
@@ -229,13 +229,10 @@ def stars(reps: DataFrame, members: DataFrame, threshold: float, hashes: int, wi
     big = written(members.where(F.col("n") > 2 * window).join(reps.select("rep", "sig"), "rep").withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(salts)).cast("int")), "crowded")
     every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt")
 
-    def middle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for sigs in (x.as_py() for x in batch.column(2)):
-                part = np.sort(np.frombuffer(b"".join(sigs), np.uint16).reshape(len(sigs), hashes), axis=0)
-                out.append(part[len(sigs) // 2].tobytes())  # what more than half of the rows share is the middle value
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, pa.binary())], ["tree", "prefix", "usual"])
+    def middle(key: tuple, table: pa.Table) -> pa.Table:
+        part = np.sort(np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, hashes), axis=0)
+        usual = part[len(part) // 2].tobytes()  # what more than half of the rows share is the middle value
+        return pa.table({"tree": pa.array([key[0].as_py()], pa.int32()), "prefix": pa.array([key[1].as_py()], pa.int64()), "usual": pa.array([usual], pa.binary())})
 
     def agreement(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -257,8 +254,8 @@ def stars(reps: DataFrame, members: DataFrame, threshold: float, hashes: int, wi
 
     from pyspark.sql import Window
 
-    some = big.where(F.pmod(F.xxhash64("rep", F.lit(1)), F.col("n")) < drawn).groupBy("tree", "prefix").agg(F.collect_list("sig").alias("sigs"))
-    usual = some.mapInArrow(middle, "tree int, prefix long, usual binary")
+    some = big.where(F.pmod(F.xxhash64("rep", F.lit(1)), F.col("n")) < drawn).select("tree", "prefix", "sig")  # about `drawn` rows a region
+    usual = some.groupBy("tree", "prefix").applyInArrow(middle, "tree int, prefix long, usual binary")
     agree = big.join(usual.select("*", every), ["tree", "prefix", "salt"]).select("tree", "prefix", "rep", "sig", "usual").mapInArrow(agreement, "tree int, prefix long, rep long, agree long")
     place = F.row_number().over(Window.partitionBy("tree", "prefix").orderBy(F.desc("agree"), "rep"))
     top = agree.withColumn("place", place).where(F.col("place") <= centres).join(reps.select("rep", "sig"), "rep")
@@ -336,26 +333,19 @@ def apart(pairs: DataFrame, label: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (u, v) whose full sets reach the threshold: percent * intersection against union, in whole numbers."""
-    percent = round(threshold * 100)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                a, b = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                if 100 * min(len(a), len(b)) < percent * max(len(a), len(b)):
-                    keep.append(False)
-                    continue
-                both = len(a) + len(b) - len(np.unique(np.concatenate([a, b])))
-                keep.append(100 * both >= percent * (len(a) + len(b) - both))
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep, pa.bool_())) for c in batch.columns[:2]], ["u", "v"])
+    """The pairs (u, v) whose full sets reach the threshold: percent * intersection against union, in whole numbers.
 
+    Sets are arrays that the joins and Spark's own functions work on a row at a time, so memory holds two sets a task, however long
+    they are and however many partners one of them has.
+    """
+    percent = round(threshold * 100)
     pairs = written(pairs.select("u", "v"), "pairs")
     of, total = {c: pairs.groupBy(c).agg(F.count("*").alias("n")) for c in ("u", "v")}, pairs.count()
     left = spread_join(pairs, sets.select(F.col("rep").alias("v"), F.col("set").alias("y")), "v", "u", counts=of["v"], total=total)
     both = spread_join(left, sets.select(F.col("rep").alias("u"), F.col("set").alias("x")), "u", "v", counts=of["u"], total=total)
-    return both.select("u", "v", "x", "y").mapInArrow(run, "u long, v long")
+    x, y = F.size("x"), F.size("y")
+    near = both.where(100 * F.least(x, y) >= percent * F.greatest(x, y))
+    return near.select("u", "v", (x + y).alias("sum"), F.size(F.array_intersect("x", "y")).alias("shared")).where(100 * F.col("shared") >= percent * (F.col("sum") - F.col("shared"))).select("u", "v")
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame, words: int, bits: int = 26) -> DataFrame:
@@ -379,10 +369,13 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int, bits: int = 26) ->
             p = batch.column(2).to_numpy() - 1
             keep = batch.filter(pa.array((flags[p >> 3] >> (p & 7)) & 1 == 1))
             for ids, raw in _chunks(keep.column(0).to_pylist(), keep.column(1)):
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([s.tobytes() for s in shingles(raw, words)], pa.binary())], ["rep", "set"])
+                sets = shingles(raw, words)
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["rep", "set"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where("rep IS NOT NULL")
-    return rows.select("rep", "text", place.alias("p")).mapInArrow(run, "rep long, set binary")
+    return rows.select("rep", "text", place.alias("p")).mapInArrow(run, "rep long, set array<long>")
 
 
 def _slots(tokens: np.ndarray) -> np.ndarray:
@@ -396,8 +389,7 @@ def token_counts(sets: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << _SLOT_BITS, np.int64)
         for batch in batches:
-            for x in batch.column(0):
-                np.add.at(total, _slots(np.frombuffer(x.as_py(), np.uint64)), 1)
+            np.add.at(total, _slots(batch.column(0).flatten().to_numpy().view(np.uint64)), 1)
         parts = [(k, c) for k, c in enumerate(total.reshape(-1, size)) if c.any()]
         yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in parts], pa.int32()), pa.array([c.tobytes() for _, c in parts], pa.binary())], ["part", "counts"])
 
@@ -439,8 +431,8 @@ def unmet(sets: DataFrame, percent: int, salts: int = 16, words: int = 16) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rep, label, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                tokens = np.frombuffer(raw, np.uint64)
+            for rep, label, held in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                tokens = held.values.to_numpy().view(np.uint64)
                 if not len(tokens):
                     continue
                 found, small = prefixes(tokens, sent.value, percent)
@@ -450,8 +442,8 @@ def unmet(sets: DataFrame, percent: int, salts: int = 16, words: int = 16) -> Da
     def mapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             bits = np.zeros((batch.num_rows, 64 * words), np.uint8)
-            for i, raw in enumerate(batch.column(1)):
-                bits[i, (np.frombuffer(raw.as_py(), np.uint64) % np.uint64(64 * words)).astype(np.int64)] = 1
+            for i, held in enumerate(batch.column(1)):
+                bits[i, (held.values.to_numpy().view(np.uint64) % np.uint64(64 * words)).astype(np.int64)] = 1
             found = np.packbits(bits, axis=1).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(words))], ["rep", *maps])
 
@@ -505,6 +497,23 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, has
 
 
 def deduplicated(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
-    """docs with one document of each group, that of the least doc_id; all columns stay, and so do rows without a doc_id."""
-    gone = near_duplicates(docs, words, threshold).where("NOT kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
+    """docs with one row of each group, that of the least doc_id; all columns stay, and so do rows without a doc_id and empty texts.
+
+    Where doc_ids repeat, rows are told apart by doc_id and text, so that one text goes and another of the same doc_id stays; of equal
+    rows one stays.
+    """
+    if docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").isEmpty():
+        gone = near_duplicates(docs, words, threshold).where("NOT kept").select("doc_id").distinct()
+        return docs.join(gone, "doc_id", "left_anti")
+    row = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text", F.col("text").isNull()))
+    name = free_name(docs, "row")
+    rows = docs.withColumn(name, row)
+    keys = written(rows.where("doc_id IS NOT NULL").select(F.col(name).alias("row"), "doc_id").groupBy("row").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")), "rows")
+    groups = near_duplicates(rows.select(F.col(name).alias("doc_id"), "text"), words, threshold).where("n_shingles > 0 AND doc_id IS NOT NULL").select(F.col("doc_id").alias("row"), "component_id").distinct()
+    placed = written(groups.join(keys, "row"), "groups")
+    best = placed.groupBy("component_id").agg(F.min(F.struct("doc_id", "row")).alias("b")).select(F.col("b.row").alias("row"))
+    gone = placed.join(best, "row", "left_anti").select(F.col("row").alias(name))
+    left = rows.join(gone, name, "left_anti")
+    several = keys.where("n > 1").select(F.col("row").alias(name))
+    once = left.join(several, name, "left_semi").dropDuplicates([name])
+    return left.join(several, name, "left_anti").unionByName(once).drop(name)

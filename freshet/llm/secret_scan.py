@@ -8,8 +8,8 @@ like a path or an address, and the neighbouring words.
 Labelled findings: a table of (doc_id, start, end, label) where the user has one. Otherwise they come from what is not among the
 features: the exact format of the value, and the name that the value is assigned to (the neighbouring words are those outside the
 assignment). The forest is trained in Spark ML on at most about `max_findings` labelled findings, drawn by a hash: a documented bound.
-A finding that a format or a name labels keeps that label; the forest decides on all others, so it dismisses false positives and
-finds keys of formats and names that no rule knows.
+A format of keys or a secret's name makes a secret whatever its shape; the forest decides on all others, also on those that a harmless
+name or format labels for the training, so it dismisses false positives and finds keys of formats and names that no rule knows.
 
 The forest is a small broadcast model, and every verdict falls in the scan of the texts: rows are never joined by an id.
 
@@ -36,7 +36,8 @@ from freshet.llm.common import written
 
 _BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*?-----END [A-Z ]*PRIVATE KEY-----")
 _RUN = re.compile(r"[A-Za-z0-9_\-./+@:%]{16,}={0,2}")
-_ASSIGNED = re.compile(r"[=:]>?[ \t]{0,3}[\"'`]?([^\s\"'`]{6,})")
+_ASSIGNED = re.compile(r"[=:]>?[ \t]{0,3}[\"'`]?([^\s\"'`]{4,})")
+_SPOKEN = re.compile(r"(?i)\b(passwords?|passwd|passphrase|pwd|secret|token|api[ _-]?key)(?: is| was)?[ \t]{1,3}[\"'`]?((?=\S*\d)(?=\S*[A-Za-z])[^\s\"'`=:]{8,})")
 _NAME = re.compile(r"([A-Za-z_][A-Za-z0-9_.\-]{0,60})[\])]?[\"'`]?[ \t]{0,3}:?$")
 _NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -56,7 +57,10 @@ KNOWN_KEYS = {
     "private_key": r"-----BEGIN [A-Z ]*PRIVATE KEY-----[\s\S]*",
 }
 _KNOWN = [(k, re.compile(v)) for k, v in KNOWN_KEYS.items()]
-_HARMLESS = re.compile(r"[^@\s]+@[^@\s]+\.[A-Za-z]{2,}|(?:https?|ftp)://.*|(?:\d{1,3}\.){3}\d{1,3}(?::\d+)?|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[\d.,:/+\-]+|[A-Za-z][a-z]*(?:[-_./][A-Za-z][a-z]*)+|[A-Za-z]+|(?:[./~]|[A-Za-z]:)?(?:[\w.\-]+/)+[\w.\-]*|v?\d+(?:\.\d+)+(?:[-+]\w+)?|.*(?:EXAMPLE|example|xxxx|XXXX|changeme|placeholder|your[-_]).*")
+#: Formats of what is no secret: addresses, numbers, dashed words, paths, versions. They label for training; the forest has the last word.
+_HARMLESS = re.compile(r"[^@\s]+@[^@\s]+\.[A-Za-z]{2,}|(?:https?|ftp)://.*|(?:\d{1,3}\.){3}\d{1,3}(?::\d+)?|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|[\d.,:/+\-]+|[A-Za-z][a-z]*(?:[-_./][A-Za-z][a-z]*)+|[A-Za-z]+|(?:[./~]|[A-Za-z]:)?(?:[\w.\-]+/)+[\w.\-]*|v?\d+(?:\.\d+)+(?:[-+]\w+)?")
+#: Stand-ins for a value that is not there.
+_STAND_IN = re.compile(r".*(?:EXAMPLE|example|xxxx|XXXX|changeme|placeholder|your[-_]|\*{3}).*|[$%]?[{(<\[].*|\$\w+|%[sd]|true|false|null|none|None|undefined|os\.\w.*|process\.\w.*|\w+\(.*")
 
 FEATURES = ["length", "digits", "upper", "lower", "other", "entropy", "class_changes", "longest_run", "distinct", "hex", "letter_pairs", "dictionary", "vowels", "slashes", "dots", "at", "extension", "words_before", "words_after", "known_before", "known_after"]
 
@@ -64,12 +68,12 @@ FEATURES = ["length", "digits", "upper", "lower", "other", "entropy", "class_cha
 class Dictionary:
     """Whole words of a public vocabulary, and how usual their pairs of letters are."""
 
-    def __init__(self, path: str, longest: int = 14):
+    def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
             pieces = json.load(f)["model"]["vocab"]
         words = [p[: -len("</w>")] for p in pieces if p.endswith("</w>")]
-        self.words = {w for w in words if 3 <= len(w) <= longest and w.isascii() and w.isalpha()}
-        self.longest = longest
+        self.words = {w for w in words if 3 <= len(w) and w.isascii() and w.isalpha()}
+        self.longest = max(map(len, self.words))
         pairs = np.ones((26, 26))
         for w in self.words:
             for a, b in zip(w, w[1:], strict=False):
@@ -146,17 +150,20 @@ def _parts(name: str) -> set[str]:
 
 
 def rule(token: str, name: str, before: str) -> tuple[str, int | None]:
-    """Kind of a candidate and its label by format and name: 1 a secret, 0 harmless, None unknown."""
+    """Kind of a candidate and its label by format and name: 1 a secret, 0 harmless, None unknown.
+
+    Formats of keys come first, then the name that a value is given to, and only then the formats of what is no secret.
+    """
     for kind, pattern in _KNOWN:
         if pattern.fullmatch(token):
             return kind, 1
-    announced = bool(_parts(name) & SECRET_NAMES)
-    if _HARMLESS.fullmatch(token):
-        return ("announced", None) if announced and token.isalpha() else ("harmless", 0)
-    if announced and len(token) >= 8 and any(c.isdigit() for c in token) and any(c.isalpha() for c in token):
-        return "assigned_secret", 1
-    last = _WORD.findall(before)[-1:]
-    if (_parts(name) or {w.lower() for w in last}) & HARMLESS_NAMES:
+    if _STAND_IN.fullmatch(token):
+        return "harmless", 0
+    parts = _parts(name)
+    if parts & SECRET_NAMES and not parts & HARMLESS_NAMES:
+        return ("announced", None) if token.isalpha() else ("assigned_secret", 1)
+    last = {w.lower() for w in _WORD.findall(before)[-1:]}
+    if (parts or last) & HARMLESS_NAMES or _HARMLESS.fullmatch(token):
         return "harmless", 0
     return "unknown", None
 
@@ -171,11 +178,15 @@ def candidates(text: str) -> list[tuple[int, int, str, str, str, str]]:
         named = _NAME.search(text, max(0, m.start() - 64), m.start())
         name = named[1] if named else ""
         value = m[1].rstrip(".,;:)]}>")
-        if value.startswith("//") or len(value) < 6:
+        if value.startswith("//") or len(value) < 4:
             continue
         secret = bool(_parts(name) & SECRET_NAMES)
         if secret or name and len(value) >= 8 and any(c.isdigit() for c in value) and re.fullmatch(r"[A-Za-z0-9_\-./+@%]+={0,2}", value):
             spans.append((m.start(1), m.start(1) + len(value), named.start(1), name))
+    for m in _SPOKEN.finditer(text):  # a name, a blank and a value of letters and digits
+        value = m[2].rstrip(".,;:)]}>")
+        if len(value) >= 8:
+            spans.append((m.start(2), m.start(2) + len(value), m.start(1), m[1].replace(" ", "_").removesuffix("s")))
     taken, at = sorted(spans), 0
     for m in _RUN.finditer(text):
         while at < len(taken) and taken[at][1] <= m.start():
@@ -288,7 +299,7 @@ def judged(text: str | None, forest: Forest | None, known: Dictionary, threshold
     named = [rule(token, name, before) for _, _, token, name, before, _ in found]
     rows = np.array([features(token, before, after, known) for _, _, token, _, before, after in found])
     chance = forest.probability(rows) if forest else np.array([float(label == 1) for _, label in named])
-    return [(start, end, kind, label, p, label == 1 if label is not None else p >= threshold) for (start, end, *_), (kind, label), p in zip(found, named, chance.tolist(), strict=True)]
+    return [(start, end, kind, label, p, label == 1 or (forest is not None and p >= threshold)) for (start, end, *_), (kind, label), p in zip(found, named, chance.tolist(), strict=True)]
 
 
 def scan(docs: DataFrame, labelled: DataFrame | None = None, max_findings: int = 20_000, threshold: float = 0.5, vocabulary: str | None = None) -> DataFrame:

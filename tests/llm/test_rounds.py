@@ -201,3 +201,30 @@ def test_closing_parentheses():
         assert closes.tolist() == [want[i] for i in opens.tolist()]
         count = [sum(bits[k] and not bits[k + 1] for k in range(a, b)) for a, b in zip(opens, closes, strict=True)] if n <= 300 else None
         assert count is None or par.leaves(opens, closes).tolist() == count
+
+
+def test_near_duplicates_go_by_row_where_ids_repeat(spark):
+    from freshet.llm.minhash_dedup import deduplicated
+
+    a, b = "one two three four five six seven eight nine ten", "alpha beta gamma delta epsilon zeta eta theta iota"
+    rows = [(3, a), (7, a), (7, b), (7, b), (8, None), (8, ""), (None, a), (9, b + " kappa"), (10, "solo words that stand here alone now")]
+    got = sorted(((r["doc_id"], r["text"]) for r in deduplicated(spark.createDataFrame([Row(doc_id=d, text=t, row=1) for d, t in rows], "doc_id long, text string, row int")).collect()), key=str)
+    assert got == sorted([(3, a), (7, b), (8, None), (8, ""), (None, a), (10, "solo words that stand here alone now")], key=str)
+
+
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [
+        ("aws_secret_access_key = wJalrXUtnFEMI/K7MDENG/bPxRfiCYZZZZZZZZKEY", "wJalrXUtnFEMI/K7MDENG/bPxRfiCYZZZZZZZZKEY"),
+        ("password: correct-horse-battery", "correct-horse-battery"),
+        ("password=12345678 and more", "12345678"),
+        ("the password S3cr3t!pass#99 was lost", "S3cr3t!pass#99"),
+    ],
+)
+def test_secret_names_win_over_shapes(spark, text, value):
+    from freshet.llm.secret_scan import masked
+
+    rows = [(i, t) for i, t in enumerate([text, "version: 1.2.3-beta", "commit = 0a1b2c3d4e5f60718293a4b5c6d7e8f901234567", "see https://a.org/b/c1/d2e3f4 or path/to/file_12.txt"])]
+    docs = spark.createDataFrame([Row(doc_id=i, text=t, lang="en", source="s", n_chars=len(t)) for i, t in rows])
+    out = {r["doc_id"]: r["text"] for r in masked(docs).collect()}
+    assert value not in out[0] and all(out[i] == t for i, t in rows[1:])
