@@ -139,11 +139,7 @@ def point_in_ring(x: Column, y: Column, ring: Column, boundary: bool = False) ->
 
 
 def register(spark: SparkSession) -> None:
-    """Make interpolation usable from SQL text as a function of arrays."""
-    spark.sql("""
-        CREATE OR REPLACE TEMPORARY FUNCTION interp(x DOUBLE, xs ARRAY<DOUBLE>, ys ARRAY<DOUBLE>) RETURNS DOUBLE
-        RETURN CASE WHEN size(filter(xs, v -> v <= x)) = 0 THEN get(ys, 0)
-                    WHEN size(filter(xs, v -> v <= x)) = size(xs) THEN get(ys, size(xs) - 1)
-                    ELSE get(ys, size(filter(xs, v -> v <= x)) - 1) + (x - get(xs, size(filter(xs, v -> v <= x)) - 1))
-                         / (get(xs, size(filter(xs, v -> v <= x))) - get(xs, size(filter(xs, v -> v <= x)) - 1))
-                         * (get(ys, size(filter(xs, v -> v <= x))) - get(ys, size(filter(xs, v -> v <= x)) - 1)) END""")
+    """Make the functions of freshet.functions.sql usable from SQL texts."""
+    from freshet.functions.sql import register as every
+
+    every(spark)

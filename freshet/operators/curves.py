@@ -100,7 +100,8 @@ def curve_fraction(depth: Column, z: Column | float = 0.0, cap: float = 6.0, pre
 
 def refuse_clamped(buildings: DataFrame, curves: DataFrame) -> None:
     """ValueError if curves that start below the floor meet depths of exactly 0 with none below: the mark of clamped depths."""
-    if not curves.where("component = 'structure'").agg(F.min(F.element_at("depths", 1)).alias("low")).first()["low"] < 0:
+    low = curves.where("component = 'structure'").agg(F.min(F.element_at("depths", 1)).alias("low")).first()["low"]
+    if low is None or low >= 0:
         return
     seen = buildings.agg(F.count_if(F.col("margin_m") == 0).alias("zero"), F.count_if(F.col("margin_m") < 0).alias("below")).first()
     if seen["zero"] and not seen["below"]:
@@ -113,6 +114,7 @@ def priced(buildings: DataFrame, curves: DataFrame, family: str, default: str =
     buildings: margin_m, building_class, storeys, and structure_value or floor_area_m2; with contents, contents_value too, priced on
     the contents curves of the family (the default class where its code has none).
     """
+    refuse_clamped(buildings, curves.where(F.col("family") == family))
     reach = storey_exposure(F.col("margin_m"), F.col("storeys")) if storeys else F.lit(1.0)
     value = F.col("structure_value") * cost_scale if "structure_value" in buildings.columns else exposed_value(F.col("floor_area_m2"), F.col("building_class"), cost_scale)
     rows = matched(buildings, curves, family, "structure", default, "s_")

@@ -13,21 +13,23 @@ from freshet.operators.spatial import from_web_mercator, to_utm
 WET_ABOVE = 0.5  # decimetres
 
 
-def warped(cells: DataFrame, targets: DataFrame, how: str = "nearest") -> DataFrame:
+def warped(cells: DataFrame, targets: DataFrame, how: str = "nearest", by: list[str] | None = None) -> DataFrame:
     """cell and v of targets (cell, row, col: fractional places in the source grid) from cells (r, c, v); null outside.
 
     nearest takes the source cell that holds the place; bilinear weighs the four nearest centres, those without a value left out.
+    by: columns of both that tell several source grids apart; they come back beside cell and v.
     """
+    by = by or []
     if how == "nearest":
-        at = targets.select("cell", F.floor("row").cast("int").alias("r"), F.floor("col").cast("int").alias("c"))
-        return at.join(cells.select("r", "c", "v"), ["r", "c"], "left").select("cell", "v")
+        at = targets.select("cell", *by, F.floor("row").cast("int").alias("r"), F.floor("col").cast("int").alias("c"))
+        return at.join(cells.select(*by, "r", "c", "v"), [*by, "r", "c"], "left").select("cell", *by, "v")
     row, col = F.col("row") - 0.5, F.col("col") - 0.5
     corners = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (0, 1) for b in (0, 1)]))
-    base = targets.select("cell", F.floor(row).cast("int").alias("r0"), F.floor(col).cast("int").alias("c0"), (row - F.floor(row)).alias("fr"), (col - F.floor(col)).alias("fc"), corners.alias("k"))
+    base = targets.select("cell", *by, F.floor(row).cast("int").alias("r0"), F.floor(col).cast("int").alias("c0"), (row - F.floor(row)).alias("fr"), (col - F.floor(col)).alias("fc"), corners.alias("k"))
     weight = F.when(F.col("k.a") == 1, F.col("fr")).otherwise(1 - F.col("fr")) * F.when(F.col("k.b") == 1, F.col("fc")).otherwise(1 - F.col("fc"))
-    near = base.select("cell", (F.col("r0") + F.col("k.a")).alias("r"), (F.col("c0") + F.col("k.b")).alias("c"), weight.alias("w")).join(cells.select("r", "c", "v"), ["r", "c"], "left")
+    near = base.select("cell", *by, (F.col("r0") + F.col("k.a")).alias("r"), (F.col("c0") + F.col("k.b")).alias("c"), weight.alias("w")).join(cells.select(*by, "r", "c", "v"), [*by, "r", "c"], "left")
     known = F.when(F.col("v").isNotNull(), F.col("w"))
-    return near.groupBy("cell").agg(F.try_divide(F.sum(F.col("w") * F.col("v")), F.sum(known)).alias("v"))
+    return near.groupBy("cell", *by).agg(F.try_divide(F.sum(F.col("w") * F.col("v")), F.sum(known)).alias("v"))
 
 
 def mercator_targets(rows: int, cols: int, west: float, north: float, step: float, cellsize: float, left: float, top: float, zone: int, spark) -> DataFrame:

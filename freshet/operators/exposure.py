@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -162,11 +165,47 @@ def damage_by_class(damaged: DataFrame) -> DataFrame:
     return damaged.rollup("building_class").agg(F.sum("damage").alias("damage"), F.sum("exposed").alias("exposed"), F.count_if(F.col("damage") > 0).alias("hit"), F.count("*").alias("n"))
 
 
-def damage_ladder(buildings: DataFrame, stages: DataFrame, family: str = "HAZUS") -> DataFrame:
-    """multiplier, damage, wet buildings, residents and share in the channel (height at or below 0), per rung of the stage table."""
-    rows = buildings.where("reach IS NOT NULL AND hand IS NOT NULL").join(stages, "reach").withColumn("margin_m", floor_margin(F.col("stage_m"), F.col("hand"), F.col("found_ht_m")))
-    hit = estimate(rows, family)
-    out = hit.groupBy("multiplier").agg(F.sum("damage").alias("damage"), F.count_if(F.col("margin_m") > 0).alias("wet"), F.sum(F.when(F.col("margin_m") > 0, F.col("pop")).otherwise(0.0)).alias("residents"), F.sum(F.when(F.col("hand") <= 0, F.col("damage")).otherwise(0.0)).alias("in_channel"))
+def rung_arrays(stages: DataFrame) -> DataFrame:
+    """reach, multipliers and levels: a reach's stage table (reach, multiplier, stage_m) as two arrays in order of the rungs."""
+    rows = F.array_sort(F.collect_list(F.struct("multiplier", "stage_m")))
+    return stages.groupBy("reach").agg(rows.alias("x")).select("reach", F.col("x.multiplier").alias("multipliers"), F.col("x.stage_m").alias("levels"))
+
+
+def damage_ladder(buildings: DataFrame, stages: DataFrame, family: str = "HAZUS", cap: float = 6.0, storey: float = 3.0) -> DataFrame:
+    """multiplier, damage, wet buildings, residents and share in the channel (height at or below 0), per rung of the stage table.
+
+    A building meets its reach's rungs as one array, and a batch of buildings is priced at all rungs at once; what leaves a task is a
+    sum a rung. The rungs are those of the stage table, the same for every reach.
+    """
+    rows = buildings.where("reach IS NOT NULL AND hand IS NOT NULL").join(rung_arrays(stages), "reach")
+    known = list(RATES)
+    kept = rows.select("multipliers", "levels", F.col("hand").cast("double").alias("hand"), F.col("found_ht_m").cast("double").alias("floor"), F.col("storeys").cast("double").alias("storeys"), F.col("floor_area_m2").cast("double").alias("area"), F.col("pop").cast("double").alias("pop"), F.array_position(F.array(*[F.lit(k) for k in known]), curve_class(F.col("building_class"))).cast("int").alias("k"))
+    curves = {k: np.array(CURVES[family][name]) for k, name in enumerate(known, 1)}
+    names = ["damage", "wet", "residents", "in_channel"]
+
+    def price(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[float, np.ndarray] = {}
+        for batch in batches:
+            for rungs, part in batch.groupby(batch["multipliers"].map(len)):
+                levels = np.stack(part["levels"].to_numpy())
+                hand, floor, n = (part[c].to_numpy()[:, None] for c in ("hand", "floor", "storeys"))
+                margin = np.where(levels - hand > 0, levels - hand - floor, NO_WATER)
+                share = np.zeros(margin.shape)
+                for k in np.unique(part["k"]):
+                    own = part["k"].to_numpy() == k
+                    share[own] = np.interp(np.minimum(margin[own], cap), DEPTHS, curves[k])
+                n = np.maximum(n, 1.0)
+                reach = np.minimum(np.maximum(np.ceil(np.maximum(margin, 0.0) / storey), 1.0), n) / n
+                rate = np.array([RATES[known[k - 1]] for k in part["k"]])
+                damage = np.where(margin <= NO_WATER_BELOW, 0.0, np.clip(share, 0.0, 1.0)) * reach * (part["area"].to_numpy() * rate)[:, None]
+                wet = margin > 0
+                each = np.stack([damage.sum(0), wet.sum(0), np.where(wet, part["pop"].to_numpy()[:, None], 0.0).sum(0), np.where(hand <= 0, damage, 0.0).sum(0)], axis=1)
+                for m, row in zip(part["multipliers"].iloc[0], each, strict=True):
+                    sums[m] = sums.get(m, 0.0) + row
+        yield pd.DataFrame([(m, *row) for m, row in sums.items()], columns=["multiplier", *names])
+
+    parts = kept.mapInPandas(price, "multiplier double, damage double, wet double, residents double, in_channel double")
+    out = parts.groupBy("multiplier").agg(F.sum("damage").alias("damage"), F.sum("wet").cast("long").alias("wet"), F.sum("residents").alias("residents"), F.sum("in_channel").alias("in_channel"))
     return out.withColumn("share", F.coalesce(F.try_divide("in_channel", "damage"), F.lit(0.0)))
 
 
@@ -175,11 +214,15 @@ def withheld(rungs: DataFrame, most: float = 0.5) -> DataFrame:
     return rungs.withColumn("damage", F.when(F.col("share") <= most, F.col("damage")))
 
 
-def ladder_at(rungs: DataFrame, multipliers: list[float], columns: tuple[str, ...] = ("damage", "wet", "residents", "in_channel", "share")) -> DataFrame:
-    """The ladder's columns at any multiplier, linear between rungs and held at the ends; rungs are a fixed, small number."""
+def ladder_at(rungs: DataFrame, multipliers: list[float], columns: tuple[str, ...] = ("damage", "wet", "residents", "in_channel", "share"), most: float | None = None) -> DataFrame:
+    """The ladder's columns at any multiplier, linear between rungs and held at the ends; rungs are a fixed, small number.
+
+    With most, the damage is withheld (null) where the share in the channel, between the rungs too, exceeds it.
+    """
     rows = F.array_sort(F.collect_list(F.struct("multiplier", *[F.col(c).cast("double").alias(c) for c in columns])))
     packed = rungs.agg(rows.alias("x")).select("x", F.explode(F.array(*[F.lit(float(m)) for m in multipliers])).alias("multiplier"))
-    return packed.select("multiplier", *[interp(F.col("multiplier"), F.col("x.multiplier"), F.col(f"x.{c}")).alias(c) for c in columns])
+    found = packed.select("multiplier", *[interp(F.col("multiplier"), F.col("x.multiplier"), F.col(f"x.{c}")).alias(c) for c in columns])
+    return found if most is None else withheld(found, most)
 
 
 def building_depths(boxes: DataFrame, cells: DataFrame, cellsize: float, rows: int, cols: int, least_area: float = 10.0, statistic: str = "max") -> DataFrame:

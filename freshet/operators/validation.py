@@ -47,6 +47,22 @@ def _ranged(df: DataFrame, value: str) -> tuple[DataFrame, list[tuple[int, int,
     return placed, out
 
 
+def implied_discharge(marks: DataFrame, stages: DataFrame, least_wet: float = 0.7) -> DataFrame:
+    """multiplier, n, rmse, wet and chosen: how well each rung of the discharge fits the marks, in one pass over marks and rungs.
+
+    marks: reach, hand, ground_m, observed_m; stages: reach, multiplier, stage_m. A mark that stays dry, or lies on no reach, is scored at the ground. The
+    discharge that the marks imply is the rung of the least error among those that wet at least `least_wet` of them (the smaller
+    one on a tie); without such a rung none is chosen.
+    """
+    known = marks.where("observed_m IS NOT NULL AND ground_m IS NOT NULL").select("reach", "hand", "ground_m", "observed_m")
+    depth = F.coalesce(F.greatest(F.col("stage_m") - F.col("hand"), F.lit(0.0)), F.lit(0.0))
+    rungs = stages.select("multiplier").distinct()  # some tens
+    rows = known.crossJoin(F.broadcast(rungs)).join(stages.select("reach", "multiplier", "stage_m"), ["reach", "multiplier"], "left").select("multiplier", (depth > 0).alias("wet"), (F.col("ground_m") + depth - F.col("observed_m")).alias("e"))
+    fit = rows.groupBy("multiplier").agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("e") * F.col("e"))).alias("rmse"), F.avg(F.col("wet").cast("double")).alias("wet"))
+    best = fit.where(F.col("wet") >= least_wet).agg(F.min(F.struct("rmse", "multiplier"))["multiplier"].alias("best"))  # one row
+    return fit.crossJoin(F.broadcast(best)).select("multiplier", "n", "rmse", "wet", F.coalesce(F.col("multiplier") == F.col("best"), F.lit(False)).alias("chosen"))
+
+
 def mean_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
     """df with the rank of value, ties at their mean: counts per value, ranked over the distinct values.
 

@@ -19,7 +19,7 @@ from freshet.operators import network as N
 from freshet.operators import overlay as O
 from freshet.operators import terrain as T
 from freshet.operators import validation as V
-from freshet.plans.terrain import MIN_BRANCH, THRESHOLD, TILE, Terrain, terrain
+from freshet.plans.terrain import MIN_BRANCH, THRESHOLD, TILE, Terrain, scenario, terrain
 from freshet.sources.adapters import CELLSIZE, COLS, sql_text, view
 from freshet.sources.store import shared_dir, table
 from freshet.streaming import gauges as G
@@ -245,9 +245,14 @@ def _curves(spark, sf_dir) -> tuple[Terrain, DataFrame, DataFrame]:
     return t, geometry, H.rating_curves(t.hand, geometry, CELLSIZE, max_stage=STAGE_MAX, step=STAGE_STEP)
 
 
-def _stages(spark, sf_dir) -> tuple[Terrain, DataFrame]:
-    t, geometry, curves = _curves(spark, sf_dir)
-    return t, H.stage_table(curves, H.reach_discharge(geometry, t.routed, GAUGE_CMS), RUNGS)
+def _stages(spark, sf_dir, rungs: list[float] = RUNGS) -> tuple[Terrain, DataFrame]:
+    """Terrain and stage table, which is written once for all scenarios of the same rungs."""
+
+    def build() -> DataFrame:
+        t, geometry, curves = _curves(spark, sf_dir)
+        return H.stage_table(curves, H.reach_discharge(geometry, t.routed, GAUGE_CMS), rungs)
+
+    return terrain(spark, sf_dir), scenario(spark, sf_dir, "stages", {"cms": GAUGE_CMS, "rungs": rungs, "max": STAGE_MAX, "step": STAGE_STEP}, build)
 
 
 @query(_with(_RATING, "SELECT reach, rung, stage_m, round(discharge_cms, 6) AS discharge_cms, round(area_m2, 6) AS area_m2, round(radius_m, 6) AS radius_m FROM rate"))
@@ -262,7 +267,8 @@ def stage_table(spark, sf_dir):
 
 def _wet(spark, sf_dir) -> tuple[Terrain, DataFrame, DataFrame]:
     t, stages = _stages(spark, sf_dir)
-    return t, stages, H.inundate(t.hand, t.raw, stages.where("multiplier = 1.0"), t.streams, COLS, size=t.size)
+    build = lambda: H.inundate(t.hand, t.raw, stages.where("multiplier = 1.0"), t.streams, COLS, size=t.size)
+    return t, stages, scenario(spark, sf_dir, "extent", {"cms": GAUGE_CMS, "multiplier": 1.0, "max": STAGE_MAX, "step": STAGE_STEP}, build)
 
 
 @query(_with(_WET, "SELECT cell, round(depth_m, 6) AS depth_m, connected FROM wet"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,12 +10,14 @@ from pyspark.sql import functions as F
 
 from freshet.operators import terrain as T
 from freshet.sources.adapters import COLS, view
-from freshet.sources.store import fingerprint, table, written
+from freshet.sources.store import TerrainStore, fingerprint, params_hash, shared_dir, table, written
 
 #: Cells; small grids have small streams. Shorter head branches are pruned.
 THRESHOLD, MIN_BRANCH = 30, 5
 #: Cells a side of a tile: small beside the usual 256, so that the data set's narrow grid has several tiles each way.
 TILE = 64
+#: The unit that the data set's grid stands for in the terrain store.
+UNIT = "00"
 
 
 @dataclass(frozen=True)
@@ -64,3 +67,12 @@ def terrain(spark: SparkSession, sf_dir: str) -> Terrain:
 def forget() -> None:
     """Compute the terrain anew at the next call."""
     _DONE.clear()
+
+
+def scenario(spark: SparkSession, sf_dir: str, what: str, params: dict, build: Callable[[], DataFrame]) -> DataFrame:
+    """A table of the terrain store, built by its first reader: keyed by what it is, its parameters and the state of the grid's files."""
+    store = TerrainStore(spark, f"{shared_dir(spark)}/freshet/scenarios")
+    key = params_hash({"what": what, "application": spark.sparkContext.applicationId, "data": sf_dir, "files": fingerprint(table(spark, sf_dir, "lineitem")), **params})
+    if not store.exists(UNIT, key):
+        store.put(UNIT, key, build())
+    return store.get(UNIT, key)

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from freshet.operators.display import warped
 from freshet.operators.scan import covered_cells
-from freshet.sources.store import exists
+from freshet.operators.spatial import from_utm
+from freshet.sources.store import content_hash, exists
 
 
 def read_window(cells: DataFrame, rows: tuple[int, int] | None = None, cols: tuple[int, int] | None = None, nodata: float | None = None, srid: int | None = None, expected: int | None = None) -> DataFrame:
@@ -42,6 +44,28 @@ def ingested(tiles: DataFrame, order: DataFrame, units: DataFrame, cellsize: flo
     return whole.join(inside, ["r", "c"]).select("unit", "cell", "z")
 
 
+def warped_ingest(tiles: DataFrame, frames: DataFrame, grid: DataFrame, units: DataFrame, cellsize: float, zone: int, left: float, top: float, block: float = 0.05) -> DataFrame:
+    """unit, cell and z of a projected grid, from tiles in degrees: mask, warp, then the first valid value in the tiles' order.
+
+    tiles: path, r, c, z; frames: path, ord, west, north, step, rows, cols of each chosen tile; grid: cell, r, c with the upper left
+    corner (left, top) in a UTM zone; units: unit, ring(s) in metres from that corner, y upwards. Only cells inside a unit are mapped back,
+    each meets the tiles of its block of degrees, and a tile is read bilinearly from the centres around a place.
+    """
+    inside = covered_cells(units, cellsize)
+    kept = grid.join(inside.select("r", "c").distinct(), ["r", "c"], "left_semi")
+    at = from_utm(F.lit(left) + (F.col("c") + 0.5) * cellsize, F.lit(top) - (F.col("r") + 0.5) * cellsize, zone)
+    block_of = lambda x: F.floor(x / block).cast("int")
+    places = kept.withColumn("g", at).select("cell", F.col("g.lon").alias("lon"), F.col("g.lat").alias("lat")).withColumns({"bx": block_of(F.col("lon")), "by": block_of(F.col("lat"))})
+    east, south = F.col("west") + F.col("cols") * F.col("step"), F.col("north") - F.col("rows") * F.col("step")
+    spread = frames.withColumn("bx", F.explode(F.sequence(block_of(F.col("west")), block_of(east)))).withColumn("by", F.explode(F.sequence(block_of(south), block_of(F.col("north")))))
+    met = places.join(spread, ["bx", "by"]).select("cell", "path", "ord", "rows", "cols", ((F.col("north") - F.col("lat")) / F.col("step")).alias("row"), ((F.col("lon") - F.col("west")) / F.col("step")).alias("col"))
+    found = met.where("row >= 0 AND row < rows AND col >= 0 AND col < cols")
+    good = F.col("z").isNotNull() & ~F.isnan("z")
+    read = warped(tiles.where(good).select("path", "r", "c", F.col("z").alias("v")), found.select("cell", "path", "row", "col"), "bilinear", ["path"])
+    whole = read.where("v IS NOT NULL").join(frames.select("path", "ord"), "path").groupBy("cell").agg(F.min_by("v", "ord").alias("z"))
+    return inside.join(grid.select("cell", "r", "c"), ["r", "c"]).join(whole, "cell", "left").select("unit", "cell", "z")
+
+
 def synthetic_catchment(spark: SparkSession, rows: int, cols: int, cellsize: float = 10.0, pits: int = 5, seed: int = 0, border: int = 0, noise: float = 0.0) -> DataFrame:
     """cell, r, c and z of a tilted plane with a meandering valley and closed pits; cells of the border have no value.
 
@@ -76,11 +100,11 @@ def merged_results(old: DataFrame, new: DataFrame, key: str = "key") -> DataFram
 
 
 def stored_structures(store: DataFrame | None, incoming: DataFrame, unit: str) -> DataFrame:
-    """The unit's structures after a load: what is stored stays if it has as many rows, else the unit's rows are replaced."""
+    """The unit's structures after a load: what is stored stays if its rows are the same, else the unit's rows are replaced."""
     if store is None:
         return incoming
-    mine = store.where(F.col("unit") == unit)
-    return store if mine.count() == incoming.count() else store.where(F.col("unit") != unit).unionByName(incoming)
+    mine, columns = store.where(F.col("unit") == unit), [c for c in incoming.columns if c != "unit"]
+    return store if content_hash(mine, columns) == content_hash(incoming, columns) else store.where(F.col("unit") != unit).unionByName(incoming)
 
 
 def fresh_results(results: DataFrame, schema: int) -> DataFrame:

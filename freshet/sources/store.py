@@ -44,6 +44,12 @@ def fingerprint(*tables: DataFrame) -> str:
     return hashlib.sha256(repr(sorted(rows)).encode()).hexdigest()[:16]
 
 
+def content_hash(rows: DataFrame, columns: list[str]) -> tuple[int, int]:
+    """Number of rows and a sum over their hashes: equal for equal rows in any order, repeated ones counted."""
+    got = rows.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*sorted(columns)).cast("decimal(38,0)")).alias("h")).first()
+    return got["n"], int(got["h"] or 0)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage: write df as Parquet into the shared folder and read it back."""
     spark = df.sparkSession

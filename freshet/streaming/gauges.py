@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from freshet.functions.scalar import interp
@@ -56,3 +57,18 @@ def token_bucket(requests: DataFrame, per_minute: float = 30.0, burst: int = 10,
 def stages(discharges: DataFrame, curves: DataFrame) -> DataFrame:
     """Stage of every reading of discharge (reach, ts, discharge_cms) on the static curves (reach, stages, flows): stream-static join."""
     return discharges.join(curves, "reach").select(*discharges.columns, interp(F.col("discharge_cms"), F.col("flows"), F.col("stages")).alias("stage_m"))
+
+
+def extents(stage_stream: DataFrame, extent: Callable[[DataFrame], DataFrame], path: str, checkpoint: str) -> StreamingQuery:
+    """Write the extent of every micro-batch of stages (reach, step, stage_m): a folder a batch, with the batch's last step.
+
+    extent gives cell, depth_m and connected for one stage a reach. A batch that is run again overwrites its own folder with the same
+    rows, so a restart after a lost driver changes nothing; connectivity is decided within the batch.
+    """
+
+    def run(batch: DataFrame, number: int) -> None:
+        last = batch.groupBy("reach").agg(F.max_by("stage_m", "step").alias("stage_m"))
+        step = batch.agg(F.max("step").alias("step"))
+        extent(last).crossJoin(F.broadcast(step)).write.mode("overwrite").parquet(f"{path}/batch={number}")  # one step a batch
+
+    return stage_stream.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
