@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager, suppress
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,6 +59,39 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of a batch that a kernel works on at once.
+PIECE = 4 << 20
+
+
+def _released() -> None:
+    """Give free memory of this worker back to the system, as the worker stays for later stages."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def lean(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """kernel for mapInArrow on pieces of bounded bytes (a row at least), whatever the rows of a batch; memory is given back at a task's end.
+
+    Spark bounds batches in rows alone, so ten thousand long texts would otherwise be Python objects at once.
+    """
+
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            step = max(1, batch.num_rows * PIECE // max(1, batch.nbytes))
+            for at in range(0, batch.num_rows, step):
+                yield batch.slice(at, step)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from kernel(pieces(batches))
+        finally:
+            _released()
+
+    return run
+
+
 def crc_fold(doc_id, folds: int):
     """crc32 of the id's decimal text, modulo folds."""
     return F.crc32(doc_id.cast("string").cast("binary")) % F.lit(folds)

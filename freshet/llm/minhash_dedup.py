@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.common import free_name, spread_join, written
+from freshet.llm.common import free_name, lean, spread_join, written
 from freshet.llm.components import components, joined
 
 _SPACE = np.zeros(256, bool)
@@ -151,7 +151,7 @@ def signed(docs: DataFrame, words: int, hashes: int) -> DataFrame:
                 digest = [np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64).tolist() if len(s) else (None, None) for s in sets]
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array([d[0] for d in digest], pa.int64()), pa.array([d[1] for d in digest], pa.int64()), pa.array([next(rows).tobytes() if len(s) else None for s in sets], pa.binary())], names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, sig binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, n_shingles long, s1 long, s2 long, sig binary")
 
 
 def sequences(hashes: int, trees: int, depth: int) -> list[list[int]]:
@@ -256,11 +256,11 @@ def stars(reps: DataFrame, members: DataFrame, threshold: float, hashes: int, wi
 
     some = big.where(F.pmod(F.xxhash64("rep", F.lit(1)), F.col("n")) < drawn).select("tree", "prefix", "sig")  # about `drawn` rows a region
     usual = some.groupBy("tree", "prefix").applyInArrow(middle, "tree int, prefix long, usual binary")
-    agree = big.join(usual.select("*", every), ["tree", "prefix", "salt"]).select("tree", "prefix", "rep", "sig", "usual").mapInArrow(agreement, "tree int, prefix long, rep long, agree long")
+    agree = big.join(usual.select("*", every), ["tree", "prefix", "salt"]).select("tree", "prefix", "rep", "sig", "usual").mapInArrow(lean(agreement), "tree int, prefix long, rep long, agree long")
     place = F.row_number().over(Window.partitionBy("tree", "prefix").orderBy(F.desc("agree"), "rep"))
     top = agree.withColumn("place", place).where(F.col("place") <= centres).join(reps.select("rep", "sig"), "rep")
     chosen = written(top.groupBy("tree", "prefix").agg(F.collect_list(F.struct("rep", "sig")).alias("found")), "centres")
-    met = big.join(chosen.select("*", every), ["tree", "prefix", "salt"]).select("rep", "sig", "found").mapInArrow(meet, "u long, best long, score double, partners array<long>")
+    met = big.join(chosen.select("*", every), ["tree", "prefix", "salt"]).select("rep", "sig", "found").mapInArrow(lean(meet), "u long, best long, score double, partners array<long>")
     return met.groupBy("u").agg(F.max_by("best", F.struct("score", -F.col("best"))).alias("best"), F.array_distinct(F.flatten(F.collect_list("partners"))).alias("partners"))  # trees * centres partners at most
 
 
@@ -306,7 +306,7 @@ def candidates(reps: DataFrame, members: DataFrame, threshold: float, hashes: in
         if held:
             yield solve(held)
 
-    return ordered.mapInArrow(run, "crowd long, u long, partners array<long>, forest array<long>")
+    return ordered.mapInArrow(lean(run), "crowd long, u long, partners array<long>, forest array<long>")
 
 
 def unconnected(found: DataFrame, label: DataFrame) -> DataFrame:
@@ -375,7 +375,7 @@ def full_sets(docs: DataFrame, wanted: DataFrame, words: int, bits: int = 26) ->
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))], ["rep", "set"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").where("rep IS NOT NULL")
-    return rows.select("rep", "text", place.alias("p")).mapInArrow(run, "rep long, set array<long>")
+    return rows.select("rep", "text", place.alias("p")).mapInArrow(lean(run), "rep long, set array<long>")
 
 
 def _slots(tokens: np.ndarray) -> np.ndarray:
@@ -398,7 +398,7 @@ def token_counts(sets: DataFrame) -> np.ndarray:
         return pa.table({"part": pa.array([table.column("part")[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
 
     out = np.zeros((1 << _SLOT_BITS) // size * size, np.int64)
-    for row in sets.select("set").mapInArrow(count, "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect():  # a fixed number of parts
+    for row in sets.select("set").mapInArrow(lean(count), "part int, counts binary").groupBy("part").applyInArrow(add, "part int, counts binary").collect():  # a fixed number of parts
         out[row["part"] * size : (row["part"] + 1) * size] = np.frombuffer(bytes(row["counts"]), np.int64)
     return out
 
@@ -447,9 +447,9 @@ def unmet(sets: DataFrame, percent: int, salts: int = 16, words: int = 16) -> Da
             found = np.packbits(bits, axis=1).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(found[:, k])) for k in range(words))], ["rep", *maps])
 
-    lists = written(sets.select("rep", "label", "set").mapInArrow(run, "token long, rep long, label long, size long, small boolean, at long"), "prefixes")
+    lists = written(sets.select("rep", "label", "set").mapInArrow(lean(run), "token long, rep long, label long, size long, small boolean, at long"), "prefixes")
     usual = lists.groupBy("token", "label").agg(F.count("*").alias("n")).groupBy("token").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1").drop("labels")
-    bits = sets.select("rep", "set").mapInArrow(mapped, "rep long, " + ", ".join(f"{m} long" for m in maps))
+    bits = sets.select("rep", "set").mapInArrow(lean(mapped), "rep long, " + ", ".join(f"{m} long" for m in maps))
     lists = written(lists.join(usual, "token").join(bits, "rep"), "mixed")  # the shingles of one label only bring no pair
     other = lists.where("label <> most").select("token", *[F.col(c).alias(f"o_{c}") for c in [*names[1:], *maps]], F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     met = other.join(lists.drop("most").withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(salts)).cast("int")), ["token", "salt"])

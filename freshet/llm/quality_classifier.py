@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.common import crc_fold, learning_sample, logistic_curve, written
+from freshet.llm.common import crc_fold, lean, learning_sample, logistic_curve, written
 
 _LETTERS = (re.compile(r"[^\W\d_]+"), re.compile(r"\d+"), re.compile(r"(.)\1+"))
 
@@ -180,7 +180,7 @@ def trained(docs: DataFrame, labels: DataFrame, target: str, fold: Callable[[Col
     The sample's n-grams are counted by Spark; the driver gets those of at least min_docs rows, and each row's places among them.
     """
     sample = learning_sample(docs, labels, target, fold, folds, held, per_class)
-    rows = written(sample.mapInArrow(_sampled, "doc_id long, label int, grams array<long>"), "sample")
+    rows = written(sample.mapInArrow(lean(_sampled), "doc_id long, label int, grams array<long>"), "sample")
     often = rows.select(F.explode("grams").alias("gram")).groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("gram").toArrow()
     index = np.sort(often.column("gram").to_numpy().view(np.uint64))
     sent = docs.sparkSession.sparkContext.broadcast(index)
@@ -190,7 +190,7 @@ def trained(docs: DataFrame, labels: DataFrame, target: str, fold: Callable[[Col
             found = [_found(np.array(x.as_py(), np.int64).view(np.uint64), sent.value).astype(np.int32).tobytes() for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(found, pa.binary())], ["doc_id", "label", "places"])
 
-    known = rows.mapInArrow(places, "doc_id long, label int, places binary").toArrow()  # bounded by per_class
+    known = rows.mapInArrow(lean(places), "doc_id long, label int, places binary").toArrow()  # bounded by per_class
     return fit(known.column("doc_id").to_pylist(), [np.frombuffer(x.as_py(), np.int32) for x in known.column("places")], known.column("label").to_pylist(), index)
 
 
@@ -205,7 +205,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, target: str = "qualit
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), found], ["doc_id", "held_out", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(fold(F.col("doc_id"), folds) == held, F.lit(False)).alias("held_out"), "text")
-    scored = rows.mapInArrow(run, "doc_id long, held_out boolean, score double")
+    scored = rows.mapInArrow(lean(run), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
@@ -219,4 +219,4 @@ def accepted(docs: DataFrame, labels: DataFrame, target: str = "quality", fold:
         for batch in _forgotten(batches):
             yield batch.filter(pa.array([score(t.as_py() or "", model) >= threshold for t in batch.column(text)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

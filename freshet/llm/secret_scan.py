@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.common import written
+from freshet.llm.common import lean, written
 
 _BLOCK = re.compile(r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*?-----END [A-Z ]*PRIVATE KEY-----")
 _RUN = re.compile(r"[A-Za-z0-9_\-./+@:%]{16,}={0,2}")
@@ -269,7 +269,7 @@ def findings(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                     rows.append({"doc_id": doc_id, "start": start, "end": end, "kind": kind, "label": label, "features": features(token, before, after, known)})
             yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, start int, end int, kind string, label int, features array<double>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, start int, end int, kind string, label int, features array<double>")
 
 
 def trained(docs: DataFrame, labelled: DataFrame | None = None, max_findings: int = 20_000, trees: int = 20, depth: int = 8, vocabulary: str | None = None) -> Forest | None:
@@ -313,7 +313,7 @@ def scan(docs: DataFrame, labelled: DataFrame | None = None, max_findings: int =
             rows = [(i, *x) for i, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True) for x in judged(t.as_py(), sent.value, known, threshold)]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * len(arrow), arrow.types, strict=True)], schema=arrow)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, start int, end int, kind string, label int, probability double, secret boolean")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, start int, end int, kind string, label int, probability double, secret boolean")
 
 
 def summary(docs: DataFrame, labelled: DataFrame | None = None, max_findings: int = 20_000, threshold: float = 0.5, vocabulary: str | None = None) -> DataFrame:
@@ -331,7 +331,7 @@ def summary(docs: DataFrame, labelled: DataFrame | None = None, max_findings: in
                 rows.append((i, len(found), len(secret), secret[0][0] if secret else None, max((x[4] for x in found), default=0.0), ",".join(sorted({x[2] for x in secret}))))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [()] * len(arrow), arrow.types, strict=True)], schema=arrow)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_candidates long, n_secrets long, first_start int, score double, kinds string")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(lean(run), "doc_id long, n_candidates long, n_secrets long, first_start int, score double, kinds string")
 
 
 def masked(docs: DataFrame, mark: str = "[SECRET]", labelled: DataFrame | None = None, max_findings: int = 20_000, threshold: float = 0.5, vocabulary: str | None = None) -> DataFrame:
@@ -355,4 +355,4 @@ def masked(docs: DataFrame, mark: str = "[SECRET]", labelled: DataFrame | None =
                 columns[size] = pa.array([n if a == b else len(b) for n, a, b in zip(columns[size].to_pylist(), old, new, strict=True)], columns[size].type)
             yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)

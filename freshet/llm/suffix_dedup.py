@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freshet.llm.common import free_name, spread_join, written
+from freshet.llm.common import free_name, lean, spread_join, written
 
 GRAM = 32
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
@@ -376,7 +376,7 @@ def class_spans(docs: DataFrame, length: int = 200, hot: int = 1 << 20) -> tuple
     """The contexts of names that occur again (k1, k2, a, name, c1, c2), and the spans of their classes: by index, and by lists."""
     k1, k2 = _keys()
     texts = docs.select(F.coalesce("text", F.lit("")).alias("text"), k1.alias("k1"), k2.alias("k2"))
-    found = written(texts.mapInArrow(_contexts_of(length), "k1 long, k2 long, a int, b int, name long, c1 long, c2 long, own boolean"), "contexts")
+    found = written(texts.mapInArrow(lean(_contexts_of(length)), "k1 long, k2 long, a int, b int, name long, c1 long, c2 long, own boolean"), "contexts")
     often = written(found.groupBy("name").agg(F.count("*").alias("n"), F.max("own").alias("any_own")).where("n > 1 OR any_own").select("name", "n"), "names")
     shared = written(spread_join(found.drop("own"), often.select("name"), "name", "c1", counts=often, total=found.count()), "shared")
     size = F.col("b") - F.col("a") + length - 1
@@ -386,10 +386,10 @@ def class_spans(docs: DataFrame, length: int = 200, hot: int = 1 << 20) -> tuple
     rows = spread_join(alike, whole.select("name", "total"), "name", "c1", counts=whole.select("name", "n"), total=alike.count())
     asked = rows.groupBy("k1", "k2").agg(F.collect_list(F.struct("name", "c1", "c2", "a", "b", "weight", "total")).alias("asked"))
     # equal rows send their classes twice; these have a weight above 1 anyway, and their spans are united
-    wanted = written(texts.join(asked, ["k1", "k2"]).select("text", "asked").mapInArrow(_wanted_of(length), _WANTED), "wanted")
+    wanted = written(texts.join(asked, ["k1", "k2"]).select("text", "asked").mapInArrow(lean(_wanted_of(length)), _WANTED), "wanted")
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     by_name = wanted.where(F.col("total") <= hot).select("name", "c1", "c2", "bytes", "weight")
-    indexed = by_name.repartition(parts, "name").sortWithinPartitions("name", "c1", "c2").mapInArrow(_index_of(length), _SPANS)
+    indexed = by_name.repartition(parts, "name").sortWithinPartitions("name", "c1", "c2").mapInArrow(lean(_index_of(length)), _SPANS)
     return shared, indexed, _split_names(wanted.where(F.col("total") > hot), length)
 
 
@@ -442,7 +442,7 @@ def suffix_dedup(docs: DataFrame, length: int = 200, hot: int = 1 << 20) -> Data
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if i < 4 else pa.string()) for i, c in enumerate(zip(*rows, strict=True) if rows else [()] * 5)], names)
 
     cut = _with_ranges(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), length, hot)
-    return cut.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return cut.mapInArrow(lean(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cleaned(docs: DataFrame, length: int = 200, hot: int = 1 << 20) -> DataFrame:
@@ -460,4 +460,4 @@ def cleaned(docs: DataFrame, length: int = 200, hot: int = 1 << 20) -> DataFrame
             columns[text] = pa.array(new, columns[text].type)
             yield pa.RecordBatch.from_arrays(columns, batch.schema.names[:-1])
 
-    return _with_ranges(docs, length, hot).mapInArrow(run, docs.schema)
+    return _with_ranges(docs, length, hot).mapInArrow(lean(run), docs.schema)
