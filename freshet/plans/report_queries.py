@@ -52,7 +52,7 @@ _MINE = f"peaks AS ({_RECORD.replace('{t}', 'VARCHAR').replace('{orders}', 'orde
     t AS (SELECT *, least(greatest(1 / greatest(1 - ({_PHI}), 1e-12), 1.0001), 1000) AS period FROM zz),
     b AS (SELECT peaks.site, cms, date, row_number() OVER (PARTITION BY peaks.site ORDER BY cms DESC, date) AS i FROM peaks JOIN e ON e.site = peaks.site WHERE cms > discharge_cms),
     f AS (SELECT site, string_agg((CAST(substr(date, 1, 4) AS INT) + CASE WHEN CAST(substr(date, 6, 2) AS INT) >= 10 THEN 1 ELSE 0 END) || ' ' || CAST(round(cms) AS BIGINT) || ' ' || date, '; ' ORDER BY i) AS floods FROM b WHERE i <= 5 GROUP BY site)
-    SELECT t.site, rank, n AS n_years, rank = 1 AS exceeds_record, round((n + 1) / rank, 1) AS empirical_years, CASE WHEN period < 1000 THEN CAST(round(period) AS BIGINT) END AS fitted_years, period < 1000 AND period > 2 * n AS extrapolated, period >= 1000 AS fit_saturated, coalesce(floods, '') AS floods FROM t LEFT JOIN f ON f.site = t.site"""
+    SELECT t.site, rank, n AS n_years, rank = 1 AS exceeds_record, round((n + 1) / rank, 1) AS empirical_years, CASE WHEN n >= 10 AND period < 1000 THEN CAST(round(period) AS BIGINT) END AS fitted_years, n >= 10 AND period < 1000 AND period > 2 * n AS extrapolated, n >= 10 AND period >= 1000 AS fit_saturated, coalesce(floods, '') AS floods FROM t LEFT JOIN f ON f.site = t.site"""
 )
 def gauge_history(spark, sf_dir):
     peaks = spark.sql(_RECORD.replace("{t}", "STRING"), orders=table(spark, sf_dir, "orders"))

@@ -306,12 +306,12 @@ def test_regridded_people_stay_as_many(spark):
     assert got == {k: pytest.approx(v) for k, v in {(0, 0): 8, (0, 1): 8, (0, 2): 4, (1, 0): 4, (1, 1): 4, (1, 2): 2}.items()}
 
 
-NAMES = ["terrain_fill", "terrain_hand", "terrain_accumulation", "rating_curves", "inundation", "damage_ladder", "frequency_fit", "rank_correlation", "gauge_windows_streamed", "network_distance", "reach_graph", "observed_stage", "overlay_claims", "ladder_at", "population_regrid", "damage_draws", "expected_damage", "contents_damage", "occupancy_curves", "building_depths", "damage_channels", "slider_depths", "warp_bilinear", "gauge_peaks", "event_gauge", "chosen_gauges", "marks_in_units", "geometry_mask", "selected_tiles", "utm_and_back", "equal_area", "aid_comparison", "reproduced", "mark_scores", "ratio_median", "cache_eviction", "terrain_prune", "terrain_network", "frequency_context", "streamed_stages"]
+NAMES = ["terrain_fill", "terrain_hand", "terrain_accumulation", "rating_curves", "inundation", "damage_ladder", "frequency_fit", "rank_correlation", "gauge_windows_streamed", "network_distance", "reach_graph", "observed_stage", "overlay_claims", "ladder_at", "population_regrid", "damage_draws", "expected_damage", "contents_damage", "occupancy_curves", "building_depths", "damage_channels", "slider_depths", "warp_bilinear", "gauge_peaks", "event_gauge", "chosen_gauges", "marks_in_units", "geometry_mask", "selected_tiles", "utm_and_back", "equal_area", "aid_comparison", "reproduced", "mark_scores", "ratio_median", "cache_eviction", "terrain_prune", "terrain_network", "frequency_context", "streamed_stages", "burned_channel", "whole_ladder", "implied_discharge", "zonal_polygons", "unclamped_margins", "multipolygon_mask", "points_in_multipolygons", "warped_ingest", "damage_mercator", "stored_window", "landed_inventory", "replaced_units", "sql_neighbours", "sql_boxes", "gauge_history", "drainage_totals", "assessment_payload", "claims_against_interval", "tiles_found"]
 
 
 @pytest.mark.parametrize("name", NAMES)
 def test_registered_queries_match_duckdb(spark, sf_dir, name):
-    from freshet.plans import exposure_queries, site_queries  # noqa: F401  (they register their queries)
+    from freshet.plans import exposure_queries, report_queries, site_queries, store_queries  # noqa: F401  (they register their queries)
     from freshet.plans import queries as Q
 
     got = Q.QUERIES[name](spark, sf_dir).toPandas()

@@ -210,3 +210,44 @@ def test_landed_pages_keep_the_fields(spark):
     (row,) = L.inventory(spark.createDataFrame([(page,)], "value string")).collect()
     assert (row.fd_id, row.lon, row.lat, row.val_struct) == ("7", -95.4, 29.8, 300000.0)
     assert row.footprint_m2 == pytest.approx(1200 * 0.092903) and row.found_ht_m == pytest.approx(0.3048) and row.tract_fips == "00001001020" and row.num_story == 1.0
+
+
+def test_lookups_refuse_what_would_find_nothing(spark):
+    from freshet.operators import report as P
+
+    catalogue = spark.createDataFrame([(P.PRODUCTS[10], f"t{k}", float(k), 0.0, k + 1.0, 1.0) for k in range(5)], "dataset string, path string, xmin double, ymin double, xmax double, ymax double")
+    assert [r.path for r in P.tiles_found(catalogue, 10, (0.5, 0.2, 2.5, 0.8)).collect()] == ["t0", "t1", "t2"]
+    for resolution, box in ((7, (0.0, 0.0, 1.0, 1.0)), (10, (90.0, 0.0, 91.0, 1.0)), (1, (0.0, 0.0, 1.0, 1.0))):
+        with pytest.raises(ValueError, match="m"):
+            P.tiles_found(catalogue, resolution, box)
+    assert P.planned(catalogue, 0.5, 10).first() == (5, 20, True)
+    units = spark.createDataFrame([("0101", 4), ("01", 2)], "huc string, level int")
+    assert P.unit_by_code(units, "0101").first().level == 4
+    for code in ("010", "x1", "99", ""):
+        with pytest.raises(ValueError, match="code"):
+            P.unit_by_code(units, code)
+
+
+def test_history_says_where_an_event_stands(spark):
+    from freshet.operators import report as P
+
+    peaks = spark.createDataFrame([(1, f"{1930 + i}-05-15", 100 * math.exp(0.35 * math.sin(i) + 0.02 * i)) for i in range(60)], "site int, date string, cms double")
+    events = spark.createDataFrame([(1, 1000.0), (1, 200.0)], "site int, discharge_cms double")
+    above = {r.discharge_cms: r for r in P.gauge_history(peaks, events.where("discharge_cms = 1000")).collect() + P.gauge_history(peaks, events.where("discharge_cms = 200")).collect()}
+    assert above[1000.0].exceeds_record and above[1000.0].rank == 1 and above[1000.0].empirical_years == 61.0 and above[1000.0].larger_floods == []
+    low = above[200.0]
+    top = sorted((r.cms, r.date) for r in peaks.collect())[::-1]
+    assert not low.exceeds_record and len(low.larger_floods) == 5 and [(f.cms, f.date) for f in low.larger_floods] == [(round(c), d) for c, d in top[:5]] and low.larger_floods[0].water_year == int(top[0][1][:4])
+
+
+def test_payload_is_one_row_and_counts_what_was_removed(spark):
+    from freshet.operators import report as P
+
+    extent = spark.createDataFrame([(1, 2.0, True), (2, 0.0, False), (3, None, False)], "cell long, depth_m double, connected boolean")
+    catchments = spark.createDataFrame([(1, 1.0, 5), (2, 1.5, 5), (3, None, None)], "cell long, hand double, reach int")
+    removed = P.removed_cells(catchments, spark.createDataFrame([(5, 3.0)], "reach int, stage_m double"), extent)
+    depths = spark.createDataFrame([(0.0,), (1.0,)], "floor_depth_m double")
+    classes = spark.createDataFrame([(f"k{i}", float(i)) for i in range(12)], "building_class string, damage double")
+    (row,) = P.payload("00", 400.0, 10.0, extent, depths, classes.agg(F.sum("damage").alias("damage")), classes, removed).collect()
+    assert (row.flooded_km2, row.max_depth_m, row.buildings, row.inundated, row.damage, row.removed) == (1e-4, 2.0, 2, 1, 66.0, 1)
+    assert row.top_classes == [f"k{i}" for i in range(11, 3, -1)]
