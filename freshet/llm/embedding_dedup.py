@@ -173,31 +173,29 @@ def _links(blocks: DataFrame, axes: dict[int, np.ndarray], threshold: float, row
     two = side("2", "block", "lo", "hi").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
     pairs = one.join(two, ["label", "dim", "salt"]).where((F.col("block1") <= F.col("block2")) & near).select("block1", "block2")
     body = lambda k: blocks.select(F.col("block").alias(f"block{k}"), *[F.col(c).alias(f"{c}{k}") for c in ("ids", "copies", "rows")])
-    parts = max(1, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    full = pairs.join(body(1), "block1").join(body(2), "block2").repartition(parts, "block1", "block2")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for b1, b2, i1, c1, r1, i2, c2, r2 in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                ids1, ids2 = np.frombuffer(i1, np.int64), np.frombuffer(i2, np.int64)
-                x, y = (np.frombuffer(r, np.float64).reshape(len(k), -1) for r, k in ((r1, ids1), (r2, ids2)))
-                i, j = block_links(x, y, axes.get(x.shape[1], np.eye(x.shape[1])), threshold, rows, b1 == b2)
-                if not len(i):
-                    continue
-                n1 = np.bincount(i, np.frombuffer(c2, np.int64)[j], len(ids1)).astype(np.int64)
-                n2 = np.bincount(j, np.frombuffer(c1, np.int64)[i], len(ids2)).astype(np.int64)
-                rep, n = np.concatenate([ids1[n1 > 0], ids2[n2 > 0]]), np.concatenate([n1[n1 > 0], n2[n2 > 0]])
-                edges = _forest(ids1[i].tolist(), ids2[j].tolist())
-                u, v = [e[0] for e in edges], [e[1] for e in edges]
-                none, more = pa.nulls(len(rep), pa.int64()), pa.nulls(len(u), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.chunked_array([pa.array(a, pa.int64()), b]).combine_chunks() for a, b in ((rep, more), (n, more))] + [pa.chunked_array([none, pa.array(e, pa.int64())]).combine_chunks() for e in (u, v)], ["rep", "n", "u", "v"])
-
-    return full.select("block1", "block2", "ids1", "copies1", "rows1", "ids2", "copies2", "rows2").mapInArrow(compare, "rep long, n long, u long, v long")
+    full = pairs.join(body(1), "block1").join(body(2), "block2")
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        """The links of one pair of blocks, which is all that a task holds at a time."""
+        b1, b2, i1, c1, r1, i2, c2, r2 = (c[0].as_py() for c in table.columns)
+        ids1, ids2 = np.frombuffer(i1, np.int64), np.frombuffer(i2, np.int64)
+        x, y = (np.frombuffer(r, np.float64).reshape(len(k), -1) for r, k in ((r1, ids1), (r2, ids2)))
+        i, j = block_links(x, y, axes.get(x.shape[1], np.eye(x.shape[1])), threshold, rows, b1 == b2)
+        n1 = np.bincount(i, np.frombuffer(c2, np.int64)[j], len(ids1)).astype(np.int64)
+        n2 = np.bincount(j, np.frombuffer(c1, np.int64)[i], len(ids2)).astype(np.int64)
+        rep, n = np.concatenate([ids1[n1 > 0], ids2[n2 > 0]]).tolist(), np.concatenate([n1[n1 > 0], n2[n2 > 0]]).tolist()
+        edges = _forest(ids1[i].tolist(), ids2[j].tolist())
+        none, more = [None] * len(rep), [None] * len(edges)
+        columns = {"rep": rep + more, "n": n + more, "u": none + [e[0] for e in edges], "v": none + [e[1] for e in edges]}
+        return pa.table({k: pa.array(v, pa.int64()) for k, v in columns.items()})
+
+    # A pair of blocks is one row and one group, so batches hold two blocks without any session setting.
+    chosen = full.select("block1", "block2", "ids1", "copies1", "rows1", "ids2", "copies2", "rows2")
+    return chosen.groupBy("block1", "block2").applyInArrow(compare, "rep long, n long, u long, v long")
 
 
 def embedding_near_duplicates(vectors: DataFrame, threshold: float = 0.93, rows: int = 256, fit_rows: int = 10_000, block_bytes: int = 1 << 20) -> DataFrame:
     """vec_id, n_links, component_id and kept of every vector; fit_rows bounds the sample that the rotation is fitted on."""
-    spark = vectors.sparkSession
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     label = F.col("label") + 0.0 if vectors.schema["label"].dataType.typeName() in ("float", "double") else F.col("label")  # -0.0 is 0.0
     fine = F.coalesce(F.col("label").isNotNull() & F.col("embedding").isNotNull() & ~bad & F.exists("embedding", lambda x: x != 0), F.lit(False))
@@ -208,13 +206,7 @@ def embedding_near_duplicates(vectors: DataFrame, threshold: float = 0.93, rows:
     sample = reps.where(F.pmod(F.xxhash64("rep"), F.lit(1 << 20)) < share * (1 << 20)).select("embedding").toArrow()
     axes = principal_axes([np.array(v.as_py(), np.float64) for v in sample.column("embedding")])
     blocks = written(_blocks(reps, axes, block_bytes), "blocks")
-    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    usual = spark.conf.get(batch)
-    spark.conf.set(batch, "8")  # a row holds two blocks
-    try:
-        found = written(_links(blocks, axes, threshold, rows), "links")
-    finally:
-        spark.conf.set(batch, usual)
+    found = written(_links(blocks, axes, threshold, rows), "links")
     counts = found.where("rep IS NOT NULL").groupBy("rep").agg(F.sum("n").alias("n"))
     label = components(found.where("u IS NOT NULL").select("u", "v"))
     named = reps.select(*same, "rep", "copies").join(counts, "rep", "left").join(label.select(F.col("node").alias("rep"), F.col("label").alias("class")), "rep", "left")

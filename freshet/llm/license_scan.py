@@ -2,7 +2,8 @@
 
 A text is lower-cased (A-Z only) and cut into words of digits, letters and non-ASCII characters; the automaton then runs over
 the words joined by blanks, with a blank at each end, so that a phrase matches whole consecutive words only. Identifier tags
-(``SPDX-License-Identifier:``) are read from the raw text; their and/or/with expressions are parsed and evaluated.
+(``SPDX-License-Identifier:``) are among its phrases; the expression after one is read from the raw text at that place, parsed and
+evaluated.
 
 Defined results: a null or empty text has no words, no labels and score 0; a malformed expression (unclosed, wrapped onto another
 line, an operator without a name) yields the labels of the names read up to where it breaks, or of the first one; very long texts are scanned whole; repeated rows give repeated results; an empty table gives an empty one;
@@ -14,6 +15,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -54,7 +56,10 @@ NOTICES = {
 # Licences that a default policy accepts.
 PERMISSIVE = {"mit", "apache-2.0", "bsd-2-clause", "bsd-3-clause", "isc", "zlib", "unlicense", "cc0-1.0", "bsl-1.0"}
 
-_TAG = re.compile(r"SPDX-License-Identifier:[ \t]*([^\r\n]+)", re.IGNORECASE)
+#: Words of an identifier tag, and what it is in the raw text with its expression.
+TAG_WORDS = "spdx license identifier"
+_TAG = re.compile(rb"SPDX-License-Identifier:[ \t]*([^\r\n]+)", re.IGNORECASE)
+_WORD = re.compile(rb"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 _TOKEN = re.compile(r"\(|\)|[A-Za-z0-9][A-Za-z0-9.\-+:]*")
 _RANK = {"or": 1, "and": 2, "with": 3}
 _FOLD = bytes(i + 32 if 65 <= i <= 90 else i if 48 <= i <= 57 or 97 <= i <= 122 or i >= 128 else 32 for i in range(256))
@@ -147,11 +152,12 @@ def normalise(text: str) -> list[bytes]:
 
 
 def automaton():
-    """Aho-Corasick over all phrases; a phrase carries its word count, base label, label and trust."""
+    """Aho-Corasick over all phrases and the tag; a phrase carries its word count, base label, label and trust."""
     import ahocorasick
 
     found: dict[str, tuple[int, str | None, str, float]] = {p: (len(p.split()), None, label, trust) for p, (label, trust) in NOTICES.items()}
     found |= {p: (len(p.split()), label, label, 1.0) for p, label in BASE_PHRASES.items()}
+    found[TAG_WORDS] = (len(TAG_WORDS.split()), None, "", 0.0)  # no label of its own: its expression has them
     a = ahocorasick.Automaton()
     for phrase, value in found.items():
         a.add_word(f" {phrase} ", (len(phrase) + 2, *value))
@@ -159,6 +165,16 @@ def automaton():
     return a
 
 
+def expressions(text: str, tags: list[int]) -> Iterator[str]:
+    """The expressions of the tags that the automaton found at these words, left to right, from the raw text."""
+    if not tags:
+        return
+    raw, wanted = text.encode("utf-8", "surrogatepass"), set(tags)
+    for k, word in enumerate(_WORD.finditer(raw)):
+        if k in wanted and (m := _TAG.match(raw, word.start())):
+            yield m[1].decode("utf-8", "surrogatepass")
+
+
 def scan(text: str | None, auto) -> dict:
     """All findings in one text."""
     text = text or ""
@@ -166,8 +182,15 @@ def scan(text: str | None, auto) -> dict:
     line = (b" " + b" ".join(words) + b" ").decode("latin-1") if words else ""
     base: list[int] = []
     base_labels, labels, trust, spans = set(), set(), 0.0, []
+    tags: list[int] = []
+    places = None
     for end, (size, n, own, label, weight) in auto.iter(line):
-        start = line.count(" ", 0, end - size + 1)
+        if places is None:  # of the blanks, so that a match's first word is found by search
+            places = np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 0x20)
+        start = int(np.searchsorted(places, end - size + 1))
+        if not label:
+            tags.append(start)
+            continue
         if own:
             base.append(start)
             base_labels.add(own)
@@ -175,16 +198,15 @@ def scan(text: str | None, auto) -> dict:
         trust = max(trust, weight)
         spans.append((start, n, label))
     allowed = None
-    if "identifier" in line:
-        for m in _TAG.finditer(text):
-            try:
-                postfix = parse(m[1])
-                names, good = licences(postfix), evaluate(postfix)
-            except Malformed as e:
-                names, good = e.names, False
-            labels |= names
-            trust = 1.0 if names else trust
-            allowed = good if allowed is None else allowed and good
+    for expression in expressions(text, tags):
+        try:
+            postfix = parse(expression)
+            names, good = licences(postfix), evaluate(postfix)
+        except Malformed as e:
+            names, good = e.names, False
+        labels |= names
+        trust = 1.0 if names else trust
+        allowed = good if allowed is None else allowed and good
     return {"n_words": len(words), "n_base": len(base), "first_word": min(base, default=None), "last_word": max(base, default=None), "base_labels": ",".join(sorted(base_labels)), "labels": ",".join(sorted(labels)), "score": trust, "allowed": allowed, "spans": [{"word": a, "n": b, "label": c} for a, b, c in spans]}
 
 
