@@ -5,7 +5,8 @@ Every stage but the last takes and returns the columns of documents; what a stag
 Defined results: a null text is an empty one (the classifier gives it the score of the bias alone, which decides on it; the other
 stages keep it as it is, and packing makes one end mark of it); an empty table runs through and gives no pieces; columns beyond those
 of documents end with the first stage, so their names cannot clash; rows of one doc_id with different texts are judged each by its own
-text, but for the near-duplicates, where a doc_id counts once; repeated rows stay repeated until the passages, where both are cut.
+text in every stage; of equal rows one stays after the near-duplicates, as of any other copies (rows without a doc_id or without words are no
+copies and all stay).
 """
 
 from __future__ import annotations
