@@ -112,8 +112,11 @@ def priced(buildings: DataFrame, curves: DataFrame, family: str, default: str =
     """buildings with fraction, exposed, structure, contents and damage.
 
     buildings: margin_m, building_class, storeys, and structure_value or floor_area_m2; with contents, contents_value too, priced on
-    the contents curves of the family (the default class where its code has none).
+    the contents curves of the family (the default class where its code has none). Contents need both values and curves: one without
+    the other is an error, as a total would leave them out without anyone noticing.
     """
+    if contents and ("contents_value" not in buildings.columns or curves.where((F.col("family") == family) & (F.col("component") == "contents")).isEmpty()):
+        raise ValueError(f"contents need a column contents_value and contents curves of {family}")
     refuse_clamped(buildings, curves.where(F.col("family") == family))
     reach = storey_exposure(F.col("margin_m"), F.col("storeys")) if storeys else F.lit(1.0)
     value = F.col("structure_value") * cost_scale if "structure_value" in buildings.columns else exposed_value(F.col("floor_area_m2"), F.col("building_class"), cost_scale)

@@ -84,8 +84,8 @@ def best_gauge(snapped: DataFrame, by: str, cell_area: float) -> DataFrame:
 
 
 def located_marks(marks: DataFrame, events: DataFrame) -> DataFrame:
-    """marks with place and level, and the event's name and date ('' where the catalogue lacks it); the catalogue is small."""
-    known = F.broadcast(events.select("event_id", F.col("name").alias("event_name"), F.col("date").alias("event_date")))
+    """marks with place and level, and the event's name and date ('' where the catalogue lacks it)."""
+    known = events.select("event_id", F.col("name").alias("event_name"), F.col("date").alias("event_date"))
     good = marks.where("longitude_dd IS NOT NULL AND latitude_dd IS NOT NULL AND elev_ft IS NOT NULL")
     return good.join(known, "event_id", "left").withColumns({"event_name": F.coalesce("event_name", F.lit("")), "event_date": F.coalesce("event_date", F.lit(""))})
 

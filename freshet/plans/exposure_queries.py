@@ -209,7 +209,20 @@ def expected_damage(spark, sf_dir):
     return C.expected_damage(_figures(spark, sf_dir)).select("building_id", F.round("expected", 3).alias("expected"))
 
 
-@query()
+_BUDGET = (
+    _AT
+    + ", "
+    + _hit("placed")
+    + f""", bk AS MATERIALIZED (SELECT building_id, k, storeys, exposed, margin_m, fraction FROM hit WHERE multiplier = 1.0), {_draw_sql(_DRAWS)},
+terms(term, mix, s, d, c) AS (VALUES ('all', 1, 1, 1, 1), ('stage', 0, 1, 0, 0), ('dem', 0, 0, 1, 0), ('cost', 0, 0, 0, 1), ('curve', 1, 0, 0, 0)),
+pd AS (SELECT bk.*, term, dr.draw, CASE mix WHEN 1 THEN dr.fam ELSE 'HAZUS' END AS fam, CASE c WHEN 1 THEN dr.cost ELSE 1 END AS cost, margin_m + s * dr.stage + d * dmr.e AS depth FROM bk JOIN dmr ON dmr.building_id = bk.building_id JOIN dr ON dr.draw = dmr.draw CROSS JOIN terms WHERE margin_m > -1000),
+seg2 AS (SELECT family, k, d AS d0, coalesce(lead(d) OVER w, 1e9) AS d1, v AS v0, coalesce(lead(v) OVER w, v) AS v1 FROM crv WINDOW w AS (PARTITION BY family, k ORDER BY i)),
+tot AS MATERIALIZED (SELECT term, draw, sum((s.v0 + (least(greatest(pd.depth, 0), 6.0) - s.d0) / (s.d1 - s.d0) * (s.v1 - s.v0)) * least(greatest(ceil(greatest(pd.depth, 0) / 3), 1), greatest(pd.storeys, 1)) / greatest(pd.storeys, 1) * pd.exposed * pd.cost) AS total
+    FROM pd JOIN seg2 s ON s.family = pd.fam AND s.k = pd.k AND s.d0 <= least(greatest(pd.depth, 0), 6.0) AND s.d1 > least(greatest(pd.depth, 0), 6.0) GROUP BY term, draw)"""
+)
+
+
+@query(_with(_BUDGET, "SELECT term, round(100 * (quantile_cont(total, 0.95) - quantile_cont(total, 0.05)) / (SELECT sum(fraction * exposed) FROM bk), 4) AS width_pct FROM tot GROUP BY term"))
 def uncertainty_budget(spark, sf_dir):
     rows = written(_in_flood(spark, sf_dir).select("building_id", "margin_m", "building_class", "storeys", "floor_area_m2"), "flooded")
     point = E.estimate(rows).agg(F.sum("damage").alias("d")).first()["d"] or 1.0

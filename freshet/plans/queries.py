@@ -614,6 +614,14 @@ def block_mean(spark, sf_dir):
     return V.block_reduce(cells, 4, "mean", rows, COLS).select("r", "c", r6("v"))
 
 
+@query(f"WITH {_DEM} SELECT CAST(floor(r / 5) AS INT) AS r, CAST(floor(c / 5) AS INT) AS c, max(z) AS highest, round(sum(z), 6) AS total FROM dem WHERE r < (SELECT max(r) + 1 FROM dem) // 5 * 5 AND c < 125 GROUP BY ALL".replace("WITH dem AS MATERIALIZED", "WITH RECURSIVE dem AS MATERIALIZED"))
+def block_extremes(spark, sf_dir):
+    cells = view(spark, sf_dir, "dem").withColumn("value", F.col("z"))
+    rows = cells.agg(F.max("r").alias("r")).first()["r"] + 1
+    high, total = (V.block_reduce(cells, 5, how, rows, COLS) for how in ("max", "sum"))
+    return high.withColumnRenamed("v", "highest").join(total, ["r", "c"]).select("r", "c", "highest", r6("v").alias("total"))
+
+
 @query(f"""WITH b AS ({sql_text("buildings")}), g AS (SELECT CAST(floor(cell / {COLS} / 8) AS INT) AS r, CAST(floor(cell % {COLS} / 8) AS INT) AS c, sum(value) AS damage, count(*) AS n FROM b GROUP BY ALL)
     SELECT r, c, round(damage, 2) AS damage, n, CASE WHEN damage >= 1000 THEN CAST(round_even(1 + (log10(least(damage, 1e8)) - 3) / 5 * 254, 0) AS INT) ELSE 0 END AS shade FROM g""")
 def damage_raster(spark, sf_dir):
@@ -657,17 +665,17 @@ _LATE = "INTERVAL 10 MINUTE"
 
 
 @query(
-    f"""WITH e AS (SELECT event_id, user_id AS site, ts, value, date_trunc('hour', ts) AS start FROM events), w AS (SELECT max(ts) FILTER (event_id % 3 = 0) - {_LATE} AS one, max(ts) - {_LATE} AS two FROM e)
-    SELECT site, start, count(*) AS n, round(avg(value), 6) AS mean, max(value) AS peak FROM e, w WHERE (event_id % 3 < 2 OR start + INTERVAL 1 HOUR > one) AND start + INTERVAL 1 HOUR <= two GROUP BY site, start"""
+    f"""WITH e AS (SELECT event_id, user_id AS site, ts, value, date_trunc('hour', ts) AS start FROM events), w AS (SELECT max(ts) FILTER (event_id % 3 = 0) - {_LATE} AS one, max(ts) FILTER (event_id % 3 < 2) - {_LATE} AS two, max(ts) - {_LATE} AS three FROM e)
+    SELECT site, start, count(*) AS n, round(avg(value), 6) AS mean, max(value) AS peak FROM e, w WHERE (event_id % 3 = 0 OR start + INTERVAL 1 HOUR > CASE event_id % 3 WHEN 1 THEN one ELSE two END) AND start + INTERVAL 1 HOUR <= three GROUP BY site, start"""
 )
 def gauge_windows_streamed(spark, sf_dir):
-    """Windows that a stream closes. The readings come in three parts; the watermark of the first says what of the third is late."""
+    """Windows that a stream closes. The readings land in three parts, and the stream is resumed after each: the watermark of the parts before says what of the next is late."""
     events = table(spark, sf_dir, "events")
     out = f"{shared_dir(spark)}/freshet/gauges-{uuid.uuid4().hex}"
     for k in range(3):
-        events.where(F.col("event_id") % 3 == k).coalesce(1).write.mode("append").parquet(f"{out}/in")
-    source = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/in")
-    rows = source.select(F.col("user_id").cast("long").alias("site"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("value"))
-    writer = G.windowed(rows).writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/log")
-    writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        events.where(F.col("event_id") % 3 == k).write.mode("append").parquet(f"{out}/in")
+        source = spark.readStream.schema(events.schema).parquet(f"{out}/in")
+        rows = source.select(F.col("user_id").cast("long").alias("site"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").cast("double").alias("value"))
+        writer = G.windowed(rows).writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/log")
+        writer.outputMode("append").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{out}/data").select("site", "start", "n", r6("mean"), "peak")

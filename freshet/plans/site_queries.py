@@ -25,7 +25,7 @@ from freshet.streaming.gauges import token_bucket
 
 # Gauge tables as text: one table a site, with comments, a line of formats, and lines that are cut off.
 
-_PEAK = "SELECT o_custkey % 40 AS site, CAST(o_orderdate AS DATE) AS day, o_totalprice AS q, o_orderkey AS k FROM {orders}"
+_PEAK = "SELECT o_custkey AS site, CAST(o_orderdate AS DATE) AS day, o_totalprice AS q, o_orderkey AS k FROM {orders}"
 
 
 def _rdb(spark, sf_dir):
@@ -195,9 +195,10 @@ def unit_geometry(spark, sf_dir):
 
 @query(f"WITH ell AS ({_ELL.replace('{supplier}', 'supplier')}) SELECT CAST(unit AS VARCHAR) AS huc, round(3 * w * w, 6) AS area, 6 AS points FROM ell")
 def watersheds(spark, sf_dir):
-    """Units through GeoJSON and back, largest first."""
+    """Units through GeoJSON and back, largest first; a collection holds twenty of them."""
     features = S.as_geojson(_ells(spark, sf_dir).withColumn("huc", F.col("unit").cast("string")), ["huc"])
-    whole = features.agg(F.concat(F.lit('{"type": "FeatureCollection", "features": ['), F.array_join(F.collect_list("feature"), ","), F.lit("]}")).alias("json"))
+    page = F.floor(F.get_json_object("feature", "$.properties.huc").cast("long") / 20)
+    whole = features.groupBy(page).agg(F.concat(F.lit('{"type": "FeatureCollection", "features": ['), F.array_join(F.collect_list("feature"), ","), F.lit("]}")).alias("json"))
     return S.units_of(whole).select(F.col("properties.huc").alias("huc"), r6("area"), F.size("ring").alias("points"))
 
 
@@ -302,10 +303,12 @@ def raster_window(spark, sf_dir):
     return R.read_window(view(spark, sf_dir, "dem"), (10, 60), (20, 100), 3900.0).select("cell", "z")
 
 
-@query(f"WITH s AS (SELECT max(o_orderkey) // {COLS} + 1 AS h FROM orders), k AS (SELECT unnest(range(0, (SELECT CAST(ceil(h / 48) AS BIGINT) * CAST(ceil({COLS} / 48) AS BIGINT) FROM s))) AS k) SELECT k AS window, k // 3 * 48 AS r0, k % 3 * 48 AS c0, least(48, h - k // 3 * 48) AS height, least(48, {COLS} - k % 3 * 48) AS width FROM k, s")
+@query(f"WITH dem AS ({sql_text('dem')}), g AS (SELECT r // 48 * 3 + c // 48 AS w, count(*) AS n, min(z) AS low, max(z) AS high, round(avg(z), 6) AS mean FROM dem WHERE z <> 3900 GROUP BY 1), s AS (SELECT max(r) + 1 AS h FROM dem), k AS (SELECT unnest(range(0, (SELECT CAST(ceil(h / 48) AS BIGINT) * CAST(ceil({COLS} / 48) AS BIGINT) FROM s))) AS k) SELECT k AS window, k // 3 * 48 AS r0, k % 3 * 48 AS c0, least(48, h - k // 3 * 48) AS height, least(48, {COLS} - k % 3 * 48) AS width, coalesce(n, 0) AS n_valid, low, high, mean FROM k CROSS JOIN s LEFT JOIN g ON g.w = k")
 def raster_windows(spark, sf_dir):
-    rows = table(spark, sf_dir, "orders").agg(F.max("o_orderkey").alias("k")).first()["k"] // COLS + 1
-    return R.windows(spark, rows, COLS, 48)
+    """What every window of the grid holds, windows without a valid cell included."""
+    cells = R.read_window(view(spark, sf_dir, "dem"), nodata=3900.0)
+    rows = cells.agg(F.max("r").alias("r")).first()["r"] + 1
+    return R.window_figures(cells, rows, COLS, 48).withColumn("mean", r6("mean"))
 
 
 @query(_with(_FLATS, "SELECT count(*) AS cells, count(*) FILTER (flowdir = -1) AS outlets, count(*) FILTER (flowdir = -2) AS stuck FROM routed"))

@@ -287,8 +287,9 @@ def streamed_extents(spark, sf_dir):
     t, stages = _stages(spark, sf_dir)
     source, out = _folder(spark, "readings"), _folder(spark, "extents")
     rows = stages.where(F.col("multiplier").isin(_STEPS)).select("reach", F.col("multiplier").alias("step"), "stage_m")
+    log = _folder(spark, "checkpoint")
     for step in _STEPS:
-        rows.where(F.col("step") == step).coalesce(1).write.mode("append").parquet(source)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    G.extents(stream, lambda s: H.inundate(t.hand, t.raw, s, t.streams, COLS, size=t.size), out, _folder(spark, "checkpoint")).awaitTermination()
+        rows.where(F.col("step") == step).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(rows.schema).parquet(source)
+        G.extents(stream, lambda s: H.inundate(t.hand, t.raw, s, t.streams, COLS, size=t.size), out, log).awaitTermination()
     return spark.read.parquet(out).where("connected").select("step", "cell", r6("depth_m"))

@@ -32,6 +32,14 @@ def windows(spark: SparkSession, rows: int, cols: int, block: int) -> DataFrame:
     return at.select("window", "r0", "c0", F.least(F.lit(block), rows - F.col("r0")).alias("height"), F.least(F.lit(block), cols - F.col("c0")).alias("width"))
 
 
+def window_figures(cells: DataFrame, rows: int, cols: int, block: int) -> DataFrame:
+    """windows with n_valid, low, high and mean of the valid cells (r, c, z) that each covers: one pass, a row a window leaves a task."""
+    across = -(-cols // block)
+    at = (F.floor(F.col("r") / block) * across + F.floor(F.col("c") / block)).alias("window")
+    found = cells.where("z IS NOT NULL AND NOT isnan(z)").groupBy(at).agg(F.count("*").alias("n"), F.min("z").alias("low"), F.max("z").alias("high"), F.avg("z").alias("mean"))
+    return windows(cells.sparkSession, rows, cols, block).join(found, "window", "left").withColumn("n_valid", F.coalesce("n", F.lit(0))).drop("n")
+
+
 def ingested(tiles: DataFrame, order: DataFrame, units: DataFrame, cellsize: float) -> DataFrame:
     """The mosaic of the chosen tiles' cells (path, cell, r, c, z) inside the units: unit, cell and z.
 

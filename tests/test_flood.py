@@ -300,13 +300,28 @@ def test_overlay_of_bent_and_turned_rings(spark):
     assert share(ring((0, 0), (1, 0), (0, 1))) == pytest.approx(1)
 
 
+def test_contents_need_values_and_curves(spark):
+    rows = spark.createDataFrame([(1, 0.5, "residential", 1.0, 100.0)], "building_id long, margin_m double, building_class string, storeys double, structure_value double")
+    curves = C.bundled(spark)
+    with pytest.raises(ValueError, match="contents_value"):
+        C.priced(rows, curves, "HAZUS", contents=True)
+    with pytest.raises(ValueError, match="contents curves"):
+        C.priced(rows.withColumn("contents_value", F.lit(5.0)), curves, "HAZUS", contents=True)
+
+
+def test_windows_tell_what_they_cover(spark):
+    cells = spark.createDataFrame([(0, 0, 1.0), (0, 1, 3.0), (1, 0, None), (2, 2, float("nan")), (4, 4, 7.0)], "r int, c int, z double")
+    got = {(w.r0, w.c0): (w.height, w.width, w.n_valid, w.low, w.high, w["mean"]) for w in R.window_figures(cells, 5, 5, 3).collect()}
+    assert got == {(0, 0): (3, 3, 2, 1.0, 3.0, 2.0), (0, 3): (3, 2, 0, None, None, None), (3, 0): (2, 3, 0, None, None, None), (3, 3): (2, 2, 1, 7.0, 7.0, 7.0)}
+
+
 def test_regridded_people_stay_as_many(spark):
     rows = [(0.0, 25.0, -15.0, 0.0, 30.0), (5.0, 5.0, -1.0, 0.0, 9.0), (0.0, 10.0, -10.0, 0.0, -4.0), (0.0, 10.0, -10.0, 0.0, None), (0.0, 10.0, -10.0, 0.0, float("nan"))]
     got = {(x.r, x.c): x["pop"] for x in E.regrid_sum(spark.createDataFrame(rows, "xmin double, xmax double, ymin double, ymax double, pop double"), 10.0).collect()}
     assert got == {k: pytest.approx(v) for k, v in {(0, 0): 8, (0, 1): 8, (0, 2): 4, (1, 0): 4, (1, 1): 4, (1, 2): 2}.items()}
 
 
-NAMES = ["terrain_fill", "terrain_hand", "terrain_accumulation", "rating_curves", "inundation", "damage_ladder", "frequency_fit", "rank_correlation", "gauge_windows_streamed", "network_distance", "reach_graph", "observed_stage", "overlay_claims", "ladder_at", "population_regrid", "damage_draws", "expected_damage", "contents_damage", "occupancy_curves", "building_depths", "damage_channels", "slider_depths", "warp_bilinear", "gauge_peaks", "event_gauge", "chosen_gauges", "marks_in_units", "geometry_mask", "selected_tiles", "utm_and_back", "equal_area", "aid_comparison", "reproduced", "mark_scores", "ratio_median", "cache_eviction", "terrain_prune", "terrain_network", "frequency_context", "streamed_stages", "burned_channel", "whole_ladder", "implied_discharge", "zonal_polygons", "unclamped_margins", "multipolygon_mask", "points_in_multipolygons", "warped_ingest", "damage_mercator", "stored_window", "landed_inventory", "replaced_units", "sql_neighbours", "sql_boxes", "gauge_history", "drainage_totals", "assessment_payload", "claims_against_interval", "tiles_found"]
+NAMES = ["terrain_fill", "terrain_hand", "terrain_accumulation", "rating_curves", "inundation", "damage_ladder", "frequency_fit", "rank_correlation", "gauge_windows_streamed", "network_distance", "reach_graph", "observed_stage", "overlay_claims", "ladder_at", "population_regrid", "damage_draws", "expected_damage", "contents_damage", "occupancy_curves", "building_depths", "damage_channels", "slider_depths", "warp_bilinear", "gauge_peaks", "event_gauge", "chosen_gauges", "marks_in_units", "geometry_mask", "selected_tiles", "utm_and_back", "equal_area", "aid_comparison", "reproduced", "mark_scores", "ratio_median", "cache_eviction", "terrain_prune", "terrain_network", "frequency_context", "streamed_stages", "burned_channel", "whole_ladder", "implied_discharge", "zonal_polygons", "unclamped_margins", "multipolygon_mask", "points_in_multipolygons", "warped_ingest", "damage_mercator", "stored_window", "landed_inventory", "replaced_units", "sql_neighbours", "sql_boxes", "gauge_history", "drainage_totals", "assessment_payload", "claims_against_interval", "tiles_found", "block_extremes", "uncertainty_budget", "raster_windows", "watersheds", "larger_floods", "streamed_extents"]
 
 
 @pytest.mark.parametrize("name", NAMES)
