@@ -47,8 +47,11 @@ def centroid(ring: Column) -> Column:
 
 
 def geometry_mask(cells: DataFrame, units: DataFrame, cellsize: float) -> DataFrame:
-    """unit and cell of every cell (r, c) whose centre lies inside the unit (origin at the top left, y downwards negative)."""
-    return covered_cells(units, cellsize).join(cells.select("r", "c", "cell"), ["r", "c"]).select("unit", "cell")
+    """unit and cell of every cell (r, c) whose centre lies inside the unit (origin at the top left, y downwards negative).
+
+    Both sides are shuffled: Spark takes the cells of the units for as few bytes as their rings, and would broadcast them.
+    """
+    return covered_cells(units, cellsize).hint("merge").join(cells.select("r", "c", "cell"), ["r", "c"]).select("unit", "cell")
 
 
 def extent(rows: DataFrame) -> DataFrame:

@@ -251,3 +251,21 @@ def test_payload_is_one_row_and_counts_what_was_removed(spark):
     (row,) = P.payload("00", 400.0, 10.0, extent, depths, classes.agg(F.sum("damage").alias("damage")), classes, removed).collect()
     assert (row.flooded_km2, row.max_depth_m, row.buildings, row.inundated, row.damage, row.removed) == (1e-4, 2.0, 2, 1, 66.0, 1)
     assert row.top_classes == [f"k{i}" for i in range(11, 3, -1)]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def squares(spark, n):
+    ring = lambda k: [(0.0 + k, -1.0), (30.0 + k, -1.0), (30.0 + k, -31.0), (0.0 + k, -31.0)]
+    return spark.createDataFrame([(k, ring(7 * (k % 3))) for k in range(n)], "unit int, ring array<struct<x: double, y: double>>")
+
+
+def test_cells_of_units_are_never_broadcast(spark, tmp_path):
+    squares(spark, 9).write.parquet(f"{tmp_path}/units")
+    units = spark.read.parquet(f"{tmp_path}/units")
+    cells = spark.range(36).select(F.col("id").alias("cell"), F.floor(F.col("id") / 6).cast("int").alias("r"), (F.col("id") % 6).cast("int").alias("c"))
+    mask = S.geometry_mask(cells, units, 10.0)
+    assert mask.count() == 9 * 9
+    assert "BroadcastHashJoin" not in plan_of(mask)
