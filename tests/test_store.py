@@ -12,6 +12,7 @@ from freshet.operators import spatial as S
 from freshet.operators import terrain as T
 from freshet.operators import validation as V
 from freshet.operators.tiles import OUTSIDE, least_steps, spill_levels
+from freshet.sources import raster as R
 from freshet.sources import tiled as L
 from tests.test_terrain import filled, frame, grid
 
@@ -269,3 +270,12 @@ def test_cells_of_units_are_never_broadcast(spark, tmp_path):
     mask = S.geometry_mask(cells, units, 10.0)
     assert mask.count() == 9 * 9
     assert "BroadcastHashJoin" not in plan_of(mask)
+
+
+def test_ingest_never_broadcasts_cells_of_units(spark, tmp_path):
+    squares(spark, 9).write.parquet(f"{tmp_path}/units")
+    units = spark.read.parquet(f"{tmp_path}/units")
+    tiles = spark.range(36).select(F.lit("a").alias("path"), F.col("id").alias("cell"), F.floor(F.col("id") / 6).cast("int").alias("r"), (F.col("id") % 6).cast("int").alias("c"), F.lit(1.0).alias("z"))
+    got = R.ingested(tiles, spark.createDataFrame([("a", 0)], "path string, ord int"), units, 10.0)
+    assert got.count() == 9 * 9
+    assert "BroadcastHashJoin" not in plan_of(got)
