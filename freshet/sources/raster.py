@@ -58,10 +58,11 @@ def warped_ingest(tiles: DataFrame, frames: DataFrame, grid: DataFrame, units: D
 
     tiles: path, r, c, z; frames: path, ord, west, north, step, rows, cols of each chosen tile; grid: cell, r, c with the upper left
     corner (left, top) in a UTM zone; units: unit, ring(s) in metres from that corner, y upwards. Only cells inside a unit are mapped back,
-    each meets the tiles of its block of degrees, and a tile is read bilinearly from the centres around a place.
+    each meets the tiles of its block of degrees, and a tile is read bilinearly from the centres around a place. The
+    units' cells are shuffled, never broadcast, and so is what is read for them.
     """
-    inside = covered_cells(units, cellsize)
-    kept = grid.join(inside.select("r", "c").distinct(), ["r", "c"], "left_semi")
+    inside = covered_cells(units, cellsize).hint("merge")
+    kept = grid.join(inside.select("r", "c").distinct().hint("merge"), ["r", "c"], "left_semi")
     at = from_utm(F.lit(left) + (F.col("c") + 0.5) * cellsize, F.lit(top) - (F.col("r") + 0.5) * cellsize, zone)
     block_of = lambda x: F.floor(x / block).cast("int")
     places = kept.withColumn("g", at).select("cell", F.col("g.lon").alias("lon"), F.col("g.lat").alias("lat")).withColumns({"bx": block_of(F.col("lon")), "by": block_of(F.col("lat"))})
@@ -72,7 +73,7 @@ def warped_ingest(tiles: DataFrame, frames: DataFrame, grid: DataFrame, units: D
     good = F.col("z").isNotNull() & ~F.isnan("z")
     read = warped(tiles.where(good).select("path", "r", "c", F.col("z").alias("v")), found.select("cell", "path", "row", "col"), "bilinear", ["path"])
     whole = read.where("v IS NOT NULL").join(frames.select("path", "ord"), "path").groupBy("cell").agg(F.min_by("v", "ord").alias("z"))
-    return inside.join(grid.select("cell", "r", "c"), ["r", "c"]).join(whole, "cell", "left").select("unit", "cell", "z")
+    return inside.join(kept.select("cell", "r", "c").join(whole.hint("merge"), "cell", "left"), ["r", "c"]).select("unit", "cell", "z")
 
 
 def synthetic_catchment(spark: SparkSession, rows: int, cols: int, cellsize: float = 10.0, pits: int = 5, seed: int = 0, border: int = 0, noise: float = 0.0) -> DataFrame:

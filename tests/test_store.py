@@ -279,3 +279,14 @@ def test_ingest_never_broadcasts_cells_of_units(spark, tmp_path):
     got = R.ingested(tiles, spark.createDataFrame([("a", 0)], "path string, ord int"), units, 10.0)
     assert got.count() == 9 * 9
     assert "BroadcastHashJoin" not in plan_of(got)
+
+
+def test_warped_ingest_never_broadcasts_cells_of_units(spark, tmp_path):
+    squares(spark, 9).write.parquet(f"{tmp_path}/units")
+    units = spark.read.parquet(f"{tmp_path}/units")
+    grid = spark.range(36).select(F.col("id").alias("cell"), F.floor(F.col("id") / 6).cast("int").alias("r"), (F.col("id") % 6).cast("int").alias("c"))
+    tiles = spark.range(10000).select(F.lit("a").alias("path"), F.floor(F.col("id") / 100).cast("int").alias("r"), (F.col("id") % 100).cast("int").alias("c"), F.lit(1.0).alias("z"))
+    frames = spark.createDataFrame([("a", 0, -95.0, 30.0, 0.0001, 100, 100)], "path string, ord int, west double, north double, step double, rows int, cols int")
+    got = R.warped_ingest(tiles, frames, grid, units, 10.0, 15, 307000.0, 3320400.0)
+    assert got.count() == 9 * 9
+    assert "BroadcastHashJoin [r#" not in plan_of(got)
