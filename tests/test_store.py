@@ -290,3 +290,14 @@ def test_warped_ingest_never_broadcasts_cells_of_units(spark, tmp_path):
     got = R.warped_ingest(tiles, frames, grid, units, 10.0, 15, 307000.0, 3320400.0)
     assert got.count() == 9 * 9
     assert "BroadcastHashJoin [r#" not in plan_of(got)
+
+
+def test_points_meet_blocks_without_broadcast_and_copies_are_listed_in_full(spark, tmp_path):
+    squares(spark, 9).write.parquet(f"{tmp_path}/units")
+    units = spark.read.parquet(f"{tmp_path}/units")
+    points = spark.createDataFrame([(k, None if k == 11 else 0.5 + k % 4 * 10.0, -5.0) for k in range(12)], "id int, x double, y double")
+    for boundary in (False, True):
+        got = S.points_in_units(points, units, 16.0, boundary)
+        want = sorted((k, u) for k in range(11) for u in range(9) if 7 * (u % 3) < 0.5 + k % 4 * 10 < 30 + 7 * (u % 3))
+        assert sorted((x.id, x.unit) for x in got.select("id", "unit").collect()) == want
+        assert "BroadcastHashJoin" not in plan_of(got)
