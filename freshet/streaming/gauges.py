@@ -12,6 +12,9 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from freshet.functions.scalar import interp
 
+#: Rows of a frame that a task gives back at once.
+PIECE = 10_000
+
 
 def windowed(readings: DataFrame, length: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:
     """site, start, n, mean and peak of readings (site, ts, value) per window; as a stream, rows later than `late` are dropped."""
@@ -28,7 +31,9 @@ def admit(tokens: float, last: float, now: float, rate: float, burst: float) ->
 def token_bucket(requests: DataFrame, per_minute: float = 30.0, burst: int = 10, late: str = "10 minutes") -> DataFrame:
     """client, ts, admitted of a stream of requests (client, ts): continuous refill, in event time.
 
-    An idle bucket is dropped once the watermark says that it is full again, so the state holds recent clients only.
+    Spark hands a client's requests over in pieces of any order, so those of a micro-batch are put in order of time before they are
+    judged; times are whole microseconds, of which differences are exact. An idle bucket is dropped once the watermark says that it is
+    full again, so the state holds recent clients only.
     """
     if per_minute <= 0 or burst < 1:
         raise ValueError("the rate must be positive and the burst at least 1")
@@ -39,19 +44,19 @@ def token_bucket(requests: DataFrame, per_minute: float = 30.0, burst: int = 10,
             state.remove()
             return
         tokens, last = state.get if state.exists else (float(burst), None)
-        for part in parts:
-            part = part.sort_values("ts")
-            out = []
-            for moment in part["ts"]:
-                now = moment.timestamp()
-                good, tokens = admit(tokens, now if last is None else last, now, rate, burst)
-                last = now if last is None else max(last, now)
-                out.append(good)
-            yield pd.DataFrame({"client": key[0], "ts": part["ts"].to_numpy(), "admitted": out})
+        rows = pd.concat([part[["ts", "us"]] for part in parts]).sort_values("us", kind="stable")
+        out = []
+        for now in rows["us"].tolist():
+            good, tokens = admit(tokens, 0.0, 0.0 if last is None else (now - last) / 1e6, rate, burst)
+            last = now if last is None else max(last, now)
+            out.append(good)
         state.update((tokens, last))
-        state.setTimeoutTimestamp(max(int(1000 * (last + burst / rate)), state.getCurrentWatermarkMs() + 1))
+        state.setTimeoutTimestamp(max(int(last / 1000 + 1000 * burst / rate), state.getCurrentWatermarkMs() + 1))
+        for at in range(0, len(rows), PIECE):
+            yield pd.DataFrame({"client": key[0], "ts": rows["ts"].iloc[at : at + PIECE].to_numpy(), "admitted": out[at : at + PIECE]})
 
-    return requests.withWatermark("ts", late).groupBy("client").applyInPandasWithState(step, "client long, ts timestamp, admitted boolean", "tokens double, last double", "append", GroupStateTimeout.EventTimeTimeout)
+    timed = requests.withWatermark("ts", late).withColumn("us", F.unix_micros("ts"))
+    return timed.groupBy("client").applyInPandasWithState(step, "client long, ts timestamp, admitted boolean", "tokens double, last long", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stages(discharges: DataFrame, curves: DataFrame) -> DataFrame:

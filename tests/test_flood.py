@@ -269,6 +269,24 @@ def test_store_and_hash(spark, tmp_path):
         store.exists("123", key)
 
 
+def test_token_bucket_orders_requests_across_pieces(spark, tmp_path):
+    rows = [(1, 1000 + k * 7919 % 60 * 30) for k in range(60)]
+    spark.createDataFrame(rows, "client long, s int").select("client", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.parquet(f"{tmp_path}/in")
+    tokens, last, want = 3.0, 1000, 0
+    for now in sorted(s for _, s in rows):
+        good, tokens = admit(tokens, last, now, 0.01, 3)
+        last, want = now, want + good
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        stream = token_bucket(spark.readStream.schema("client long, ts timestamp").parquet(f"{tmp_path}/in"), per_minute=0.6, burst=3)
+        stream.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/log").trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    found = spark.read.parquet(f"{tmp_path}/out")
+    assert (found.count(), found.where("admitted").count()) == (60, want)
+
+
 def test_token_bucket_streams(spark, tmp_path):
     assert admit(10, 0, 0, 0.5, 10) == (True, 9) and admit(0.2, 0, 1, 0.5, 10) == (False, 0.7)
     rows = spark.sql("SELECT CAST(1 AS BIGINT) AS client, timestamp_seconds(id) AS ts FROM range(20)")
