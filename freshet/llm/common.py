@@ -63,8 +63,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 PIECE = 4 << 20
 
 
-def _released() -> None:
-    """Give free memory of this worker back to the system, as the worker stays for later stages."""
+def released() -> None:
+    """Give free memory of this process back to the system, as a worker stays for later stages."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     with suppress(OSError, AttributeError):  # not every C library can
@@ -87,7 +87,7 @@ def lean(kernel: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
         try:
             yield from kernel(pieces(batches))
         finally:
-            _released()
+            released()
 
     return run
 

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from freshet.llm.common import written
+from freshet.llm.common import lean, released, written
 
 # Fixed values of the contract: characters that belong to no term (ASCII but for letters and digits), and the scale of scores.
 GAPS = [*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]
@@ -42,6 +42,8 @@ NO_ID = -(1 << 63)
 
 SEGMENT_DOCS = 1 << 14
 SEGMENT_POSTINGS = 1 << 20
+#: Rows of the index that leave a worker at once: what Spark must hold of a segment beside its own rows.
+INDEX_ROWS = 1 << 13
 #: (item, term) pairs that travel to the tasks at once.
 BLOCK_PAIRS = 100_000
 
@@ -74,7 +76,7 @@ def tokenised(docs: DataFrame, key: str = "doc_id") -> DataFrame:
             lists = [pa.ListArray.from_arrays(at, pa.array(flat, pa.binary()).cast(pa.string())), pa.ListArray.from_arrays(at, pa.array(tfs, pa.int32()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *lists], [key, "n", "terms", "tfs"])
 
-    return docs.select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text")).mapInArrow(run, f"{key} long, n long, terms array<string>, tfs array<int>")
+    return docs.select(F.col(key).cast("long").alias(key), F.col("text").cast("string").alias("text")).mapInArrow(lean(run), f"{key} long, n long, terms array<string>, tfs array<int>")
 
 
 class _Segment:
@@ -135,16 +137,24 @@ class _Segment:
 def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
+    def sent(segment: _Segment, name: int) -> Iterator[pa.RecordBatch]:
+        rows = segment.rows(name)
+        segment.pieces.clear()
+        for at in range(0, rows.num_rows, INDEX_ROWS):
+            yield rows.slice(at, INDEX_ROWS)
+        del rows
+        released()
+
     part, k, now = TaskContext.get().partitionId(), 0, _Segment()
     for batch in batches:
         while batch.num_rows:
             taken = now.take(batch, np.cumsum(batch.column(2).value_lengths().to_numpy()))
             batch = batch.slice(taken)
             if batch.num_rows:
-                yield now.rows(part << 32 | k)
+                yield from sent(now, part << 32 | k)
                 k, now = k + 1, _Segment()
     if now.docs:
-        yield now.rows(part << 32 | k)
+        yield from sent(now, part << 32 | k)
 
 
 class LexicalIndex:
@@ -162,7 +172,7 @@ class LexicalIndex:
         parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         m = (F.lit(50) + F.expr(f"50 * n * {n}L div {l}L")).cast("int").alias("m")
         laid = known.select("doc_id", m, "terms", "tfs").repartitionByRange(parts, "m", F.xxhash64("doc_id")).sortWithinPartitions("m", "doc_id")
-        return cls(written(laid.mapInArrow(_segments, INDEX), "index"), n, l)
+        return cls(written(laid.mapInArrow(lean(_segments), INDEX), "index"), n, l)
 
     def weights(self, terms: DataFrame) -> DataFrame:
         """term and w of those of terms (term) that some document holds."""
@@ -244,6 +254,8 @@ def scorer(terms: dict[str, list[tuple[int, int]]], k: int):
                 np.maximum.at(tops[term], at, imp)
             for item, floor in zip(visits["item"], visits["floor"], strict=True):
                 out += best_of(int(item), int(floor), asked.get(int(item), []), first, ids, known, tops)
+            rows = head = known = tops = None
+            released()  # a segment's share, as the worker stays for the next one
         return pd.DataFrame(out, columns=["item", "doc_id", "score"]).astype({"item": "int32", "doc_id": "Int64", "score": "int64"})
 
     def best_of(item, floor, mine, first, ids, known, tops) -> list[tuple]:

@@ -228,3 +228,17 @@ def test_secret_names_win_over_shapes(spark, text, value):
     docs = spark.createDataFrame([Row(doc_id=i, text=t, lang="en", source="s", n_chars=len(t)) for i, t in rows])
     out = {r["doc_id"]: r["text"] for r in masked(docs).collect()}
     assert value not in out[0] and all(out[i] == t for i, t in rows[1:])
+
+
+def test_index_rows_leave_a_worker_in_slices(monkeypatch):
+    import pyarrow as pa
+    import pyspark
+
+    import freshet.llm.lexical_search as ls
+
+    monkeypatch.setattr(ls, "INDEX_ROWS", 4)
+    monkeypatch.setattr(pyspark.TaskContext, "get", classmethod(lambda cls: type("Task", (), {"partitionId": lambda self: 0})()))
+    terms = [[f"t{k + i}" for i in range(10)] for k in range(3)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1, 2, 3], pa.int64()), "m": pa.array([50, 50, 60], pa.int32()), "terms": pa.array(terms), "tfs": pa.array([[1] * 10] * 3, pa.list_(pa.int32()))})
+    sent = list(ls._segments(iter([batch])))
+    assert max(b.num_rows for b in sent) == 4 and sum(b.num_rows for b in sent) == 1 + 12
