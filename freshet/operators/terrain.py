@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freshet.operators.conditioning import fill_depressions, resolve_flats, undrained  # noqa: F401
-from freshet.operators.graph import components, resolve, subtree_sums, tile_of
+from freshet.operators.graph import components, resolve, spread_join, subtree_sums, tile_of
 from freshet.operators.tiles import DIRECTIONS, FLAT, NODATA, OUTLET, SIZE, STEPS, around, neighbour_messages, rim
 from freshet.sources.store import written
 
@@ -223,10 +223,10 @@ def burn_channel(cells: DataFrame, streams: DataFrame, cellsize: float, depth: t
 
 
 def connected_to(wet: DataFrame, seeds: DataFrame, cols: int, four: bool = False, size: int = SIZE) -> DataFrame:
-    """Of wet (cell, r, c), the cells whose connected component holds a seed (cell)."""
+    """Of wet (cell, r, c; a written table), the cells whose connected component holds a seed (cell); one pool may hold most of them."""
     sent = neighbour_messages(wet.select("r", "c", "cell"), ["cell"], four).select("r", "c", F.col("n_cell").alias("v"))
     edges = wet.join(sent, ["r", "c"]).where("cell < v").select(F.col("cell").alias("u"), "v")
     label = components(edges, tile=lambda k: tile_of(F.floor(k / cols), k % cols, size)).select(F.col("node").alias("cell"), "label")
-    named = wet.join(label, "cell", "left").select("cell", F.coalesce("label", "cell").alias("label"))
+    named = written(wet.join(label, "cell", "left").select("cell", "r", "c", F.coalesce("label", "cell").alias("label")), "named")
     good = named.join(seeds.select("cell"), "cell", "left_semi").select("label").distinct()
-    return wet.join(named.join(good, "label", "left_semi").select("cell"), "cell", "left_semi")
+    return spread_join(named, good, "label", "cell").select("cell", "r", "c")

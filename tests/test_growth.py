@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from freshet.operators import hydraulics as H
 from freshet.sources.store import fingerprint
 
 
@@ -17,3 +18,31 @@ def test_a_fingerprint_reads_no_rows(spark, tmp_path):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     spark.range(5).write.mode("append").parquet(path)
     assert fingerprint(spark.read.schema("id long").parquet(path)) != first
+
+
+def stored(df, folder, name):
+    df.write.parquet(f"file://{folder}/{name}")
+    return df.sparkSession.read.schema(df.schema).parquet(f"file://{folder}/{name}")
+
+
+def reads(df, name: str) -> bool:
+    return any(f"/{name}/" in f for f in df.inputFiles())
+
+
+def test_an_extent_joins_the_grid_once(spark, tmp_path):
+    rows = [(r * 8 + c, r, c, 0.1 * (c % 4), 7) for r in range(8) for c in range(8)]
+    cells = stored(spark.createDataFrame(rows, "cell long, r int, c int, hand double, reach long"), tmp_path, "catchments")
+    stages = spark.createDataFrame([(7, 0.3)], "reach long, stage_m double")
+    streams = spark.createDataFrame([(r * 8,) for r in range(8)], "cell long")
+    got = H.inundate(cells.select("cell", "hand", "reach"), cells.select("cell", "r", "c"), stages, streams, 8, size=4)
+    assert not reads(got, "catchments")
+    assert {x.cell: (round(x.depth_m, 6), x.connected) for x in got.collect()} == {k: (round(0.3 - hand, 6), True) if c < 3 else (0.0, False) for k, _, c, hand, _ in rows}
+
+
+def test_a_stage_table_bins_the_grid_once(spark, tmp_path):
+    cells = stored(spark.createDataFrame([(k, 0.5 * k, 7) for k in range(6)], "cell long, hand double, reach long"), tmp_path, "catchments")
+    links = stored(spark.createDataFrame([(k, 0, k, 7) for k in range(4)], "cell long, start long, seq long, link long"), tmp_path, "links")
+    geometry = H.reach_geometry(links, stored(spark.createDataFrame([(k, 9.0 - k) for k in range(6)], "cell long, z double"), tmp_path, "routed"), 100, 10.0)
+    curves = H.rating_curves(cells, geometry, 10.0, max_stage=1.0, step=0.5)
+    assert not reads(geometry, "routed") and not reads(curves, "catchments")
+    assert [(x.rung, round(x.area_m2, 6)) for x in curves.orderBy("rung").collect()] == [(0, 0.0), (1, round(0.5 * 100 / 30, 6)), (2, round(1.5 * 100 / 30, 6))]
