@@ -102,14 +102,13 @@ def zonal(units: DataFrame, cells: DataFrame, cellsize: float, least_area: float
     if "rings" in units.columns:
         sized = units.select("building_id", "rings", F.aggregate("rings", F.lit(0.0), lambda s, ring: s - area(ring)).alias("holes"), centroid(F.get("rings", F.lit(0))).alias("p"), (2 * area(F.get("rings", F.lit(0)))).alias("outer"))
         big = sized.where(F.col("holes") + F.col("outer") >= least_area)
-        spread = touched_cells(big.select(F.col("building_id").alias("unit"), "rings"), cellsize).withColumnRenamed("unit", "building_id")
-        middle = big.select("building_id", F.col("p.x").alias("x"), F.col("p.y").alias("y"))
+        middle = big.select("building_id", at("p.x").alias("mc"), F.floor(-F.col("p.y") / cellsize).cast("int").alias("mr"))
+        spread = touched_cells(big.select(F.col("building_id").alias("unit"), "rings"), cellsize).withColumnRenamed("unit", "building_id").join(middle.hint("merge"), "building_id")
     else:
         rows = F.explode(F.sequence(-F.ceil(F.col("ymax") / cellsize).cast("int"), -F.ceil(F.col("ymin") / cellsize).cast("int"))).alias("r")
         big = units.where((F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin")) >= least_area)
-        spread = big.select("building_id", "xmin", "xmax", rows).select("building_id", "r", F.explode(F.sequence(at("xmin"), at("xmax"))).alias("c"))
-        middle = big.select("building_id", ((F.col("xmin") + F.col("xmax")) / 2).alias("x"), ((F.col("ymin") + F.col("ymax")) / 2).alias("y"))
-    spread = spread.join(middle.select("building_id", at("x").alias("mc"), F.floor(-F.col("y") / cellsize).cast("int").alias("mr")), "building_id")
+        middle = F.floor((F.col("xmin") + F.col("xmax")) / 2 / cellsize).cast("int").alias("mc"), F.floor(-((F.col("ymin") + F.col("ymax")) / 2) / cellsize).cast("int").alias("mr")
+        spread = big.select("building_id", "xmin", "xmax", *middle, rows).select("building_id", "mc", "mr", "r", F.explode(F.sequence(at("xmin"), at("xmax"))).alias("c"))
     centre = (F.col("r") == F.col("mr")) & (F.col("c") == F.col("mc"))
     if shape:
         spread = spread.where((F.col("r") >= 0) & (F.col("r") < shape[0]) & (F.col("c") >= 0) & (F.col("c") < shape[1]))
@@ -123,7 +122,8 @@ def zonal(units: DataFrame, cells: DataFrame, cellsize: float, least_area: float
     out = [f for k, c in figures.items() for f in (F.max(c).alias(f"{k}_max"), F.avg(c).alias(f"{k}_mean"), F.percentile(c, F.lit(0.9)).alias(f"{k}_p90"), F.max(F.when(centre, F.col(c))).alias(f"{k}_centroid"))]
     own = [F.max(F.when(centre, F.col(c))).alias(f"centre_{c}") for c in ("hand", "reach") if c in known]
     heights = F.percentile(F.when(finite("hand"), F.col("hand")), F.lit(0.1)).alias("hand_p10")
-    found = found.groupBy("building_id").agg(*out, heights, F.mode("reach", True).alias("reach"), F.count("*").alias("n_cells"), *own)
+    # A unit's cells are dealt to it as they are: sums of percentiles before the shuffle would be wider, as each cell comes from another key.
+    found = found.repartition("building_id").groupBy("building_id").agg(*out, heights, F.mode("reach", True).alias("reach"), F.count("*").alias("n_cells"), *own)
     return big.select("building_id").join(found, "building_id", "left")
 
 
