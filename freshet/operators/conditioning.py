@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from freshet.operators.tiles import DIRECTIONS, FLAT, OUTSIDE, SIZE, SOLVED_AT_ONCE, STEPS, around, least_steps, neighbour_messages, place, relax, rim, spill_levels
-from freshet.sources.store import written
+from freshet.sources.store import landed
 
 FAR = 1 << 30
 
@@ -74,13 +74,15 @@ def fill_depressions(cells: DataFrame, epsilon: float = 0.0, size: int = SIZE, f
 
     rows = cells.select("cell", "r", "c", "z")
     kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    local = written(rim(rows, size).groupBy("tr", "tc").applyInPandas(flood, f"{kinds}, w double, label long, border boolean, spill boolean"), "watersheds")
+    local = landed(rim(rows, size).groupBy("tr", "tc").applyInPandas(flood, f"{kinds}, w double, label long, border boolean, spill boolean"), "watersheds")
     tr, tc = place(size)
     lines = local.where("border AND NOT spill").select("cell", "r", "c", F.col("z").cast("double").alias("z"), "label", tr.alias("tr"), tc.alias("tc"))
     met = lines.join(neighbour_messages(lines, ["z", "label", "tr", "tc"], four), ["r", "c"]).where("(tr <> n_tr OR tc <> n_tc) AND label < n_label")
     edges = met.select(F.col("label").alias("u"), F.col("n_label").alias("v"), F.greatest("z", "n_z").alias("w")).unionByName(local.where("spill").select(F.col("cell").alias("u"), F.col("label").alias("v"), "w"))
-    level = written(spill_levels(edges, at_once), "levels").where(F.col("node") != OUTSIDE).select(F.col("node").alias("label"), "level")
-    return local.where("NOT spill").join(level, "label", "left").select("cell", "r", "c", "z", F.greatest("w", F.coalesce("level", "w")).alias("w"))
+    level = landed(spill_levels(edges, at_once), "levels").where(F.col("node") != OUTSIDE).select(F.col("node").alias("label"), "level")
+    kept, out = local.where("NOT spill"), F.col("label").isNull() | (F.col("label") == OUTSIDE)  # what drains outside is one label and needs no level
+    raised = kept.where(~out).join(level, "label", "left").select("cell", "r", "c", "z", F.greatest("w", F.coalesce("level", "w")).alias("w"))
+    return kept.where(out).select("cell", "r", "c", "z", "w").unionByName(raised)
 
 
 def _fill_sloping(cells: DataFrame, epsilon: float, size: int, four: bool) -> DataFrame:
@@ -184,7 +186,7 @@ def resolve_flats(directed: DataFrame, cellsize: float = 1.0, size: int = SIZE,
         return pd.concat([out, *links]).astype({"z": "float64"})
 
     rows = directed.select("cell", "r", "c", F.col("z").cast("double").alias("z"), "flowdir")
-    local = written(rim(rows, size).groupBy("tr", "tc").applyInPandas(count, "cell long, r int, c int, z double, high long, low long, border boolean, u long"), "flats")
+    local = landed(rim(rows, size).groupBy("tr", "tc").applyInPandas(count, "cell long, r int, c int, z double, high long, low long, border boolean, u long"), "flats")
     cells, gates = local.where("u < 0"), local.where("border")
     tr, tc = place(size)
     lines = gates.select("cell", "r", "c", "z", tr.alias("tr"), tc.alias("tc"))
@@ -200,7 +202,7 @@ def resolve_flats(directed: DataFrame, cellsize: float = 1.0, size: int = SIZE,
         return part.assign(high=_spread(part["high"].to_numpy(), near, same), low=_spread(part["low"].to_numpy(), near, same))[["cell", "high", "low"]]
 
     whole = cells.join(gated, "cell", "left").select("cell", "r", "c", "z", F.least("high", F.coalesce("g_high", "high")).alias("high"), F.least("low", F.coalesce("g_low", "low")).alias("low"), tr.alias("tr"), tc.alias("tc"))
-    steps = written(whole.groupBy("tr", "tc").applyInPandas(enter, "cell long, high long, low long"), "flats")
+    steps = landed(whole.groupBy("tr", "tc").applyInPandas(enter, "cell long, high long, low long"), "flats")
     peak = steps.where(F.col("high") < FAR).agg(F.coalesce(F.max("high"), F.lit(0)).alias("peak")).first()["peak"]
     codes = np.array([k for k, _, _ in DIRECTIONS])
     far = np.array([math.hypot(a, b) * cellsize for a, b in STEPS])[:, None]

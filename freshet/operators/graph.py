@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freshet.sources.store import written
+from freshet.sources.store import landed, written
 
 ROUNDS = 60
 
@@ -72,21 +72,21 @@ def _tiled(edges: DataFrame, step: Column, weight: Column, tile: str) -> DataFra
 
 def _contracted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Paths inside tiles, and those of them that begin where another tile's path goes on."""
-    paths = written(rows.groupBy("tile").applyInPandas(_local_paths, "node long, out long, done boolean, cost double, amount double"), "paths")
+    paths = landed(rows.groupBy("tile").applyInPandas(_local_paths, "node long, out long, done boolean, cost double, amount double"), "paths")
     entries = paths.where("NOT done").select(F.col("out").alias("node")).distinct()
     return paths, paths.join(entries, "node", "left_semi")
 
 
 def _doubled(state: DataFrame) -> DataFrame:
     """node, root, cost from (node, at, cost, done): pointers double each round."""
-    state = written(state, "pointers")
+    state = landed(state, "pointers")
     for _ in range(ROUNDS):
         if _settled(state, "NOT done"):
             return state.select("node", F.col("at").alias("root"), "cost")
         target = state.select(F.col("node").alias("at"), F.col("at").alias("far"), F.col("cost").alias("more"), F.col("done").alias("end"))
         joined = state.where("NOT done").join(target, "at")
         moved = joined.select("node", F.col("far").alias("at"), (F.col("cost") + F.col("more")).alias("cost"), F.col("end").alias("done"))
-        state = written(state.where("done").unionByName(moved), "pointers")
+        state = landed(state.where("done").unionByName(moved), "pointers")
     raise ValueError("the receivers hold a cycle")
 
 
@@ -107,13 +107,13 @@ def resolve(edges: DataFrame, cost: str | None = None, tile: str | None = None)
 
 def _doubled_sums(state: DataFrame) -> DataFrame:
     """node and total from (node, at, total): what has reached a node doubles its distance each round."""
-    state = written(state, "sums")
+    state = landed(state, "sums")
     for _ in range(ROUNDS):
         if _settled(state, "at IS NOT NULL"):
             return state.select("node", "total")
         gained = state.where("at IS NOT NULL").groupBy(F.col("at").alias("node")).agg(F.sum("total").alias("gain"))
         far = state.select(F.col("node").alias("at"), F.col("at").alias("far"))
-        state = written(state.join(far, "at", "left").join(gained, "node", "left").select("node", F.col("far").alias("at"), (F.col("total") + F.coalesce("gain", F.lit(0.0))).alias("total")), "sums")
+        state = landed(state.join(far, "at", "left").join(gained, "node", "left").select("node", F.col("far").alias("at"), (F.col("total") + F.coalesce("gain", F.lit(0.0))).alias("total")), "sums")
     raise ValueError("the receivers hold a cycle")
 
 
@@ -202,11 +202,11 @@ def components(edges: DataFrame, tile: Callable[[Column], Column] | None = None)
     """
     if tile is None:
         return _stars(edges)
-    placed = written(edges.where("u <> v").select("u", "v", tile(F.col("u")).alias("tile"), (tile(F.col("u")) == tile(F.col("v"))).alias("inside")), "edges")
-    local = written(placed.where("inside").select("u", "v", "tile").groupBy("tile").applyInPandas(_local_components, "node long, label long"), "labels")
+    placed = landed(edges.where("u <> v").select("u", "v", tile(F.col("u")).alias("tile"), (tile(F.col("u")) == tile(F.col("v"))).alias("inside")), "edges")
+    local = landed(placed.where("inside").select("u", "v", "tile").groupBy("tile").applyInPandas(_local_components, "node long, label long"), "labels")
     name = lambda k: local.select(F.col("node").alias(k), F.col("label").alias(f"l{k}"))
     between = placed.where("NOT inside").join(name("u"), "u", "left").join(name("v"), "v", "left").select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v"))
-    whole = written(_stars(between), "labels")
+    whole = landed(_stars(between), "labels")
     alone = whole.join(local, "node", "left_anti").select("node", F.col("node").alias("label"))
     final = whole.select(F.col("node").alias("label"), F.col("label").alias("least"))
     return local.unionByName(alone).join(final, "label", "left").select("node", F.coalesce("least", "label").alias("label"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from freshet.operators import graph
 from freshet.operators.graph import tile_of
 from freshet.operators.tiles import DIRECTIONS, SIZE
-from freshet.sources.store import written
+from freshet.sources.store import landed
 
 
 def step_length(flowdir: Column, cellsize: float) -> Column:
@@ -26,7 +26,7 @@ def network_distance(routed: DataFrame, gauges: DataFrame, cellsize: float, size
     the difference of the two ways to the outlet, and one pass over the paths serves every gauge. Cells of other outlets have no row.
     """
     edges = routed.select(F.col("cell").alias("node"), "next", step_length(F.col("flowdir"), cellsize).alias("step"), tile_of(F.col("r"), F.col("c"), size).alias("tile"))
-    ways = written(graph.resolve(edges, "step", "tile"), "ways")
+    ways = landed(graph.resolve(edges, "step", "tile"), "ways")
     own = gauges.join(ways.select(F.col("node").alias("cell"), "root", F.col("cost").alias("at")), "cell").select("gauge", "root", "at")
     return ways.join(own, "root").select("gauge", F.col("node").alias("cell"), (F.col("cost") - F.col("at")).alias("distance_m"))
 
@@ -48,14 +48,14 @@ def nearest_above(edges: DataFrame, marked: DataFrame) -> DataFrame:
     As with sums, what has reached a node doubles its distance each round.
     """
     start = edges.join(marked.select("node", F.lit(True).alias("m")), "node", "left")
-    state = written(start.select("node", F.col("next").alias("at"), "cost", F.when(F.col("m"), F.struct(F.lit(0.0).alias("distance"), F.col("node").alias("mark"))).alias("best")), "nearest")
+    state = landed(start.select("node", F.col("next").alias("at"), "cost", F.when(F.col("m"), F.struct(F.lit(0.0).alias("distance"), F.col("node").alias("mark"))).alias("best")), "nearest")
     for _ in range(graph.ROUNDS):
         live = state.where("at IS NOT NULL")
         if live.limit(1).count() == 0:
             return state.where("best IS NOT NULL").select("node", "best.mark", "best.distance")
         came = live.where("best IS NOT NULL").groupBy(F.col("at").alias("node")).agg(F.min(F.struct((F.col("best.distance") + F.col("cost")).alias("distance"), F.col("best.mark").alias("mark"))).alias("came"))
         far = state.select(F.col("node").alias("at"), F.col("at").alias("far"), F.col("cost").alias("more"))
-        state = written(state.join(far, "at", "left").join(came, "node", "left").select("node", F.col("far").alias("at"), (F.col("cost") + F.coalesce("more", F.lit(0.0))).alias("cost"), F.least("best", "came").alias("best")), "nearest")
+        state = landed(state.join(far, "at", "left").join(came, "node", "left").select("node", F.col("far").alias("at"), (F.col("cost") + F.coalesce("more", F.lit(0.0))).alias("cost"), F.least("best", "came").alias("best")), "nearest")
     raise ValueError("the receivers hold a cycle")
 
 
@@ -66,7 +66,7 @@ def interpolate_stage(reaches: DataFrame, gauges: DataFrame) -> DataFrame:
     side only, its depth is carried. Reaches without a bed, or without any gauge on their path, have no row. Depths below 0 become 0.
     """
     depth = gauges.select("reach", "wse_m", (F.col("wse_m") - F.col("gauge_bed_m")).alias("depth"))
-    edges = written(reaches.join(depth.select("reach", F.lit(True).alias("gauged")), "reach", "left").select(F.col("reach").alias("node"), F.col("down").alias("next"), F.col("length_m").alias("cost"), "gauged"), "reaches")
+    edges = landed(reaches.join(depth.select("reach", F.lit(True).alias("gauged")), "reach", "left").select(F.col("reach").alias("node"), F.col("down").alias("next"), F.col("length_m").alias("cost"), "gauged"), "reaches")
     below = graph.resolve(edges.select("node", F.when(F.col("gauged").isNull(), F.col("next")).alias("next"), "cost"), "cost")
     above = nearest_above(edges, depth.select(F.col("reach").alias("node")))
     low = below.join(depth.select(F.col("reach").alias("root"), F.col("depth").alias("depth_low")), "root").select(F.col("node").alias("reach"), F.col("cost").alias("d_low"), "depth_low")

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from freshet.operators.conditioning import fill_depressions, resolve_flats, undrained  # noqa: F401
 from freshet.operators.graph import components, resolve, spread_join, subtree_sums, tile_of
 from freshet.operators.tiles import DIRECTIONS, FLAT, NODATA, OUTLET, SIZE, STEPS, around, neighbour_messages, rim
-from freshet.sources.store import written
+from freshet.sources.store import landed
 
 
 def valid_cells(raw: DataFrame, nodata: float | None = None) -> DataFrame:
@@ -91,17 +91,17 @@ def prune_streams(streams: DataFrame, min_length: int = 5, passes: int = 20) ->
         return now
     for _ in range(passes):
         ups = now.where("next IS NOT NULL").groupBy(F.col("next").alias("cell")).agg(F.count("*").alias("ups"))
-        state = written(now.join(ups, "cell", "left").select("cell", "next", F.coalesce("ups", F.lit(0)).alias("ups")), "branches")
+        state = landed(now.join(ups, "cell", "left").select("cell", "next", F.coalesce("ups", F.lit(0)).alias("ups")), "branches")
         walk = state.where("ups = 0").select("cell", F.array("cell").alias("path"), F.col("next").alias("at"), F.lit(False).alias("ended"))
         there = state.select(F.col("cell").alias("at"), F.col("next").alias("far"), F.col("ups").alias("n"))
         for _ in range(min_length - 1):
             stop = F.col("n").isNull() | (F.col("n") > 1)
             walk = walk.join(there, "at", "left").select("cell", F.when(F.col("ended") | stop, F.col("path")).otherwise(F.concat("path", F.array("at"))).alias("path"), F.when(F.col("ended") | stop, F.lit(None).cast("long")).otherwise(F.col("far")).alias("at"), (F.col("ended") | stop).alias("ended"))
-        gone = written(walk.where(F.size("path") < min_length).select(F.explode("path").alias("cell")).distinct(), "pruned")
+        gone = landed(walk.where(F.size("path") < min_length).select(F.explode("path").alias("cell")).distinct(), "pruned")
         if gone.limit(1).count() == 0:
             return state.select("cell", "next")
         left = state.join(gone, "cell", "left_anti").select("cell", "next")
-        now = written(left.join(left.select(F.col("cell").alias("next"), F.lit(1).alias("in")), "next", "left").select("cell", F.when(F.col("in") == 1, F.col("next")).alias("next")), "branches")
+        now = landed(left.join(left.select(F.col("cell").alias("next"), F.lit(1).alias("in")), "next", "left").select("cell", F.when(F.col("in") == 1, F.col("next")).alias("next")), "branches")
     return now
 
 
@@ -112,7 +112,7 @@ def stream_links(streams: DataFrame, cols: int, size: int = SIZE) -> DataFrame:
     """
     ups = streams.where("next IS NOT NULL").groupBy(F.col("next").alias("cell")).agg(F.count("*").alias("n"), F.max("cell").alias("up"))
     back = streams.join(ups, "cell", "left").select(F.col("cell").alias("node"), F.when(F.col("n") == 1, F.col("up")).alias("next"), tile_of(F.floor(F.col("cell") / cols), F.col("cell") % cols, size).alias("tile"))
-    found = written(resolve(back, tile="tile").select(F.col("node").alias("cell"), F.col("root").alias("start"), F.col("cost").cast("long").alias("seq")), "links")
+    found = landed(resolve(back, tile="tile").select(F.col("node").alias("cell"), F.col("root").alias("start"), F.col("cost").cast("long").alias("seq")), "links")
     ranks = dense_rank(found.select("start").distinct(), "start").select("start", F.col("rank").alias("link"))
     return found.join(ranks, "start").select("cell", "start", "seq", "link")
 
@@ -122,7 +122,7 @@ def dense_rank(keys: DataFrame, key: str) -> DataFrame:
     from pyspark.sql import Window
 
     parts = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = written(keys.repartitionByRange(parts, key).withColumn("part", F.spark_partition_id()), "ranks")
+    placed = landed(keys.repartitionByRange(parts, key).withColumn("part", F.spark_partition_id()), "ranks")
     sizes = sorted((r["part"], r["n"]) for r in placed.groupBy("part").agg(F.count("*").alias("n")).collect())  # one row per partition
     start, at = {}, 0
     for part, n in sizes:
@@ -147,15 +147,15 @@ def strahler(tree: DataFrame) -> DataFrame:
     tributaries and marks what lies below: sums along the paths. Rounds are as many as the highest order, at most the logarithm of
     the links, and each works on half of the links at most; no basin is one task.
     """
-    level = written(tree.select("link", "down"), "order")
+    level = landed(tree.select("link", "down"), "order")
     found = level.select("link")
     while True:
         joined = level.where("down IS NOT NULL").groupBy(F.col("down").alias("link")).agg(F.count("*").alias("n")).where("n > 1").select("link", F.lit(1.0).alias("seed"))
         if joined.limit(1).count() == 0:
             return found.groupBy("link").agg(F.count("*").cast("int").alias("strahler"))
-        seeded = written(level.join(joined, "link", "left").select(F.col("link").alias("node"), F.col("down").alias("next"), F.coalesce("seed", F.lit(0.0)).alias("seed")), "order")
+        seeded = landed(level.join(joined, "link", "left").select(F.col("link").alias("node"), F.col("down").alias("next"), F.coalesce("seed", F.lit(0.0)).alias("seed")), "order")
         above = subtree_sums(seeded, "seed").where("total > 0").select(F.col("node").alias("link"))
-        level = written(level.join(above, "link", "left_semi"), "order")
+        level = landed(level.join(above, "link", "left_semi"), "order")
         found = found.unionByName(level.select("link"))
 
 
@@ -209,16 +209,16 @@ def burn_channel(cells: DataFrame, streams: DataFrame, cellsize: float, depth: t
     own width, which rings do not hand on). Nothing wraps around the grid's edge.
     """
     area = F.col("accumulation") * (cellsize * cellsize / 1e6)
-    channel = written(streams.select("cell", channel_depth(area, depth).alias("depth"), channel_width(area, width).alias("width")), "channel")
+    channel = landed(streams.select("cell", channel_depth(area, depth).alias("depth"), channel_width(area, width).alias("width")), "channel")
     now = cells.join(channel, "cell", "left").select("cell", "r", "c", "z", F.coalesce("depth", F.lit(0.0)).alias("depth"), F.coalesce("width", F.lit(0.0)).alias("width"))
     widest = channel.agg(F.max("width").alias("w")).first()["w"] or 0.0
     rings = max(0, math.floor((widest / cellsize - 1) / 2))
     if rings:
         wide = neighbour_messages(now.where(F.col("width") > cellsize), ["width"], four=True).select("r", "c").distinct()
-        now = written(now.join(wide.withColumn("wide", F.lit(True)), ["r", "c"], "left").select("cell", "r", "c", "z", "depth", F.coalesce("wide", F.lit(False)).alias("wide")), "burn")
+        now = landed(now.join(wide.withColumn("wide", F.lit(True)), ["r", "c"], "left").select("cell", "r", "c", "z", "depth", F.coalesce("wide", F.lit(False)).alias("wide")), "burn")
     for _ in range(rings):
         sent = neighbour_messages(now.where("depth > 0"), ["depth"], four=True).groupBy("r", "c").agg(F.max("n_depth").alias("d"))
-        now = written(now.join(sent, ["r", "c"], "left").select("cell", "r", "c", "z", F.when(F.col("wide"), F.greatest("depth", F.coalesce("d", F.lit(0.0)))).otherwise(F.col("depth")).alias("depth"), "wide"), "burn")
+        now = landed(now.join(sent, ["r", "c"], "left").select("cell", "r", "c", "z", F.when(F.col("wide"), F.greatest("depth", F.coalesce("d", F.lit(0.0)))).otherwise(F.col("depth")).alias("depth"), "wide"), "burn")
     return now.select("cell", "r", "c", "z", (F.col("z") - F.col("depth")).alias("burned"))
 
 
@@ -227,6 +227,6 @@ def connected_to(wet: DataFrame, seeds: DataFrame, cols: int, four: bool = False
     sent = neighbour_messages(wet.select("r", "c", "cell"), ["cell"], four).select("r", "c", F.col("n_cell").alias("v"))
     edges = wet.join(sent, ["r", "c"]).where("cell < v").select(F.col("cell").alias("u"), "v")
     label = components(edges, tile=lambda k: tile_of(F.floor(k / cols), k % cols, size)).select(F.col("node").alias("cell"), "label")
-    named = written(wet.join(label, "cell", "left").select("cell", "r", "c", F.coalesce("label", "cell").alias("label")), "named")
+    named = landed(wet.join(label, "cell", "left").select("cell", "r", "c", F.coalesce("label", "cell").alias("label")), "named")
     good = named.join(seeds.select("cell"), "cell", "left_semi").select("label").distinct()
     return spread_join(named, good, "label", "cell").select("cell", "r", "c")

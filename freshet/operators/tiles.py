@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freshet.operators.graph import components
-from freshet.sources.store import written
+from freshet.sources.store import landed
 
 # Direction codes and their row and column steps, in the order that breaks ties.
 DIRECTIONS = [(1, 0, 1), (2, 1, 1), (4, 1, 0), (8, 1, -1), (16, 0, -1), (32, -1, -1), (64, -1, 0), (128, -1, 1)]
@@ -66,7 +66,7 @@ def relax(cells: DataFrame, kernel, size: int) -> DataFrame:
     After the first round only the tiles beside one that moved are given to the kernel again; the others keep their rows. What the
     kernel changes only falls, so the rounds come to an end, however many a large grid needs.
     """
-    state = written(cells.withColumn("moved", F.lit(True)), "tiles")
+    state = landed(cells.withColumn("moved", F.lit(True)), "tiles")
     schema, names = state.schema, cells.columns
     tr, tc = place(size)
     beside = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)])).alias("d")
@@ -74,13 +74,13 @@ def relax(cells: DataFrame, kernel, size: int) -> DataFrame:
     def run(part: pd.DataFrame) -> pd.DataFrame:
         return kernel(part)[[*names, "moved"]]
 
-    state = written(rim(state.select(*names), size).groupBy("tr", "tc").applyInPandas(run, schema), "tiles")
+    state = landed(rim(state.select(*names), size).groupBy("tr", "tc").applyInPandas(run, schema), "tiles")
     while state.where("moved").limit(1).count():
         near = state.where("moved").select(tr.alias("tr"), tc.alias("tc")).distinct().select("tr", "tc", beside)
-        active = written(near.select((F.col("tr") + F.col("d.a")).alias("tr"), (F.col("tc") + F.col("d.b")).alias("tc")).distinct(), "active")
+        active = landed(near.select((F.col("tr") + F.col("d.a")).alias("tr"), (F.col("tc") + F.col("d.b")).alias("tc")).distinct(), "active")
         again = rim(state.select(*names), size).join(active, ["tr", "tc"], "left_semi").groupBy("tr", "tc").applyInPandas(run, schema)
         rest = state.withColumns({"tr": tr, "tc": tc}).join(active, ["tr", "tc"], "left_anti").select(*names, F.lit(False).alias("moved"))
-        state = written(again.unionByName(rest), "tiles")
+        state = landed(again.unionByName(rest), "tiles")
     return state.select(*names)
 
 
@@ -91,19 +91,19 @@ def spill_levels(edges: DataFrame, at_once: int = SOLVED_AT_ONCE) -> DataFrame:
     there. So each round every set takes its least edge and joins, until the edges that are left are few enough for one task.
     """
     pair = lambda e: e.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"), "w").groupBy("u", "v").agg(F.min("w").alias("w"))
-    now = written(pair(edges), "spills")
+    now = landed(pair(edges), "spills")
     state = None  # node, its set, and its level so far
     while now.count() > at_once:
         if state is None:
             nodes = now.select("u").union(now.select("v")).distinct().where(F.col("u") != OUTSIDE)
-            state = written(nodes.select(F.col("u").alias("node"), F.col("u").alias("set"), F.lit(-math.inf).alias("level")), "spills")
+            state = landed(nodes.select(F.col("u").alias("node"), F.col("u").alias("set"), F.lit(-math.inf).alias("level")), "spills")
         both = now.select("u", "v", "w", F.struct("w", "u", "v").alias("k")).unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v"), "w", F.struct("w", "u", "v").alias("k")))
-        least = written(both.where(F.col("u") != OUTSIDE).groupBy("u").agg(F.min_by("v", "k").alias("v"), F.min("w").alias("w")), "spills")
-        sets = written(components(least.select("u", "v")), "spills")
+        least = landed(both.where(F.col("u") != OUTSIDE).groupBy("u").agg(F.min_by("v", "k").alias("v"), F.min("w").alias("w")), "spills")
+        sets = landed(components(least.select("u", "v")), "spills")
         moved = state.join(least.select(F.col("u").alias("set"), "w"), "set", "left").join(sets.select(F.col("node").alias("set"), "label"), "set", "left")
-        state = written(moved.select("node", F.coalesce("label", "set").alias("set"), F.greatest("level", F.coalesce("w", F.lit(-math.inf))).alias("level")), "spills")
+        state = landed(moved.select("node", F.coalesce("label", "set").alias("set"), F.greatest("level", F.coalesce("w", F.lit(-math.inf))).alias("level")), "spills")
         name = lambda k: sets.select(F.col("node").alias(k), F.col("label").alias(f"l{k}"))
-        now = written(pair(now.join(name("u"), "u", "left").join(name("v"), "v", "left").select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v"), "w")), "spills")
+        now = landed(pair(now.join(name("u"), "u", "left").join(name("v"), "v", "left").select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v"), "w")), "spills")
 
     def minimax(part: pd.DataFrame) -> pd.DataFrame:
         ways = defaultdict(list)
@@ -129,8 +129,8 @@ def spill_levels(edges: DataFrame, at_once: int = SOLVED_AT_ONCE) -> DataFrame:
 
 def least_steps(nodes: DataFrame, edges: DataFrame, names: list[str], at_once: int = SOLVED_AT_ONCE) -> DataFrame:
     """node and, for each of names, the least number of steps: a node's own (a column of nodes, long) or another's plus the edges (u, v, d)."""
-    both = written(edges.select("u", "v", "d").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "d")).groupBy("u", "v").agg(F.min("d").alias("d")), "steps")
-    now = written(nodes.select("node", *names), "steps")
+    both = landed(edges.select("u", "v", "d").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"), "d")).groupBy("u", "v").agg(F.min("d").alias("d")), "steps")
+    now = landed(nodes.select("node", *names), "steps")
     if both.count() <= 2 * at_once and now.count() <= at_once:
 
         def shortest(part: pd.DataFrame) -> pd.DataFrame:
@@ -161,7 +161,7 @@ def least_steps(nodes: DataFrame, edges: DataFrame, names: list[str], at_once: i
         lower = F.lit(False)
         for k in names:
             lower = lower | (F.coalesce(F.col(f"n_{k}"), F.col(k)) < F.col(k))
-        step = written(now.join(sent, "node", "left").select("node", *[F.least(F.col(k), F.coalesce(f"n_{k}", k)).alias(k) for k in names], lower.alias("moved")), "steps")
+        step = landed(now.join(sent, "node", "left").select("node", *[F.least(F.col(k), F.coalesce(f"n_{k}", k)).alias(k) for k in names], lower.alias("moved")), "steps")
         if step.where("moved").limit(1).count() == 0:
             return step.select("node", *names)
         now = step.select("node", *names)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from freshet.operators import terrain as T
 from freshet.sources.adapters import COLS, view
-from freshet.sources.store import TerrainStore, fingerprint, params_hash, shared_dir, table, written
+from freshet.sources.store import TerrainStore, fingerprint, landed, params_hash, shared_dir, table
 
 #: Cells; small grids have small streams. Shorter head branches are pruned.
 THRESHOLD, MIN_BRANCH = 30, 5
@@ -37,20 +37,20 @@ class Terrain:
 
 def route_terrain(cells: DataFrame, cols: int, cellsize: float = 1.0, threshold: float = THRESHOLD, min_branch: int = MIN_BRANCH, size: int = 256) -> Terrain:
     """Fill, directions, flats, accumulation, streams, links, height above drainage."""
-    raw = written(cells, "raw")
-    filled = written(T.fill_depressions(raw, size=size).select("cell", "r", "c", F.col("w").alias("z"), F.col("z").alias("raw")), "filled")
+    raw = landed(cells, "raw")
+    filled = landed(T.fill_depressions(raw, size=size).select("cell", "r", "c", F.col("w").alias("z"), F.col("z").alias("raw")), "filled")
     level = filled.select("cell", "r", "c", "z")
-    first = written(T.flow_direction(level, cellsize, size), "directions")
-    flats = written(T.resolve_flats(first, cellsize, size), "flats")
-    to = written(T.receivers(flats, cols), "receivers")
-    routed = written(to.join(T.flow_accumulation(to, size=size), "cell"), "routed")
+    first = landed(T.flow_direction(level, cellsize, size), "directions")
+    flats = landed(T.resolve_flats(first, cellsize, size), "flats")
+    to = landed(T.receivers(flats, cols), "receivers")
+    routed = landed(to.join(T.flow_accumulation(to, size=size), "cell"), "routed")
     mask = T.stream_mask(routed, threshold)
     kept = mask.select("cell", "next").join(mask.select(F.col("cell").alias("next"), F.lit(1).alias("in")), "next", "left").select("cell", F.when(F.col("in") == 1, F.col("next")).alias("next"))
-    whole = written(kept, "mask")
-    streams = written(T.prune_streams(whole, min_branch), "streams")
-    links = written(T.stream_links(streams, cols, size), "links")
+    whole = landed(kept, "mask")
+    streams = landed(T.prune_streams(whole, min_branch), "streams")
+    links = landed(T.stream_links(streams, cols, size), "links")
     drained = T.hand(routed, streams, size)
-    return Terrain(raw, filled, first, routed, whole, streams, links, written(T.reach_catchments(drained, links), "hand"), size)
+    return Terrain(raw, filled, first, routed, whole, streams, links, landed(T.reach_catchments(drained, links), "hand"), size)
 
 
 _DONE: dict[tuple[str, str, str], Terrain] = {}
@@ -75,4 +75,4 @@ def scenario(spark: SparkSession, sf_dir: str, what: str, params: dict, build: C
     key = params_hash({"what": what, "application": spark.sparkContext.applicationId, "data": sf_dir, "files": fingerprint(table(spark, sf_dir, "lineitem")), **params})
     if not store.exists(UNIT, key):
         store.put(UNIT, key, build())
-    return store.get(UNIT, key)
+    return store.get(UNIT, key).hint("merge")  # as landed

@@ -64,6 +64,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def landed(df: DataFrame, name: str) -> DataFrame:
+    """written, for what grows with a grid: joins shuffle it, and never broadcast it through the driver.
+
+    Spark takes such a table for its compressed bytes, which are few beside its rows (ids in order, flags), so millions of rows would
+    pass for a small table.
+    """
+    return written(df, name).hint("merge")
+
+
 def params_hash(params: dict) -> str:
     """16 hex digits of the SHA-256 of the canonical JSON of params; values that JSON cannot hold exactly are refused."""
 

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from freshet.operators import hydraulics as H
+from freshet.operators import terrain as T
+from freshet.sources import store
 from freshet.sources.store import fingerprint
 
 
@@ -46,3 +48,10 @@ def test_a_stage_table_bins_the_grid_once(spark, tmp_path):
     curves = H.rating_curves(cells, geometry, 10.0, max_stage=1.0, step=0.5)
     assert not reads(geometry, "routed") and not reads(curves, "catchments")
     assert [(x.rung, round(x.area_m2, 6)) for x in curves.orderBy("rung").collect()] == [(0, 0.0), (1, round(0.5 * 100 / 30, 6)), (2, round(1.5 * 100 / 30, 6))]
+
+
+def test_grid_tables_are_not_broadcast(spark):
+    rows = store.landed(spark.range(64).selectExpr("id AS cell", "CAST(id / 8 AS INT) AS r", "CAST(id % 8 AS INT) AS c", "CAST(4 AS SMALLINT) AS flowdir"), "routed")
+    to = T.receivers(rows, 8)
+    assert {x.cell: x.next for x in to.collect()} == {k: k + 8 if k < 56 else None for k in range(64)}
+    assert "Broadcast" not in to._jdf.queryExecution().executedPlan().toString()
