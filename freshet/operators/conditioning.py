@@ -14,7 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from freshet.operators.tiles import DIRECTIONS, FLAT, OUTSIDE, SIZE, SOLVED_AT_ONCE, STEPS, around, least_steps, neighbour_messages, place, relax, rim, spill_levels
+from freshet.operators.packed import NULL, over_tiles, packed, unpacked
+from freshet.operators.tiles import DIRECTIONS, FLAT, OUTSIDE, SIZE, SOLVED_AT_ONCE, STEPS, around, least_steps, relax, spill_levels
 from freshet.sources.store import landed
 
 FAR = 1 << 30
@@ -32,14 +33,39 @@ def fill_depressions(cells: DataFrame, epsilon: float = 0.0, size: int = SIZE, f
         raise ValueError("an epsilon is not negative")
     if epsilon:
         return _fill_sloping(cells, epsilon, size, four)
+    tiles = fill_tiles(landed(packed(cells, size, ["cell", "r", "c", "z"]), "packed"), size, four, at_once)
+    return unpacked(tiles, ["cell", "r", "c", "raw", "z"], {"z": "w"}).select("cell", "r", "c", F.col("raw").cast(cells.schema["z"].dataType).alias("z"), "w")
+
+
+def _forest(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Places of a least spanning forest of edges: over it, minimax levels are those over all edges."""
+    order = np.lexsort((v, u, w))
+    over = {}
+
+    def top(x: int) -> int:
+        while (y := over.get(x, x)) != x:
+            over[x] = x = over.get(y, y)
+        return x
+
+    kept = []
+    for i, a, b in zip(order.tolist(), u[order].tolist(), v[order].tolist(), strict=True):
+        a, b = top(a), top(b)
+        if a != b:
+            over[a] = b
+            kept.append(i)
+    return np.array(kept, "i8")
+
+
+def fill_tiles(tiles: DataFrame, size: int, four: bool = False, at_once: int = SOLVED_AT_ONCE) -> DataFrame:
+    """Packed tiles (cell, r, c, z and rims) with z filled and raw as it was."""
     steps = [(a, b) for k, a, b in DIRECTIONS if not four or a == 0 or b == 0]
 
-    def flood(part: pd.DataFrame) -> pd.DataFrame:
+    def flood(part: pd.DataFrame) -> dict:
         own, cell = part["own"].to_numpy(), part["cell"].to_numpy()
         near, every = around(part, steps), around(part, STEPS, True)
         edge = own & (every < 0).any(axis=0)
         border = own & ((every >= 0) & ~own[every]).any(axis=0)
-        z, at = part["z"].astype("float64").tolist(), near.T.tolist()
+        z, at = part["z"].tolist(), near.T.tolist()
         w, label = list(z), [None] * len(part)
         queued = edge | border
         heap = [(z[i], i) for i in np.flatnonzero(queued).tolist()]
@@ -66,23 +92,40 @@ def fill_depressions(cells: DataFrame, epsilon: float = 0.0, size: int = SIZE, f
                     over = max(level, w[j])
                     if over < spills.get(pair, math.inf):
                         spills[pair] = over
-        out = part.assign(w=w, label=pd.array(label, "Int64"), border=border, spill=False)[own][["cell", "r", "c", "z", "w", "label", "border", "spill"]]
-        if not spills:
-            return out
-        more = pd.DataFrame({"cell": [a for a, _ in spills], "r": 0, "c": 0, "z": 0.0, "w": list(spills.values()), "label": pd.array([b for _, b in spills], "Int64"), "border": False, "spill": True})
-        return pd.concat([out, more.astype({"z": out["z"].dtype})])
-
-    rows = cells.select("cell", "r", "c", "z")
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema)
-    local = landed(rim(rows, size).groupBy("tr", "tc").applyInPandas(flood, f"{kinds}, w double, label long, border boolean, spill boolean"), "watersheds")
-    tr, tc = place(size)
-    lines = local.where("border AND NOT spill").select("cell", "r", "c", F.col("z").cast("double").alias("z"), "label", tr.alias("tr"), tc.alias("tc"))
-    met = lines.join(neighbour_messages(lines, ["z", "label", "tr", "tc"], four), ["r", "c"]).where("(tr <> n_tr OR tc <> n_tc) AND label < n_label")
-    edges = met.select(F.col("label").alias("u"), F.col("n_label").alias("v"), F.greatest("z", "n_z").alias("w")).unionByName(local.where("spill").select(F.col("cell").alias("u"), F.col("label").alias("v"), "w"))
-    level = landed(spill_levels(edges, at_once), "levels").where(F.col("node") != OUTSIDE).select(F.col("node").alias("label"), "level")
-    kept, out = local.where("NOT spill"), F.col("label").isNull() | (F.col("label") == OUTSIDE)  # what drains outside is one label and needs no level
-    raised = kept.where(~out).join(level, "label", "left").select("cell", "r", "c", "z", F.greatest("w", F.coalesce("level", "w")).alias("w"))
-    return kept.where(out).select("cell", "r", "c", "z", "w").unionByName(raised)
+        n = int(own.sum())  # own cells come first
+        known = np.array([NULL if x is None else x for x in label[:n]], "i8")
+        return {**{k: part[k].to_numpy()[:n] for k in ("cell", "r", "c", "z")}, "raw": w[:n], "label": known, "named": np.unique(known[known >= 0]), "u": [a for a, _ in spills], "v": [b for _, b in spills], "w": list(spills.values())}
+
+    def meet(part: pd.DataFrame, spills: dict) -> dict:
+        own, z, label = (part[k].to_numpy() for k in ("own", "z", "label"))
+        at = around(part, steps, True)
+        k, i = np.nonzero((at >= 0) & own & ~own[at])
+        j = at[k, i]
+        good = (label[i] < label[j]) & (label[i] != NULL)
+        i, j = i[good], j[good]
+        u, v = np.concatenate([spills["u"], label[i]]), np.concatenate([spills["v"], label[j]])
+        w = np.concatenate([spills["w"], np.maximum(z[i], z[j])])
+        kept = _forest(u, v, w)
+        return {"u": u[kept], "v": v[kept], "w": w[kept]}
+
+    names = ["cell", "r", "c", "z", "raw", "label", "named", "u", "v", "w"]
+    local = landed(over_tiles(tiles, flood, size, ["cell", "r", "c", "z"], names, ["r", "c", "z", "label"]), "watersheds")
+    edges = unpacked(over_tiles(local, meet, size, ["r", "c", "z", "label"], ["u", "v", "w"], apart=["u", "v", "w"]), ["u", "v", "w"])
+    # A watershed bears the id of a border cell of its tile, so the tile that needs its level is the one that names it.
+    named = unpacked(local, ["named"], {"named": "label"}, placed=True)
+    level = spill_levels(edges, at_once).where(F.col("node") != OUTSIDE)
+    levels = named.join(level.withColumnRenamed("node", "label").hint("merge"), "label")
+
+    def fill(part: pd.DataFrame, levels: dict) -> dict:
+        label, w = part["label"].to_numpy(), part["raw"].to_numpy()  # raw: the levels inside the tile
+        if len(keys := levels["label"]):
+            order = np.argsort(keys)
+            keys, values = keys[order], levels["level"][order]
+            at = np.minimum(np.searchsorted(keys, label), len(keys) - 1)
+            w = np.where(keys[at] == label, np.maximum(w, values[at]), w)
+        return {"cell": part["cell"].to_numpy(), "r": part["r"].to_numpy(), "c": part["c"].to_numpy(), "z": w, "raw": part["z"].to_numpy()}
+
+    return landed(over_tiles(local, fill, size, ["cell", "r", "c", "z", "raw", "label"], ["cell", "r", "c", "z", "raw"], ["cell", "r", "c", "z"], given=levels, rim=False), "filled")
 
 
 def _fill_sloping(cells: DataFrame, epsilon: float, size: int, four: bool) -> DataFrame:
@@ -159,57 +202,73 @@ def resolve_flats(directed: DataFrame, cellsize: float = 1.0, size: int = SIZE,
     tile's border, its border cells and the steps between them form a graph, over which both counts are made whole, and a second pass
     takes them from the border into the tile. A third pass chooses directions.
     """
-    flat = F.col("flowdir") == FLAT
-    if directed.where(flat).limit(1).count() == 0:
-        return directed.select("cell", "r", "c", "z", "flowdir", F.lit(False).alias("flat"), F.lit(False).alias("resolved"))
-
-    def count(part: pd.DataFrame) -> pd.DataFrame:
-        own, z, code = part["own"].to_numpy(), part["z"].to_numpy(), part["flowdir"].to_numpy()
-        mine = own & (code == FLAT)
-        near, every = around(part, STEPS), around(part, STEPS, True)
+    names = ["cell", "r", "c", "z", "flowdir"]
+    found = flat_tiles(landed(packed(directed, size, names), "packed"), size, cellsize, at_once)
+    return unpacked(found, [*names, "flat", "resolved"]).select("cell", "r", "c", F.col("z").cast(directed.schema["z"].dataType).alias("z"), "flowdir", "flat", "resolved")
+
+
+def flat_tiles(tiles: DataFrame, size: int, cellsize: float = 1.0, at_once: int = SOLVED_AT_ONCE) -> DataFrame:
+    """Packed tiles (cell, r, c, z, flowdir and rims) with flats drained: flowdir replaced, flat, resolved and next, the cell drained to."""
+
+    def ways(part: pd.DataFrame, mine: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The flat cells, their neighbours among them and which of these are of the same flat."""
+        at, z = np.flatnonzero(mine), part["z"].to_numpy()
+        order = np.full(len(part), -1)
+        order[at] = np.arange(len(at))
+        every = around(part, STEPS)[:, at]
+        near = np.where(every >= 0, order[every], -1)
+        return at, near, (near >= 0) & (z[every] == z[at])
+
+    def count(part: pd.DataFrame) -> dict:
+        own, z, code, cell = (part[k].to_numpy() for k in ("own", "z", "flowdir", "cell"))
+        n = int(own.sum())
+        at, near, same = ways(part, own & (code == FLAT))
+        every = around(part, STEPS, True)[:, at]
         there, lying = every >= 0, (code == FLAT)[every]
-        same = (near >= 0) & mine & mine[near] & (z[near] == z)
-        high = np.where(mine & (there & (z[every] > z)).any(axis=0), 1, FAR)
-        low = np.where(mine & (there & ~lying & (z[every] <= z)).any(axis=0), 1, FAR)
+        high = np.where((there & (z[every] > z[at])).any(axis=0), 1, FAR)
+        low = np.where((there & ~lying & (z[every] <= z[at])).any(axis=0), 1, FAR)
         high, low = _spread(high, near, same), _spread(low, near, same)
-        border = mine & (there & ~own[every] & lying & (z[every] == z)).any(axis=0)
-        cell = part["cell"].to_numpy()
-        out = pd.DataFrame({"cell": cell, "r": part["r"], "c": part["c"], "z": z, "high": high, "low": low, "border": border, "u": -1})[mine]
-        gates = np.flatnonzero(border)
-        links = []
+        across = there & ~own[every] & lying & (z[every] == z[at])
+        gates = np.flatnonzero(across.any(axis=0))
+        k, i = np.nonzero(across & (cell[at] < cell[every]))
+        u, v, d = [cell[at[i]]], [cell[every[k, i]]], [np.ones(len(i), "i8")]
         for g in gates.tolist():
-            d = np.full(len(part), FAR)
-            d[g] = 0
-            d = _spread(d, near, same)
-            other = gates[(gates > g) & (d[gates] < FAR)]
-            links.append(pd.DataFrame({"cell": cell[other], "r": 0, "c": 0, "z": 0.0, "high": d[other], "low": 0, "border": False, "u": cell[g]}))
-        return pd.concat([out, *links]).astype({"z": "float64"})
-
-    rows = directed.select("cell", "r", "c", F.col("z").cast("double").alias("z"), "flowdir")
-    local = landed(rim(rows, size).groupBy("tr", "tc").applyInPandas(count, "cell long, r int, c int, z double, high long, low long, border boolean, u long"), "flats")
-    cells, gates = local.where("u < 0"), local.where("border")
-    tr, tc = place(size)
-    lines = gates.select("cell", "r", "c", "z", tr.alias("tr"), tc.alias("tc"))
-    met = lines.join(neighbour_messages(lines, ["cell", "z", "tr", "tc"]), ["r", "c"]).where("(tr <> n_tr OR tc <> n_tc) AND z = n_z AND cell < n_cell")
-    edges = local.where("u >= 0").select("u", F.col("cell").alias("v"), F.col("high").alias("d")).unionByName(met.select(F.col("cell").alias("u"), F.col("n_cell").alias("v"), F.lit(1).cast("long").alias("d")))
-    known = least_steps(gates.select(F.col("cell").alias("node"), "high", "low"), edges, ["high", "low"], at_once)
-    gated = known.select(F.col("node").alias("cell"), F.col("high").alias("g_high"), F.col("low").alias("g_low"))
-
-    def enter(part: pd.DataFrame) -> pd.DataFrame:
-        z = part["z"].to_numpy()
-        near = around(part, STEPS)
-        same = (near >= 0) & (z[near] == z)
-        return part.assign(high=_spread(part["high"].to_numpy(), near, same), low=_spread(part["low"].to_numpy(), near, same))[["cell", "high", "low"]]
+            far = np.full(len(at), FAR)
+            far[g] = 0
+            far = _spread(far, near, same)
+            other = gates[(gates > g) & (far[gates] < FAR)]
+            u, v, d = [*u, np.full(len(other), cell[at[g]])], [*v, cell[at[other]]], [*d, far[other]]
+        whole = {k: np.full(n, FAR, "i8") for k in ("high", "low")}
+        whole["high"][at], whole["low"][at] = high, low
+        some = {"node": cell[at[gates]], "g_high": high[gates], "g_low": low[gates], "u": np.concatenate(u), "v": np.concatenate(v), "d": np.concatenate(d)}
+        return {**{k: part[k].to_numpy()[:n] for k in names}, **whole, **some}
+
+    names = ["cell", "r", "c", "z", "flowdir"]
+    local = landed(over_tiles(tiles, count, size, names, [*names, "high", "low", "node", "g_high", "g_low", "u", "v", "d"]), "flats")
+    gates = landed(unpacked(local, ["node", "g_high", "g_low"], {"g_high": "high", "g_low": "low"}, placed=True), "gates")
+    known = gates.select("node", "tr", "tc").join(least_steps(gates, unpacked(local, ["u", "v", "d"]), ["high", "low"], at_once), "node")
+
+    def enter(part: pd.DataFrame, gated: dict) -> dict:
+        at, near, same = ways(part, part["flowdir"].to_numpy() == FLAT)
+        out, order = {k: part[k].to_numpy() for k in names}, np.argsort(out_cell := part["cell"].to_numpy())
+        where = order[np.searchsorted(out_cell[order], gated["node"])]
+        for k in ("high", "low"):
+            whole = part[k].to_numpy().copy()
+            whole[where] = np.minimum(whole[where], gated[k])
+            whole[at] = _spread(whole[at], near, same)
+            out[k] = whole
+        inside = out["high"][out["high"] < FAR]
+        return {**out, "peak": [inside.max(initial=0)]}
 
-    whole = cells.join(gated, "cell", "left").select("cell", "r", "c", "z", F.least("high", F.coalesce("g_high", "high")).alias("high"), F.least("low", F.coalesce("g_low", "low")).alias("low"), tr.alias("tr"), tc.alias("tc"))
-    steps = landed(whole.groupBy("tr", "tc").applyInPandas(enter, "cell long, high long, low long"), "flats")
-    peak = steps.where(F.col("high") < FAR).agg(F.coalesce(F.max("high"), F.lit(0)).alias("peak")).first()["peak"]
+    ranks = ["high", "low"]
+    steps = landed(over_tiles(local, enter, size, [*names, *ranks], [*names, *ranks, "peak"], [*names, *ranks], given=known, rim=False), "flats")
+    peak = unpacked(steps, ["peak"]).agg(F.coalesce(F.max("peak"), F.lit(0)).alias("peak")).first()["peak"]
     codes = np.array([k for k, _, _ in DIRECTIONS])
     far = np.array([math.hypot(a, b) * cellsize for a, b in STEPS])[:, None]
 
-    def choose(part: pd.DataFrame) -> pd.DataFrame:
-        z, code = part["z"].to_numpy(), part["flowdir"].to_numpy()
-        high, low = part["high"].fillna(FAR).to_numpy(), part["low"].fillna(FAR).to_numpy()
+    def choose(part: pd.DataFrame) -> dict:
+        n = int(part["own"].sum())
+        z, code, high, low, cell = (part[k].to_numpy() for k in ("z", "flowdir", "high", "low", "cell"))
         was = code == FLAT
         can = was & (low < FAR)
         rank = np.where(can, np.where(high < FAR, peak - high, peak) + 2 * low, 0)
@@ -218,8 +277,12 @@ def resolve_flats(directed: DataFrame, cellsize: float = 1.0, size: int = SIZE,
         drop = np.where(there & can, (rank - np.where(can[every], rank[every], 0)) / far, 0.0)
         best = drop.argmax(axis=0)  # the first of equal drops has the lowest code
         good = drop.max(axis=0) > 0
-        return part.assign(flowdir=np.where(good, codes[best], code), flat=was, resolved=good)[part["own"]][["cell", "r", "c", "z", "flowdir", "flat", "resolved"]]
+        code = np.where(good, codes[best], code)
+        way = np.full(256, -1)
+        way[codes] = np.arange(8)
+        way = np.where(code > 0, way[np.maximum(code, 0)], -1)
+        to = np.where(way >= 0, every[way, np.arange(len(part))], -1)
+        out = {"flowdir": code, "flat": was, "resolved": good, "next": np.where(to >= 0, cell[to], NULL)}
+        return {**{k: part[k].to_numpy()[:n] for k in ("cell", "r", "c", "z")}, **{k: x[:n] for k, x in out.items()}}
 
-    ranked = directed.select("cell", "r", "c", "z", "flowdir").join(steps, "cell", "left")
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in directed.select("cell", "r", "c", "z").schema)
-    return rim(ranked, size).groupBy("tr", "tc").applyInPandas(choose, f"{kinds}, flowdir smallint, flat boolean, resolved boolean")
+    return over_tiles(steps, choose, size, [*names, *ranks], [*names, "flat", "resolved", "next"])

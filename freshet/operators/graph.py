@@ -36,7 +36,7 @@ def _local_pointers(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndar
     return np.where((node[order][at] == to) & ~ends, order[at], -1), to, ends
 
 
-def _local_paths(part: pd.DataFrame) -> pd.DataFrame:
+def local_paths(part: pd.DataFrame) -> pd.DataFrame:
     """node, out, done, cost and amount: where a node's path leaves its tile (or ends, if done), and the cost of getting there.
 
     amount is the weight that leaves the tile at the row itself. Rows on a cycle keep their receiver, so that the joins meet it.
@@ -56,7 +56,7 @@ def _local_paths(part: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"node": node, "out": out, "done": done, "cost": cost, "amount": amount})
 
 
-def _local_sums(part: pd.DataFrame) -> pd.DataFrame:
+def local_sums(part: pd.DataFrame) -> pd.DataFrame:
     """node and total, over the paths inside the tile."""
     p, _, _ = _local_pointers(part)
     total = part["weight"].to_numpy().copy()
@@ -72,7 +72,7 @@ def _tiled(edges: DataFrame, step: Column, weight: Column, tile: str) -> DataFra
 
 def _contracted(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Paths inside tiles, and those of them that begin where another tile's path goes on."""
-    paths = landed(rows.groupBy("tile").applyInPandas(_local_paths, "node long, out long, done boolean, cost double, amount double"), "paths")
+    paths = landed(rows.groupBy("tile").applyInPandas(local_paths, "node long, out long, done boolean, cost double, amount double"), "paths")
     entries = paths.where("NOT done").select(F.col("out").alias("node")).distinct()
     return paths, paths.join(entries, "node", "left_semi")
 
@@ -105,7 +105,7 @@ def resolve(edges: DataFrame, cost: str | None = None, tile: str | None = None)
     return paths.where("done").select("node", F.col("out").alias("root"), "cost").unionByName(rest)
 
 
-def _doubled_sums(state: DataFrame) -> DataFrame:
+def doubled_sums(state: DataFrame) -> DataFrame:
     """node and total from (node, at, total): what has reached a node doubles its distance each round."""
     state = landed(state, "sums")
     for _ in range(ROUNDS):
@@ -123,14 +123,14 @@ def subtree_sums(edges: DataFrame, weight: str, tile: str | None = None) -> Data
     With tile, the joins carry only what enters a tile from others; a second pass over the tiles spreads it along the paths inside.
     """
     if tile is None:
-        return _doubled_sums(edges.select("node", F.col("next").alias("at"), F.col(weight).cast("double").alias("total")))
+        return doubled_sums(edges.select("node", F.col("next").alias("at"), F.col(weight).cast("double").alias("total")))
     rows = _tiled(edges, F.lit(1.0), F.col(weight), tile)
     paths, entries = _contracted(rows)
     given = paths.where("amount <> 0").groupBy(F.col("out").alias("node")).agg(F.sum("amount").alias("total"))
     start = entries.join(given, "node", "left").select("node", F.when(~F.col("done"), F.col("out")).alias("at"), F.coalesce("total", F.lit(0.0)).alias("total"))
-    entered = _doubled_sums(start)
+    entered = doubled_sums(start)
     full = rows.join(entered, "node", "left").withColumn("weight", F.col("weight") + F.coalesce("total", F.lit(0.0))).drop("total")
-    return full.groupBy("tile").applyInPandas(_local_sums, "node long, total double")
+    return full.groupBy("tile").applyInPandas(local_sums, "node long, total double")
 
 
 def _local_components(part: pd.DataFrame) -> pd.DataFrame:

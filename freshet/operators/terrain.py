@@ -14,9 +14,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from freshet.operators.conditioning import fill_depressions, resolve_flats, undrained  # noqa: F401
-from freshet.operators.graph import components, resolve, spread_join, subtree_sums, tile_of
-from freshet.operators.tiles import DIRECTIONS, FLAT, NODATA, OUTLET, SIZE, STEPS, around, neighbour_messages, rim
+from freshet.operators.conditioning import fill_depressions, fill_tiles, flat_tiles, resolve_flats, undrained  # noqa: F401
+from freshet.operators.graph import components, doubled_sums, local_paths, local_sums, resolve, spread_join, subtree_sums, tile_of
+from freshet.operators.packed import NULL, over_tiles, packed, unpacked
+from freshet.operators.tiles import DIRECTIONS, FLAT, NODATA, OUTLET, SIZE, STEPS, around, neighbour_messages
 from freshet.sources.store import landed
 
 
@@ -62,18 +63,55 @@ def flow_direction(cells: DataFrame, cellsize: float = 1.0, size: int = SIZE) ->
 
     Tiles see their rims, so that a cell is shuffled about once and not once per neighbour.
     """
+    found = direction_tiles(landed(packed(cells, size, ["cell", "r", "c", "z"]), "packed"), size, cellsize)
+    return unpacked(found, ["cell", "r", "c", "z", "flowdir"]).select("cell", "r", "c", F.col("z").cast(cells.schema["z"].dataType).alias("z"), "flowdir")
+
+
+def direction_tiles(tiles: DataFrame, size: int, cellsize: float = 1.0) -> DataFrame:
+    """Packed tiles (cell, r, c, z and rims) with flowdir."""
     codes = np.array([k for k, _, _ in DIRECTIONS])
     far = np.array([math.hypot(a, b) * cellsize for a, b in STEPS])[:, None]
+    names = ["cell", "r", "c", "z", "flowdir"]
 
-    def kernel(part: pd.DataFrame) -> pd.DataFrame:
+    def kernel(part: pd.DataFrame) -> dict:
+        n = int(part["own"].sum())
         near, z = around(part, STEPS, True), part["z"].to_numpy().astype("float32")
         slope = np.where(near >= 0, (z - z[near]).astype("float64") / far, 0.0)
         best = slope.argmax(axis=0)  # the first of equal slopes has the lowest code
         code = np.where(slope.max(axis=0) > 0, codes[best], np.where((near < 0).any(axis=0), OUTLET, FLAT))
-        return part.assign(flowdir=code)[["cell", "r", "c", "z", "flowdir"]][part["own"]]
+        return {**{k: part[k].to_numpy()[:n] for k in ("cell", "r", "c", "z")}, "flowdir": code[:n]}
+
+    return landed(over_tiles(tiles, kernel, size, ["cell", "r", "c", "z"], names, names), "directions")
+
+
+def routed_tiles(flats: DataFrame, size: int) -> DataFrame:
+    """Packed tiles (flats with next) with accumulation: what flows inside tiles is summed there, the joins carry what passes from tile to tile."""
+    names = ["cell", "r", "c", "z", "flowdir", "flat", "resolved", "next"]
+
+    def edges(part: pd.DataFrame) -> pd.DataFrame:
+        cell, to = part["cell"].to_numpy(), part["next"].to_numpy()
+        return pd.DataFrame({"node": cell, "next": np.where(to == NULL, cell, to), "ends": to == NULL, "step": 0.0, "weight": 1.0})
+
+    def contract(part: pd.DataFrame) -> dict:
+        paths = local_paths(edges(part))
+        gone = paths[paths["amount"] != 0].groupby("out")["amount"].sum()
+        r, c = part["r"].to_numpy() % size, part["c"].to_numpy() % size
+        border = (r == 0) | (r == size - 1) | (c == 0) | (c == size - 1)  # only these are entered from other tiles
+        at = np.where(paths["done"], NULL, paths["out"])
+        return {**{k: part[k].to_numpy() for k in names}, "node": paths["node"].to_numpy()[border], "at": at[border], "out": gone.index.to_numpy(), "amount": gone.to_numpy()}
+
+    local = landed(over_tiles(flats, contract, size, names, [*names, "node", "at", "out", "amount"], rim=False), "paths")
+    given = unpacked(local, ["out", "amount"], {"out": "node", "amount": "total"}).groupBy("node").agg(F.sum("total").alias("total"))
+    start = landed(unpacked(local, ["node", "at"], placed=True).join(given.hint("merge"), "node"), "entries")
+    entered = start.select("node", "tr", "tc").join(doubled_sums(start.select("node", "at", "total")), "node")
+
+    def spread(part: pd.DataFrame, entered: dict) -> dict:
+        rows = edges(part)
+        weight, order = rows["weight"].to_numpy().copy(), np.argsort(rows["node"].to_numpy())
+        weight[order[np.searchsorted(rows["node"].to_numpy()[order], entered["node"])]] += entered["total"]
+        return {**{k: part[k].to_numpy() for k in names}, "accumulation": local_sums(rows.assign(weight=weight))["total"].to_numpy()}
 
-    rows = cells.select("cell", "r", "c", "z")
-    return rim(rows, size).groupBy("tr", "tc").applyInPandas(kernel, rows.withColumn("flowdir", F.lit(0).cast("smallint")).schema)
+    return over_tiles(local, spread, size, names, [*names, "accumulation"], given=entered, rim=False)
 
 
 # Streams.

@@ -170,8 +170,7 @@ def terrain_undrained(spark, sf_dir):
 
 @query(_with(_D8, "SELECT cell, flowdir FROM d8"))
 def terrain_d8(spark, sf_dir):
-    t = terrain(spark, sf_dir)
-    return T.flow_direction(t.filled.select("cell", "r", "c", "z"), size=t.size).select("cell", F.col("flowdir").cast("int").alias("flowdir"))
+    return terrain(spark, sf_dir).first.select("cell", F.col("flowdir").cast("int").alias("flowdir"))
 
 
 @query(_with(_FLATS, "SELECT cell, flowdir, flat, resolved, next FROM routed"))

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from freshet.operators import terrain as T
+from freshet.operators.packed import packed, unpacked
 from freshet.sources.adapters import COLS, view
 from freshet.sources.store import TerrainStore, fingerprint, landed, params_hash, shared_dir, table
 
@@ -20,37 +21,71 @@ TILE = 64
 UNIT = "00"
 
 
-@dataclass(frozen=True)
 class Terrain:
-    """filled (cell, r, c, z, flowdir, next, accumulation, flat, resolved), mask (all stream cells) and streams (pruned; cell, next), links, hand and the raw cells."""
+    """raw, filled, first (directions), routed (cell, r, c, z, flowdir, next, accumulation, flat, resolved), mask (all stream cells), streams (pruned; cell, next), links and hand.
 
-    raw: DataFrame
-    filled: DataFrame
-    first: DataFrame
-    routed: DataFrame
-    mask: DataFrame
-    streams: DataFrame
-    links: DataFrame
-    hand: DataFrame
-    size: int
+    A table is written when it is first read, so that a query pays for the steps that it needs; later ones find it. Up to routed the
+    steps pass packed tiles on.
+    """
+
+    def __init__(self, cells: DataFrame, cols: int, cellsize: float = 1.0, threshold: float = THRESHOLD, min_branch: int = MIN_BRANCH, size: int = 256):
+        self.cols, self.cellsize, self.threshold, self.min_branch, self.size = cols, cellsize, threshold, min_branch, size
+        self._cells = cells
+
+    @cached_property
+    def raw_tiles(self) -> DataFrame:
+        return landed(packed(self._cells, self.size, ["cell", "r", "c", "z"]), "raw_tiles")
+
+    @cached_property
+    def filled_tiles(self) -> DataFrame:
+        return T.fill_tiles(self.raw_tiles, self.size)
+
+    @cached_property
+    def first_tiles(self) -> DataFrame:
+        return T.direction_tiles(self.filled_tiles, self.size, self.cellsize)
+
+    @cached_property
+    def routed_tiles(self) -> DataFrame:
+        return landed(T.routed_tiles(T.flat_tiles(self.first_tiles, self.size, self.cellsize), self.size), "routed_tiles")
+
+    @cached_property
+    def raw(self) -> DataFrame:
+        return landed(unpacked(self.raw_tiles, ["cell", "r", "c", "z"]), "raw")
+
+    @cached_property
+    def filled(self) -> DataFrame:
+        return landed(unpacked(self.filled_tiles, ["cell", "r", "c", "z", "raw"]), "filled")
+
+    @cached_property
+    def first(self) -> DataFrame:
+        return landed(unpacked(self.first_tiles, ["cell", "r", "c", "z", "flowdir"]), "directions")
+
+    @cached_property
+    def routed(self) -> DataFrame:
+        return landed(unpacked(self.routed_tiles, ["cell", "r", "c", "z", "flowdir", "flat", "resolved", "next", "accumulation"]), "routed")
+
+    @cached_property
+    def mask(self) -> DataFrame:
+        mask = T.stream_mask(self.routed, self.threshold).select("cell", "next")
+        kept = mask.join(mask.select(F.col("cell").alias("next"), F.lit(1).alias("in")), "next", "left")
+        return landed(kept.select("cell", F.when(F.col("in") == 1, F.col("next")).alias("next")), "mask")
+
+    @cached_property
+    def streams(self) -> DataFrame:
+        return landed(T.prune_streams(self.mask, self.min_branch), "streams")
+
+    @cached_property
+    def links(self) -> DataFrame:
+        return landed(T.stream_links(self.streams, self.cols, self.size), "links")
+
+    @cached_property
+    def hand(self) -> DataFrame:
+        return landed(T.reach_catchments(T.hand(self.routed, self.streams, self.size), self.links), "hand")
 
 
 def route_terrain(cells: DataFrame, cols: int, cellsize: float = 1.0, threshold: float = THRESHOLD, min_branch: int = MIN_BRANCH, size: int = 256) -> Terrain:
     """Fill, directions, flats, accumulation, streams, links, height above drainage."""
-    raw = landed(cells, "raw")
-    filled = landed(T.fill_depressions(raw, size=size).select("cell", "r", "c", F.col("w").alias("z"), F.col("z").alias("raw")), "filled")
-    level = filled.select("cell", "r", "c", "z")
-    first = landed(T.flow_direction(level, cellsize, size), "directions")
-    flats = landed(T.resolve_flats(first, cellsize, size), "flats")
-    to = landed(T.receivers(flats, cols), "receivers")
-    routed = landed(to.join(T.flow_accumulation(to, size=size), "cell"), "routed")
-    mask = T.stream_mask(routed, threshold)
-    kept = mask.select("cell", "next").join(mask.select(F.col("cell").alias("next"), F.lit(1).alias("in")), "next", "left").select("cell", F.when(F.col("in") == 1, F.col("next")).alias("next"))
-    whole = landed(kept, "mask")
-    streams = landed(T.prune_streams(whole, min_branch), "streams")
-    links = landed(T.stream_links(streams, cols, size), "links")
-    drained = T.hand(routed, streams, size)
-    return Terrain(raw, filled, first, routed, whole, streams, links, landed(T.reach_catchments(drained, links), "hand"), size)
+    return Terrain(cells, cols, cellsize, threshold, min_branch, size)
 
 
 _DONE: dict[tuple[str, str, str], Terrain] = {}

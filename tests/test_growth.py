@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+
+from __spark_entry__ import queries
 from freshet.operators import hydraulics as H
 from freshet.operators import terrain as T
+from freshet.operators.packed import NULL, over_tiles, packed, unpacked
+from freshet.plans.terrain import forget, terrain
 from freshet.sources import store
 from freshet.sources.store import fingerprint
 
@@ -55,3 +60,24 @@ def test_grid_tables_are_not_broadcast(spark):
     to = T.receivers(rows, 8)
     assert {x.cell: x.next for x in to.collect()} == {k: k + 8 if k < 56 else None for k in range(64)}
     assert "Broadcast" not in to._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_query_pays_for_its_own_steps(spark, sf_dir):
+    forget()
+    assert queries()["terrain_d8"](spark, sf_dir).count() > 0
+    done = vars(terrain(spark, sf_dir))
+    assert "first" in done and not {"routed_tiles", "routed", "streams", "links", "hand"} & set(done)
+    assert queries()["drainage_totals"](spark, sf_dir).first()["cells"] > 0
+    assert "routed" in done and not {"streams", "links", "hand"} & set(done)
+
+
+def test_cells_travel_as_tiles(spark):
+    rows = [(r * 10 + c, r, c, float(r * c)) for r in range(10) for c in range(10) if (r, c) != (4, 4)]
+    tiles = store.landed(packed(spark.createDataFrame(rows, "cell long, r int, c int, z double"), 5, ["cell", "r", "c", "z"]), "tiles")
+    strips = tiles.where("NOT own").selectExpr("tr BETWEEN 0 AND 1 AND tc BETWEEN 0 AND 1 AS inside").where("inside").count()
+    assert tiles.where("own").count() == 4 and strips == 12 - 1  # the corner (4, 4) is missing
+    assert {tuple(x) for x in unpacked(tiles, ["cell", "r", "c", "z"]).collect()} == set(rows)
+    down = over_tiles(tiles, lambda part: {"next": np.where(part["own"], part["cell"], NULL)[part["own"]], "cell": part["cell"][part["own"]].to_numpy()}, 5, ["cell"], ["cell", "next"])
+    assert {tuple(x) for x in unpacked(down, ["cell", "next"]).collect()} == {(x[0], x[0]) for x in rows}
+    gone = over_tiles(tiles, lambda part: {"next": np.full(len(part), NULL)}, 5, ["cell"], ["next"], rim=False)
+    assert unpacked(gone, ["next"]).where("next IS NULL").count() == len(rows)
