@@ -426,7 +426,7 @@ def water_years(spark, sf_dir):
 def gauge_snap(spark, sf_dir):
     t = terrain(spark, sf_dir)
     points = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("point"), (F.col("s_suppkey") * 3 % 100).cast("int").alias("r"), (F.col("s_suppkey") * 11 % COLS).cast("int").alias("c"))
-    return H.snap_to_stream(points, t.streams.join(t.raw.select("cell", "r", "c"), "cell"))
+    return H.snap_to_stream(points, t.streams.select("cell", F.floor(F.col("cell") / COLS).cast("int").alias("r"), (F.col("cell") % COLS).cast("int").alias("c")))
 
 
 # Exposure and damage.
