@@ -133,7 +133,7 @@ def subtree_sums(edges: DataFrame, weight: str, tile: str | None = None) -> Data
     return full.groupBy("tile").applyInPandas(local_sums, "node long, total double")
 
 
-def _local_components(part: pd.DataFrame) -> pd.DataFrame:
+def local_components(part: pd.DataFrame) -> pd.DataFrame:
     """node and label (the least node) of the components of the edges inside a tile."""
     nodes, at = np.unique(part[["u", "v"]].to_numpy().T.ravel(), return_inverse=True)
     u, v = at[: len(part)], at[len(part) :]
@@ -203,7 +203,7 @@ def components(edges: DataFrame, tile: Callable[[Column], Column] | None = None)
     if tile is None:
         return _stars(edges)
     placed = landed(edges.where("u <> v").select("u", "v", tile(F.col("u")).alias("tile"), (tile(F.col("u")) == tile(F.col("v"))).alias("inside")), "edges")
-    local = landed(placed.where("inside").select("u", "v", "tile").groupBy("tile").applyInPandas(_local_components, "node long, label long"), "labels")
+    local = landed(placed.where("inside").select("u", "v", "tile").groupBy("tile").applyInPandas(local_components, "node long, label long"), "labels")
     name = lambda k: local.select(F.col("node").alias(k), F.col("label").alias(f"l{k}"))
     between = placed.where("NOT inside").join(name("u"), "u", "left").join(name("v"), "v", "left").select(F.coalesce("lu", "u").alias("u"), F.coalesce("lv", "v").alias("v"))
     whole = landed(_stars(between), "labels")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from freshet.operators.tiles import STEPS, place
 
 #: What a packed column holds; any other name holds longs.
-KINDS = {"r": "i4", "c": "i4", "z": "f8", "raw": "f8", "w": "f8", "border": "?", "flowdir": "i2", "flat": "?", "resolved": "?", "amount": "f8", "accumulation": "f8", "hand": "f8"}
+KINDS = {"r": "i4", "c": "i4", "z": "f8", "raw": "f8", "w": "f8", "seed": "?", "flowdir": "i2", "flat": "?", "resolved": "?", "amount": "f8", "accumulation": "f8", "hand": "f8"}
 TYPES = {"i8": "long", "i4": "int", "i2": "smallint", "f8": "double", "?": "boolean"}
 #: Stands for null among longs.
 NULL = int(np.iinfo(np.int64).min)

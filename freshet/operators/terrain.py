@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from freshet.operators.conditioning import fill_depressions, fill_tiles, flat_tiles, resolve_flats, undrained  # noqa: F401
-from freshet.operators.graph import components, doubled_sums, local_paths, local_sums, resolve, spread_join, subtree_sums, tile_of
+from freshet.operators.graph import components, doubled_sums, local_components, local_paths, local_sums, resolve, spread_join, subtree_sums, tile_of
 from freshet.operators.packed import NULL, over_tiles, packed, unpacked
 from freshet.operators.tiles import DIRECTIONS, FLAT, NODATA, OUTLET, SIZE, STEPS, around, neighbour_messages
 from freshet.sources.store import landed
@@ -262,9 +262,34 @@ def burn_channel(cells: DataFrame, streams: DataFrame, cellsize: float, depth: t
 
 def connected_to(wet: DataFrame, seeds: DataFrame, cols: int, four: bool = False, size: int = SIZE) -> DataFrame:
     """Of wet (cell, r, c; a written table), the cells whose connected component holds a seed (cell); one pool may hold most of them."""
-    sent = neighbour_messages(wet.select("r", "c", "cell"), ["cell"], four).select("r", "c", F.col("n_cell").alias("v"))
-    edges = wet.join(sent, ["r", "c"]).where("cell < v").select(F.col("cell").alias("u"), "v")
-    label = components(edges, tile=lambda k: tile_of(F.floor(k / cols), k % cols, size)).select(F.col("node").alias("cell"), "label")
-    named = landed(wet.join(label, "cell", "left").select("cell", "r", "c", F.coalesce("label", "cell").alias("label")), "named")
-    good = named.join(seeds.select("cell"), "cell", "left_semi").select("label").distinct()
-    return spread_join(named, good, "label", "cell").select("cell", "r", "c")
+    steps = [(a, b) for _, a, b in DIRECTIONS if not four or a == 0 or b == 0]
+    names = ["cell", "r", "c", "label"]
+
+    def label(part: pd.DataFrame) -> dict:
+        cell, near = part["cell"].to_numpy(), around(part, steps)
+        k, i = np.nonzero(near >= 0)
+        found = local_components(pd.DataFrame({"u": cell[i], "v": cell[near[k, i]]}))
+        nodes, labels = found["node"].to_numpy(), found["label"].to_numpy()
+        whole = cell.copy()
+        if len(nodes):
+            at = np.minimum(np.searchsorted(nodes, cell), len(nodes) - 1)
+            whole = np.where(nodes[at] == cell, labels[at], cell)
+        return {**{k: part[k].to_numpy() for k in ("cell", "r", "c")}, "label": whole, "named": np.unique(whole), "node": np.unique(whole[part["seed"].to_numpy()])}
+
+    def meet(part: pd.DataFrame) -> dict:
+        own, mine, near = part["own"].to_numpy(), part["label"].to_numpy(), around(part, steps, True)
+        k, i = np.nonzero((near >= 0) & own & ~own[near])
+        pairs = np.unique(np.stack([mine[i], mine[near[k, i]]]), axis=1)
+        return {"u": pairs[0], "v": pairs[1]}
+
+    def keep(part: pd.DataFrame, good: dict) -> dict:
+        kept = np.isin(part["label"].to_numpy(), good["label"])
+        return {k: part[k].to_numpy()[kept] for k in ("cell", "r", "c")}
+
+    marked = wet.select("cell", "r", "c").join(seeds.select("cell", F.lit(True).alias("in")).distinct(), "cell", "left").select("cell", "r", "c", F.coalesce("in", F.lit(False)).alias("seed"))
+    tiles = packed(marked, size, ["cell", "r", "c", "seed"])
+    local = landed(over_tiles(tiles, label, size, ["cell", "r", "c", "seed"], [*names, "named", "node"], ["r", "c", "label"], rim=False), "named")
+    whole = landed(components(unpacked(over_tiles(local, meet, size, ["r", "c", "label"], ["u", "v"]), ["u", "v"]).where("u < v")), "labels").withColumnRenamed("label", "whole")
+    known = lambda k: unpacked(local, [k], {k: "node"}, placed=True).join(whole, "node", "left").select("tr", "tc", "node", F.coalesce("whole", "node").alias("whole"))
+    good = spread_join(landed(known("named"), "named"), known("node").select("whole").distinct(), "whole", "node").select("tr", "tc", F.col("node").alias("label"))
+    return unpacked(over_tiles(local, keep, size, names, ["cell", "r", "c"], given=good, rim=False), ["cell", "r", "c"])

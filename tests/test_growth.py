@@ -7,6 +7,7 @@ import numpy as np
 from __spark_entry__ import queries
 from freshet.operators import hydraulics as H
 from freshet.operators import terrain as T
+from freshet.operators.graph import components
 from freshet.operators.packed import NULL, over_tiles, packed, unpacked
 from freshet.plans.terrain import forget, terrain
 from freshet.sources import store
@@ -81,3 +82,20 @@ def test_cells_travel_as_tiles(spark):
     assert {tuple(x) for x in unpacked(down, ["cell", "next"]).collect()} == {(x[0], x[0]) for x in rows}
     gone = over_tiles(tiles, lambda part: {"next": np.full(len(part), NULL)}, 5, ["cell"], ["next"], rim=False)
     assert unpacked(gone, ["next"]).where("next IS NULL").count() == len(rows)
+
+
+def test_points_on_one_place_are_snapped_once(spark):
+    points = spark.createDataFrame([(k, 3, 3 + k % 2) for k in range(40)], "point long, r int, c int")
+    streams = spark.createDataFrame([(1, 3, 1), (2, 3, 6)], "cell long, r int, c int")
+    got = H.snap_to_stream(points, streams)
+    assert {x.point: x.cell for x in got.collect()} == {k: 1 + k % 2 for k in range(40)}
+    assert "Aggregate [point" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_pool_is_joined_by_tile_not_by_cell(spark, monkeypatch):
+    rows = [(r * 20 + c, r, c) for r in range(12) for c in range(20) if r % 4 < 2 or c == 19 and r < 6]
+    wet = store.landed(spark.createDataFrame(rows, "cell long, r int, c int"), "pool")
+    given = []
+    monkeypatch.setattr(T, "components", lambda edges: given.append(edges.count()) or components(edges))
+    got = {x.cell for x in T.connected_to(wet, spark.createDataFrame([(4 * 20,)], "cell long"), 20, size=5).collect()}
+    assert got == {k for k, r, _ in rows if r < 8} and given[0] < len(rows) / 4
