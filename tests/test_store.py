@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from freshet.operators import curves as C
 from freshet.operators import exposure as E
+from freshet.operators import scan
 from freshet.operators import spatial as S
 from freshet.operators import terrain as T
 from freshet.operators import validation as V
@@ -302,3 +303,24 @@ def test_points_meet_blocks_without_broadcast_and_copies_are_listed_in_full(spar
         want = sorted((k, u) for k in range(11) for u in range(9) if 7 * (u % 3) < 0.5 + k % 4 * 10 < 30 + 7 * (u % 3))
         assert sorted((x.id, x.unit) for x in got.select("id", "unit").collect()) == want
         assert "BroadcastHashJoin" not in plan_of(got)
+
+
+def test_pieces_of_lists_that_meet_are_bounded_and_none_is_lost(spark, tmp_path, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(scan, "written", lambda df, name, write=scan.written: kept.setdefault(name, write(df, name)))
+    copies, alike = 600, 300
+    units = squares(spark, 1).select(F.explode(F.sequence(F.lit(0), F.lit(alike - 1))).alias("unit"), "ring")
+    points = spark.range(copies).select("id", F.lit(9.5).alias("x"), F.lit(-5.0).alias("y"))
+    got = S.points_in_units(points, units, 16.0)
+    longest = lambda df, c: df.agg(F.max(F.size(c))).first()[0]
+    assert longest(kept["places"], "copies_") <= 256 and kept["places"].agg(F.sum(F.size("copies_"))).first()[0] == copies
+    assert got.count() == got.distinct().count() == copies * alike
+    assert {(x.x, x.y) for x in got.select("x", "y").distinct().collect()} == {(9.5, -5.0)}
+
+
+def test_points_meet_units_in_as_many_tasks_as_rows_may_come_out(spark, monkeypatch):
+    monkeypatch.setattr(scan, "PAIRS", 20)
+    points = spark.createDataFrame([(k, 0.5 + k % 4 * 10.0, -5.0) for k in range(16)], "id int, x double, y double")
+    got = S.points_in_units(points, squares(spark, 9), 16.0).select("id", "unit")
+    assert got.rdd.getNumPartitions() == math.ceil(16 * 9 / 20)
+    assert sorted(map(tuple, got.collect())) == sorted((k, u) for k in range(16) for u in range(9) if 7 * (u % 3) < 0.5 + k % 4 * 10 < 30 + 7 * (u % 3))
