@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from freshet.operators import curves as C
 from freshet.operators import exposure as E
 from freshet.operators import scan
@@ -324,3 +325,10 @@ def test_points_meet_units_in_as_many_tasks_as_rows_may_come_out(spark, monkeypa
     got = S.points_in_units(points, squares(spark, 9), 16.0).select("id", "unit")
     assert got.rdd.getNumPartitions() == math.ceil(16 * 9 / 20)
     assert sorted(map(tuple, got.collect())) == sorted((k, u) for k in range(16) for u in range(9) if 7 * (u % 3) < 0.5 + k % 4 * 10 < 30 + 7 * (u % 3))
+
+
+def test_a_structure_is_worked_out_once_however_many_units_hold_it(spark, sf_dir):
+    got = queries()["landed_inventory"](spark, sf_dir)
+    plan = plan_of(got)
+    assert "round(" not in plan and "from_json" not in plan and "inline(copies_" in plan
+    assert got.count() > 0
