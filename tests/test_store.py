@@ -319,6 +319,20 @@ def test_pieces_of_lists_that_meet_are_bounded_and_none_is_lost(spark, tmp_path,
     assert {(x.x, x.y) for x in got.select("x", "y").distinct().collect()} == {(9.5, -5.0)}
 
 
+def test_only_places_and_shapes_of_very_many_rows_have_several_lists(spark, monkeypatch):
+    kept = {}
+    monkeypatch.setattr(scan, "written", lambda df, name, write=scan.written: kept.setdefault(name, write(df, name)))
+    monkeypatch.setattr(scan, "COPIES", 8)
+    units = squares(spark, 1).select(F.explode(F.sequence(F.lit(0), F.lit(19))).alias("unit"), "ring").unionByName(squares(spark, 2).where("unit = 1").withColumn("unit", F.lit(20)))
+    points = spark.range(48).select("id", F.when(F.col("id") < 40, 9.5).otherwise(F.col("id") - 29.5).alias("x"), F.lit(-5.0).alias("y"))
+    got = S.points_in_units(points, units, 16.0).select("id", "unit")
+    assert sorted(map(tuple, got.collect())) == [(k, u) for k in range(48) for u in range(21)]
+    lists = {r.x: r.n for r in kept["places"].groupBy("x").agg(F.count("*").alias("n")).collect()}
+    assert 1 < lists.pop(9.5) <= 5 and set(lists.values()) == {1} and len(lists) == 8
+    sizes = sorted(r.n for r in kept["shapes"].select(F.size("units_").alias("n")).collect())
+    assert sum(sizes) == 21 and 1 < len(sizes) - 1 <= 3 and sizes.count(1) >= 1
+
+
 def test_points_meet_units_in_as_many_tasks_as_rows_may_come_out(spark, monkeypatch):
     monkeypatch.setattr(scan, "PAIRS", 20)
     points = spark.createDataFrame([(k, 0.5 + k % 4 * 10.0, -5.0) for k in range(16)], "id int, x double, y double")
